@@ -5,10 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality_rules, winnowing
+from . import mixing, packing, pii, quality_rules, winnowing
 from .common import table
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    base, spans = F.col("pii.base"), F.col("pii.spans")
+    counts = [_count(base, k).alias(f"n_{name}") for k, name in enumerate(pii.BASE)]
+    return found.select("doc_id", *counts, F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(spans).alias("spans"))
+
+
+def _count(spans, kind: int):
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = winnowing.neighbours(table(spark, sf_dir, "documents"))
     return rows.select(
@@ -33,5 +48,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op7_winnowing": op7_winnowing, "op9_quality_rules": op9_quality_rules, "op10_mixing": op10_mixing}
+QUERIES = {"op1_pii": op1_pii, "op3_packing": op3_packing, "op7_winnowing": op7_winnowing, "op9_quality_rules": op9_quality_rules, "op10_mixing": op10_mixing}
 ORACLES: dict[str, str] = {}
