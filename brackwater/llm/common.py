@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import sys
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,11 @@ SPACES = r"[\x20\x09-\x0D]+"
 BROADCAST_ROWS = 200_000
 
 
+def shipped(module: str) -> None:
+    """Send the module's functions to workers by value: executors need not have this package installed."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
 def text_of(column: str = "text") -> Column:
     """The text, empty where it is null."""
     return F.coalesce(F.col(column), F.lit(""))
@@ -73,3 +80,11 @@ class Scratch:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
         except Exception:  # the session has ended; its owner clears the shared folder
             return
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Texts go to Python in batches of at most so many rows, so that a batch of long ones fits into a worker's memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))

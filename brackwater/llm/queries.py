@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, pii, quality_rules, winnowing
-from .common import table
+from . import dedup, language_model, mixing, packing, pii, quality_model, quality_rules, toxicity, warc, winnowing
+from .common import Scratch, table
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,28 @@ def _count(spans, kind: int):
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_model.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), train=~quality_model.held_out())
+    return out.select("doc_id", quality_model.held_out().alias("held_out"), "score", "predicted")
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"), f"{Scratch(spark, 'archives').root}/pages")
+
+
+def op5_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(table(spark, sf_dir, "documents"), train=~language_model.held_out())
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), train=~toxicity.held_out())
+    return out.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -48,5 +70,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_pii": op1_pii, "op3_packing": op3_packing, "op7_winnowing": op7_winnowing, "op9_quality_rules": op9_quality_rules, "op10_mixing": op10_mixing}
+QUERIES = {"op5_context_mixing": op5_context_mixing, "op2_quality": op2_quality, "op4_warc": op4_warc, "op6_toxicity": op6_toxicity, "op8_minhash": op8_minhash, "op1_pii": op1_pii, "op3_packing": op3_packing, "op7_winnowing": op7_winnowing, "op9_quality_rules": op9_quality_rules, "op10_mixing": op10_mixing}
 ORACLES: dict[str, str] = {}
