@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, shipped
+from .common import Scratch, bounded_broadcast, shipped
 
 shipped(__name__)
 
@@ -29,14 +29,15 @@ def classified(pages: DataFrame, *, smallest: int = 0, id_column: str = "page_id
     """pages with `_payload`, `_digest`, `_bytes`, `_first`: the id that a revisit refers to, null for responses.
 
     Of rows with equal payloads of at least `smallest` bytes those with the smallest id are responses, so repeated rows of it all are; rows
-    with null ids refer to it like others, and are responses where no row has an id. Only payloads that occur under several ids are joined;
-    minima are aggregated first, and Spark can split a payload that many rows share.
+    with null ids refer to it like others, and are responses where no row has an id. Only digests that several rows have are kept in a table,
+    from minima that are aggregated first. While it has few rows it goes to the payloads; a larger one is met by a shuffle, where
+    Spark can split a payload that many rows share.
     """
     payload = F.coalesce(F.col(payload_column), F.lit(""))
     rows = pages.withColumns({"_payload": payload, "_digest": base32_sha1(payload.cast("binary")), "_bytes": F.octet_length(payload).cast("long")})
     firsts = rows.filter(F.col("_bytes") >= smallest).groupBy("_digest", "_bytes").agg(F.min(id_column).alias("_least"), F.count(F.lit(1)).alias("_n")).filter("_n > 1 and _least is not null")
-    firsts = firsts.select(F.col("_digest").alias("_d"), F.col("_bytes").alias("_b"), "_least")
-    out = rows.join(firsts, (F.col("_digest") == F.col("_d")) & (F.col("_bytes") == F.col("_b")), "left")
+    firsts = Scratch(pages.sparkSession, "firsts").save(firsts.select(F.col("_digest").alias("_d"), F.col("_bytes").alias("_b"), "_least"), "firsts")
+    out = rows.join(bounded_broadcast(firsts, firsts.count()), (F.col("_digest") == F.col("_d")) & (F.col("_bytes") == F.col("_b")), "left")
     return out.withColumn("_first", F.when(~F.col(id_column).eqNullSafe(F.col("_least")), F.col("_least"))).drop("_d", "_b", "_least")
 
 
@@ -49,7 +50,7 @@ def write(pages: DataFrame, path: str, *, id_column: str = "page_id", url_column
     first = F.col("_first")
     lines = [
         F.when(first.isNull(), "WARC-Type: response").otherwise("WARC-Type: revisit"),
-        F.concat(F.lit("WARC-Record-ID: <urn:uuid:"), F.uuid(), F.lit(">")) if False else F.concat(F.lit("WARC-Record-ID: <urn:page:"), F.coalesce(F.col(id_column).cast("string"), F.lit("none")), F.lit(">")),
+        F.concat(F.lit("WARC-Record-ID: <urn:page:"), F.coalesce(F.col(id_column).cast("string"), F.lit("none")), F.lit(">")),
         F.concat(F.lit("WARC-Page-ID: "), F.col(id_column).cast("string")),
         F.concat(F.lit("WARC-Target-URI: "), F.regexp_replace(F.col(url_column).cast("string"), r"[\r\n]+", "")) if url_column and url_column in pages.columns else F.lit(None).cast("string"),
         F.lit("WARC-Date: 1970-01-01T00:00:00Z"),
