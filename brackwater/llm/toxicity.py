@@ -80,7 +80,7 @@ def lexicon(toxic: DataFrame, clean: DataFrame, n_toxic: int, n_clean: int, *, l
     seen = _counted(toxic, None).filter(F.col("n") >= least_texts).orderBy(F.desc("n"), "f").limit(20 * most_features).collect()
     seen = {r["f"]: r["n"] for r in seen}
     other = {r["f"]: r["n"] for r in _counted(clean, frozenset(seen)).collect()} if seen else {}
-    scored = {f: surprise(k, n_toxic, k + other.get(f, 0), n_toxic + n_clean) for f, k in seen.items() if k >= 4 * other.get(f, 0) * n_toxic / max(n_clean, 1)}
+    scored = {f: surprise(k, n_toxic, k + other.get(f, 0), n_toxic + n_clean) for f, k in seen.items() if k >= 10 * other.get(f, 0)}
     best = sorted(((s, f) for f, s in scored.items() if s >= least_surprise), reverse=True)[:most_features]
     return {f: s for s, f in best}
 

@@ -27,11 +27,11 @@ def check(spark, sf, query, label, divisor, rest, least):
 
 
 def test_quality_on_held_out(spark):
-    check(spark, "/root/testdata/sf0.01", queries.op2_quality, "quality", 3, 1, 0.95)
+    check(spark, "/root/testdata/sf0.1", queries.op2_quality, "quality", 3, 1, 0.95)
 
 
 def test_toxicity_on_held_out(spark):
-    check(spark, "/root/testdata/sf0.01", queries.op6_toxicity, "toxic", 5, 0, 0.9)
+    check(spark, "/root/testdata/sf0.1", queries.op6_toxicity, "toxic", 5, 0, 0.9)
 
 
 def test_scores_do_not_depend_on_other_columns_or_order(spark, sf_dir):
