@@ -6,10 +6,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-PROPERTIES = T.StructType.fromDDL("complexity int, loc int, return_type string")
+PROPERTIES = "complexity int, loc int, return_type string"
 
 
 def conjunction(**wanted) -> Column:
@@ -64,7 +63,7 @@ def search_methods(methods: DataFrame, name: str | None = None, class_name: str
 
 def find_by_signature(methods: DataFrame, wanted: DataFrame, exact: bool = True) -> DataFrame:
     """For each (query, method_name, class_name) the first method: exact class, then part of its package, then any; ties by name and id."""
-    match = F.col("name") == F.col("method_name") if exact else F.col("name").ilike(F.col("method_name"))
+    match = F.col("name") == F.col("method_name") if exact else F.expr("name ilike method_name")
     rank = F.when(F.col("m.class_name") == F.col("w.class_name"), 0).when(F.contains(F.lower("m.package"), F.lower("w.class_name")), 1).otherwise(2)
     met = wanted.alias("w").join(methods.alias("m"), match).select("query", "m.*", rank.alias("priority"))
     return first_of(met, ["query"], ["priority", "name", "id"])

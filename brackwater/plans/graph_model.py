@@ -91,7 +91,7 @@ entities AS (
   UNION ALL SELECT class_id, 'Class', class_name, package, 'default', NULL, 1000 + n_nationkey FROM classes
   UNION ALL SELECT id, 'Method', name, package, project_id, '{"complexity":' || complexity || ',"loc":' || loc || ',"return_type":"' || return_type || '"}', seq FROM methods
   UNION ALL SELECT field_id, 'Field', s_name, package, 'default', NULL, 2000000000 + s_suppkey FROM fields),
-relationships AS (
+relationships AS MATERIALIZED (
   SELECT 'package:' || package AS source_id, class_id AS target_id, 'CONTAINS' AS rel_type, 'default' AS project_id FROM classes
   UNION ALL SELECT class_id, id, 'CONTAINS', 'default' FROM methods
   UNION ALL SELECT class_id, field_id, 'CONTAINS', 'default' FROM fields

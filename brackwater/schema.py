@@ -1,10 +1,8 @@
-"""Schemas of the property graph, vectors and metrics."""
+"""Schemas of the property graph, vectors and metrics, in DDL, which readers and createDataFrame take."""
 
-from pyspark.sql import types as T
 
-
-def _struct(**fields: str) -> T.StructType:
-    return T.StructType.fromDDL(", ".join(f"{k} {v}" for k, v in fields.items()))
+def _struct(**fields: str) -> str:
+    return ", ".join(f"{k} {v}" for k, v in fields.items())
 
 
 ENTITY = _struct(id="string", type="string", name="string", package="string", project_id="string", properties="string", seq="bigint")
