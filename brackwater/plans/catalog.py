@@ -1,6 +1,6 @@
-"""All queries of the reference's operators."""
+"""All queries over the graph, vectors, texts and metrics."""
 
-from . import graphs, metric_queries, relational, texts, vectors  # noqa: F401
+from . import graphs, metric_queries, relational, source_queries, texts, vectors  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
