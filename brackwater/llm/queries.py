@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import dedup, language_model, mixing, packing, pii, quality_model, quality_rules, toxicity, warc, winnowing
 from .common import Scratch, table
+from .oracles import ORACLES
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,5 +71,17 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op5_context_mixing": op5_context_mixing, "op2_quality": op2_quality, "op4_warc": op4_warc, "op6_toxicity": op6_toxicity, "op8_minhash": op8_minhash, "op1_pii": op1_pii, "op3_packing": op3_packing, "op7_winnowing": op7_winnowing, "op9_quality_rules": op9_quality_rules, "op10_mixing": op10_mixing}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    "op1_pii": op1_pii,
+    "op2_quality": op2_quality,
+    "op3_packing": op3_packing,
+    "op4_warc": op4_warc,
+    "op5_context_mixing": op5_context_mixing,
+    "op6_toxicity": op6_toxicity,
+    "op7_winnowing": op7_winnowing,
+    "op8_minhash": op8_minhash,
+    "op9_quality_rules": op9_quality_rules,
+    "op10_mixing": op10_mixing,
+}
+
+__all__ = ["ORACLES", "QUERIES"]
