@@ -83,10 +83,7 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
     end = F.instr("value", END)
     slim = cut.withColumn("head", F.when(end > 0, F.substring("value", F.lit(1), end)))
     length = F.regexp_extract("head", r"(?:^|\n)Content-Length: ?([0-9]{1,18})(?:\r|$)", 1).try_cast("long")
-    body = F.expr("substring(value, instr(value, '\r\n\r\n') + 4)")
-    alone = F.octet_length(body) == length + len(END)
-    payload = F.expr("left(value, length(value) - 4)")
-    payload = F.substring(payload, end + 4, F.lit(2**31 - 1))
+    payload = F.substring(F.expr(f"left(value, length(value) - {len(END)})"), end + len(END), F.lit(2**31 - 1))
     slim = slim.withColumn("length", length)
     whole = (F.octet_length("head") + 3 + F.col("length") + len(END)) == F.col("size")
     slim = slim.select(
