@@ -180,13 +180,13 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, tab
     # Sets of fewer than four items reach 0.8 only if they are equal; with other limits the least number is another.
     least = max(1, -(-percent // (100 - percent))) if percent < 100 else 2**31 - 1
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = classes.filter(F.col("n") >= least).select("id", "n", "b", "sketch", F.posexplode("a").alias("i", "part")).withColumn("part", F.xxhash64("part", "i"))
+    dealt = classes.filter(F.col("n") >= least).select("id", "n", "b", "sketch", F.posexplode("a").alias("i", "part")).withColumn("part", F.xxhash64("part", "i")).drop("i")
     dealt = dealt.repartition(parts, "part").withColumn("sharing", F.count(F.lit(1)).over(Window.partitionBy("part"))).filter("sharing > 1")
-    keyed = dealt.select("part", "i", "id", "n", "sketch", F.posexplode("b").alias("j", "other"))
+    keyed = dealt.select("part", "id", "n", "sketch", F.posexplode("b").alias("j", "other"))
     group = Window.partitionBy("part", "j", "other")
     met = keyed.withColumn("head", F.min(F.struct("id", "n", "sketch")).over(group)).withColumn("size", F.count(F.lit(1)).over(group)).filter("size > 1 and id <> head.id")
     can = _alike(F.col("n"), F.col("head.n"), percent) & _near(F.col("sketch"), F.col("head.sketch"), hashes, percent)
-    met = scratch.save(met.select(F.xxhash64("part", "j", "other").alias("key"), (F.col("i") * tables + F.col("j")).alias("place"), "id", F.col("head.id").alias("head"), "size", can.alias("can")), "met")
+    met = scratch.save(met.select(F.xxhash64("part", "j", "other").alias("key"), "id", F.col("head.id").alias("head"), "size", can.alias("can")), "met")
     digests = classes.select("id", "ha", "hb")
 
     def full(ids: DataFrame, name: str) -> DataFrame:
@@ -218,17 +218,16 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, tab
     if not more.isEmpty():
         links = scratch.save(links.unionByName(more), "links-two")
         found = components(links, scratch)
-    # Keys whose sets are not yet all connected; their heads have been compared with all of them.
-    large = placed(met.filter("size > 2"), "id", "of").select("key", "place", "id", "of")
-    open_ = large.groupBy("key").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).filter("lo <> hi").select("key")
-    rest = scratch.save(large.join(open_, "key", "left_semi"), "open")
+    # Sets of keys that are not yet all connected; the keys' heads have been compared with all of them.
+    large = placed(met.filter("size > 2"), "id", "of").select("id", F.min("of").over(Window.partitionBy("key")).alias("lo"), F.max("of").over(Window.partitionBy("key")).alias("hi"))
+    rest = scratch.save(large.filter("lo <> hi").select("id").distinct(), "open")
     if not rest.isEmpty():
-        sets = full(rest.select("id"), "others")
+        sets = full(rest, "others")
         items = sets.select("id", F.explode("items").alias("item"))
         few = items.groupBy("item").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") <= RARE)
         rare = scratch.save(items.join(few, "item"), "rare")
         own = rare.groupBy("id").agg(F.count(F.lit(1)).alias("own"))
-        info = rest.select("id", "of").distinct().join(classes.select("id", "n", "sketch", "a", "b"), "id").join(own, "id", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+        info = placed(rest, "id", "of").join(classes.select("id", "n", "sketch", "a", "b"), "id").join(own, "id", "left").withColumn("own", F.coalesce("own", F.lit(0)))
         info = scratch.save(info, "info")
 
         def across(left: DataFrame, right: DataFrame, on: str, where: Column) -> DataFrame:
@@ -240,11 +239,11 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, tab
         by_item = rare.filter("c > 1").select("id", "item").join(info.select("id", "of", "n", "sketch"), "id")
         most = F.least(F.col("l.n") - F.col("l.own"), F.col("r.n") - F.col("r.own"))
         could = 100 * most >= percent * F.greatest(F.col("l.n") + F.col("r.own"), F.col("r.n") + F.col("l.own"))
-        # Sets that share several keys are paired in the first of them alone.
-        first_shared = lambda c: F.array_position(F.zip_with(F.col(f"l.{c}"), F.col(f"r.{c}"), lambda x, y: x == y), True) - 1
-        once = first_shared("a") * tables + first_shared("b") == F.col("l.place")
-        by_key = rest.select("id", "key", "place").join(info, "id")
-        pairs = across(by_item, by_item, "item", F.lit(True)).unionByName(across(by_key, by_key, "key", could & once)).distinct()
+        # Sets that share several parts are paired in the first of them alone, and only if they share a key there.
+        same = lambda c: F.zip_with(F.col(f"l.{c}"), F.col(f"r.{c}"), lambda x, y: x == y)
+        shared = (F.array_position(same("a"), True) - 1 == F.col("l.i")) & F.exists(same("b"), lambda x: x)
+        by_part = info.select("*", F.posexplode("a").alias("i", "part")).withColumn("part", F.xxhash64("part", "i"))
+        pairs = across(by_item, by_item, "item", F.lit(True)).unionByName(across(by_part, by_part, "part", could & shared)).distinct()
         extra = confirmed(pairs, "others", sets)
         if not extra.isEmpty():
             found = components(links.unionByName(extra), scratch)
