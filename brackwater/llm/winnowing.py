@@ -14,22 +14,25 @@ LOW = 31
 
 
 def characters(text: Column) -> Column:
-    return F.filter(F.split(text, ""), lambda c: c != "")
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, ""))
 
 
-def gram_hashes(chars: Column) -> Column:
-    """32-bit hashes of all runs of GRAM code points, doubled up from runs of 4; of a shorter text, one hash of the whole."""
-    n = F.size(chars)
-    run = lambda a, m: F.slice(a, 1, F.greatest(n - (m - 1), F.lit(0)))
-    four = F.transform(run(chars, 4), lambda c, i: F.xxhash64(c, F.get(chars, i + 1), F.get(chars, i + 2), F.get(chars, i + 3)))
-    eight = let(four, lambda h: F.transform(F.slice(h, 1, F.greatest(n - (GRAM - 1), F.lit(0))), lambda x, i: F.hash(x, F.get(h, i + 4))))
-    return F.when(n >= GRAM, eight).when(n > 0, F.array(F.hash(F.array_join(chars, "")))).otherwise(F.array().cast("array<int>"))
+def value(h: Column, at: Column) -> Column:
+    """A 32-bit hash and its position in one number whose order is by hash, of equal ones the rightmost first."""
+    return F.shiftleft(h.cast("long") + F.lit(1 << 31), LOW).bitwiseOR(F.lit((1 << LOW) - 1) - at)
 
 
 def placed(hashes: Column, shift: Column | None = None) -> Column:
-    """Hash and position in one number whose order is by hash, of equal ones the rightmost first."""
-    at = (lambda i: i + shift) if shift is not None else (lambda i: i)
-    return F.transform(hashes, lambda h, i: F.shiftleft(h.cast("long") + F.lit(1 << 31), LOW).bitwiseOR(F.lit((1 << LOW) - 1) - at(i)))
+    return F.transform(hashes, lambda h, i: value(h, i if shift is None else i + shift))
+
+
+def grams(chars: Column, shift: Column | None = None) -> Column:
+    """Values of all runs of GRAM code points, hashed from runs of 4 in one pass each; of a shorter text, one of the whole."""
+    n = F.size(chars)
+    four = F.transform(F.slice(chars, 1, F.greatest(n - 3, F.lit(0))), lambda c, i: F.xxhash64(c, F.get(chars, i + 1), F.get(chars, i + 2), F.get(chars, i + 3)))
+    eight = let(four, lambda h: F.transform(F.slice(h, 1, F.greatest(n - (GRAM - 1), F.lit(0))), lambda x, i: value(F.hash(x, F.get(h, i + 4)), i if shift is None else i + shift)))
+    whole = F.array(value(F.hash(F.array_join(chars, "")), F.lit(0) if shift is None else shift))
+    return F.when(n >= GRAM, eight).when(n > 0, whole).otherwise(F.array().cast("array<long>"))
 
 
 def selected(values: Column) -> Column:
@@ -53,7 +56,7 @@ def position_of(value: Column) -> Column:
 
 def fingerprint(text: Column) -> Column:
     """array(struct(hash, position)) of a text that isn't null; empty for an empty text."""
-    return F.transform(let(characters(text), lambda c: let(gram_hashes(c), lambda h: let(placed(h), selected))), lambda v: F.struct(hash_of(v).alias("hash"), position_of(v).alias("position")))
+    return F.transform(found(text), lambda v: F.struct(hash_of(v).alias("hash"), position_of(v).alias("position")))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -102,7 +105,7 @@ def _below(edges: Column, n: int) -> Column:
 
 
 def found(text: Column, shift: Column | None = None) -> Column:
-    return let(characters(text), lambda c: let(gram_hashes(c), lambda h: let(placed(h, shift), selected)))
+    return let(characters(text), lambda c: let(grams(c, shift), selected))
 
 
 def found_after_edit(own: Column, edited: Column, same: Column) -> Column:
