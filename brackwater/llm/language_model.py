@@ -17,19 +17,18 @@ from .common import Scratch, remainder, shipped, small_batches, text_of
 
 shipped(__name__)
 
-#: What ends a text, and what stands for all unknown words, as tokens; no word holds them. A word's bytes are followed by STOP, which no word holds either.
-END, UNKNOWN, STOP = b"\n", b"\v", 32
-#: Bits of each context's table: the last one to four bytes, the token so far, that with what stands before the token, the token so far among frequent tokens.
-SLOT_BITS = (15, 17, 17, 17, 20, 20, 22)
+#: What ends a text, as a token; no word holds it. A word's bytes are followed by STOP, which no word holds either.
+END, STOP = b"\n", 32
+#: Bits of each context's table: the last one to four bytes of the text, the token so far, that after the token before it, that after the two before it.
+SLOT_BITS = (15, 17, 18, 20, 20, 20, 20)
 CONTEXTS = len(SLOT_BITS)
-FIRST = (0, *np.cumsum([1 << b for b in SLOT_BITS]).tolist())
-SLOTS = FIRST[-1]
+SLOTS = sum(1 << b for b in SLOT_BITS)
 #: Distinct tokens that a worker knows at most at a time; tokens whose counts every worker has; bytes modelled at once.
 KNOWN, HOT, BLOCK = 300_000, 262_144, 30_000
-#: Classes of what stands before a token: a text's start, sentence end, comma, short word, word with a byte beyond ASCII, others.
-CLASSES = 6
 #: Hashes of rare tokens in one chunk, whose counts are looked up together.
 CHUNK = 4_000_000
+#: Slots that go from a task to the sums in one piece.
+PIECE = 1 << 14
 
 
 def tokens_of(text: bytes) -> list[bytes]:
@@ -39,13 +38,6 @@ def tokens_of(text: bytes) -> list[bytes]:
     return out
 
 
-AFTER = dict.fromkeys(b".!?", 1) | dict.fromkeys(b",;:", 2)
-
-
-def class_after(token: bytes) -> int:
-    return AFTER.get(token[-1]) or (3 if len(token) <= 3 else 5 if token.isascii() else 4)
-
-
 class Vocabulary(dict):
     """Small numbers for tokens, given as they come; with what a token is known by."""
 
@@ -57,44 +49,41 @@ class Vocabulary(dict):
     def reset(self) -> None:
         self.clear()
         self.tokens: list[bytes] = []
-        self.after, self.hashes, self.counts = array("q"), array("Q"), array("q")
+        self.hashes, self.counts = array("Q"), array("q")
 
     def __missing__(self, token: bytes) -> int:
         value = self[token] = len(self.tokens)
         self.tokens.append(token)
-        self.after.append(class_after(token))
         self.hashes.append(xxhash.xxh3_64_intdigest(token))
         self.counts.append(self.hot.get(token, 0))
         return value
 
     def keys_of(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        """token number x CLASSES + class of what stands before, for all tokens of all texts, and where each text starts."""
+        """The numbers of all tokens of all texts, and where each text starts."""
         sizes = [len(t) for t in texts]
-        ids = np.fromiter(map(self.__getitem__, chain.from_iterable(texts)), np.int64, sum(sizes))
-        starts = np.cumsum([0, *sizes[:-1]])
-        before = np.roll(np.array(self.after)[ids], 1)
-        before[starts] = 0
-        return ids * CLASSES + before, starts
+        return np.fromiter(map(self.__getitem__, chain.from_iterable(texts)), np.int64, sum(sizes)), np.cumsum([0, *sizes[:-1]])
+
+
+def texts_of(column) -> list[list[bytes]]:
+    return [tokens_of(t.as_py().encode("utf-8", "surrogatepass")) for t in column]
 
 
 def token_counts(docs: DataFrame) -> DataFrame:
-    """docs(text) to token, h, class, n: how often each token stands after each class."""
+    """docs(text) to token, h, c: how often each token occurs."""
 
     def run(batches):
         names = Vocabulary()
         total = np.zeros(0, np.int64)
 
         def out():
-            at = np.flatnonzero(total)
-            ids = (at // CLASSES).tolist()
-            return pa.RecordBatch.from_arrays([pa.array([names.tokens[k] for k in ids], pa.binary()), pa.array(np.array([names.hashes[k] for k in ids], np.uint64).view(np.int64)), pa.array((at % CLASSES).astype(np.int32)), pa.array(total[at])], names=["token", "h", "class", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(names.tokens, pa.binary()), pa.array(np.array(names.hashes, np.uint64).view(np.int64)), pa.array(total)], names=["token", "h", "n"])
 
         for batch in batches:
-            texts = [tokens_of(t.as_py().encode("utf-8", "surrogatepass")) for t in batch.column(0)]
+            texts = texts_of(batch.column(0))
             if not texts:
                 continue
             keys, _ = names.keys_of(texts)
-            new = np.bincount(keys, minlength=len(names.tokens) * CLASSES)
+            new = np.bincount(keys, minlength=len(names.tokens))
             new[: len(total)] += total
             total = new
             if len(names.tokens) >= KNOWN:
@@ -103,8 +92,7 @@ def token_counts(docs: DataFrame) -> DataFrame:
                 total = np.zeros(0, np.int64)
         yield out()
 
-    each = docs.mapInArrow(run, "token binary, h long, class int, n long")
-    return each.groupBy("token", "h", "class").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(run, "token binary, h long, n long").groupBy("token", "h").agg(F.sum("n").alias("c"))
 
 
 def code(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -140,20 +128,21 @@ MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6
 NODES = np.random.default_rng(17).integers(0, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def decisions(tokens: list[bytes], classes: np.ndarray, table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The tokens' binary decisions: slots of all contexts, nodes, bits, and where each token's start."""
+def decisions(tokens: list[bytes], starts: np.ndarray, table, shape: tuple[int, ...] = SLOT_BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The binary decisions of tokens in order: slots of all contexts, nodes, bits, and where each token's start. Texts begin at the tokens `starts`, nothing is known before."""
     lengths, bits, nodes = table
-    spelled = [t if t in (END, UNKNOWN) else t + b" " for t in tokens]
-    size = np.array([len(s) for s in spelled])
-    data = np.frombuffer(b"".join(spelled), np.uint8).astype(np.uint64)
+    data = np.frombuffer(b"".join([t if t == END else t + b" " for t in tokens]), np.uint8).astype(np.uint64)
+    size = np.array([len(t) + (t != END) for t in tokens])
     start = np.cumsum(size) - size
     place = np.arange(len(data)) - np.repeat(start, size)
+    origin = start[starts]
+    far = np.arange(len(data)) - np.repeat(origin, np.diff([*origin, len(data)]))
     contexts = []
     packed = np.zeros(len(data), np.uint64)
-    for order in range(1, 5):  # the last bytes, 0 before the token
+    for order in range(1, 5):  # the last bytes, 0 before the text
         back = np.zeros(len(data), np.uint64)
-        inside = place >= order
-        back[inside] = data[np.flatnonzero(inside) - order] + np.uint64(1)
+        back[order:] = data[:-order] + np.uint64(1) if order < len(data) else 0
+        back[far < order] = 0
         packed = packed * np.uint64(257) + back if order > 1 else back
         contexts.append(packed)
     power = np.cumprod(np.full(int(size.max()), 0x5851F42D4C957F2D, np.uint64))
@@ -161,9 +150,14 @@ def decisions(tokens: list[bytes], classes: np.ndarray, table) -> tuple[np.ndarr
         summed = np.cumsum(data * power[place], dtype=np.uint64)
         before = np.concatenate([[np.uint64(0)], summed[:-1]])
         prefix = before - np.repeat(before[start], size)
+        whole = summed[start + size - 1] - before[start]
+        last = np.roll(whole, 1)
+        last[starts] = 0
+        last_two = np.roll(last, 1)
+        last_two[starts] = 0
         contexts.append(prefix)
-        contexts.append(prefix * np.uint64(31) + np.repeat(classes.astype(np.uint64) + np.uint64(1), size) * MIX[5])
-        contexts.append(prefix)
+        contexts.append(prefix * np.uint64(31) + np.repeat((last + np.uint64(1)) * MIX[5], size))
+        contexts.append(prefix * np.uint64(31) + np.repeat((last + np.uint64(1)) * MIX[5] + (last_two + np.uint64(1)) * MIX[4], size))
         letters = data.astype(np.int64)
         reps = lengths[letters]
         at = np.repeat(np.arange(len(data)), reps)
@@ -171,79 +165,77 @@ def decisions(tokens: list[bytes], classes: np.ndarray, table) -> tuple[np.ndarr
         node, bit = nodes[letters[at], k], bits[letters[at], k]
         step = NODES[node]
         slots = np.empty((CONTEXTS, len(at)), np.int64)
+        first = 0
         for c, context in enumerate(contexts):
             x = (context + np.uint64(c + 1)) * MIX[0]
             x ^= x >> np.uint64(32)
             x = (x * MIX[2]).take(at)
             x += step
             x *= MIX[3]
-            x >>= np.uint64(64 - SLOT_BITS[c])
-            np.add(x.view(np.int64), FIRST[c], out=slots[c])
+            x >>= np.uint64(64 - shape[c])
+            np.add(x.view(np.int64), first, out=slots[c])
+            first += 1 << shape[c]
     of_token = np.concatenate([[0], np.cumsum(np.add.reduceat(reps, start))[:-1]])
     return slots, node, bit, of_token
 
 
-def blocks(tokens: list[bytes]):
-    """Slices of tokens of about BLOCK bytes."""
+def modelled(texts: list[list[bytes]], table, shape):
+    """decisions of all texts in order, in pieces of about BLOCK bytes. A piece inside a text is read with the two tokens before it, which hold all that its contexts look back to."""
+    tokens = list(chain.from_iterable(texts))
+    begins = np.zeros(len(tokens), bool)
+    begins[np.cumsum([0, *[len(t) for t in texts][:-1]])] = True
     first = total = 0
     for k, t in enumerate(tokens):
         total += len(t) + 1
         if total >= BLOCK or k + 1 == len(tokens):
-            yield slice(first, k + 1)
+            lead = 0 if begins[first] else 1 if begins[first - 1] else 2
+            flags = begins[first - lead : k + 1].copy()
+            flags[0] = True
+            slots, node, bit, of = decisions(tokens[first - lead : k + 1], np.flatnonzero(flags), table, shape)
+            cut = of[lead]
+            yield slots[:, cut:], node[cut:], bit[cut:], of[lead:] - cut
             first, total = k + 1, 0
 
 
-def add_counts(zeros: np.ndarray, ones: np.ndarray, slots: np.ndarray, bit: np.ndarray, weight: np.ndarray, contexts, base: int = 0) -> None:
-    again = weight > 1
-    for c in contexts:
-        # Whole tokens seen once would only crowd the tables of the token so far.
-        part, w, b = (slots[c], weight, bit) if c < 4 else (slots[c][again], weight[again], bit[again])
-        w = w.astype(np.int64)
-        np.add.at(ones, part[b > 0] - base, w[b > 0])
-        np.add.at(zeros, part[b == 0] - base, w[b == 0])
+def few(docs: DataFrame) -> DataFrame:
+    """docs in few tasks that read much: each hands on whole tables."""
+    return docs.coalesce(min(256, docs.sparkSession.sparkContext.defaultParallelism))
 
 
-def slot_counts(counted: DataFrame, table) -> DataFrame:
-    """counted(token, class, n) to slot, zeros, ones over all of it, for all contexts but that of frequent tokens."""
+def slot_counts(docs: DataFrame, table, shape) -> DataFrame:
+    """docs(text) to piece, counts: zeros and ones of every PIECE slots over all decisions of all texts, as 16-bit numbers; larger ones are scaled down in proportion."""
+    slots_of_all = sum(1 << b for b in shape)
 
     def run(batches):
-        zeros, ones = np.zeros(FIRST[6], np.int64), np.zeros(FIRST[6], np.int64)
+        counts = np.zeros(2 * slots_of_all, np.int32)
         for batch in batches:
-            tokens, classes, n = batch.column(0).to_pylist(), batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            for s in blocks(tokens):
-                slots, _, bit, of = decisions(tokens[s], classes[s], table)
-                weight = np.repeat(n[s], np.diff([*of, len(bit)])).astype(float)
-                add_counts(zeros, ones, slots, bit, weight, range(6))
-        at = np.flatnonzero(zeros + ones)
-        for k in range(0, len(at), 100_000):
-            j = at[k : k + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(j.astype(np.int32)), pa.array(zeros[j]), pa.array(ones[j])], names=["slot", "zeros", "ones"])
-
-    # Each task hands on all slots that it has met, so few tasks that read much hand on less.
-    counted = counted.coalesce(min(256, counted.sparkSession.sparkContext.defaultParallelism))
-    return counted.mapInArrow(run, "slot int, zeros long, ones long").groupBy("slot").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"))
-
-
-def gathered(counts: DataFrame, frequent: dict[bytes, int], table) -> np.ndarray:
-    """The slots' counts on the driver, SLOTS x 2 numbers of 16 bits; larger counts are scaled down in proportion."""
-    zeros, ones = np.zeros(1 << SLOT_BITS[6], np.int64), np.zeros(1 << SLOT_BITS[6], np.int64)
-    tokens, n = list(frequent), np.array(list(frequent.values()), float)
-    for b in blocks(tokens):
-        slots, _, bit, of = decisions(tokens[b], np.zeros(len(tokens[b]), np.int64), table)
-        add_counts(zeros, ones, slots, bit, np.repeat(n[b], np.diff([*of, len(bit)])), [6], FIRST[6])
-    both = np.stack([zeros, ones], 1)
-    shrink = np.maximum(1, both.max(1, keepdims=True) / 60_000)
-    scale = F.greatest(F.lit(1.0), F.greatest("zeros", "ones") / 60_000)
-    small = counts.select((F.col("slot") / 4096).cast("int").alias("block"), "slot", F.ceil(F.col("zeros") / scale).cast("int").alias("z"), F.ceil(F.col("ones") / scale).cast("int").alias("o"))
-    out = np.zeros((SLOTS, 2), np.uint16)
-    out[FIRST[6] :] = np.ceil(both / shrink)
-    for r in small.groupBy("block").agg(F.collect_list("slot").alias("s"), F.collect_list("z").alias("z"), F.collect_list("o").alias("o")).toLocalIterator():
-        out[r["s"]] = np.array([r["z"], r["o"]], np.uint16).T
+            for slots, _, bit, _ in modelled(texts_of(batch.column(0)), table, shape):
+                for part in slots:
+                    np.add.at(counts, part * 2 + bit, 1)
+        for k in range(0, slots_of_all, PIECE):
+            part = counts[2 * k : 2 * (k + PIECE)]
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([k // PIECE], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["piece", "counts"])
+
+    def summed(group: pa.Table) -> pa.Table:
+        both = sum(np.frombuffer(x.as_py(), np.int32).astype(np.int64) for x in group.column("counts")).reshape(-1, 2)
+        small = np.ceil(both / np.maximum(1, both.max(1, keepdims=True) / 60_000)).astype(np.uint16)
+        return pa.table({"piece": group.column("piece")[:1], "counts": pa.array([small.tobytes()], pa.binary())})
+
+    return few(docs).mapInArrow(run, "piece int, counts binary").groupBy("piece").applyInArrow(summed, "piece int, counts binary")
+
+
+def gathered(pieces: DataFrame, shape) -> np.ndarray:
+    """The slots' counts on the driver, two numbers of 16 bits for each."""
+    out = np.zeros((sum(1 << b for b in shape), 2), np.uint16)
+    for r in pieces.toLocalIterator():
+        part = np.frombuffer(r["counts"], np.uint16).reshape(-1, 2)
+        out[r["piece"] * PIECE :][: len(part)] = part
     return out
 
 
 LOGS = np.log(np.arange(65_536) + 0.3).astype(np.float32)
-#: Gates: how often the token so far has been seen among frequent tokens, by how often among all that were seen again.
+#: Gates: how often the token so far has been seen after the token before it, by how often at all.
 OFTEN, THEN = np.array([1, 2, 4, 8, 32, 256, 4096]), np.array([1, 8, 256])
 GATES, STEPS, EDGE = (len(OFTEN) + 1) * (len(THEN) + 1), 32, 12.0
 
@@ -254,7 +246,7 @@ def inputs(counts: np.ndarray, slots: np.ndarray, bit: np.ndarray | None = None)
     if bit is not None:
         ones = np.where((bit > 0) & (ones > 0), ones - 1, ones)
         zeros = np.where((bit == 0) & (zeros > 0), zeros - 1, zeros)
-    seen = [zeros[c].astype(np.int64) + ones[c] for c in (6, 4)]
+    seen = [zeros[c].astype(np.int64) + ones[c] for c in (5, 4)]
     return LOGS[ones] - LOGS[zeros], np.searchsorted(OFTEN, seen[0], side="right") * (len(THEN) + 1) + np.searchsorted(THEN, seen[1], side="right")
 
 
@@ -270,57 +262,66 @@ def refined(z: np.ndarray, node: np.ndarray, steps: np.ndarray) -> np.ndarray:
     return np.clip(p, 1e-6, 1 - 1e-6)
 
 
-def mixer(counts: np.ndarray, tokens: list[bytes], classes: np.ndarray, n: np.ndarray, table, *, seed: int, epochs: int = 2, batch: int = 8192) -> tuple[np.ndarray, np.ndarray]:
-    """Gated weights, learned online over the sample's decisions, and the table that refines the mixed prediction by what came true.
+def mixer(docs: DataFrame, counts, table, shape, *, batches_each: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """Gated weights and the table that refines the mixed prediction by what came true, learned over all decisions of docs(text).
 
-    Each gate's weights follow the decisions batch by batch; steps are scaled by the curvature gathered so far.
+    Each task follows its own texts online, every decision without its own count; steps are scaled by the curvature gathered so far. The tasks'
+    weights are joined in proportion to their curvature, and what came true is summed.
     """
-    weights = np.full((GATES, CONTEXTS), 1 / CONTEXTS)
-    hits = np.zeros((256, STEPS, 2))
-    parts = []
-    for s in blocks(tokens):
-        slots, node, bit, of = decisions(tokens[s], classes[s], table)
-        x, gate = inputs(counts, slots, bit)
-        parts.append((x.T, gate, node, bit.astype(np.float32), np.repeat(n[s], np.diff([*of, len(bit)])).astype(np.float32)))
-    if parts:
-        x, gate, node, bit, w = (np.concatenate([p[k] for p in parts]) for k in range(5))
-        rng, w = np.random.default_rng(seed), w / w.mean()
-        curve = np.repeat(np.eye(CONTEXTS)[None] * 2.0, GATES, 0)
-        for _ in range(epochs):
-            order = rng.permutation(len(bit))
-            for k in range(0, len(order), batch):
-                j = order[k : k + batch]
-                xj, gj, wj = x[j].astype(float), gate[j], w[j]
-                p = 1 / (1 + np.exp(-np.clip((weights[gj] * xj).sum(1), -EDGE, EDGE)))
-                for g in np.unique(gj):
-                    here = gj == g
-                    xs, ws, ps = xj[here], wj[here], p[here]
-                    curve[g] += (xs * (ws * ps * (1 - ps))[:, None]).T @ xs
-                    weights[g] += np.linalg.solve(curve[g], xs.T @ (ws * (bit[j][here] - ps)))
-        for k in range(0, len(bit), 200_000):
-            j = slice(k, k + 200_000)
-            z = np.clip((weights[gate[j]] * x[j]).sum(1), -EDGE, EDGE)
-            low = np.rint((z + EDGE) * ((STEPS - 1) / (2 * EDGE))).astype(int)
-            np.add.at(hits, (node[j], low, bit[j].astype(int)), w[j])
+
+    def run(batches):
+        known = counts.value
+        weights, curve = np.full((GATES, CONTEXTS), 1 / CONTEXTS), np.repeat(np.eye(CONTEXTS)[None] * 2.0, GATES, 0)
+        hits = np.zeros(256 * STEPS * 2)
+        for batch in batches:
+            for slots, node, bit, _ in modelled(texts_of(batch.column(0)), table, shape):
+                x, gate = inputs(known, slots, bit)
+                order = np.argsort(gate.astype(np.uint8), kind="stable")
+                for k in range(batches_each):
+                    j = order[k::batches_each]
+                    if not len(j):
+                        continue
+                    xj, gj, bj = x[:, j].astype(float), gate[j], bit[j].astype(float)
+                    z = np.clip((weights[gj].T * xj).sum(0), -EDGE, EDGE)
+                    p = 1 / (1 + np.exp(-z))
+                    low = np.rint((z + EDGE) * ((STEPS - 1) / (2 * EDGE))).astype(np.int64)
+                    hits += np.bincount((node[j] * STEPS + low) * 2 + bit[j], minlength=len(hits))
+                    ends = np.flatnonzero(np.diff(gj, append=-1)) + 1
+                    for g, lo, hi in zip(gj[ends - 1], [0, *ends[:-1]], ends):
+                        xs, ps = xj[:, lo:hi], p[lo:hi]
+                        curve[g] += (xs * (ps * (1 - ps))) @ xs.T
+                        weights[g] += np.linalg.solve(curve[g], xs @ (bj[lo:hi] - ps))
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (curve, np.einsum("gij,gj->gi", curve, weights), hits)], names=["curve", "pull", "hits"])
+
+    curve, pull, hits = np.zeros((GATES, CONTEXTS, CONTEXTS)), np.zeros((GATES, CONTEXTS)), np.zeros((256, STEPS, 2))
+    for r in few(docs).mapInArrow(run, "curve binary, pull binary, hits binary").toLocalIterator():
+        for total, part in ((curve, r["curve"]), (pull, r["pull"]), (hits, r["hits"])):
+            total += np.frombuffer(part).reshape(total.shape)
+    weights = np.linalg.solve(curve, pull[:, :, None])[:, :, 0] if curve.any() else np.full((GATES, CONTEXTS), 1 / CONTEXTS)
     centre = 1 / (1 + np.exp(-np.linspace(-EDGE, EDGE, STEPS)))
     return weights, (hits[:, :, 1] + 20 * centre) / (hits.sum(2) + 20)
 
 
-def prepared(counts: np.ndarray, weights: np.ndarray, steps: np.ndarray, table):
+#: Log-odds as workers hold them, in tenths.
+TENTHS = 10
+
+
+def prepared(counts: np.ndarray, weights: np.ndarray, steps: np.ndarray, table, shape):
     """The model as workers use it: each slot's log-odds, and the gate's two parts of the slots that decide them."""
-    total = counts.astype(np.int64).sum(1)
-    odds = np.concatenate([LOGS[counts[k : k + 500_000, 1]] - LOGS[counts[k : k + 500_000, 0]] for k in range(0, SLOTS, 500_000)])
-    often = (np.searchsorted(OFTEN, total[FIRST[6] : FIRST[7]], side="right") * (len(THEN) + 1)).astype(np.uint8)
-    return odds, often, np.searchsorted(THEN, total[FIRST[4] : FIRST[5]], side="right").astype(np.uint8), np.ascontiguousarray(weights.T, np.float32), steps.astype(np.float32), table
+    first = np.cumsum([0, *[1 << b for b in shape]])
+    seen = lambda c: counts[first[c] : first[c + 1]].sum(1, dtype=np.int32)
+    odds = np.concatenate([np.rint(TENTHS * (LOGS[counts[k : k + 500_000, 1]] - LOGS[counts[k : k + 500_000, 0]])).astype(np.int8) for k in range(0, len(counts), 500_000)])
+    often = (np.searchsorted(OFTEN, seen(5), side="right") * (len(THEN) + 1)).astype(np.uint8)
+    return odds, often, np.searchsorted(THEN, seen(4), side="right").astype(np.uint8), np.ascontiguousarray(weights.T / TENTHS, np.float32), steps.astype(np.float32), table, shape
 
 
-def log10_of(tokens: list[bytes], classes: np.ndarray, model) -> np.ndarray:
-    """log10 of each token's probability after its class."""
-    odds, often, then, weights, steps, table = model
+def log10_of(texts: list[list[bytes]], model) -> np.ndarray:
+    """log10 of each token's probability after all that stands before it in its text."""
+    odds, often, then, weights, steps, table, shape = model
+    first = np.cumsum([0, *[1 << b for b in shape]])
     out = []
-    for s in blocks(tokens):
-        slots, node, bit, of = decisions(tokens[s], classes[s], table)
-        gate = often.take(slots[6] - FIRST[6]) + then.take(slots[4] - FIRST[4])
+    for slots, node, bit, of in modelled(texts, table, shape):
+        gate = often.take(slots[5] - first[5]) + then.take(slots[4] - first[4])
         z = np.zeros(len(bit), np.float32)
         for c in range(CONTEXTS):
             z += weights[c].take(gate) * odds.take(slots[c])
@@ -329,34 +330,12 @@ def log10_of(tokens: list[bytes], classes: np.ndarray, model) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0)
 
 
-def _known(spark, hot: dict[bytes, int], model) -> np.ndarray:
-    """The frequent tokens' log10 after each class, in the order of hot: worked out once, by all workers."""
-
-    def run(batches):
-        mixed = model.value
-        for batch in batches:
-            tokens = batch.column(1).to_pylist()
-            scores = log10_of([t for t in tokens for _ in range(CLASSES)], np.tile(np.arange(CLASSES), len(tokens)), mixed)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.arange(0, len(scores) + 1, CLASSES), pa.int32()), pa.array(scores.astype(np.float32)))], names=["k", "scores"])
-
-    out = np.full((len(hot), CLASSES), np.nan)
-    if hot:
-        rows = spark.createDataFrame(pa.table({"k": pa.array(np.arange(len(hot))), "token": pa.array(list(hot), pa.binary())}))
-        parts = max(1, min(len(hot) // 2000, 4 * spark.sparkContext.defaultParallelism))
-        for r in rows.repartition(parts).mapInArrow(run, "k long, scores array<float>").toLocalIterator():
-            out[r["k"]] = r["scores"]
-    return out
-
-
-def _scored(docs: DataFrame, hot, model, ready) -> DataFrame:
+def _scored(docs: DataFrame, hot, model, unknown: float) -> DataFrame:
     """docs(doc_id, held_out, text) to what is known of each without rare tokens' counts, and the rare tokens' hashes."""
 
     def run(batches):
-        known, mixed, done = hot.value, model.value, ready.value
-        place = {t: k for k, t in enumerate(known)}
-        unknown = log10_of([UNKNOWN] * CLASSES, np.arange(CLASSES), mixed)
+        known, mixed = hot.value, model.value
         names, part, chunk, rare_now = Vocabulary(known), TaskContext.get().partitionId(), 0, 0
-        scores = np.zeros(0)
         for batch in batches:
             raw = [t.as_py().encode("utf-8", "surrogatepass") for t in batch.column(2)]
             texts = [tokens_of(t) for t in raw]
@@ -364,19 +343,11 @@ def _scored(docs: DataFrame, hot, model, ready) -> DataFrame:
                 continue
             if len(names.tokens) >= KNOWN:
                 names.reset()
-                scores = np.zeros(0)
             keys, starts = names.keys_of(texts)
-            grown = np.full(len(names.tokens) * CLASSES, np.nan)
-            grown[: len(scores)] = scores
-            first = len(scores) // CLASSES
-            at = np.array([place.get(t, -1) for t in names.tokens[first:]], np.int64)
-            grown.reshape(-1, CLASSES)[first:][at >= 0] = done[at[at >= 0]]
-            scores = grown
-            new = np.unique(keys[np.isnan(scores[keys])])
-            scores[new] = log10_of([names.tokens[k] for k in (new // CLASSES).tolist()], new % CLASSES, mixed)
-            counts, hashes = np.array(names.counts)[keys // CLASSES], np.array(names.hashes).view(np.int64)
+            scores = log10_of(texts, mixed)
+            counts, hashes = np.array(names.counts)[keys], np.array(names.hashes).view(np.int64)
             is_hot = counts > 0
-            rare, less = hashes[(keys // CLASSES)[~is_hot]], (unknown[keys % CLASSES] - scores[keys])[~is_hot]
+            rare, less = hashes[keys[~is_hot]], (unknown - scores)[~is_hot]
             sizes = np.diff([*starts, len(keys)])
             hot_of = np.add.reduceat(is_hot.astype(np.int64), starts)
             ends = np.concatenate([[0], np.cumsum(sizes - hot_of)]).astype(np.int32)
@@ -385,7 +356,7 @@ def _scored(docs: DataFrame, hot, model, ready) -> DataFrame:
             rare_now += len(rare)
             columns = [
                 pa.array(np.full(len(texts), (part << 24) + chunk, np.int64)), batch.column(0), batch.column(1), pa.array(sizes.astype(np.int64)), pa.array(hot_of),
-                pa.array(np.add.reduceat(np.where(is_hot, np.log10(counts + 0.5), 0.0), starts)), pa.array(np.add.reduceat(scores[keys], starts)),
+                pa.array(np.add.reduceat(np.where(is_hot, np.log10(counts + 0.5), 0.0), starts)), pa.array(np.add.reduceat(scores, starts)),
                 pa.array(np.array(list(map(len, raw)), np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(rare)), pa.ListArray.from_arrays(pa.array(ends), pa.array(less.astype(np.float32))),
             ]
             yield pa.RecordBatch.from_arrays(columns, names=["chunk", "doc_id", "held_out", "n_tokens", "n_hot", "hot_sum", "spelled", "n_bytes", "rare", "less"])
@@ -413,26 +384,13 @@ def _summed(left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.table({k: left.column(k) for k in ("doc_id", "held_out", "n_tokens", "n_hot", "hot_sum", "spelled", "n_bytes")} | known)
 
 
-def _sample(counted: DataFrame, n: int, most: int, seed: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Kinds of token that stand for all: the most frequent third of `most` by themselves, and others, first by hash, for the rest of the occurrences."""
-    top = counted.orderBy(F.desc("n"), "token", "class").limit(most // 3).select("token", "class", "n").collect()
-    least = top[-1]["n"] if len(top) == most // 3 else 0
-    rest = counted.filter(F.col("n") < least).orderBy(F.xxhash64("h", F.lit(seed)), "token", "class").limit(most - len(top)).select("token", "class", "n").collect() if least else []
-    weights = np.array([r["n"] for r in top], float)
-    if rest:
-        own = np.array([r["n"] for r in rest], float)
-        weights = np.concatenate([weights, own * max(n - weights.sum(), own.sum()) / own.sum()])
-    rows = [*top, *rest]
-    return [bytes(r["token"]) for r in rows], np.array([r["class"] for r in rows], np.int64), weights
-
-
-def score(docs: DataFrame, *, train: Column | None = None, sample: int = 20_000, seed: int = 29) -> DataFrame:
+def score(docs: DataFrame, *, train: Column | None = None) -> DataFrame:
     """How likely each whole text is: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
-    Texts for which `train`, over doc_id, holds are learned from, all of them. A token is spelled in a Huffman code of bytes; each of its binary
-    decisions is predicted from seven hashed contexts (the last one to four bytes, the token so far, that with what stands
-    before the token, and the token so far among the most frequent tokens) by counts over the whole training text. Log-odds are mixed with weights gated by how many contexts have been seen, learned
-    online over at most `sample` kinds of token, each decision without its own count, and refined by a table of what came true.
+    Texts for which `train`, over doc_id, holds are learned from, all of them. Tokens are spelled in a Huffman code of bytes; each binary
+    decision of a text is predicted from seven hashed contexts (the last one to four bytes, also over spaces, the token so far, that after
+    the token before it, and that after the two before it) by counts over the whole training text. Log-odds are mixed with weights gated by how
+    often contexts have been seen, learned online over all training decisions, each without its own count, and refined by a table of what came true.
     The tables have a fixed size. score is over the same events as base_score, known tokens and one that stands for all unknown ones, of
     which words seen once tell how many there are; bits_per_byte spells unknown words too. base_score is that of counted tokens with 0.5 added: frequent tokens' counts go to all workers,
     rare ones' are joined for each chunk of a partition.
@@ -445,27 +403,25 @@ def score(docs: DataFrame, *, train: Column | None = None, sample: int = 20_000,
     scratch = Scratch(spark, "model")
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     own = slim.withColumn("held_out", ~train if train is not None else F.lit(False))
-    counted = scratch.save(token_counts(own.filter(~F.col("held_out")).select("text")), "counted")
-    totals = scratch.save(counted.groupBy("token", "h").agg(F.sum("n").alias("c"), F.min("class").alias("class")), "totals")
-    row = totals.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
+    learned = own.filter(~F.col("held_out")).select("text")
+    totals = scratch.save(token_counts(learned), "totals")
+    row = totals.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"), F.count_if(F.col("c") == 1).alias("once")).first()
     n, v = row["n"] or 0, row["v"]
     hot = {bytes(r["token"]): r["c"] for r in totals.orderBy(F.desc("c"), "token").limit(HOT).toLocalIterator()}
-    # A word seen once was unknown when it came: so many unknown words are to be expected after each class.
-    once = totals.filter("c = 1").groupBy("class").agg(F.count(F.lit(1)).alias("n")).collect()
-    new = spark.createDataFrame([(bytearray(UNKNOWN), 0, r["class"], r["n"]) for r in once], counted.schema)
-    counted = counted.unionByName(new)
     letters = np.ones(256)
     letters[STOP] += n
-    letters[UNKNOWN[0]] += sum(r["n"] for r in once)
     for t, c in hot.items():
         np.add.at(letters, np.frombuffer(t, np.uint8), c)
-    table = code(letters)
-    counts = gathered(slot_counts(counted.select("token", "class", "n"), table), hot | {UNKNOWN: max(2, sum(r["n"] for r in once))}, table)
-    weights, steps = mixer(counts, *_sample(counted, n, sample, seed), table, seed=seed)
+    table, shape = code(letters), SLOT_BITS
+    counts = gathered(slot_counts(learned, table, shape), shape)
     context = spark.sparkContext
-    model = context.broadcast(prepared(counts, weights, steps, table))
+    given = context.broadcast(counts)
+    weights, steps = mixer(learned, given, table, shape)
+    given.destroy()
+    model = context.broadcast(prepared(counts, weights, steps, table, shape))
     del counts
-    scored = _scored(own.select("doc_id", "held_out", "text"), context.broadcast(hot), model, context.broadcast(_known(spark, hot, model)))
+    # A word seen once was unknown when it came: so many unknown words are to be expected.
+    scored = _scored(own.select("doc_id", "held_out", "text"), context.broadcast(hot), model, float(np.log10((row["once"] + 0.5) / (n + row["once"] + 1))))
     scored = scratch.save(scored, "scored")
     wanted = scored.select("chunk", F.explode("rare").alias("h")).distinct()
     looked = scratch.save(wanted.join(totals.select("h", "c"), "h").select("chunk", "h", "c"), "looked")

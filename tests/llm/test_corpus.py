@@ -142,6 +142,25 @@ def test_language_model_of_odd_texts(spark):
     assert all(r["n_known"] == 0 for r in none)
 
 
+def test_word_order_counts(spark):
+    """Texts of the same words, with the same kinds of neighbour, differ by the order of words alone; long texts are read in pieces that hide nothing."""
+    rng = random.Random(5)
+    names = ["amber", "birch", "cedar", "delta", "ember", "fjord", "grove", "heath"]
+    line = lambda: " ".join(["start", *[w for k in [rng.randrange(4) for _ in range(30)] for w in (names[2 * k], names[2 * k + 1])]])
+    rows = [(k, line()) for k in range(60)]
+    seen = rows[0][1].split()
+    rows += [(100, " ".join(seen)), (101, " ".join(["start", *seen[1::2], *seen[2::2]]))]
+    got = {r["doc_id"]: r for r in language_model.score(spark.createDataFrame(rows, "doc_id long, text string"), train=F.col("doc_id") < 100).collect()}
+    assert got[100]["n_known"] == got[101]["n_known"] and got[100]["score"] > got[101]["score"] + 5 and got[100]["bits_per_byte"] < got[101]["bits_per_byte"]
+    import numpy as np
+
+    texts = [language_model.tokens_of(" ".join(rng.choice(names) for _ in range(n)).encode()) for n in (1, 40, 9_000, 3, 12_000)]
+    table = language_model.code(rng.choices(range(1, 1000), k=256))
+    whole = language_model.decisions([t for ts in texts for t in ts], np.cumsum([0, *[len(t) for t in texts][:-1]]), table)
+    parts = list(language_model.modelled(texts, table, language_model.SLOT_BITS))
+    assert len(parts) > 3 and np.array_equal(np.concatenate([p[0] for p in parts], 1), whole[0]) and np.array_equal(np.concatenate([p[2] for p in parts]), whole[2])
+
+
 def test_token_probabilities_add_up():
     """The probabilities of all bytes at one place sum to 1."""
     import numpy as np
