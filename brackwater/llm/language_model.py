@@ -19,7 +19,7 @@ shipped(__name__)
 
 #: What ends a text, as a token; no word holds it. A word's bytes are followed by STOP, which no word holds either.
 END, STOP = b"\n", 32
-#: Bits of each context's table: the last one to four bytes of the text, the token so far, that after the token before it, that after the two before it.
+#: Bits of each context's table, unless they are sized by what is counted: the last one to four bytes of the text, the token so far, that after the token before it, that after the two before it.
 SLOT_BITS = (15, 17, 18, 20, 20, 20, 20)
 CONTEXTS = len(SLOT_BITS)
 SLOTS = sum(1 << b for b in SLOT_BITS)
@@ -95,6 +95,26 @@ def token_counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "token binary, h long, n long").groupBy("token", "h").agg(F.sum("n").alias("c"))
 
 
+def letter_counts(totals: DataFrame) -> np.ndarray:
+    """How often each byte occurs in the words of totals(token, c)."""
+
+    def run(batches):
+        out = np.zeros(256)
+        for batch in batches:
+            tokens = batch.column(0).to_pylist()
+            size = np.fromiter(map(len, tokens), np.int64, len(tokens))
+            out += np.bincount(np.frombuffer(b"".join(tokens), np.uint8), np.repeat(batch.column(1).to_numpy(), size), 256)
+        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["counts"])
+
+    return sum((np.frombuffer(r["counts"]) for r in totals.select("token", "c").mapInArrow(run, "counts binary").toLocalIterator()), np.zeros(256))
+
+
+def sized(n: int, v: int, most: int) -> tuple[int, ...]:
+    """Bits of the tables for n tokens of v kinds: eight slots a kind for the token so far, two a token for that after others, up to 2 to the power `most`."""
+    bits = lambda x: min(most, max(16, (x - 1).bit_length()))
+    return (*SLOT_BITS[:4], bits(8 * v), bits(2 * n), bits(2 * n))
+
+
 def code(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A Huffman code of bytes: lengths, and for each byte and place its bit and the inner node that decides it."""
     heap = [(int(c), b, b) for b, c in enumerate(counts)]
@@ -211,7 +231,7 @@ def slot_counts(docs: DataFrame, table, shape) -> DataFrame:
         for batch in batches:
             for slots, _, bit, _ in modelled(texts_of(batch.column(0)), table, shape):
                 for part in slots:
-                    np.add.at(counts, part * 2 + bit, 1)
+                    np.add.at(counts, part * 2 + bit, np.int32(1))
         for k in range(0, slots_of_all, PIECE):
             part = counts[2 * k : 2 * (k + PIECE)]
             if part.any():
@@ -242,12 +262,12 @@ GATES, STEPS, EDGE = (len(OFTEN) + 1) * (len(THEN) + 1), 32, 12.0
 
 def inputs(counts: np.ndarray, slots: np.ndarray, bit: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The predictors' log-odds, and the gate. With bit, counts leave that one occurrence out."""
-    zeros, ones = counts[slots, 0], counts[slots, 1]
+    both = np.ascontiguousarray(counts).view("<u4").ravel().take(slots)  # both counts of a slot at once: zeros are the low half
     if bit is not None:
-        ones = np.where((bit > 0) & (ones > 0), ones - 1, ones)
-        zeros = np.where((bit == 0) & (zeros > 0), zeros - 1, zeros)
+        both -= np.where(bit > 0, (both >= 1 << 16).astype(np.uint32) << np.uint32(16), ((both & np.uint32(0xFFFF)) > 0).astype(np.uint32))
+    zeros, ones = both & np.uint32(0xFFFF), both >> np.uint32(16)
     seen = [zeros[c].astype(np.int64) + ones[c] for c in (5, 4)]
-    return LOGS[ones] - LOGS[zeros], np.searchsorted(OFTEN, seen[0], side="right") * (len(THEN) + 1) + np.searchsorted(THEN, seen[1], side="right")
+    return LOGS.take(ones) - LOGS.take(zeros), np.searchsorted(OFTEN, seen[0], side="right") * (len(THEN) + 1) + np.searchsorted(THEN, seen[1], side="right")
 
 
 def refined(z: np.ndarray, node: np.ndarray, steps: np.ndarray) -> np.ndarray:
@@ -384,14 +404,15 @@ def _summed(left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.table({k: left.column(k) for k in ("doc_id", "held_out", "n_tokens", "n_hot", "hot_sum", "spelled", "n_bytes")} | known)
 
 
-def score(docs: DataFrame, *, train: Column | None = None) -> DataFrame:
+def score(docs: DataFrame, *, train: Column | None = None, most_bits: int = 23) -> DataFrame:
     """How likely each whole text is: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
     Texts for which `train`, over doc_id, holds are learned from, all of them. Tokens are spelled in a Huffman code of bytes; each binary
     decision of a text is predicted from seven hashed contexts (the last one to four bytes, also over spaces, the token so far, that after
     the token before it, and that after the two before it) by counts over the whole training text. Log-odds are mixed with weights gated by how
     often contexts have been seen, learned online over all training decisions, each without its own count, and refined by a table of what came true.
-    The tables have a fixed size. score is over the same events as base_score, known tokens and one that stands for all unknown ones, of
+    The tables grow with the tokens counted, to at most 2 to the power `most_bits` slots each, which is what workers and driver can hold; beyond that
+    decisions share slots, but all are counted. score is over the same events as base_score, known tokens and one that stands for all unknown ones, of
     which words seen once tell how many there are; bits_per_byte spells unknown words too. base_score is that of counted tokens with 0.5 added: frequent tokens' counts go to all workers,
     rare ones' are joined for each chunk of a partition.
 
@@ -408,11 +429,9 @@ def score(docs: DataFrame, *, train: Column | None = None) -> DataFrame:
     row = totals.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"), F.count_if(F.col("c") == 1).alias("once")).first()
     n, v = row["n"] or 0, row["v"]
     hot = {bytes(r["token"]): r["c"] for r in totals.orderBy(F.desc("c"), "token").limit(HOT).toLocalIterator()}
-    letters = np.ones(256)
+    letters = letter_counts(totals) + 1
     letters[STOP] += n
-    for t, c in hot.items():
-        np.add.at(letters, np.frombuffer(t, np.uint8), c)
-    table, shape = code(letters), SLOT_BITS
+    table, shape = code(letters), sized(n, v, most_bits)
     counts = gathered(slot_counts(learned, table, shape), shape)
     context = spark.sparkContext
     given = context.broadcast(counts)

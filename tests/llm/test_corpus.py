@@ -161,6 +161,29 @@ def test_word_order_counts(spark):
     assert len(parts) > 3 and np.array_equal(np.concatenate([p[0] for p in parts], 1), whole[0]) and np.array_equal(np.concatenate([p[2] for p in parts]), whole[2])
 
 
+def test_language_model_learns_from_all_decisions(spark, sf_dir):
+    """Every decision of every training text is in each table and in the refinement, words seen once or rarely too; tables grow with the tokens."""
+    import numpy as np
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").limit(40).repartition(3)
+    texts = [language_model.tokens_of((r["text"] or "").encode()) for r in docs.collect()]
+    totals = Counter(t for ts in texts for t in ts)
+    want = np.bincount(np.frombuffer(b"".join(t for ts in texts for t in ts), np.uint8), minlength=256)
+    assert np.array_equal(language_model.letter_counts(language_model.token_counts(docs)), want)
+    want[language_model.STOP] = sum(t != language_model.END for ts in texts for t in ts)
+    table, shape = language_model.code(want + 1), (15, 17, 18, 22, 22, 22, 22)
+    n = int((want * table[0]).sum())
+    counts = language_model.gathered(language_model.slot_counts(docs, table, shape), shape)
+    first = np.cumsum([0, *[1 << b for b in shape]])
+    assert [int(counts[first[c] : first[c + 1]].sum()) for c in range(3, 7)] == [n] * 4
+    weights, steps = language_model.mixer(docs, spark.sparkContext.broadcast(counts), table, shape)
+    assert weights.shape == (language_model.GATES, language_model.CONTEXTS) and np.isfinite(weights).all() and 0 < steps.min() and steps.max() < 1
+    once = next(t for t, c in totals.items() if c == 1 and len(t) > 5)
+    slots, _, bit, _ = language_model.decisions([once], np.array([0]), table, shape)
+    assert (counts[slots[4], bit] > 0).all()
+    assert language_model.sized(10_000, 1_000, 23) < language_model.sized(1_000_000, 90_000, 23) < language_model.sized(4_000_000, 400_000, 23)
+
+
 def test_token_probabilities_add_up():
     """The probabilities of all bytes at one place sum to 1."""
     import numpy as np
