@@ -405,7 +405,7 @@ def _summed(left: pa.Table, right: pa.Table) -> pa.Table:
 
 
 def score(docs: DataFrame, *, train: Column | None = None, most_bits: int = 23) -> DataFrame:
-    """How likely each whole text is: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
+    """How likely each whole text is: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, text_score, bits_per_byte.
 
     Texts for which `train`, over doc_id, holds are learned from, all of them. Tokens are spelled in a Huffman code of bytes; each binary
     decision of a text is predicted from seven hashed contexts (the last one to four bytes, also over spaces, the token so far, that after
@@ -413,7 +413,7 @@ def score(docs: DataFrame, *, train: Column | None = None, most_bits: int = 23)
     often contexts have been seen, learned online over all training decisions, each without its own count, and refined by a table of what came true.
     The tables grow with the tokens counted, to at most 2 to the power `most_bits` slots each, which is what workers and driver can hold; beyond that
     decisions share slots, but all are counted. score is over the same events as base_score, known tokens and one that stands for all unknown ones, of
-    which words seen once tell how many there are; bits_per_byte spells unknown words too. base_score is that of counted tokens with 0.5 added: frequent tokens' counts go to all workers,
+    which words seen once tell how many there are. text_score is the log10 probability of the whole text, every byte of unknown words spelled, and bits_per_byte the same for each byte. base_score is that of counted tokens with 0.5 added: frequent tokens' counts go to all workers,
     rare ones' are joined for each chunk of a partition.
 
     Null and empty texts are the end alone. Without training texts all counts are 0. Repeated rows get equal scores and count repeatedly in
@@ -447,7 +447,7 @@ def score(docs: DataFrame, *, train: Column | None = None, most_bits: int = 23)
     kinds = "doc_id long, held_out boolean, n_tokens long, n_hot long, hot_sum double, spelled double, n_bytes long, rare_sum double, n_rare long, less double"
     out = scored.groupBy("chunk").cogroup(looked.groupBy("chunk")).applyInArrow(_summed, kinds)
     base = F.col("hot_sum") + F.col("rare_sum") - F.col("n_tokens") * F.log10(F.lit(n + 0.5 * (v + 1)))
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("n_hot") + F.col("n_rare")).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("spelled") + F.col("less")).alias("score"), (-F.col("spelled") * F.lit(np.log2(10.0)) / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte"))
+    return out.select("doc_id", "held_out", "n_tokens", (F.col("n_hot") + F.col("n_rare")).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("spelled") + F.col("less")).alias("score"), F.col("spelled").alias("text_score"), (-F.col("spelled") * F.lit(np.log2(10.0)) / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte"))
 
 
 def held_out() -> Column:

@@ -161,6 +161,16 @@ def test_word_order_counts(spark):
     assert len(parts) > 3 and np.array_equal(np.concatenate([p[0] for p in parts], 1), whole[0]) and np.array_equal(np.concatenate([p[2] for p in parts]), whole[2])
 
 
+def test_whole_texts_are_scored(spark):
+    """A longer unknown word costs more in text_score, which is what bits_per_byte says for all bytes; score has it as one event."""
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("qxzjkvw") for _ in range(n))
+    rows = [(k, "the quick brown fox jumps over the lazy dog " * 4) for k in range(20)] + [(100, "the quick " + word(5)), (101, "the quick " + word(50))]
+    got = {r["doc_id"]: r for r in language_model.score(spark.createDataFrame(rows, "doc_id long, text string"), train=F.col("doc_id") < 100).collect()}
+    assert got[100]["n_known"] == got[101]["n_known"] == 3 and got[101]["text_score"] < 2 * got[100]["text_score"] < 0
+    assert all(abs(r["text_score"] * math.log2(10) + r["bits_per_byte"] * len(dict(rows)[i])) < 1e-6 for i, r in got.items())
+
+
 def test_language_model_learns_from_all_decisions(spark, sf_dir):
     """Every decision of every training text is in each table and in the refinement, words seen once or rarely too; tables grow with the tokens."""
     import numpy as np
