@@ -21,56 +21,62 @@ def word_count(text_column: str = "text") -> Column:
 def boundaries(lengths: list[int], counts: list[int], buckets: int) -> list[int]:
     """Upper ends of at most `buckets` ranges of ascending lengths for which the summed padding, each length up to its range's end, is least.
 
-    best[j] is the least padding of the first j lengths with the ranges so far; each round allows one range more.
+    best[j] is the least padding of the first j lengths with the ranges so far; each round allows one range more. The best cut never moves
+    back as j grows, so a round halves the lengths again and again, all halves of a level at once: n log n steps a round.
     """
     if not lengths:
         return []
-    x, c = np.asarray(lengths, float), np.asarray(counts, float)
+    x, c = [np.asarray(v, np.int64).astype(object if sum(counts) * lengths[-1] >= 2**61 else np.int64) for v in (lengths, counts)]
     n = len(x)
-    rows, mass = np.concatenate([[0.0], np.cumsum(c)]), np.concatenate([[0.0], np.cumsum(c * x)])
-    best = np.where(np.arange(n + 1) == 0, 0.0, np.inf)
-    cut = []
-    for _ in range(min(buckets, n)):
-        new, back = best.copy(), np.arange(n + 1)
-        for j in range(1, n + 1):
-            cost = best[:j] + x[j - 1] * (rows[j] - rows[:j]) - (mass[j] - mass[:j])
-            k = int(np.argmin(cost))
-            if cost[k] < new[j] - 1e-9:
-                new[j], back[j] = cost[k], k
+    rows, mass = np.concatenate([[0], np.cumsum(c)]), np.concatenate([[0], np.cumsum(c * x)])
+    best = np.concatenate([[0], x * rows[1:] - mass[1:]])  # one range
+    cut = [np.zeros(n + 1, np.int64)]
+    for _ in range(min(buckets, n) - 1):
+        new, back = best.copy(), np.zeros(n + 1, np.int64)
+        step = 1 << n.bit_length()
+        done = np.zeros(0, np.int64)
+        while step:
+            # The places of this level, between places that have been settled.
+            j = np.arange(step, n + 1, 2 * step)
+            if len(j):
+                after = np.searchsorted(done, j)
+                low = np.where(after > 0, back[done[after - 1]], 0) if len(done) else np.zeros(len(j), np.int64)
+                high = np.where(after < len(done), np.minimum(back[done[np.minimum(after, len(done) - 1)]], j - 1), j - 1) if len(done) else j - 1
+                size = high - low + 1
+                first = np.cumsum(size) - size
+                k = np.arange(size.sum()) - np.repeat(first - low, size)
+                of = np.repeat(j, size)
+                cost = best[k] + x[of - 1] * (rows[of] - rows[k]) - (mass[of] - mass[k])
+                least = np.minimum.reduceat(cost, first)
+                hit = np.flatnonzero(cost == np.repeat(least, size))
+                back[j] = k[hit[np.searchsorted(hit, first)]]
+                new[j] = least
+                done = np.union1d(done, j)
+            step //= 2
         best = new
         cut.append(back)
     ends, j = [], n
     for back in reversed(cut):
-        if back[j] != j:
+        if j:
             ends.append(int(x[j - 1]))
             j = int(back[j])
     return sorted(ends)
 
 
-def histogram(lengths: DataFrame, bins: int) -> tuple[list[int], list[int]]:
-    """Ascending lengths with their counts over all rows, at most about `bins` of them.
-
-    Lengths are exact while they fit into bins; beyond that they are rounded up to steps that grow in proportion to the length.
-    """
-    span = lengths.agg(F.max("n_tokens")).first()[0]
-    if span is None:
-        return [], []
-    linear = bins // 2
-    if span <= bins:
-        step = F.lit(1)
-    else:  # above `linear`, steps of two to the power at which a doubling of the length takes no more than its share of bins
-        share = max(16, linear // max(1, int(np.ceil(np.log2(span / linear)))))
-        step = F.when(F.col("n_tokens") <= linear, F.lit(1)).otherwise(F.greatest(F.lit(1), F.pow(F.lit(2), F.floor(F.log2(F.col("n_tokens")))) / share)).cast("long")
-    binned = lengths.select((F.ceil(F.col("n_tokens") / step) * step).cast("long").alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("n"))
-    rows = sorted((r["b"], r["n"]) for r in binned.collect())
+def histogram(lengths: DataFrame, bins: int | None = None) -> tuple[list[int], list[int]]:
+    """Ascending distinct lengths with their counts over all rows, exact; with bins, at most so many, each the longest of its neighbours."""
+    rows = sorted((r["n_tokens"], r["n"]) for r in lengths.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).toLocalIterator())
+    if bins and len(rows) > bins:
+        bar = [k * bins // len(rows) for k in range(len(rows))]
+        rows = [(max(x for x, _ in g), sum(n for _, n in g)) for g in ([r for r, b in zip(rows, bar) if b == k] for k in range(bins))]
     return [b for b, _ in rows], [n for _, n in rows]
 
 
-def pack(docs: DataFrame, *, buckets: int = 16, token_budget: int = 32_768, bins: int = 2048, length: Column | None = None, id_column: str = "doc_id", seed: int = 11) -> DataFrame:
+def pack(docs: DataFrame, *, buckets: int = 16, token_budget: int = 32_768, bins: int | None = None, length: Column | None = None, id_column: str = "doc_id", seed: int = 11) -> DataFrame:
     """Each document's bucket, batch and padding.
 
-    The lengths of all documents make one histogram of at most about `bins` bars, for which dynamic programming finds the upper ends
-    of `buckets` ranges with the least padding. Inside a bucket the documents are numbered by a seeded hash, and each
+    The lengths of all documents make one exact histogram, for which dynamic programming finds the upper ends of `buckets` ranges with the
+    least padding. Only if `bins` is given and there are more distinct lengths, neighbours count as the longest of them. Inside a bucket the documents are numbered by a seeded hash, and each
     floor(token_budget / bucket_length) of them are a batch, at least one; only a bucket's last batch may be short. Texts are never cut.
 
     Null and empty texts are one token long, the end. Repeated rows are packed each for itself; their order is arbitrary but they are

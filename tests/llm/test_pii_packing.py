@@ -84,6 +84,18 @@ def test_boundaries_are_the_best():
     assert packing.boundaries([], [], 4) == []
 
 
+def test_long_texts_do_not_blur_the_ends(spark):
+    """One text of 20,001 tokens leaves the other lengths as they are: every bucket ends at the longest text in it, with the least padding."""
+    lengths = [1_025, 1_031, 1_033, 1_100, 1_101, 1_777, 20_001]
+    df = spark.createDataFrame([(k, n) for k, n in enumerate(lengths)], "doc_id long, n long")
+    got = packing.pack(df, buckets=7, length=F.col("n")).collect()
+    assert len(got) == 7 and all(r["padding"] == 0 for r in got)
+    got = packing.pack(df, buckets=4, length=F.col("n")).collect()
+    assert sum(r["padding"] for r in got) == 8 + 2 + 1 and {r["bucket_length"] for r in got} == {1_033, 1_101, 1_777, 20_001}
+    ends = {b: max(r["n_tokens"] for r in got if r["bucket"] == b) for b in {r["bucket"] for r in got}}
+    assert all(ends[r["bucket"]] == r["bucket_length"] for r in got)
+
+
 def test_batches_hold_every_document_once(spark, sf_dir):
     out = queries.op3_packing(spark, sf_dir).collect()
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
