@@ -17,7 +17,9 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 # Further generators, of high recall: what they propose is up to the trees.
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[\x20]?[A-Z0-9]{4}){3,7}(?:[\x20]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
-SECRET = r"(?<![A-Za-z0-9])[A-Za-z0-9+/_=-]{20,128}(?![A-Za-z0-9+/_=-])"
+SECRET = r"(?<![A-Za-z0-9])[A-Za-z0-9+/_=-]{20,}+"
+# The part of such a run that stands behind a name and an equals sign, proposed besides the run; equals signs that end the run belong to it.
+NAMED_SECRET = r"(?<==)[A-Za-z0-9+/_-]{20,}+(?:=++(?![A-Za-z0-9+/_-]))?"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 LOCAL_PHONE = r"(?<![0-9+(-])(?:\([0-9]{3}\)[\x20]?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9-])"
 MASKED_EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}[\x20]?(?:\[at\]|\(at\)|@)[\x20]?[A-Za-z0-9-]{1,63}(?:[\x20]?(?:\[dot\]|\(dot\)|\.)[\x20]?[A-Za-z0-9-]{1,63})+"
@@ -90,7 +92,8 @@ def candidates(text: Column) -> Column:
     """All that the generators propose, overlaps included: array(struct(start, kind, end, found))."""
     digits = text.rlike("[0-9]{3}")
     tried = {"email": text.contains("@"), "ip": text.contains("."), "phone": text.contains("+"), "ssn": digits, "local_phone": digits, "masked_email": text.rlike(r"@|\[at\]|\(at\)")}
-    return F.concat(*[matches(text, k, GENERATORS[name], tried.get(name)) for k, name in enumerate(KINDS)])
+    named = matches(text, KINDS.index("secret"), NAMED_SECRET, text.contains("="))
+    return F.concat(*[matches(text, k, GENERATORS[name], tried.get(name)) for k, name in enumerate(KINDS)], named)
 
 
 FEATURES = ("kind", "length", "digits", "variety", "mixed", "cases", "cue", "before", "valid", "breaks")

@@ -69,6 +69,25 @@ def test_trees_add_other_kinds_and_leave_prose(spark):
     assert "4111" not in two[0]["text"] and two[0]["text"].endswith("y [EMAIL]") and two[0]["n_chars"] == len(two[0]["text"]) and two[1]["text"] is None
 
 
+def test_long_and_named_secrets(spark):
+    """Tokens of any length, and tokens behind a name and an equals sign, with or without the name."""
+    rng = random.Random(7)
+    token = lambda n: "".join(rng.choice("ABCDEFGHJKMNPQRSTUVWXYZabcdefghkmnpqrstuvwxyz23456789") for _ in range(n))
+    keys = [token(n) for n in (129, 300, 5_000)]
+    named = [token(32), token(32), token(40)]
+    texts = [f'token = "{k}" ends' for k in keys] + [f"bearer {k} ends" for k in keys] + [f"{n}{k} and more of it." for n, k in zip(("api_key=", "the secret_token=", "export AUTH_KEY="), named)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["s"] for r in pii.find(df).select("doc_id", pii.listed(F.col("pii.spans")).alias("s")).collect()}
+    for k, t in enumerate(texts):
+        key = (keys * 2 + named)[k]
+        start, end = t.index(key), t.index(key) + len(key)
+        run = t.rindex(" ", 0, start) + 1 if " " in t[:start] and k > 6 else start
+        assert got[k] in (f"secret:{start}:{end}", f"secret:{run}:{end}"), (t[:40], got[k])
+    assert got[6] == "secret:8:40"
+    learned = pii.training(spark, 10, 3).filter("name = 'secret' and truth = 1").withColumn("c", pii.candidates(F.col("text")))
+    assert learned.filter(~F.exists("c", lambda c: (c["start"] == F.col("start")) & (c["kind"] == pii.KINDS.index("secret")))).count() == 0
+
+
 def test_boundaries_are_the_best():
     from itertools import combinations
 
