@@ -88,6 +88,15 @@ def test_search_of_zero_vectors(spark):
         vector.search_many(points, points.selectExpr("vec_id as query", "embedding as vector"), most_queries=1)
 
 
+def test_search_of_many_queries_goes_in_blocks(spark):
+    points = spark.createDataFrame([(k, [float(k % 7), float(k % 11), 1.0]) for k in range(60)], "vec_id long, embedding array<float>")
+    wanted = points.selectExpr("vec_id as query", "embedding as vector")
+    rows = lambda **more: sorted(map(tuple, vector.search_many(points, wanted, limit=3, **more).collect()))
+    assert rows(block=17) == rows() and len(rows(block=17)) == 180
+    many = spark.range(10_001).selectExpr("id as query", "array(1f, 0f, 1f) as vector")
+    assert vector.search_many(points.limit(2), many, limit=1).count() == 10_001
+
+
 def test_ivf_recall(spark):
     points = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     wanted = points.filter("vec_id % 50 = 0").selectExpr("vec_id as query", "embedding as vector")
