@@ -234,15 +234,19 @@ def slot_counts(docs: DataFrame, table, shape) -> DataFrame:
                     np.add.at(counts, part * 2 + bit, np.int32(1))
         for k in range(0, slots_of_all, PIECE):
             part = counts[2 * k : 2 * (k + PIECE)]
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k // PIECE], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["piece", "counts"])
+            if part.any():  # a byte for each count, and what is more by itself
+                at = np.flatnonzero(part > 255).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array([k // PIECE], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in (part.astype(np.uint8), at, part[at] >> 8)]], names=["piece", "low", "at", "high"])
 
     def summed(group: pa.Table) -> pa.Table:
-        both = sum(np.frombuffer(x.as_py(), np.int32).astype(np.int64) for x in group.column("counts")).reshape(-1, 2)
+        both = sum(np.frombuffer(x.as_py(), np.uint8).astype(np.int64) for x in group.column("low"))
+        for at, high in zip(group.column("at"), group.column("high")):
+            both[np.frombuffer(at.as_py(), np.int32)] += np.frombuffer(high.as_py(), np.int32).astype(np.int64) << 8
+        both = both.reshape(-1, 2)
         small = np.ceil(both / np.maximum(1, both.max(1, keepdims=True) / 60_000)).astype(np.uint16)
         return pa.table({"piece": group.column("piece")[:1], "counts": pa.array([small.tobytes()], pa.binary())})
 
-    return few(docs).mapInArrow(run, "piece int, counts binary").groupBy("piece").applyInArrow(summed, "piece int, counts binary")
+    return few(docs).mapInArrow(run, "piece int, low binary, at binary, high binary").groupBy("piece").applyInArrow(summed, "piece int, counts binary")
 
 
 def gathered(pieces: DataFrame, shape) -> np.ndarray:
