@@ -106,7 +106,7 @@ def letter_counts(totals: DataFrame) -> np.ndarray:
             out += np.bincount(np.frombuffer(b"".join(tokens), np.uint8), np.repeat(batch.column(1).to_numpy(), size), 256)
         yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["counts"])
 
-    return sum((np.frombuffer(r["counts"]) for r in totals.select("token", "c").mapInArrow(run, "counts binary").toLocalIterator()), np.zeros(256))
+    return sum((np.frombuffer(r["counts"]) for r in totals.select("token", "c").mapInArrow(run, "counts binary").collect()), np.zeros(256))
 
 
 def sized(n: int, v: int, most: int) -> tuple[int, ...]:
@@ -318,7 +318,7 @@ def mixer(docs: DataFrame, counts, table, shape, *, batches_each: int = 8) -> tu
         yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (curve, np.einsum("gij,gj->gi", curve, weights), hits)], names=["curve", "pull", "hits"])
 
     curve, pull, hits = np.zeros((GATES, CONTEXTS, CONTEXTS)), np.zeros((GATES, CONTEXTS)), np.zeros((256, STEPS, 2))
-    for r in few(docs).mapInArrow(run, "curve binary, pull binary, hits binary").toLocalIterator():
+    for r in few(docs).mapInArrow(run, "curve binary, pull binary, hits binary").collect():
         for total, part in ((curve, r["curve"]), (pull, r["pull"]), (hits, r["hits"])):
             total += np.frombuffer(part).reshape(total.shape)
     weights = np.linalg.solve(curve, pull[:, :, None])[:, :, 0] if curve.any() else np.full((GATES, CONTEXTS), 1 / CONTEXTS)
