@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import heapq
 from array import array
 from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -17,18 +17,21 @@ from .common import Scratch, remainder, shipped, small_batches, text_of
 
 shipped(__name__)
 
-#: What ends a text, as a token; no word holds it. A word's bytes are followed by STOP, which no word holds either.
+#: What ends a text, as a token; no word holds it. A spelled word's bytes are followed by STOP, which no word holds either.
 END, STOP = b"\n", 32
-#: Bits of each context's table, unless they are sized by what is counted: the last one to four bytes of the text, the token so far, that after the token before it, that after the two before it.
-SLOT_BITS = (15, 17, 18, 20, 20, 20, 20)
-CONTEXTS = len(SLOT_BITS)
-SLOTS = sum(1 << b for b in SLOT_BITS)
-#: Distinct tokens that a worker knows at most at a time; tokens whose counts every worker has; bytes modelled at once.
-KNOWN, HOT, BLOCK = 300_000, 262_144, 30_000
+#: Distinct tokens that a worker knows at most at a time; decisions worked on at once.
+KNOWN, BLOCK = 300_000, 60_000
+#: Tokens with a symbol of their own, whose counts every worker has; their bytes at most. All others are spelled.
+HOT, LONGEST = (1 << 18) - 2, 64
+#: Frequent tokens, the last of which is a context.
+FREQUENT = 128
 #: Hashes of rare tokens in one chunk, whose counts are looked up together.
 CHUNK = 4_000_000
 #: Slots that go from a task to the sums in one piece.
-PIECE = 1 << 14
+PIECE = 1 << 16
+#: Numbers of last bytes that are contexts in a spelled word, and bits of their tables and of that of the word's whole beginning.
+SPELLED_ORDERS, SPELLED_BITS = (2, 4, 6), (18, 21, 22, 22)
+M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
 def tokens_of(text: bytes) -> list[bytes]:
@@ -38,24 +41,28 @@ def tokens_of(text: bytes) -> list[bytes]:
     return out
 
 
+def texts_of(column) -> list[list[bytes]]:
+    return [tokens_of(t.as_py().encode("utf-8", "surrogatepass")) for t in column]
+
+
 class Vocabulary(dict):
-    """Small numbers for tokens, given as they come; with what a token is known by."""
+    """Small numbers for tokens, given as they come; with what a token is known by: its hash and the symbol that stands for it."""
 
-    def __init__(self, hot: dict[bytes, int] | None = None):
+    def __init__(self, symbols: dict[bytes, int] | None = None):
         super().__init__()
-        self.hot = hot or {}
+        self.symbols, self.other = symbols or {}, len(symbols or {})
         self.reset()
 
     def reset(self) -> None:
         self.clear()
         self.tokens: list[bytes] = []
-        self.hashes, self.counts = array("Q"), array("q")
+        self.hashes, self.ids = array("Q"), array("q")
 
     def __missing__(self, token: bytes) -> int:
         value = self[token] = len(self.tokens)
         self.tokens.append(token)
         self.hashes.append(xxhash.xxh3_64_intdigest(token))
-        self.counts.append(self.hot.get(token, 0))
+        self.ids.append(self.symbols.get(token, self.other))
         return value
 
     def keys_of(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
@@ -64,10 +71,6 @@ class Vocabulary(dict):
         return np.fromiter(map(self.__getitem__, chain.from_iterable(texts)), np.int64, sum(sizes)), np.cumsum([0, *sizes[:-1]])
 
 
-def texts_of(column) -> list[list[bytes]]:
-    return [tokens_of(t.as_py().encode("utf-8", "surrogatepass")) for t in column]
-
-
 def token_counts(docs: DataFrame) -> DataFrame:
     """docs(text) to token, h, c: how often each token occurs."""
 
@@ -95,297 +98,534 @@ def token_counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "token binary, h long, n long").groupBy("token", "h").agg(F.sum("n").alias("c"))
 
 
-def letter_counts(totals: DataFrame) -> np.ndarray:
-    """How often each byte occurs in the words of totals(token, c)."""
+class Code(NamedTuple):
+    """A binary code that keeps the order of its symbols: symbol s takes length[s] decisions, at the nodes that start at first[s]. At a node it goes right if it isn't below it."""
+
+    length: np.ndarray
+    first: np.ndarray
+    node: np.ndarray
+
+
+def balanced(weights) -> Code:
+    """Each range of symbols is cut where both sides weigh most alike; a cut lies before the symbol whose number the node has."""
+    upto = np.concatenate([[0.0], np.cumsum(np.asarray(weights, float))])
+    n = len(upto) - 1
+    low, high, levels = np.zeros(n, np.int64), np.full(n, n, np.int64), []
+    live = np.arange(n) if n > 1 else np.zeros(0, np.int64)
+    while len(live):
+        lo, hi = low[live], high[live]
+        middle = (upto[lo] + upto[hi]) / 2
+        cut = np.searchsorted(upto, middle)
+        cut -= (cut > 0) & (middle - upto[np.maximum(cut - 1, 0)] < upto[np.minimum(cut, n)] - middle)
+        cut = np.clip(cut, lo + 1, hi - 1)
+        levels.append((live, cut))
+        right = live >= cut
+        low[live], high[live] = np.where(right, cut, lo), np.where(right, hi, cut)
+        live = live[high[live] - low[live] > 1]
+    length = np.zeros(n, np.int64)
+    for at, _ in levels:
+        length[at] += 1
+    first = np.cumsum(length) - length
+    node = np.zeros(int(length.sum()), np.int32)
+    for k, (at, cut) in enumerate(levels):
+        node[first[at] + k] = cut
+    return Code(length, first, node)
+
+
+def path(code: Code, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The decisions of symbols one after the other: their nodes, how many each symbol takes, and where they start."""
+    size = code.length[symbols]
+    start = np.cumsum(size) - size
+    return code.node.take(np.repeat(code.first[symbols] - start, size) + np.arange(int(size.sum()))), size, start
 
-    def run(batches):
-        out = np.zeros(256)
-        for batch in batches:
-            tokens = batch.column(0).to_pylist()
-            size = np.fromiter(map(len, tokens), np.int64, len(tokens))
-            out += np.bincount(np.frombuffer(b"".join(tokens), np.uint8), np.repeat(batch.column(1).to_numpy(), size), 256)
-        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["counts"])
 
-    return sum((np.frombuffer(r["counts"]) for r in totals.select("token", "c").mapInArrow(run, "counts binary").collect()), np.zeros(256))
-
-
-def sized(n: int, v: int, most: int) -> tuple[int, ...]:
-    """Bits of the tables for n tokens of v kinds: eight slots a kind for the token so far, two a token for that after others, up to 2 to the power `most`."""
-    bits = lambda x: min(most, max(16, (x - 1).bit_length()))
-    return (*SLOT_BITS[:4], bits(8 * v), bits(2 * n), bits(2 * n))
-
-
-def code(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A Huffman code of bytes: lengths, and for each byte and place its bit and the inner node that decides it."""
-    heap = [(int(c), b, b) for b, c in enumerate(counts)]
-    heapq.heapify(heap)
-    children, new = {}, 256
-    while len(heap) > 1:
-        (c, _, x), (d, _, y) = heapq.heappop(heap), heapq.heappop(heap)
-        children[new] = (x, y)
-        heapq.heappush(heap, (c + d, new, new))
-        new += 1
-    paths: dict[int, list[tuple[int, int]]] = {}
-    stack = [(heap[0][2], [])]
-    while stack:
-        node, path = stack.pop()
-        if node < 256:
-            paths[node] = path
-        else:
-            for bit, child in enumerate(children[node]):
-                stack.append((child, [*path, (bit, node - 256)]))
-    lengths = np.array([len(paths[b]) for b in range(256)])
-    bits, nodes = np.zeros((256, lengths.max()), np.uint8), np.zeros((256, lengths.max()), np.int64)
-    for b, path in paths.items():
-        for k, (bit, node) in enumerate(path):
-            bits[b, k], nodes[b, k] = bit, node
-    return lengths, bits, nodes
+def mixed_in(node: np.ndarray) -> np.ndarray:
+    return node.astype(np.uint64) * M1
 
 
-MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
+def slot(context: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
+    """Slots of decisions in a table, from their contexts' hashes and what mixed_in makes of their nodes."""
+    x = context + node
+    x *= M2
+    x >>= np.uint64(64 - bits)
+    return x.view(np.int64)
 
 
-NODES = np.random.default_rng(17).integers(0, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+class Shape(NamedTuple):
+    """Bits of the tables: after the last frequent token, after the token before, and of what followed two tokens."""
 
+    frequent: int
+    before: int
+    follows: int
 
-def decisions(tokens: list[bytes], starts: np.ndarray, table, shape: tuple[int, ...] = SLOT_BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The binary decisions of tokens in order: slots of all contexts, nodes, bits, and where each token's start. Texts begin at the tokens `starts`, nothing is known before."""
-    lengths, bits, nodes = table
-    data = np.frombuffer(b"".join([t if t == END else t + b" " for t in tokens]), np.uint8).astype(np.uint64)
-    size = np.array([len(t) + (t != END) for t in tokens])
-    start = np.cumsum(size) - size
-    place = np.arange(len(data)) - np.repeat(start, size)
-    origin = start[starts]
-    far = np.arange(len(data)) - np.repeat(origin, np.diff([*origin, len(data)]))
-    contexts = []
-    packed = np.zeros(len(data), np.uint64)
-    for order in range(1, 5):  # the last bytes, 0 before the text
-        back = np.zeros(len(data), np.uint64)
-        back[order:] = data[:-order] + np.uint64(1) if order < len(data) else 0
-        back[far < order] = 0
-        packed = packed * np.uint64(257) + back if order > 1 else back
-        contexts.append(packed)
-    power = np.cumprod(np.full(int(size.max()), 0x5851F42D4C957F2D, np.uint64))
-    with np.errstate(over="ignore"):
-        summed = np.cumsum(data * power[place], dtype=np.uint64)
-        before = np.concatenate([[np.uint64(0)], summed[:-1]])
-        prefix = before - np.repeat(before[start], size)
-        whole = summed[start + size - 1] - before[start]
-        last = np.roll(whole, 1)
-        last[starts] = 0
-        last_two = np.roll(last, 1)
-        last_two[starts] = 0
-        contexts.append(prefix)
-        contexts.append(prefix * np.uint64(31) + np.repeat((last + np.uint64(1)) * MIX[5], size))
-        contexts.append(prefix * np.uint64(31) + np.repeat((last + np.uint64(1)) * MIX[5] + (last_two + np.uint64(1)) * MIX[4], size))
-        letters = data.astype(np.int64)
-        reps = lengths[letters]
-        at = np.repeat(np.arange(len(data)), reps)
-        k = np.arange(len(at)) - np.repeat(np.cumsum(reps) - reps, reps)
-        node, bit = nodes[letters[at], k], bits[letters[at], k]
-        step = NODES[node]
-        slots = np.empty((CONTEXTS, len(at)), np.int64)
-        first = 0
-        for c, context in enumerate(contexts):
-            x = (context + np.uint64(c + 1)) * MIX[0]
-            x ^= x >> np.uint64(32)
-            x = (x * MIX[2]).take(at)
-            x += step
-            x *= MIX[3]
-            x >>= np.uint64(64 - shape[c])
-            np.add(x.view(np.int64), first, out=slots[c])
-            first += 1 << shape[c]
-    of_token = np.concatenate([[0], np.cumsum(np.add.reduceat(reps, start))[:-1]])
-    return slots, node, bit, of_token
-
-
-def modelled(texts: list[list[bytes]], table, shape):
-    """decisions of all texts in order, in pieces of about BLOCK bytes. A piece inside a text is read with the two tokens before it, which hold all that its contexts look back to."""
-    tokens = list(chain.from_iterable(texts))
-    begins = np.zeros(len(tokens), bool)
-    begins[np.cumsum([0, *[len(t) for t in texts][:-1]])] = True
-    first = total = 0
-    for k, t in enumerate(tokens):
-        total += len(t) + 1
-        if total >= BLOCK or k + 1 == len(tokens):
-            lead = 0 if begins[first] else 1 if begins[first - 1] else 2
-            flags = begins[first - lead : k + 1].copy()
-            flags[0] = True
-            slots, node, bit, of = decisions(tokens[first - lead : k + 1], np.flatnonzero(flags), table, shape)
-            cut = of[lead]
-            yield slots[:, cut:], node[cut:], bit[cut:], of[lead:] - cut
-            first, total = k + 1, 0
 
+def sized(n: int, most: int) -> Shape:
+    """Tables for n tokens: two, four and two slots a token, up to 2 to the power `most`, but for the first, of which a half is enough."""
+    bits = lambda x, least, top: min(top, max(least, (max(x, 1) - 1).bit_length()))
+    return Shape(bits(2 * n, 16, most - 1), bits(4 * n, 16, most), bits(2 * n, 16, most + 1))
 
-def few(docs: DataFrame) -> DataFrame:
-    """docs in few tasks that read much: each hands on whole tables."""
-    return docs.coalesce(min(256, docs.sparkSession.sparkContext.defaultParallelism))
 
+# What is known of a slot is two counts, of zeros and ones, in a byte each.
+ODDS = (np.log((np.arange(65_536) >> 8) + 0.3) - np.log((np.arange(65_536) & 255) + 0.3)).astype(np.float32)
 
-def slot_counts(docs: DataFrame, table, shape) -> DataFrame:
-    """docs(text) to piece, counts: zeros and ones of every PIECE slots over all decisions of all texts, as 16-bit numbers; larger ones are scaled down in proportion."""
-    slots_of_all = sum(1 << b for b in shape)
 
-    def run(batches):
-        counts = np.zeros(2 * slots_of_all, np.int32)
-        for batch in batches:
-            for slots, _, bit, _ in modelled(texts_of(batch.column(0)), table, shape):
-                for part in slots:
-                    np.add.at(counts, part * 2 + bit, np.int32(1))
-        for k in range(0, slots_of_all, PIECE):
-            part = counts[2 * k : 2 * (k + PIECE)]
-            if part.any():  # a byte for each count, and what is more by itself
-                at = np.flatnonzero(part > 255).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array([k // PIECE], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in (part.astype(np.uint8), at, part[at] >> 8)]], names=["piece", "low", "at", "high"])
+def steps_of(v: np.ndarray, limits: tuple[int, int, int]) -> np.ndarray:
+    """How much has been seen in slots, in four steps."""
+    n = (v >> np.uint16(8)) + (v & np.uint16(255))
+    return (n >= limits[0]).view(np.uint8) + (n >= limits[1]).view(np.uint8) + (n >= limits[2]).view(np.uint8)
 
-    def summed(group: pa.Table) -> pa.Table:
-        both = sum(np.frombuffer(x.as_py(), np.uint8).astype(np.int64) for x in group.column("low"))
-        for at, high in zip(group.column("at"), group.column("high")):
-            both[np.frombuffer(at.as_py(), np.int32)] += np.frombuffer(high.as_py(), np.int32).astype(np.int64) << 8
-        both = both.reshape(-1, 2)
-        small = np.ceil(both / np.maximum(1, both.max(1, keepdims=True) / 60_000)).astype(np.uint16)
-        return pa.table({"piece": group.column("piece")[:1], "counts": pa.array([small.tobytes()], pa.binary())})
 
-    return few(docs).mapInArrow(run, "piece int, low binary, at binary, high binary").groupBy("piece").applyInArrow(summed, "piece int, counts binary")
+FEW, OFTEN = (1, 2, 5), (3, 17, 129)
 
 
-def gathered(pieces: DataFrame, shape) -> np.ndarray:
-    """The slots' counts on the driver, two numbers of 16 bits for each."""
-    out = np.zeros((sum(1 << b for b in shape), 2), np.uint16)
-    for r in pieces.toLocalIterator():
-        part = np.frombuffer(r["counts"], np.uint16).reshape(-1, 2)
-        out[r["piece"] * PIECE :][: len(part)] = part
+def without(v: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    """Counts without one occurrence of the bit, which has been counted there."""
+    return v - (bit * np.uint16(255) + np.uint16(1))
+
+
+def moved(x: np.ndarray) -> np.ndarray:
+    """Each element's predecessor, 0 before the first."""
+    out = np.zeros_like(x)
+    out[1:] = x[:-1]
     return out
 
 
-LOGS = np.log(np.arange(65_536) + 0.3).astype(np.float32)
-#: Gates: how often the token so far has been seen after the token before it, by how often at all.
-OFTEN, THEN = np.array([1, 2, 4, 8, 32, 256, 4096]), np.array([1, 8, 256])
-GATES, STEPS, EDGE = (len(OFTEN) + 1) * (len(THEN) + 1), 32, 12.0
+class Stream(NamedTuple):
+    """Tokens of several texts in order, with what stands before each."""
+
+    ids: np.ndarray
+    frequent: np.ndarray
+    before: np.ndarray
+    key: np.ndarray
+    place: np.ndarray
+
+
+def stream(ids: np.ndarray, hashes: np.ndarray, starts: np.ndarray, rank: np.ndarray) -> Stream:
+    """Contexts of all tokens: hashes of the last frequent token and of the token before, the key of the two before; nothing is known before a text."""
+    n = len(ids)
+    begin = np.repeat(starts, np.diff([*starts, n]))
+    place = np.arange(n) - begin
+    last = moved(hashes)
+    last[starts] = 0
+    two = moved(last)
+    two[starts] = 0
+    ranks = rank[ids]
+    often = np.maximum.accumulate(np.where(ranks > 0, np.arange(n), -1))
+    often = np.concatenate([[-1], often[:-1]])
+    frequent = np.where(often >= begin, ranks[often], 0).astype(np.uint64) * M3
+    key = (last * M1 + two) * M2
+    key ^= key >> np.uint64(29)
+    return Stream(ids, frequent, last, key * M3, place)
+
+
+class Tables(NamedTuple):
+    """What all workers know of the counts: a code of symbols, ranks of the frequent ones, a code of bytes, shapes, and each slot's two counts; with what followed two tokens."""
+
+    symbols: Code
+    rank: np.ndarray
+    letters: Code
+    shape: Shape
+    counts: np.ndarray
+    follows: np.ndarray
+
+
+def plain(t: Tables) -> tuple:
+    """The tables as tuples, which a broadcast can carry to workers without this module."""
+    return tuple(tuple(x) if isinstance(x, tuple) else x for x in t)
+
+
+def tables_of(x: tuple) -> Tables:
+    symbols, rank, letters, shape, counts, follows = x
+    return Tables(Code(*symbols), rank, Code(*letters), Shape(*shape), counts, follows)
+
+
+def regions(n_symbols: int, shape: Shape) -> np.ndarray:
+    """Where the slots of each context start: of no context, a node each; of the last frequent token; of the token before; and of what stands before in a spelled word."""
+    return np.cumsum([0, n_symbols, 1 << shape.frequent, 1 << shape.before, *(1 << b for b in SPELLED_BITS)])
+
+
+def blocks(size: np.ndarray):
+    """Ranges of about BLOCK decisions."""
+    upto = np.cumsum(size)
+    lo = 0
+    while lo < len(size):
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + BLOCK, side="right")))
+        yield lo, hi
+        lo = hi
+
+
+def token_slots(t: Tables, s: Stream, lo: int, hi: int):
+    """The decisions of tokens lo to hi: their nodes, bits and slots, how many each token takes, and where they start."""
+    ids, first = s.ids[lo:hi], regions(len(t.symbols.length), t.shape)
+    node, size, start = path(t.symbols, ids)
+    bit, hashed = np.repeat(ids, size) >= node, mixed_in(node)
+    return node, bit, (node, slot(np.repeat(s.frequent[lo:hi], size), hashed, t.shape.frequent) + first[1], slot(np.repeat(s.before[lo:hi], size), hashed, t.shape.before) + first[2]), size, start
+
+
+def spelled_slots(t: Tables, words: list[bytes]):
+    """For blocks of the decisions of spelled words, in order: each one's word, bit and four slots. A word is one byte of STOP longer."""
+    first = regions(len(t.symbols.length), t.shape)[3:]
+    lo = total = 0
+    for k, w in enumerate(words):
+        total += len(w) + 1
+        if total * 5 < BLOCK and k + 1 < len(words):
+            continue
+        some = words[lo : k + 1]
+        data = np.frombuffer(b" ".join([*some, b""]), np.uint8).astype(np.int64)
+        size = np.array([len(x) + 1 for x in some])
+        start = np.cumsum(size) - size
+        place = np.arange(len(data)) - np.repeat(start, size)
+        packed, contexts = np.zeros(len(data), np.uint64), []
+        for order in range(1, SPELLED_ORDERS[-1] + 1):  # the last bytes, 0 before the word
+            back = np.zeros(len(data), np.uint64)
+            back[order:] = data[:-order].astype(np.uint64) + np.uint64(1)
+            back[place < order] = 0
+            packed = packed * np.uint64(257) + back
+            if order in SPELLED_ORDERS:
+                contexts.append(packed * M3)
+        power = np.cumprod(np.full(int(size.max()), 0x5851F42D4C957F2D, np.uint64))
+        before = moved(np.cumsum(data.astype(np.uint64) * power[place], dtype=np.uint64))
+        contexts.append((before - np.repeat(before[start], size)) * M3)
+        word = np.repeat(np.arange(lo, k + 1), size)
+        for a, b in blocks(t.letters.length[data]):
+            node, reps, _ = path(t.letters, data[a:b])
+            hashed = mixed_in(node)
+            yield np.repeat(word[a:b], reps), np.repeat(data[a:b], reps) >= node, [slot(np.repeat(c[a:b], reps), hashed, bits) + f for c, bits, f in zip(contexts, SPELLED_BITS, first)]
+        lo, total = k + 1, 0
+
+
+def spelled_of(batch, t: Tables, times):
+    """spelled_slots of a batch of totals(token, c), with how often each word counts; those that count 0 times are left out."""
+    rows = [(w, n) for w, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if w != END and (n := times(w, c))]
+    counts = np.array([n for _, n in rows], np.int64)
+    for word, bit, slots in spelled_slots(t, [w for w, _ in rows]):
+        yield word, bit, slots, counts
+
+
+# What followed two tokens: in 32 bits 8 of a check, 18 of the symbol that prevailed, and by how many it did, at most 63.
+def prevailing(key: np.ndarray, ids: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Slots, check with symbol, and by how many that one prevails there; slots where none does are left out."""
+    where = (key >> np.uint64(64 - bits)).view(np.int64)
+    both, n = np.unique((where << 26) | ((key & np.uint64(255)).view(np.int64) << 18) | ids, return_counts=True)
+    where, value = both >> 26, both & ((1 << 26) - 1)
+    first = np.flatnonzero(np.diff(where, prepend=-1))
+    if not len(first):
+        return where, value, n
+    best = np.maximum.reduceat((n << 26) | value, first)
+    ahead = 2 * (best >> 26) - np.add.reduceat(n, first)
+    keep = ahead > 0
+    return where[first][keep], (best & ((1 << 26) - 1))[keep], ahead[keep]
+
+
+def prevailed(old: np.ndarray, value: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Entries after n more votes for value: votes for the same one add up, others cancel out."""
+    held, votes = (old >> np.uint32(6)).astype(np.int64), (old & np.uint32(63)).astype(np.int64)
+    same = held == value
+    left = np.where(same, votes + n, np.abs(votes - n))
+    return ((np.where(same | (votes >= n), held, value) << 6) | np.minimum(left, 63)).astype(np.uint32)
+
+
+def follower(t: Tables, s: Stream, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The symbol that prevailed after the two tokens before each token, -1 for none, and how often. With own, that one occurrence of such tokens is left out."""
+    entry = t.follows.take((s.key >> np.uint64(64 - t.shape.follows)).view(np.int64))
+    votes, found = (entry & np.uint32(63)).astype(np.int64), ((entry >> np.uint32(6)) & np.uint32((1 << 18) - 1)).astype(np.int64)
+    if own is not None:
+        votes = votes - (own & (found == s.ids) & (votes < 63))
+    known = (votes > 0) & ((entry >> np.uint32(24)) == (s.key & np.uint64(255)).astype(np.uint32)) & (s.place > 1)
+    return np.where(known, found, -1), votes
+
+
+def runs(found: np.ndarray, s: Stream) -> np.ndarray:
+    """How many tokens in a row, up to the one before, followed as they had before: 0 none, 1 fewer than four, 2 more."""
+    n = np.arange(len(found))
+    miss = np.maximum.accumulate(np.where(found == s.ids, -1, n))
+    miss = np.concatenate([[-1], miss[:-1]])
+    run = n - 1 - np.maximum(miss, n - s.place - 1)
+    return np.searchsorted([1, 4], run, side="right")
+
+
+VOTES = np.log((np.arange(64) + 0.3) / 0.3).astype(np.float32)
+#: Gates of tokens: whether a follower is known and how long it has been right, how much has been seen after the token before, and after the frequent one. Gates of bytes: how much has been seen after the word's beginning, and after the last six bytes.
+INPUTS, GATES, STEPS, FINE, EDGE = 4, 80, 32, 1024, 12.0
+
+
+def token_inputs(v, node, bit, size, found, votes, run) -> tuple[np.ndarray, np.ndarray]:
+    """The predictors' log-odds and the gates of tokens' decisions, from the counts of their slots and from what followed before, as long as the token agrees with that."""
+    x = np.zeros((INPUTS, len(bit)), np.float32)
+    for k in range(3):
+        ODDS.take(v[k], out=x[k], mode="clip")
+    gate = steps_of(v[2], FEW) * np.uint8(4) + steps_of(v[1], OFTEN)
+    has = np.flatnonzero(found >= 0)
+    if len(has):
+        own = size[has]
+        head = np.cumsum(own) - own
+        j = np.repeat((np.cumsum(size) - size)[has] - head, own) + np.arange(int(own.sum()))
+        says = np.repeat(found[has], own) >= node[j]
+        wrong = says != bit[j]
+        before = np.cumsum(wrong) - wrong
+        agrees = before == np.repeat(before[head], own)
+        odds = np.repeat(VOTES[votes[has]], own)
+        x[3, j] = np.where(agrees, np.where(says, odds, -odds), 0)
+        gate[j] += np.where(agrees, np.repeat((run[has] + 1) * 16, own), 0).astype(np.uint8)
+    return x, gate
+
+
+def spelled_inputs(v) -> tuple[np.ndarray, np.ndarray]:
+    return np.stack([ODDS.take(k) for k in v]), np.uint8(64) + steps_of(v[3], FEW) * np.uint8(4) + steps_of(v[2], OFTEN)
+
+
+class Mixer(NamedTuple):
+    """Weights by input and gate, and log10 of the refined probability by gate, step of the mixed log-odds, and bit."""
+
+    weights: np.ndarray
+    log10s: np.ndarray
+
+    def log10(self, x: np.ndarray, gate: np.ndarray, bit: np.ndarray) -> np.ndarray:
+        g = gate.astype(np.int64)
+        z = self.weights[0].take(g) * x[0]
+        for k in range(1, INPUTS):
+            z += self.weights[k].take(g) * x[k]
+        np.clip(z, -EDGE, EDGE, out=z)
+        z += np.float32(EDGE)
+        z *= np.float32((FINE - 1) / (2 * EDGE))
+        g *= FINE
+        g += np.rint(z, out=z).astype(np.int64)
+        g *= 2
+        g += bit
+        return self.log10s.take(g)
+
+
+def refined(weights: np.ndarray, hits: np.ndarray) -> Mixer:
+    """The probability of a one is half what is mixed, and half what came true at such a gate and step, read between two of them."""
+    centre = 1 / (1 + np.exp(-np.linspace(-EDGE, EDGE, STEPS)))
+    true = (hits[:, :, 1] + 20 * centre) / (hits.sum(2) + 20)
+    z = np.linspace(-EDGE, EDGE, FINE)
+    between = np.stack([np.interp(z, np.linspace(-EDGE, EDGE, STEPS), row) for row in true])
+    p = np.clip(0.5 / (1 + np.exp(-z)) + 0.5 * between, 1e-6, 1 - 1e-6)
+    return Mixer(np.ascontiguousarray(weights.T, np.float32), np.log10(np.stack([1 - p, p], 2)).astype(np.float32).ravel())
+
+
+class Learner:
+    """Gated weights that follow decisions online; steps are scaled by the curvature gathered so far."""
+
+    def __init__(self):
+        self.weights, self.curve = np.full((GATES, INPUTS), 1 / 3), np.repeat(np.eye(INPUTS)[None] * 2.0, GATES, 0)
+        self.hits = np.zeros(GATES * STEPS * 2)
+
+    def learn(self, x: np.ndarray, gate: np.ndarray, bit: np.ndarray, times: np.ndarray | None = None) -> None:
+        """One step; times says how often each decision counts."""
+        order = np.argsort(gate, kind="stable")
+        gate, bit, x = gate.take(order), bit.take(order), [row.take(order) for row in x]
+        start = np.concatenate([[0], np.flatnonzero(gate[1:] != gate[:-1]) + 1])
+        size, here = np.diff([*start, len(gate)]), gate[start].astype(np.int64)
+        weights = self.weights.astype(np.float32)
+        z = sum(np.repeat(weights[here, k], size) * x[k] for k in range(INPUTS))
+        np.clip(z, -EDGE, EDGE, out=z)
+        p = 1 / (1 + np.exp(-z))
+        low = np.rint((z + np.float32(EDGE)) * np.float32((STEPS - 1) / (2 * EDGE))).astype(np.int64)
+        off, slope = bit - p, p * (1 - p)
+        if times is not None:
+            times = times.take(order)
+            off, slope = off * times, slope * times
+        self.hits += np.bincount((np.repeat(here * STEPS, size) + low) * 2 + bit, times, len(self.hits))
+        pull, curve = np.empty((len(here), INPUTS)), np.empty((len(here), INPUTS, INPUTS))
+        for i in range(INPUTS):
+            pull[:, i] = np.add.reduceat(off * x[i], start)
+            part = slope * x[i]
+            for k in range(i, INPUTS):
+                curve[:, i, k] = curve[:, k, i] = np.add.reduceat(part * x[k], start)
+        self.curve[here] += curve
+        self.weights[here] += np.linalg.solve(self.curve[here], pull[:, :, None])[:, :, 0]
+
+    def told(self) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (self.curve, np.einsum("gij,gj->gi", self.curve, self.weights), self.hits)], names=["curve", "pull", "hits"])
+
+
+def few(docs: DataFrame) -> DataFrame:
+    """docs in fewer tasks, as each hands on whole tables: a quarter of them, but as many as there are cores."""
+    return docs.coalesce(max(docs.sparkSession.sparkContext.defaultParallelism, -(-docs.rdd.getNumPartitions() // 4)))
 
 
-def inputs(counts: np.ndarray, slots: np.ndarray, bit: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The predictors' log-odds, and the gate. With bit, counts leave that one occurrence out."""
-    both = np.ascontiguousarray(counts).view("<u4").ravel().take(slots)  # both counts of a slot at once: zeros are the low half
-    if bit is not None:
-        both -= np.where(bit > 0, (both >= 1 << 16).astype(np.uint32) << np.uint32(16), ((both & np.uint32(0xFFFF)) > 0).astype(np.uint32))
-    zeros, ones = both & np.uint32(0xFFFF), both >> np.uint32(16)
-    seen = [zeros[c].astype(np.int64) + ones[c] for c in (5, 4)]
-    return LOGS.take(ones) - LOGS.take(zeros), np.searchsorted(OFTEN, seen[0], side="right") * (len(THEN) + 1) + np.searchsorted(THEN, seen[1], side="right")
+def streams(batches, names: Vocabulary, rank: np.ndarray):
+    """The texts of each batch as a stream."""
+    for batch in batches:
+        texts = texts_of(batch.column(0))
+        if texts:
+            if len(names.tokens) >= KNOWN:
+                names.reset()
+            keys, starts = names.keys_of(texts)
+            yield stream(np.array(names.ids)[keys], np.array(names.hashes)[keys], starts, rank)
 
 
-def refined(z: np.ndarray, node: np.ndarray, steps: np.ndarray) -> np.ndarray:
-    """The probability of a one: half mixed, half read between two steps of the node's table."""
-    z = np.clip(z, -EDGE, EDGE)
-    at = (z + EDGE) * ((STEPS - 1) / (2 * EDGE))
-    low = np.minimum(at.astype(np.int64), STEPS - 2)
-    share = at - low
-    flat, at = steps.ravel(), node * STEPS + low
-    below = flat.take(at)
-    p = 0.5 / (1 + np.exp(-z)) + 0.5 * (below + (flat.take(at + 1) - below) * share)
-    return np.clip(p, 1e-6, 1 - 1e-6)
+def pieces_of(counts: np.ndarray):
+    """Zeros and ones of every PIECE slots, a byte for each, and what is more by itself."""
+    for k in range(0, len(counts), 2 * PIECE):
+        part = counts[k : k + 2 * PIECE]
+        if part.any():
+            at = np.flatnonzero(part > 255).astype(np.int32)
+            yield k // (2 * PIECE), part.astype(np.uint8), at, part[at] >> 8
 
 
-def mixer(docs: DataFrame, counts, table, shape, *, batches_each: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """Gated weights and the table that refines the mixed prediction by what came true, learned over all decisions of docs(text).
+def counted(docs: DataFrame, totals: DataFrame, symbols, empty: Tables) -> DataFrame:
+    """What the training texts hold: piece, counts (two bytes for each slot, larger ones scaled down in proportion), and as pieces below 0 what followed two tokens.
 
-    Each task follows its own texts online, every decision without its own count; steps are scaled by the curvature gathered so far. The tasks'
-    weights are joined in proportion to their curvature, and what came true is summed.
+    Each decision of every text is counted, and as often as they occur those of spelled words. Symbols are spelled once, to show how words are made.
     """
+    size = int(regions(len(empty.symbols.length), empty.shape)[-1])
+    made = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *[pa.array([r[k].tobytes() for r in rows], pa.binary()) for k in (1, 2, 3)]], names=["piece", "low", "at", "high"])
+    none = np.zeros(0, np.int32)
+
+    def texts(batches):
+        counts, follows = np.zeros(2 * size, np.int32), np.zeros(1 << empty.shape.follows, np.uint32)
+        for s in streams(batches, Vocabulary(symbols.value), empty.rank):
+            for lo, hi in blocks(empty.symbols.length[s.ids]):
+                _, bit, slots, _, _ = token_slots(empty, s, lo, hi)
+                for part in slots:
+                    np.add.at(counts, part * 2 + bit, np.int32(1))
+            late = s.place > 1
+            at, value, n = prevailing(s.key[late], s.ids[late], empty.shape.follows)
+            follows[at] = prevailed(follows[at], value, n)
+        for row in pieces_of(counts):
+            yield made([row])
+        for k in range(0, len(follows), PIECE):
+            if follows[k : k + PIECE].any():
+                yield made([(-1 - k // PIECE, follows[k : k + PIECE], none, none)])
+
+    def words(batches):
+        counts = np.zeros(2 * size, np.int32)
+        known = symbols.value
+        for batch in batches:
+            for word, bit, slots, times in spelled_of(batch, empty, lambda t, c: 1 if t in known else c):
+                for part in slots:
+                    np.add.at(counts, part * 2 + bit, times.take(word).astype(np.int32))
+        for row in pieces_of(counts):
+            yield made([row])
 
-    def run(batches):
-        known = counts.value
-        weights, curve = np.full((GATES, CONTEXTS), 1 / CONTEXTS), np.repeat(np.eye(CONTEXTS)[None] * 2.0, GATES, 0)
-        hits = np.zeros(256 * STEPS * 2)
+    def summed(group: pa.Table) -> pa.Table:
+        piece = group.column("piece")[0].as_py()
+        if piece < 0:
+            out = np.zeros(0, np.uint32)
+            for x in group.column("low"):
+                new = np.frombuffer(x.as_py(), np.uint32)
+                out = prevailed(out, (new >> np.uint32(6)).astype(np.int64), (new & np.uint32(63)).astype(np.int64)) if len(out) else new
+        else:
+            both = sum(np.frombuffer(x.as_py(), np.uint8).astype(np.int64) for x in group.column("low"))
+            for at, high in zip(group.column("at"), group.column("high")):
+                both[np.frombuffer(at.as_py(), np.int32)] += np.frombuffer(high.as_py(), np.int32).astype(np.int64) << 8
+            both = both.reshape(-1, 2)
+            out = np.ceil(both / np.maximum(1, both.max(1, keepdims=True) / 254)).astype(np.uint8)  # at most 255, however it is rounded
+        return pa.table({"piece": group.column("piece")[:1], "counts": pa.array([out.tobytes()], pa.binary())})
+
+    kind = "piece int, low binary, at binary, high binary"
+    return few(docs).mapInArrow(texts, kind).unionByName(few(totals.select("token", "c")).mapInArrow(words, kind)).groupBy("piece").applyInArrow(summed, "piece int, counts binary")
+
+
+def gathered(pieces: DataFrame, empty: Tables) -> Tables:
+    """The tables on the driver."""
+    counts, follows = np.zeros(int(regions(len(empty.symbols.length), empty.shape)[-1]), np.uint16), np.zeros(1 << empty.shape.follows, np.uint32)
+    for r in pieces.toLocalIterator():
+        k = r["piece"]
+        out, kind, k = (counts, np.uint16, k) if k >= 0 else (follows, np.uint32, -1 - k)
+        part = np.frombuffer(r["counts"], kind)
+        out[k * PIECE :][: len(part)] = part
+    return empty._replace(counts=counts, follows=follows)
+
+
+def mixer(docs: DataFrame, totals: DataFrame, symbols, tables) -> Mixer:
+    """Gated weights and the tables that refine the mixed prediction by what came true, learned over all decisions of docs(text) and of all spelled words.
+
+    Each task follows its own texts online, every decision without its own count. The tasks' weights are joined in proportion to their curvature, and what came true is summed.
+    """
+
+    def texts(batches):
+        t, learner = tables_of(tables.value), Learner()
+        for s in streams(batches, Vocabulary(symbols.value), t.rank):
+            found, votes = follower(t, s, np.ones(len(s.ids), bool))
+            run = runs(found, s)
+            for lo, hi in blocks(t.symbols.length[s.ids]):
+                node, bit, slots, size, _ = token_slots(t, s, lo, hi)
+                learner.learn(*token_inputs([without(t.counts.take(k), bit) for k in slots], node, bit, size, found[lo:hi], votes[lo:hi], run[lo:hi]), bit)
+        yield learner.told()
+
+    def words(batches):
+        t, known, learner = tables_of(tables.value), symbols.value, Learner()
         for batch in batches:
-            for slots, node, bit, _ in modelled(texts_of(batch.column(0)), table, shape):
-                x, gate = inputs(known, slots, bit)
-                order = np.argsort(gate.astype(np.uint8), kind="stable")
-                for k in range(batches_each):
-                    j = order[k::batches_each]
-                    if not len(j):
-                        continue
-                    xj, gj, bj = x[:, j].astype(float), gate[j], bit[j].astype(float)
-                    z = np.clip((weights[gj].T * xj).sum(0), -EDGE, EDGE)
-                    p = 1 / (1 + np.exp(-z))
-                    low = np.rint((z + EDGE) * ((STEPS - 1) / (2 * EDGE))).astype(np.int64)
-                    hits += np.bincount((node[j] * STEPS + low) * 2 + bit[j], minlength=len(hits))
-                    ends = np.flatnonzero(np.diff(gj, append=-1)) + 1
-                    for g, lo, hi in zip(gj[ends - 1], [0, *ends[:-1]], ends):
-                        xs, ps = xj[:, lo:hi], p[lo:hi]
-                        curve[g] += (xs * (ps * (1 - ps))) @ xs.T
-                        weights[g] += np.linalg.solve(curve[g], xs @ (bj[lo:hi] - ps))
-        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (curve, np.einsum("gij,gj->gi", curve, weights), hits)], names=["curve", "pull", "hits"])
-
-    curve, pull, hits = np.zeros((GATES, CONTEXTS, CONTEXTS)), np.zeros((GATES, CONTEXTS)), np.zeros((256, STEPS, 2))
-    for r in few(docs).mapInArrow(run, "curve binary, pull binary, hits binary").collect():
+            for word, bit, slots, times in spelled_of(batch, t, lambda w, c: 0 if w in known else c):
+                learner.learn(*spelled_inputs([without(t.counts.take(k), bit) for k in slots]), bit, times.take(word).astype(np.float32))
+        yield learner.told()
+
+    curve, pull, hits = np.zeros((GATES, INPUTS, INPUTS)), np.zeros((GATES, INPUTS)), np.zeros((GATES, STEPS, 2))
+    kind = "curve binary, pull binary, hits binary"
+    for r in few(docs).mapInArrow(texts, kind).unionByName(few(totals.select("token", "c")).mapInArrow(words, kind)).collect():
         for total, part in ((curve, r["curve"]), (pull, r["pull"]), (hits, r["hits"])):
             total += np.frombuffer(part).reshape(total.shape)
-    weights = np.linalg.solve(curve, pull[:, :, None])[:, :, 0] if curve.any() else np.full((GATES, CONTEXTS), 1 / CONTEXTS)
-    centre = 1 / (1 + np.exp(-np.linspace(-EDGE, EDGE, STEPS)))
-    return weights, (hits[:, :, 1] + 20 * centre) / (hits.sum(2) + 20)
-
-
-#: Log-odds as workers hold them, in tenths.
-TENTHS = 10
+    weights = np.linalg.solve(curve, pull[:, :, None])[:, :, 0] if curve.any() else np.full((GATES, INPUTS), 1 / 3)
+    return refined(weights, hits)
 
 
-def prepared(counts: np.ndarray, weights: np.ndarray, steps: np.ndarray, table, shape):
-    """The model as workers use it: each slot's log-odds, and the gate's two parts of the slots that decide them."""
-    first = np.cumsum([0, *[1 << b for b in shape]])
-    seen = lambda c: counts[first[c] : first[c + 1]].sum(1, dtype=np.int32)
-    odds = np.concatenate([np.rint(TENTHS * (LOGS[counts[k : k + 500_000, 1]] - LOGS[counts[k : k + 500_000, 0]])).astype(np.int8) for k in range(0, len(counts), 500_000)])
-    often = (np.searchsorted(OFTEN, seen(5), side="right") * (len(THEN) + 1)).astype(np.uint8)
-    return odds, often, np.searchsorted(THEN, seen(4), side="right").astype(np.uint8), np.ascontiguousarray(weights.T / TENTHS, np.float32), steps.astype(np.float32), table, shape
+def log10_of_words(words: list[bytes], t: Tables, m: Mixer) -> np.ndarray:
+    """log10 of each spelled word's probability."""
+    out = np.zeros(len(words))
+    for word, bit, slots in spelled_slots(t, words):
+        lo, hi = int(word[0]), int(word[-1]) + 1
+        out[lo:hi] += np.bincount(word - lo, m.log10(*spelled_inputs([t.counts.take(k) for k in slots]), bit), hi - lo)
+    return out
 
 
-def log10_of(texts: list[list[bytes]], model) -> np.ndarray:
-    """log10 of each token's probability after all that stands before it in its text."""
-    odds, often, then, weights, steps, table, shape = model
-    first = np.cumsum([0, *[1 << b for b in shape]])
-    out = []
-    for slots, node, bit, of in modelled(texts, table, shape):
-        gate = often.take(slots[5] - first[5]) + then.take(slots[4] - first[4])
-        z = np.zeros(len(bit), np.float32)
-        for c in range(CONTEXTS):
-            z += weights[c].take(gate) * odds.take(slots[c])
-        p = refined(z, node, steps)
-        out.append(np.add.reduceat(np.log10(np.where(bit > 0, p, 1 - p)), of))
-    return np.concatenate(out) if out else np.zeros(0)
+def log10_of_tokens(s: Stream, t: Tables, m: Mixer) -> np.ndarray:
+    """log10 of each token's probability after all that stands before it; of those that are spelled up to their symbol."""
+    out = np.zeros(len(s.ids))
+    found, votes = follower(t, s)
+    run = runs(found, s)
+    for lo, hi in blocks(t.symbols.length[s.ids]):
+        node, bit, slots, size, start = token_slots(t, s, lo, hi)
+        out[lo:hi] = np.add.reduceat(m.log10(*token_inputs([t.counts.take(k) for k in slots], node, bit, size, found[lo:hi], votes[lo:hi], run[lo:hi]), bit), start)
+    return out
 
 
-def _scored(docs: DataFrame, hot, model, unknown: float) -> DataFrame:
+def _scored(docs: DataFrame, symbols, counts, model) -> DataFrame:
     """docs(doc_id, held_out, text) to what is known of each without rare tokens' counts, and the rare tokens' hashes."""
 
     def run(batches):
-        known, mixed = hot.value, model.value
-        names, part, chunk, rare_now = Vocabulary(known), TaskContext.get().partitionId(), 0, 0
+        (t, m), base = model.value, counts.value
+        t, m = tables_of(t), Mixer(*m)
+        names, part, chunk, rare_now = Vocabulary(symbols.value), TaskContext.get().partitionId(), 0, 0
+        other, spelled = names.other, np.zeros(0)
         for batch in batches:
-            raw = [t.as_py().encode("utf-8", "surrogatepass") for t in batch.column(2)]
-            texts = [tokens_of(t) for t in raw]
+            raw = [x.as_py().encode("utf-8", "surrogatepass") for x in batch.column(2)]
+            texts = [tokens_of(x) for x in raw]
             if not texts:
                 continue
             if len(names.tokens) >= KNOWN:
                 names.reset()
+                spelled = np.zeros(0)
             keys, starts = names.keys_of(texts)
-            scores = log10_of(texts, mixed)
-            counts, hashes = np.array(names.counts)[keys], np.array(names.hashes).view(np.int64)
-            is_hot = counts > 0
-            rare, less = hashes[keys[~is_hot]], (unknown - scores)[~is_hot]
+            ids = np.array(names.ids)
+            new = np.zeros(len(ids) - len(spelled))
+            late = np.flatnonzero(ids[len(spelled) :] == other)
+            new[late] = log10_of_words([names.tokens[len(spelled) + k] for k in late], t, m)
+            spelled = np.concatenate([spelled, new])
             sizes = np.diff([*starts, len(keys)])
+            ids = ids[keys]
+            s = stream(ids, np.array(names.hashes)[keys], starts, t.rank)
+            elsewhere, _ = follower(t, s, np.repeat(~batch.column(1).to_numpy(zero_copy_only=False).astype(bool), sizes))
+            is_hot, letters = base[ids] > 0, spelled[keys]
+            whole = log10_of_tokens(s, t, m) + letters
+            rare, less = np.array(names.hashes).view(np.int64)[keys[~is_hot]], -letters[~is_hot]
             hot_of = np.add.reduceat(is_hot.astype(np.int64), starts)
             ends = np.concatenate([[0], np.cumsum(sizes - hot_of)]).astype(np.int32)
             if rare_now + len(rare) > CHUNK and rare_now:
                 chunk, rare_now = chunk + 1, 0
             rare_now += len(rare)
+            summed = lambda x: pa.array(np.add.reduceat(x, starts))
             columns = [
                 pa.array(np.full(len(texts), (part << 24) + chunk, np.int64)), batch.column(0), batch.column(1), pa.array(sizes.astype(np.int64)), pa.array(hot_of),
-                pa.array(np.add.reduceat(np.where(is_hot, np.log10(counts + 0.5), 0.0), starts)), pa.array(np.add.reduceat(scores, starts)),
+                summed(np.where(is_hot, np.log10(base[ids] + 0.5), 0.0)), summed(whole), summed((elsewhere == ids).astype(np.int64)),
                 pa.array(np.array(list(map(len, raw)), np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(rare)), pa.ListArray.from_arrays(pa.array(ends), pa.array(less.astype(np.float32))),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["chunk", "doc_id", "held_out", "n_tokens", "n_hot", "hot_sum", "spelled", "n_bytes", "rare", "less"])
+            yield pa.RecordBatch.from_arrays(columns, names=["chunk", "doc_id", "held_out", "n_tokens", "n_hot", "hot_sum", "whole", "followed", "n_bytes", "rare", "less"])
 
-    return docs.mapInArrow(run, "chunk long, doc_id long, held_out boolean, n_tokens long, n_hot long, hot_sum double, spelled double, n_bytes long, rare array<long>, less array<float>")
+    return docs.mapInArrow(run, "chunk long, doc_id long, held_out boolean, n_tokens long, n_hot long, hot_sum double, whole double, followed long, n_bytes long, rare array<long>, less array<float>")
 
 
 def _summed(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -405,19 +645,36 @@ def _summed(left: pa.Table, right: pa.Table) -> pa.Table:
     # One number more than there are hashes, so that empty lists at the end have a place to point to; their sums are 0.
     summed = lambda x: np.add.reduceat(np.append(x, 0.0), ends - sizes) * (sizes > 0) if len(sizes) else np.zeros(0)
     known = {"rare_sum": pa.array(summed(np.log10(found + 0.5)), pa.float64()), "n_rare": pa.array(seen[ends] - seen[ends - sizes], pa.int64()), "less": pa.array(summed(np.where(found > 0, 0.0, less)), pa.float64())}
-    return pa.table({k: left.column(k) for k in ("doc_id", "held_out", "n_tokens", "n_hot", "hot_sum", "spelled", "n_bytes")} | known)
+    return pa.table({k: left.column(k) for k in ("doc_id", "held_out", "n_tokens", "n_hot", "hot_sum", "whole", "followed", "n_bytes")} | known)
+
+
+def letter_counts(totals: DataFrame) -> np.ndarray:
+    """How often each byte, or STOP, occurs in the words of totals(token)."""
+
+    def run(batches):
+        out = np.zeros(256)
+        for batch in batches:
+            tokens = [t for t in batch.column(0).to_pylist() if t != END]
+            out += np.bincount(np.frombuffer(b" ".join([*tokens, b""]), np.uint8), minlength=256)
+        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["counts"])
+
+    return sum((np.frombuffer(r["counts"]) for r in totals.select("token").mapInArrow(run, "counts binary").collect()), np.zeros(256))
 
 
 def score(docs: DataFrame, *, train: Column | None = None, most_bits: int = 23) -> DataFrame:
-    """How likely each whole text is: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, text_score, bits_per_byte.
-
-    Texts for which `train`, over doc_id, holds are learned from, all of them. Tokens are spelled in a Huffman code of bytes; each binary
-    decision of a text is predicted from seven hashed contexts (the last one to four bytes, also over spaces, the token so far, that after
-    the token before it, and that after the two before it) by counts over the whole training text. Log-odds are mixed with weights gated by how
-    often contexts have been seen, learned online over all training decisions, each without its own count, and refined by a table of what came true.
-    The tables grow with the tokens counted, to at most 2 to the power `most_bits` slots each, which is what workers and driver can hold; beyond that
-    decisions share slots, but all are counted. score is over the same events as base_score, known tokens and one that stands for all unknown ones, of
-    which words seen once tell how many there are. text_score is the log10 probability of the whole text, every byte of unknown words spelled, and bits_per_byte the same for each byte. base_score is that of counted tokens with 0.5 added: frequent tokens' counts go to all workers,
+    """How likely each whole text is: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, event_score, bits_per_byte, followed.
+
+    Texts for which `train`, over doc_id, holds are learned from, all of them. Tokens seen twice or more, at most HOT of them, are symbols of a binary code
+    that keeps their alphabetical order; all other tokens are one more symbol, behind which the word is spelled in a binary code of bytes. Each decision
+    is predicted from hashed contexts by counts over the whole training text: by the node alone, after the last frequent token, after the token before, and by
+    what followed the two tokens before; in a spelled word after its last two, four and six bytes and its whole beginning. Log-odds are mixed with weights gated
+    by how much contexts have seen and by how long followers have been right in this text; the weights are learned online over all training decisions, each
+    without its own count, and what is mixed is refined by tables of what came true. The tables grow with the tokens counted, to at most 2 to the power
+    `most_bits` slots (twice as many for followers), which is what workers and driver can hold; beyond that decisions share slots, but all are counted.
+
+    score is the log10 probability of the whole text, every byte of unknown words spelled, and bits_per_byte the same for each byte. event_score leaves out
+    the spelling of unknown words, so that they are one event as in base_score. followed counts the tokens that mostly follow the two before them elsewhere too, a training
+    text's own occurrence left out: nearly all where there is another copy of the text. base_score is that of counted tokens with 0.5 added: frequent tokens' counts go to all workers,
     rare ones' are joined for each chunk of a partition.
 
     Null and empty texts are the end alone. Without training texts all counts are 0. Repeated rows get equal scores and count repeatedly in
@@ -430,28 +687,36 @@ def score(docs: DataFrame, *, train: Column | None = None, most_bits: int = 23)
     own = slim.withColumn("held_out", ~train if train is not None else F.lit(False))
     learned = own.filter(~F.col("held_out")).select("text")
     totals = scratch.save(token_counts(learned), "totals")
-    row = totals.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"), F.count_if(F.col("c") == 1).alias("once")).first()
+    row = totals.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     n, v = row["n"] or 0, row["v"]
-    hot = {bytes(r["token"]): r["c"] for r in totals.orderBy(F.desc("c"), "token").limit(HOT).toLocalIterator()}
+    can = (F.octet_length("token") <= LONGEST) & (F.col("c") > 1) & (F.col("token") != F.lit(END))
+    hot = {END: 0} | {bytes(r["token"]): r["c"] for r in totals.filter(can).orderBy(F.desc("c"), "token").limit(HOT).toLocalIterator()}
+    ends = totals.filter(F.col("token") == F.lit(END)).first()
+    hot[END] = ends["c"] if ends else 0
+    names = sorted(hot)
+    base = np.array([*(hot[t] for t in names), 0], float)
+    rank = np.zeros(len(names) + 1, np.int64)
+    often = sorted((t for t in names if t != END), key=lambda t: (-hot[t], t))[:FREQUENT]
+    index = {t: k for k, t in enumerate(names)}
+    rank[[index[t] for t in often]] = np.arange(1, len(often) + 1)
     letters = letter_counts(totals) + 1
-    letters[STOP] += n
-    table, shape = code(letters), sized(n, v, most_bits)
-    counts = gathered(slot_counts(learned, table, shape), shape)
+    none = np.zeros(0, np.uint16)
+    empty = Tables(balanced(np.append(base[:-1], max(n - base.sum(), 1)) + 0.5), rank, balanced(letters), sized(n, most_bits), none, none)
     context = spark.sparkContext
-    given = context.broadcast(counts)
-    weights, steps = mixer(learned, given, table, shape)
+    symbols = context.broadcast(index)
+    tables = gathered(counted(learned, totals, symbols, empty), empty)
+    given = context.broadcast(plain(tables))
+    mixed = mixer(learned, totals, symbols, given)
     given.destroy()
-    model = context.broadcast(prepared(counts, weights, steps, table, shape))
-    del counts
-    # A word seen once was unknown when it came: so many unknown words are to be expected.
-    scored = _scored(own.select("doc_id", "held_out", "text"), context.broadcast(hot), model, float(np.log10((row["once"] + 0.5) / (n + row["once"] + 1))))
+    scored = _scored(own.select("doc_id", "held_out", "text"), symbols, context.broadcast(base), context.broadcast((plain(tables), tuple(mixed))))
+    del tables
     scored = scratch.save(scored, "scored")
     wanted = scored.select("chunk", F.explode("rare").alias("h")).distinct()
     looked = scratch.save(wanted.join(totals.select("h", "c"), "h").select("chunk", "h", "c"), "looked")
-    kinds = "doc_id long, held_out boolean, n_tokens long, n_hot long, hot_sum double, spelled double, n_bytes long, rare_sum double, n_rare long, less double"
+    kinds = "doc_id long, held_out boolean, n_tokens long, n_hot long, hot_sum double, whole double, followed long, n_bytes long, rare_sum double, n_rare long, less double"
     out = scored.groupBy("chunk").cogroup(looked.groupBy("chunk")).applyInArrow(_summed, kinds)
-    base = F.col("hot_sum") + F.col("rare_sum") - F.col("n_tokens") * F.log10(F.lit(n + 0.5 * (v + 1)))
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("n_hot") + F.col("n_rare")).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("spelled") + F.col("less")).alias("score"), F.col("spelled").alias("text_score"), (-F.col("spelled") * F.lit(np.log2(10.0)) / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte"))
+    base_score = F.col("hot_sum") + F.col("rare_sum") - F.col("n_tokens") * F.log10(F.lit(n + 0.5 * (v + 1)))
+    return out.select("doc_id", "held_out", "n_tokens", (F.col("n_hot") + F.col("n_rare")).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base_score.alias("base_score"), F.col("whole").alias("score"), (F.col("whole") + F.col("less")).alias("event_score"), (-F.col("whole") * F.lit(float(np.log2(10.0))) / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte"), "followed")
 
 
 def held_out() -> Column:

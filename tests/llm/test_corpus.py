@@ -8,6 +8,8 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from brackwater.llm import dedup, language_model, queries, warc
@@ -128,7 +130,7 @@ def test_language_model_counts_and_gain(spark, sf_dir):
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[r["doc_id"]], len(ws), sum(counts[w] > 0 for w in ws), n)
         assert abs(r["base_score"] - want) < 1e-6 * max(1, abs(want)) and r["score"] < 0
     out = [r for r in got if r["held_out"]]
-    assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
+    assert sum(r["event_score"] for r in out) > sum(r["base_score"] for r in out)
 
 
 def test_language_model_of_odd_texts(spark):
@@ -152,62 +154,149 @@ def test_word_order_counts(spark):
     rows += [(100, " ".join(seen)), (101, " ".join(["start", *seen[1::2], *seen[2::2]]))]
     got = {r["doc_id"]: r for r in language_model.score(spark.createDataFrame(rows, "doc_id long, text string"), train=F.col("doc_id") < 100).collect()}
     assert got[100]["n_known"] == got[101]["n_known"] and got[100]["score"] > got[101]["score"] + 5 and got[100]["bits_per_byte"] < got[101]["bits_per_byte"]
-    import numpy as np
 
-    texts = [language_model.tokens_of(" ".join(rng.choice(names) for _ in range(n)).encode()) for n in (1, 40, 9_000, 3, 12_000)]
-    table = language_model.code(rng.choices(range(1, 1000), k=256))
-    whole = language_model.decisions([t for ts in texts for t in ts], np.cumsum([0, *[len(t) for t in texts][:-1]]), table)
-    parts = list(language_model.modelled(texts, table, language_model.SLOT_BITS))
-    assert len(parts) > 3 and np.array_equal(np.concatenate([p[0] for p in parts], 1), whole[0]) and np.array_equal(np.concatenate([p[2] for p in parts]), whole[2])
+
+def small_tables(words, frequent=()):
+    """Tables of equally frequent symbols, all counts empty."""
+    names = sorted({*words, language_model.END})
+    rank = np.array([frequent.index(w) + 1 if w in frequent else 0 for w in names] + [0])
+    symbols, letters = language_model.balanced(np.ones(len(names) + 1)), language_model.balanced(np.arange(1, 257))
+    shape = language_model.sized(1_000, 23)
+    n = int(language_model.regions(len(names) + 1, shape)[-1])
+    return names, language_model.Tables(symbols, rank, letters, shape, np.zeros(n, np.uint16), np.zeros(1 << shape.follows, np.uint32))
+
+
+def test_blocks_hide_nothing():
+    """Tokens read in small blocks have the decisions, slots and contexts that they have by themselves."""
+    rng = random.Random(6)
+    words = [f"w{k}".encode() for k in range(50)]
+    names, t = small_tables(words, words[:3])
+    texts = [[*(rng.choice(words) for _ in range(n)), language_model.END] for n in (0, 1, 40, 3, 900)]
+    flat, starts = [w for x in texts for w in x], np.cumsum([0, *[len(x) for x in texts][:-1]])
+    ids, hashes = np.array([names.index(w) for w in flat]), np.array([abs(hash(w)) for w in flat], np.uint64)
+    s = language_model.stream(ids, hashes, starts, t.rank)
+    for x, at in zip(texts, starts):
+        for k in range(len(x)):
+            assert s.before[at + k] == (hashes[at + k - 1] if k else 0) and s.place[at + k] == k
+            frequent = [w for w in x[:k] if w in words[:3]]
+            assert s.frequent[at + k] == np.uint64((words.index(frequent[-1]) + 1 if frequent else 0) * int(language_model.M3) % 2**64)
+            if k > 1:
+                same = [j for j in range(len(flat)) if s.place[j] > 1 and flat[j - 1] == x[k - 1] and flat[j - 2] == x[k - 2]]
+                assert all(s.key[j] == s.key[at + k] for j in same)
+    whole = language_model.token_slots(t, s, 0, len(ids))
+    parts = [language_model.token_slots(t, s, lo, lo + 7) for lo in range(0, len(ids), 7)]
+    for k in (0, 1):
+        assert np.array_equal(np.concatenate([p[k] for p in parts]), whole[k])
+    assert all(np.array_equal(np.concatenate([p[2][c] for p in parts]), whole[2][c]) for c in range(3))
+    words = [bytes(rng.choice(b"abc") for _ in range(n)) for n in (1, 2, 30, 40_000, 5)]
+    alone = [np.concatenate([np.stack([bit, *slots]) for _, bit, slots in language_model.spelled_slots(t, [w])], 1) for w in words]
+    both = list(language_model.spelled_slots(t, words))
+    assert len(both) > 2 and np.array_equal(np.concatenate([np.stack([bit, *slots]) for _, bit, slots in both], 1), np.concatenate(alone, 1))
+
+
+def test_codes_keep_order_and_are_short():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 3, 17, 300):
+        weights = rng.pareto(1.0, n) + 0.01
+        code = language_model.balanced(weights)
+        paths = ["".join("01"[int(s >= m)] for m in code.node[code.first[s] :][: code.length[s]]) for s in range(n)]
+        assert paths == sorted(paths) and len(set(paths)) == n and abs(sum(0.5 ** len(p) for p in paths) - 1) < 1e-9
+        p = weights / weights.sum()
+        assert (p * code.length).sum() <= -(p * np.log2(p)).sum() + 2
+
+
+def test_what_prevails_after_two_tokens():
+    """Majority votes: a value that has more than half of a slot's votes is what remains, however they are dealt."""
+    rng = random.Random(9)
+    key, ids = np.zeros(90, np.uint64), np.array([7] * 50 + [rng.randrange(100, 900) for _ in range(40)])
+    for _ in range(5):
+        ids = ids[np.array(rng.sample(range(90), 90))]
+        table = np.zeros(1, np.uint32)
+        for part in np.split(ids, [13, 40, 41]):
+            at, value, n = language_model.prevailing(key[: len(part)], part, 1)
+            table[at] = language_model.prevailed(table[at], value, n)
+        assert table[0] >> 6 == 7 and 0 < table[0] & 63 <= 50
+    t = small_tables([b"x"])[1]
+    s = language_model.Stream(ids, key, key, key, np.arange(90))
+    t.follows[0] = (7 << 6) | 1
+    found, _ = language_model.follower(t, s, ids == 7)
+    assert all((f == -1) == (i == 7 or k < 2) for k, (f, i) in enumerate(zip(found, ids)))
 
 
 def test_whole_texts_are_scored(spark):
-    """A longer unknown word costs more in text_score, which is what bits_per_byte says for all bytes; score has it as one event."""
+    """A longer unknown word costs more in score, which is what bits_per_byte says for all bytes; event_score has it as one event."""
     rng = random.Random(8)
     word = lambda n: "".join(rng.choice("qxzjkvw") for _ in range(n))
     rows = [(k, "the quick brown fox jumps over the lazy dog " * 4) for k in range(20)] + [(100, "the quick " + word(5)), (101, "the quick " + word(50))]
     got = {r["doc_id"]: r for r in language_model.score(spark.createDataFrame(rows, "doc_id long, text string"), train=F.col("doc_id") < 100).collect()}
-    assert got[100]["n_known"] == got[101]["n_known"] == 3 and got[101]["text_score"] < 2 * got[100]["text_score"] < 0
-    assert all(abs(r["text_score"] * math.log2(10) + r["bits_per_byte"] * len(dict(rows)[i])) < 1e-6 for i, r in got.items())
+    assert got[100]["n_known"] == got[101]["n_known"] == 3 and got[101]["score"] < 2 * got[100]["score"] < 0
+    assert abs(got[100]["event_score"] - got[101]["event_score"]) < 1e-3 and got[100]["event_score"] > got[100]["score"]
+    assert all(abs(r["score"] * math.log2(10) + r["bits_per_byte"] * len(dict(rows)[i])) < 1e-6 for i, r in got.items())
 
 
-def test_language_model_learns_from_all_decisions(spark, sf_dir):
-    """Every decision of every training text is in each table and in the refinement, words seen once or rarely too; tables grow with the tokens."""
-    import numpy as np
+def test_copies_are_told_apart(spark, sf_dir):
+    """A held-out copy of a training text takes few bits, and followed tells training texts that occur twice from others."""
+    rng = random.Random(11)
+    text = lambda n: " ".join(f"{rng.choice('abcdefgh')}{int(rng.paretovariate(0.7)) % 4000}" for _ in range(n))
+    rows = [(k, text(120)) for k in range(150)]
+    rows += [(500 + k, rows[k][1]) for k in range(40, 80)] + [(1000, rows[5][1]), (1001, text(120))]
+    got = {r["doc_id"]: r for r in language_model.score(spark.createDataFrame(rows, "doc_id long, text string"), train=F.col("doc_id") < 1000).collect()}
+    assert got[1000]["bits_per_byte"] < 0.75 * got[1001]["bits_per_byte"]
+    assert all(got[k]["followed"] > 100 for k in (*range(40, 80), *range(540, 580), 1000))
+    assert all(got[k]["followed"] < 40 for k in (*range(40), *range(80, 150), 1001))
+
 
+def test_language_model_learns_from_all_decisions(spark, sf_dir):
+    """Every decision of every training text is in each table and in the refinement, and every distinct word is spelled; tables grow with the tokens."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").limit(40).repartition(3)
     texts = [language_model.tokens_of((r["text"] or "").encode()) for r in docs.collect()]
     totals = Counter(t for ts in texts for t in ts)
-    want = np.bincount(np.frombuffer(b"".join(t for ts in texts for t in ts), np.uint8), minlength=256)
-    assert np.array_equal(language_model.letter_counts(language_model.token_counts(docs)), want)
-    want[language_model.STOP] = sum(t != language_model.END for ts in texts for t in ts)
-    table, shape = language_model.code(want + 1), (15, 17, 18, 22, 22, 22, 22)
-    n = int((want * table[0]).sum())
-    counts = language_model.gathered(language_model.slot_counts(docs, table, shape), shape)
-    first = np.cumsum([0, *[1 << b for b in shape]])
-    assert [int(counts[first[c] : first[c + 1]].sum()) for c in range(3, 7)] == [n] * 4
-    weights, steps = language_model.mixer(docs, spark.sparkContext.broadcast(counts), table, shape)
-    assert weights.shape == (language_model.GATES, language_model.CONTEXTS) and np.isfinite(weights).all() and 0 < steps.min() and steps.max() < 1
+    counted = language_model.token_counts(docs)
+    want = np.bincount(np.frombuffer(b"".join(t + b" " for t in totals if t != language_model.END), np.uint8), minlength=256)
+    assert np.array_equal(language_model.letter_counts(counted), want)
+    names = sorted(t for t, c in totals.items() if c > 1 or t == language_model.END)
+    index = {t: k for k, t in enumerate(names)}
+    symbols = language_model.balanced(np.array([*(totals[t] for t in names), 1.0]))
+    n_tokens = sum(totals.values())
+    shape = language_model.sized(n_tokens, 23)
+    none = np.zeros(0, np.uint16)
+    empty = language_model.Tables(symbols, np.zeros(len(names) + 1, np.int64), language_model.balanced(want + 1), shape, none, none)
+    given = spark.sparkContext.broadcast(index)
+    tables = language_model.gathered(language_model.counted(docs, counted, given, empty), empty)
+    pair = np.stack([tables.counts & 255, tables.counts >> 8], 1).astype(int)
+    ids = np.array([index.get(t, len(names)) for ts in texts for t in ts])
+    true = np.zeros((len(names) + 1, 2), int)
+    for i in ids:
+        for m in symbols.node[symbols.first[i] :][: symbols.length[i]]:
+            true[m, int(i >= m)] += 1
+    assert np.array_equal(pair[: len(names) + 1], np.ceil(true / np.maximum(1, true.max(1, keepdims=True) / 254)).astype(int))
+    first = language_model.regions(len(names) + 1, shape)
+    spelled = np.zeros((int(first[-1]), 2), int)
+    for word, bit, slots, times in language_model.spelled_of(pa.record_batch({"token": list(totals), "c": list(totals.values())}), empty, lambda t, c: 1 if t in index else c):
+        for part in slots:
+            np.add.at(spelled, (part, bit.astype(int)), times[word])
+    want = np.ceil(spelled / np.maximum(1, spelled.max(1, keepdims=True) / 254)).astype(int)
+    assert np.array_equal(pair[first[3] :], want[first[3] :]) and want[first[6] :].sum() > 1000
+    mixed = language_model.mixer(docs, counted, given, spark.sparkContext.broadcast(language_model.plain(tables)))
+    assert mixed.weights.shape == (language_model.INPUTS, language_model.GATES) and np.isfinite(mixed.weights).all() and np.isfinite(mixed.log10s).all()
     once = next(t for t, c in totals.items() if c == 1 and len(t) > 5)
-    slots, _, bit, _ = language_model.decisions([once], np.array([0]), table, shape)
-    assert (counts[slots[4], bit] > 0).all()
-    assert language_model.sized(10_000, 1_000, 23) < language_model.sized(1_000_000, 90_000, 23) < language_model.sized(4_000_000, 400_000, 23)
+    assert all((tables.counts[k] > 0).all() for _, _, slots in language_model.spelled_slots(tables, [once]) for k in slots)
+    assert language_model.sized(10_000, 23) < language_model.sized(1_000_000, 23) < language_model.sized(4_000_000, 23)
 
 
 def test_token_probabilities_add_up():
-    """The probabilities of all bytes at one place sum to 1."""
-    import numpy as np
-
+    """The probabilities of all symbols at one place sum to 1, and so do those of all bytes."""
     rng = np.random.default_rng(0)
-    table = language_model.code(rng.integers(1, 1000, 256))
-    counts = rng.integers(0, 50, (language_model.SLOTS, 2)).astype(np.uint16)
-    weights, steps = np.full((language_model.GATES, language_model.CONTEXTS), 0.2), np.tile(np.linspace(0.05, 0.95, language_model.STEPS), (256, 1))
-    firsts = [bytes([b]) for b in range(256) if b not in (32, 10)]
-    lengths, bits, nodes = table
+    names, t = small_tables([f"w{k}".encode() for k in range(40)])
+    t = t._replace(counts=rng.integers(0, 2**16, len(t.counts)).astype(np.uint16))
+    m = language_model.refined(rng.normal(0.3, 0.1, (language_model.GATES, language_model.INPUTS)), rng.integers(0, 50, (language_model.GATES, language_model.STEPS, 2)).astype(float))
+    hashes = np.array([5, 6, 7], np.uint64)
+    t.follows[:] = (np.arange(len(t.follows)) % 256 << 24) | (9 << 6) | 3
     total = 0.0
-    for b in range(256):
-        slots, node, bit, _ = language_model.decisions([bytes([b]) * 2], np.array([0]), table)
-        x, gate = language_model.inputs(counts, slots)
-        p = language_model.refined((weights[gate] * x.T).sum(1), node, steps)
-        total += float(np.prod(np.where(bit > 0, p, 1 - p)[: lengths[b]]))
-    assert abs(total - 1) < 1e-3 and len(firsts) == 254
+    for last in range(len(names) + 1):
+        s = language_model.stream(np.array([1, 2, last]), hashes, np.array([0]), t.rank)
+        s = s._replace(key=np.repeat((s.key[2] >> np.uint64(8) << np.uint64(8)) | ((s.key[2] >> np.uint64(64 - t.shape.follows)) & np.uint64(255)), 3))
+        total += 10 ** float(language_model.log10_of_tokens(s, t, m)[2])
+    assert abs(total - 1) < 1e-3 and language_model.follower(t, s)[0][2] == 9
+    at_start = lambda b: 10 ** float(next(m.log10(*language_model.spelled_inputs([t.counts.take(k) for k in slots]), bit).astype(float)[: t.letters.length[b]].sum() for _, bit, slots in language_model.spelled_slots(t, [bytes([b]) * 2])))
+    assert abs(sum(at_start(b) for b in range(256)) - 1) < 1e-3
