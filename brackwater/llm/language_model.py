@@ -23,14 +23,14 @@ END, STOP = b"\n", 32
 KNOWN, BLOCK = 300_000, 60_000
 #: Tokens with a symbol of their own, whose counts every worker has; their bytes at most. All others are spelled.
 HOT, LONGEST = (1 << 18) - 2, 64
-#: Frequent tokens, the last of which is a context.
-FREQUENT = 128
+#: Frequent tokens, the last of which is a context; tokens that are contexts by themselves for the next one.
+FREQUENT, COMMON = 128, 4096
 #: Hashes of rare tokens in one chunk, whose counts are looked up together.
 CHUNK = 4_000_000
 #: Slots that go from a task to the sums in one piece.
 PIECE = 1 << 16
 #: Numbers of last bytes that are contexts in a spelled word, and bits of their tables and of that of the word's whole beginning.
-SPELLED_ORDERS, SPELLED_BITS = (2, 4, 6), (18, 21, 22, 22)
+SPELLED_ORDERS, SPELLED_BITS = (2, 4, 6), (18, 20, 21, 21)
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -46,23 +46,26 @@ def texts_of(column) -> list[list[bytes]]:
 
 
 class Vocabulary(dict):
-    """Small numbers for tokens, given as they come; with what a token is known by: its hash and the symbol that stands for it."""
+    """Small numbers for tokens, given as they come; with what a token is known by: its hash, the symbol that stands for it, and what it is as a context: its rank, or its last two bytes."""
 
-    def __init__(self, symbols: dict[bytes, int] | None = None):
+    def __init__(self, symbols: dict[bytes, int] | None = None, rank: np.ndarray | None = None):
         super().__init__()
         self.symbols, self.other = symbols or {}, len(symbols or {})
+        self.rank = [0] * (self.other + 1) if rank is None else rank.tolist()
         self.reset()
 
     def reset(self) -> None:
         self.clear()
         self.tokens: list[bytes] = []
-        self.hashes, self.ids = array("Q"), array("q")
+        self.hashes, self.ids, self.contexts = array("Q"), array("q"), array("q")
 
     def __missing__(self, token: bytes) -> int:
         value = self[token] = len(self.tokens)
         self.tokens.append(token)
         self.hashes.append(xxhash.xxh3_64_intdigest(token))
-        self.ids.append(self.symbols.get(token, self.other))
+        symbol = self.symbols.get(token, self.other)
+        self.ids.append(symbol)
+        self.contexts.append(self.rank[symbol] or COMMON + 1 + int.from_bytes(token[-2:]))
         return value
 
     def keys_of(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
@@ -165,22 +168,22 @@ def sized(n: int, most: int) -> Shape:
     return Shape(bits(2 * n, 16, most - 1), bits(4 * n, 16, most), bits(2 * n, 16, most + 1))
 
 
-# What is known of a slot is two counts, of zeros and ones, in a byte each.
-ODDS = (np.log((np.arange(65_536) >> 8) + 0.3) - np.log((np.arange(65_536) & 255) + 0.3)).astype(np.float32)
+def odds(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """Log-odds of a one after so many zeros and ones."""
+    out = (ones + np.float32(0.3)) / (zeros + np.float32(0.3))
+    return np.log(out, out=out)
 
 
-def steps_of(v: np.ndarray, limits: tuple[int, int, int]) -> np.ndarray:
-    """How much has been seen in slots, in four steps."""
-    n = (v >> np.uint16(8)) + (v & np.uint16(255))
-    return (n >= limits[0]).view(np.uint8) + (n >= limits[1]).view(np.uint8) + (n >= limits[2]).view(np.uint8)
+#: Workers that score have two counts of a slot in 16 bits: the log-odds of each such pair.
+ODDS = odds((np.arange(65_536) & 255).astype(np.float32), (np.arange(65_536) >> 8).astype(np.float32))
 
 
-FEW, OFTEN = (1, 2, 5), (3, 17, 129)
+def steps_of(n: np.ndarray, limits: tuple[int, int, int]) -> np.ndarray:
+    """How much has been seen, in four steps."""
+    return (n >= limits[0]).view(np.uint8) + (n >= limits[1]).view(np.uint8) + (n >= limits[2]).view(np.uint8)
 
 
-def without(v: np.ndarray, bit: np.ndarray) -> np.ndarray:
-    """Counts without one occurrence of the bit, which has been counted there."""
-    return v - (bit * np.uint16(255) + np.uint16(1))
+FEW, OFTEN = (1, 2, 5), (3, 17, 129)
 
 
 def moved(x: np.ndarray) -> np.ndarray:
@@ -200,8 +203,8 @@ class Stream(NamedTuple):
     place: np.ndarray
 
 
-def stream(ids: np.ndarray, hashes: np.ndarray, starts: np.ndarray, rank: np.ndarray) -> Stream:
-    """Contexts of all tokens: hashes of the last frequent token and of the token before, the key of the two before; nothing is known before a text."""
+def stream(ids: np.ndarray, hashes: np.ndarray, contexts: np.ndarray, starts: np.ndarray) -> Stream:
+    """Contexts of all tokens: the last frequent token, the token before (contexts of COMMON ranks, or of last bytes), and the key of the two before; nothing is known before a text."""
     n = len(ids)
     begin = np.repeat(starts, np.diff([*starts, n]))
     place = np.arange(n) - begin
@@ -209,13 +212,14 @@ def stream(ids: np.ndarray, hashes: np.ndarray, starts: np.ndarray, rank: np.nda
     last[starts] = 0
     two = moved(last)
     two[starts] = 0
-    ranks = rank[ids]
-    often = np.maximum.accumulate(np.where(ranks > 0, np.arange(n), -1))
+    before = moved(contexts)
+    before[starts] = 0
+    often = np.maximum.accumulate(np.where(contexts <= FREQUENT, np.arange(n), -1))
     often = np.concatenate([[-1], often[:-1]])
-    frequent = np.where(often >= begin, ranks[often], 0).astype(np.uint64) * M3
+    frequent = np.where(often >= begin, contexts[often], 0).astype(np.uint64) * M3
     key = (last * M1 + two) * M2
     key ^= key >> np.uint64(29)
-    return Stream(ids, frequent, last, key * M3, place)
+    return Stream(ids, frequent, before.astype(np.uint64) * M3, key * M3, place)
 
 
 class Tables(NamedTuple):
@@ -229,14 +233,16 @@ class Tables(NamedTuple):
     follows: np.ndarray
 
 
-def plain(t: Tables) -> tuple:
-    """The tables as tuples, which a broadcast can carry to workers without this module."""
-    return tuple(tuple(x) if isinstance(x, tuple) else x for x in t)
+def packed(t: Tables, m: Mixer) -> list:
+    """All arrays as bytes, compressed, with kind and length: what a broadcast can carry to workers without this module, in little room on their disks."""
+    flat = [*t.symbols, t.rank, *t.letters, t.counts, t.follows, *m]
+    return [tuple(t.shape), *[(str(x.dtype), x.shape, x.nbytes, pa.compress(np.ascontiguousarray(x).tobytes(), "zstd", asbytes=True)) for x in flat]]
 
 
-def tables_of(x: tuple) -> Tables:
-    symbols, rank, letters, shape, counts, follows = x
-    return Tables(Code(*symbols), rank, Code(*letters), Shape(*shape), counts, follows)
+def unpacked(x: list) -> tuple[Tables, Mixer]:
+    shape, *flat = x
+    flat = [np.frombuffer(pa.decompress(b, n, "zstd", asbytes=True), kind).reshape(size) for kind, size, n, b in flat]
+    return Tables(Code(*flat[:3]), flat[3], Code(*flat[4:7]), Shape(*shape), *flat[7:9]), Mixer(*flat[9:])
 
 
 def regions(n_symbols: int, shape: Shape) -> np.ndarray:
@@ -349,12 +355,30 @@ VOTES = np.log((np.arange(64) + 0.3) / 0.3).astype(np.float32)
 INPUTS, GATES, STEPS, FINE, EDGE = 4, 80, 32, 1024, 12.0
 
 
-def token_inputs(v, node, bit, size, found, votes, run) -> tuple[np.ndarray, np.ndarray]:
+class Seen(NamedTuple):
+    """What is known of decisions in each of their contexts: log-odds, and how much has been seen."""
+
+    odds: list[np.ndarray]
+    n: list[np.ndarray]
+
+
+def learned(counts: np.ndarray, slots) -> Seen:
+    """From the counts that a task adds to."""
+    pairs = [counts.take(k, axis=0) for k in slots]
+    halves = [(p[:, 0].astype(np.float32), p[:, 1].astype(np.float32)) for p in pairs]
+    return Seen([odds(*h) for h in halves], [a + b for a, b in halves])
+
+
+def known(counts: np.ndarray, slots) -> Seen:
+    """From the counts of all tasks, in 16 bits."""
+    pairs = [counts.take(k) for k in slots]
+    return Seen([ODDS.take(p) for p in pairs], [(p >> np.uint16(8)) + (p & np.uint16(255)) for p in pairs])
+
+
+def token_inputs(seen: Seen, node, bit, size, found, votes, run) -> tuple[np.ndarray, np.ndarray]:
     """The predictors' log-odds and the gates of tokens' decisions, from the counts of their slots and from what followed before, as long as the token agrees with that."""
-    x = np.zeros((INPUTS, len(bit)), np.float32)
-    for k in range(3):
-        ODDS.take(v[k], out=x[k], mode="clip")
-    gate = steps_of(v[2], FEW) * np.uint8(4) + steps_of(v[1], OFTEN)
+    x = [*seen.odds, np.zeros(len(bit), np.float32)]
+    gate = steps_of(seen.n[2], FEW) * np.uint8(4) + steps_of(seen.n[1], OFTEN)
     has = np.flatnonzero(found >= 0)
     if len(has):
         own = size[has]
@@ -364,14 +388,14 @@ def token_inputs(v, node, bit, size, found, votes, run) -> tuple[np.ndarray, np.
         wrong = says != bit[j]
         before = np.cumsum(wrong) - wrong
         agrees = before == np.repeat(before[head], own)
-        odds = np.repeat(VOTES[votes[has]], own)
-        x[3, j] = np.where(agrees, np.where(says, odds, -odds), 0)
+        sure = np.repeat(VOTES[votes[has]], own)
+        x[3][j] = np.where(agrees, np.where(says, sure, -sure), 0)
         gate[j] += np.where(agrees, np.repeat((run[has] + 1) * 16, own), 0).astype(np.uint8)
     return x, gate
 
 
-def spelled_inputs(v) -> tuple[np.ndarray, np.ndarray]:
-    return np.stack([ODDS.take(k) for k in v]), np.uint8(64) + steps_of(v[3], FEW) * np.uint8(4) + steps_of(v[2], OFTEN)
+def spelled_inputs(seen: Seen) -> tuple[np.ndarray, np.ndarray]:
+    return seen.odds, np.uint8(64) + steps_of(seen.n[3], FEW) * np.uint8(4) + steps_of(seen.n[2], OFTEN)
 
 
 class Mixer(NamedTuple):
@@ -437,8 +461,8 @@ class Learner:
         self.curve[here] += curve
         self.weights[here] += np.linalg.solve(self.curve[here], pull[:, :, None])[:, :, 0]
 
-    def told(self) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (self.curve, np.einsum("gij,gj->gi", self.curve, self.weights), self.hits)], names=["curve", "pull", "hits"])
+    def told(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return self.curve, np.einsum("gij,gj->gi", self.curve, self.weights), self.hits
 
 
 def few(docs: DataFrame) -> DataFrame:
@@ -446,121 +470,115 @@ def few(docs: DataFrame) -> DataFrame:
     return docs.coalesce(max(docs.sparkSession.sparkContext.defaultParallelism, -(-docs.rdd.getNumPartitions() // 4)))
 
 
-def streams(batches, names: Vocabulary, rank: np.ndarray):
-    """The texts of each batch as a stream."""
+def streams(batches, names: Vocabulary, size: int = 100_000):
+    """Texts as streams of about so many tokens, so that each is predicted from those before it."""
     for batch in batches:
-        texts = texts_of(batch.column(0))
-        if texts:
+        texts, n = [], 0
+        rows = texts_of(batch.column(0))
+        for k, text in enumerate(rows):
+            texts.append(text)
+            n += len(text)
+            if n < size and k + 1 < len(rows):
+                continue
             if len(names.tokens) >= KNOWN:
                 names.reset()
             keys, starts = names.keys_of(texts)
-            yield stream(np.array(names.ids)[keys], np.array(names.hashes)[keys], starts, rank)
+            yield stream(*(np.array(x)[keys] for x in (names.ids, names.hashes, names.contexts)), starts)
+            texts, n = [], 0
 
 
-def pieces_of(counts: np.ndarray):
-    """Zeros and ones of every PIECE slots, a byte for each, and what is more by itself."""
+#: The piece that holds what a task has learned of weights.
+WEIGHTS = 1 << 30
+
+
+def rows_of(counts: np.ndarray, follows: np.ndarray, learner: Learner):
+    """What a task hands on: of every PIECE slots zeros and ones, a byte for each and what is more by itself; what followed two tokens, as pieces below 0; and what was learned."""
+    none, counts = np.zeros(0, np.int32), counts.ravel()
     for k in range(0, len(counts), 2 * PIECE):
         part = counts[k : k + 2 * PIECE]
         if part.any():
             at = np.flatnonzero(part > 255).astype(np.int32)
             yield k // (2 * PIECE), part.astype(np.uint8), at, part[at] >> 8
+    for k in range(0, len(follows), PIECE):
+        if follows[k : k + PIECE].any():
+            yield -1 - k // PIECE, follows[k : k + PIECE], none, none
+    yield WEIGHTS, *learner.told()
+
+
+def summed(group: pa.Table) -> pa.Table:
+    """One piece of all tasks: two bytes for each slot, larger counts scaled down in proportion; what prevails after two tokens; sums of what was learned."""
+    piece = group.column("piece")[0].as_py()
+    if piece == WEIGHTS:
+        out = np.concatenate([sum(np.frombuffer(x.as_py()) for x in group.column(c)) for c in ("low", "at", "high")])
+    elif piece < 0:
+        out = np.zeros(0, np.uint32)
+        for x in group.column("low"):
+            new = np.frombuffer(x.as_py(), np.uint32)
+            out = prevailed(out, (new >> np.uint32(6)).astype(np.int64), (new & np.uint32(63)).astype(np.int64)) if len(out) else new
+    else:
+        both = sum(np.frombuffer(x.as_py(), np.uint8).astype(np.int64) for x in group.column("low"))
+        for at, high in zip(group.column("at"), group.column("high")):
+            both[np.frombuffer(at.as_py(), np.int32)] += np.frombuffer(high.as_py(), np.int32).astype(np.int64) << 8
+        both = both.reshape(-1, 2)
+        out = np.ceil(both / np.maximum(1, both.max(1, keepdims=True) / 254)).astype(np.uint8)  # at most 255, however it is rounded
+    return pa.table({"piece": group.column("piece")[:1], "counts": pa.array([out.tobytes()], pa.binary())})
 
 
 def counted(docs: DataFrame, totals: DataFrame, symbols, empty: Tables) -> DataFrame:
-    """What the training texts hold: piece, counts (two bytes for each slot, larger ones scaled down in proportion), and as pieces below 0 what followed two tokens.
+    """What all decisions of docs(text) hold, piece by piece: counts, what followed, and the gated weights.
 
-    Each decision of every text is counted, and as often as they occur those of spelled words. Symbols are spelled once, to show how words are made.
+    Each task goes through its texts online: a block of decisions is predicted from what the task has counted so far, the weights follow what came true, and
+    the block is counted. Every decision of every text is counted, and as often as they occur those of spelled words. Symbols are spelled once, to show how words are made.
     """
     size = int(regions(len(empty.symbols.length), empty.shape)[-1])
-    made = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *[pa.array([r[k].tobytes() for r in rows], pa.binary()) for k in (1, 2, 3)]], names=["piece", "low", "at", "high"])
-    none = np.zeros(0, np.int32)
+    made = lambda rows: (pa.RecordBatch.from_arrays([pa.array([r[0]], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in r[1:]]], names=["piece", "low", "at", "high"]) for r in rows)
 
     def texts(batches):
-        counts, follows = np.zeros(2 * size, np.int32), np.zeros(1 << empty.shape.follows, np.uint32)
-        for s in streams(batches, Vocabulary(symbols.value), empty.rank):
-            for lo, hi in blocks(empty.symbols.length[s.ids]):
-                _, bit, slots, _, _ = token_slots(empty, s, lo, hi)
+        counts, follows, learner = np.zeros((size, 2), np.int32), np.zeros(1 << empty.shape.follows, np.uint32), Learner()
+        flat, t = counts.ravel(), empty._replace(follows=follows)
+        for s in streams(batches, Vocabulary(symbols.value, empty.rank)):
+            found, votes = follower(t, s)
+            run = runs(found, s)
+            for lo, hi in blocks(t.symbols.length[s.ids]):
+                node, bit, slots, reps, _ = token_slots(t, s, lo, hi)
+                learner.learn(*token_inputs(learned(counts, slots), node, bit, reps, found[lo:hi], votes[lo:hi], run[lo:hi]), bit)
                 for part in slots:
-                    np.add.at(counts, part * 2 + bit, np.int32(1))
+                    np.add.at(flat, part * 2 + bit, np.int32(1))
             late = s.place > 1
-            at, value, n = prevailing(s.key[late], s.ids[late], empty.shape.follows)
+            at, value, n = prevailing(s.key[late], s.ids[late], t.shape.follows)
             follows[at] = prevailed(follows[at], value, n)
-        for row in pieces_of(counts):
-            yield made([row])
-        for k in range(0, len(follows), PIECE):
-            if follows[k : k + PIECE].any():
-                yield made([(-1 - k // PIECE, follows[k : k + PIECE], none, none)])
+        yield from made(rows_of(counts, follows, learner))
 
     def words(batches):
-        counts = np.zeros(2 * size, np.int32)
-        known = symbols.value
+        counts, learner, own = np.zeros((size, 2), np.int32), Learner(), symbols.value
+        flat = counts.ravel()
         for batch in batches:
-            for word, bit, slots, times in spelled_of(batch, empty, lambda t, c: 1 if t in known else c):
+            for word, bit, slots, times in spelled_of(batch, empty, lambda t, c: 1 if t in own else c):
+                times = times.take(word)
+                learner.learn(*spelled_inputs(learned(counts, slots)), bit, times.astype(np.float32))
                 for part in slots:
-                    np.add.at(counts, part * 2 + bit, times.take(word).astype(np.int32))
-        for row in pieces_of(counts):
-            yield made([row])
-
-    def summed(group: pa.Table) -> pa.Table:
-        piece = group.column("piece")[0].as_py()
-        if piece < 0:
-            out = np.zeros(0, np.uint32)
-            for x in group.column("low"):
-                new = np.frombuffer(x.as_py(), np.uint32)
-                out = prevailed(out, (new >> np.uint32(6)).astype(np.int64), (new & np.uint32(63)).astype(np.int64)) if len(out) else new
-        else:
-            both = sum(np.frombuffer(x.as_py(), np.uint8).astype(np.int64) for x in group.column("low"))
-            for at, high in zip(group.column("at"), group.column("high")):
-                both[np.frombuffer(at.as_py(), np.int32)] += np.frombuffer(high.as_py(), np.int32).astype(np.int64) << 8
-            both = both.reshape(-1, 2)
-            out = np.ceil(both / np.maximum(1, both.max(1, keepdims=True) / 254)).astype(np.uint8)  # at most 255, however it is rounded
-        return pa.table({"piece": group.column("piece")[:1], "counts": pa.array([out.tobytes()], pa.binary())})
+                    np.add.at(flat, part * 2 + bit, times.astype(np.int32))
+        yield from made(rows_of(counts, np.zeros(0, np.uint32), learner))
 
     kind = "piece int, low binary, at binary, high binary"
     return few(docs).mapInArrow(texts, kind).unionByName(few(totals.select("token", "c")).mapInArrow(words, kind)).groupBy("piece").applyInArrow(summed, "piece int, counts binary")
 
 
-def gathered(pieces: DataFrame, empty: Tables) -> Tables:
-    """The tables on the driver."""
+def gathered(pieces: DataFrame, empty: Tables) -> tuple[Tables, Mixer]:
+    """The tables and the weights on the driver. The tasks' weights are joined in proportion to their curvature, and what came true is summed."""
     counts, follows = np.zeros(int(regions(len(empty.symbols.length), empty.shape)[-1]), np.uint16), np.zeros(1 << empty.shape.follows, np.uint32)
+    curve, pull, hits = np.zeros((GATES, INPUTS, INPUTS)), np.zeros((GATES, INPUTS)), np.zeros((GATES, STEPS, 2))
     for r in pieces.toLocalIterator():
         k = r["piece"]
+        if k == WEIGHTS:
+            x = np.frombuffer(r["counts"])
+            curve, pull, hits = (v.reshape(z.shape) for v, z in zip(np.split(x, [curve.size, curve.size + pull.size]), (curve, pull, hits)))
+            continue
         out, kind, k = (counts, np.uint16, k) if k >= 0 else (follows, np.uint32, -1 - k)
         part = np.frombuffer(r["counts"], kind)
         out[k * PIECE :][: len(part)] = part
-    return empty._replace(counts=counts, follows=follows)
-
-
-def mixer(docs: DataFrame, totals: DataFrame, symbols, tables) -> Mixer:
-    """Gated weights and the tables that refine the mixed prediction by what came true, learned over all decisions of docs(text) and of all spelled words.
-
-    Each task follows its own texts online, every decision without its own count. The tasks' weights are joined in proportion to their curvature, and what came true is summed.
-    """
-
-    def texts(batches):
-        t, learner = tables_of(tables.value), Learner()
-        for s in streams(batches, Vocabulary(symbols.value), t.rank):
-            found, votes = follower(t, s, np.ones(len(s.ids), bool))
-            run = runs(found, s)
-            for lo, hi in blocks(t.symbols.length[s.ids]):
-                node, bit, slots, size, _ = token_slots(t, s, lo, hi)
-                learner.learn(*token_inputs([without(t.counts.take(k), bit) for k in slots], node, bit, size, found[lo:hi], votes[lo:hi], run[lo:hi]), bit)
-        yield learner.told()
-
-    def words(batches):
-        t, known, learner = tables_of(tables.value), symbols.value, Learner()
-        for batch in batches:
-            for word, bit, slots, times in spelled_of(batch, t, lambda w, c: 0 if w in known else c):
-                learner.learn(*spelled_inputs([without(t.counts.take(k), bit) for k in slots]), bit, times.take(word).astype(np.float32))
-        yield learner.told()
-
-    curve, pull, hits = np.zeros((GATES, INPUTS, INPUTS)), np.zeros((GATES, INPUTS)), np.zeros((GATES, STEPS, 2))
-    kind = "curve binary, pull binary, hits binary"
-    for r in few(docs).mapInArrow(texts, kind).unionByName(few(totals.select("token", "c")).mapInArrow(words, kind)).collect():
-        for total, part in ((curve, r["curve"]), (pull, r["pull"]), (hits, r["hits"])):
-            total += np.frombuffer(part).reshape(total.shape)
     weights = np.linalg.solve(curve, pull[:, :, None])[:, :, 0] if curve.any() else np.full((GATES, INPUTS), 1 / 3)
-    return refined(weights, hits)
+    return empty._replace(counts=counts, follows=follows), refined(weights, hits)
 
 
 def log10_of_words(words: list[bytes], t: Tables, m: Mixer) -> np.ndarray:
@@ -568,7 +586,7 @@ def log10_of_words(words: list[bytes], t: Tables, m: Mixer) -> np.ndarray:
     out = np.zeros(len(words))
     for word, bit, slots in spelled_slots(t, words):
         lo, hi = int(word[0]), int(word[-1]) + 1
-        out[lo:hi] += np.bincount(word - lo, m.log10(*spelled_inputs([t.counts.take(k) for k in slots]), bit), hi - lo)
+        out[lo:hi] += np.bincount(word - lo, m.log10(*spelled_inputs(known(t.counts, slots)), bit), hi - lo)
     return out
 
 
@@ -579,7 +597,7 @@ def log10_of_tokens(s: Stream, t: Tables, m: Mixer) -> np.ndarray:
     run = runs(found, s)
     for lo, hi in blocks(t.symbols.length[s.ids]):
         node, bit, slots, size, start = token_slots(t, s, lo, hi)
-        out[lo:hi] = np.add.reduceat(m.log10(*token_inputs([t.counts.take(k) for k in slots], node, bit, size, found[lo:hi], votes[lo:hi], run[lo:hi]), bit), start)
+        out[lo:hi] = np.add.reduceat(m.log10(*token_inputs(known(t.counts, slots), node, bit, size, found[lo:hi], votes[lo:hi], run[lo:hi]), bit), start)
     return out
 
 
@@ -587,9 +605,8 @@ def _scored(docs: DataFrame, symbols, counts, model) -> DataFrame:
     """docs(doc_id, held_out, text) to what is known of each without rare tokens' counts, and the rare tokens' hashes."""
 
     def run(batches):
-        (t, m), base = model.value, counts.value
-        t, m = tables_of(t), Mixer(*m)
-        names, part, chunk, rare_now = Vocabulary(symbols.value), TaskContext.get().partitionId(), 0, 0
+        (t, m), base = unpacked(model.value), counts.value
+        names, part, chunk, rare_now = Vocabulary(symbols.value, t.rank), TaskContext.get().partitionId(), 0, 0
         other, spelled = names.other, np.zeros(0)
         for batch in batches:
             raw = [x.as_py().encode("utf-8", "surrogatepass") for x in batch.column(2)]
@@ -607,7 +624,7 @@ def _scored(docs: DataFrame, symbols, counts, model) -> DataFrame:
             spelled = np.concatenate([spelled, new])
             sizes = np.diff([*starts, len(keys)])
             ids = ids[keys]
-            s = stream(ids, np.array(names.hashes)[keys], starts, t.rank)
+            s = stream(ids, np.array(names.hashes)[keys], np.array(names.contexts)[keys], starts)
             elsewhere, _ = follower(t, s, np.repeat(~batch.column(1).to_numpy(zero_copy_only=False).astype(bool), sizes))
             is_hot, letters = base[ids] > 0, spelled[keys]
             whole = log10_of_tokens(s, t, m) + letters
@@ -661,15 +678,15 @@ def letter_counts(totals: DataFrame) -> np.ndarray:
     return sum((np.frombuffer(r["counts"]) for r in totals.select("token").mapInArrow(run, "counts binary").collect()), np.zeros(256))
 
 
-def score(docs: DataFrame, *, train: Column | None = None, most_bits: int = 23) -> DataFrame:
+def score(docs: DataFrame, *, train: Column | None = None, most_bits: int = 22) -> DataFrame:
     """How likely each whole text is: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, event_score, bits_per_byte, followed.
 
     Texts for which `train`, over doc_id, holds are learned from, all of them. Tokens seen twice or more, at most HOT of them, are symbols of a binary code
     that keeps their alphabetical order; all other tokens are one more symbol, behind which the word is spelled in a binary code of bytes. Each decision
-    is predicted from hashed contexts by counts over the whole training text: by the node alone, after the last frequent token, after the token before, and by
+    is predicted from hashed contexts by counts over the whole training text: by the node alone, after the last frequent token, after the token before (of rarer ones its last bytes), and by
     what followed the two tokens before; in a spelled word after its last two, four and six bytes and its whole beginning. Log-odds are mixed with weights gated
-    by how much contexts have seen and by how long followers have been right in this text; the weights are learned online over all training decisions, each
-    without its own count, and what is mixed is refined by tables of what came true. The tables grow with the tokens counted, to at most 2 to the power
+    by how much contexts have seen and by how long followers have been right in this text; each task learns the weights online, predicting every training decision
+    before it is counted, and what is mixed is refined by tables of what came true. The tables grow with the tokens counted, to at most 2 to the power
     `most_bits` slots (twice as many for followers), which is what workers and driver can hold; beyond that decisions share slots, but all are counted.
 
     score is the log10 probability of the whole text, every byte of unknown words spelled, and bits_per_byte the same for each byte. event_score leaves out
@@ -685,8 +702,8 @@ def score(docs: DataFrame, *, train: Column | None = None, most_bits: int = 23)
     scratch = Scratch(spark, "model")
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     own = slim.withColumn("held_out", ~train if train is not None else F.lit(False))
-    learned = own.filter(~F.col("held_out")).select("text")
-    totals = scratch.save(token_counts(learned), "totals")
+    training = own.filter(~F.col("held_out")).select("text")
+    totals = scratch.save(token_counts(training), "totals")
     row = totals.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     n, v = row["n"] or 0, row["v"]
     can = (F.octet_length("token") <= LONGEST) & (F.col("c") > 1) & (F.col("token") != F.lit(END))
@@ -696,7 +713,7 @@ def score(docs: DataFrame, *, train: Column | None = None, most_bits: int = 23)
     names = sorted(hot)
     base = np.array([*(hot[t] for t in names), 0], float)
     rank = np.zeros(len(names) + 1, np.int64)
-    often = sorted((t for t in names if t != END), key=lambda t: (-hot[t], t))[:FREQUENT]
+    often = sorted((t for t in names if t != END), key=lambda t: (-hot[t], t))[:COMMON]
     index = {t: k for k, t in enumerate(names)}
     rank[[index[t] for t in often]] = np.arange(1, len(often) + 1)
     letters = letter_counts(totals) + 1
@@ -704,12 +721,9 @@ def score(docs: DataFrame, *, train: Column | None = None, most_bits: int = 23)
     empty = Tables(balanced(np.append(base[:-1], max(n - base.sum(), 1)) + 0.5), rank, balanced(letters), sized(n, most_bits), none, none)
     context = spark.sparkContext
     symbols = context.broadcast(index)
-    tables = gathered(counted(learned, totals, symbols, empty), empty)
-    given = context.broadcast(plain(tables))
-    mixed = mixer(learned, totals, symbols, given)
-    given.destroy()
-    scored = _scored(own.select("doc_id", "held_out", "text"), symbols, context.broadcast(base), context.broadcast((plain(tables), tuple(mixed))))
-    del tables
+    pieces = scratch.save(counted(training, totals, symbols, empty), "pieces")
+    model = context.broadcast(packed(*gathered(pieces, empty)))
+    scored = _scored(own.select("doc_id", "held_out", "text"), symbols, context.broadcast(base), model)
     scored = scratch.save(scored, "scored")
     wanted = scored.select("chunk", F.explode("rare").alias("h")).distinct()
     looked = scratch.save(wanted.join(totals.select("h", "c"), "h").select("chunk", "h", "c"), "looked")

@@ -71,6 +71,9 @@ def test_groups_of_odd_texts_and_families(spark):
     check(df, rows, 2, 80)
     kept = dedup.keep_first(df, shingle=2)
     assert kept.columns == df.columns and kept.filter("doc_id = 7").count() == 0 and kept.filter("doc_id is null").count() == 2
+    twice = df.unionByName(df.filter("doc_id in (4, 8)")).withColumns({"dropped": F.lit(1), "_dropped": F.lit(2)})
+    kept = dedup.keep_first(twice, shingle=2)
+    assert kept.columns == twice.columns and [kept.filter(f"doc_id = {k}").count() for k in (4, 5, 8)] == [1, 0, 1] and kept.filter("doc_id is null").count() == 2
     assert dedup.near_duplicates(df.limit(0)).count() == 0
 
 
@@ -101,7 +104,7 @@ def test_archives_come_back(spark, sf_dir, tmp_path):
     assert Counter(map(tuple, queries.op4_warc(spark, sf_dir).collect())) == want_records(rows)
     fake = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Page-ID: 99\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
     odd = [(1, None), (2, ""), (3, fake), (4, fake * 3 + "é\U0001f600"), (5, "x" * 70_000 + fake), (6, "same"), (7, "same"), (7, "same"), (None, "same"), (8, "WARC/1.1\r\n"), (9, "\r\n\r\n"), (10, "a\r\n\r\nWARC/1.1\r\n\r\n")] + [(k, f"{k} " * k + fake) for k in range(20, 60)]
-    df = spark.createDataFrame([(i, None if i == 2 else f"http://x/{i}", t, "z") for i, t in odd], "page_id long, url string, html string, file string").repartition(3)
+    df = spark.createDataFrame([(i, None if i == 2 else f"http://x/{i}", t, "z") for i, t in odd], "page_id long, url string, html string, file string").withColumns({k: F.lit("own") for k in ("_least", "_digest", "digest", "payload", "id", "first")}).repartition(3)
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
     try:
         for size in ("4096", old):  # small blocks: chains run over many of them, and records over their borders
@@ -174,10 +177,11 @@ def test_blocks_hide_nothing():
     texts = [[*(rng.choice(words) for _ in range(n)), language_model.END] for n in (0, 1, 40, 3, 900)]
     flat, starts = [w for x in texts for w in x], np.cumsum([0, *[len(x) for x in texts][:-1]])
     ids, hashes = np.array([names.index(w) for w in flat]), np.array([abs(hash(w)) for w in flat], np.uint64)
-    s = language_model.stream(ids, hashes, starts, t.rank)
+    contexts = np.array([words.index(w) + 1 if w in words[:3] else 5_000 + names.index(w) for w in flat])
+    s = language_model.stream(ids, hashes, contexts, starts)
     for x, at in zip(texts, starts):
         for k in range(len(x)):
-            assert s.before[at + k] == (hashes[at + k - 1] if k else 0) and s.place[at + k] == k
+            assert s.before[at + k] == np.uint64(int(contexts[at + k - 1] if k else 0) * int(language_model.M3) % 2**64) and s.place[at + k] == k
             frequent = [w for w in x[:k] if w in words[:3]]
             assert s.frequent[at + k] == np.uint64((words.index(frequent[-1]) + 1 if frequent else 0) * int(language_model.M3) % 2**64)
             if k > 1:
@@ -241,7 +245,7 @@ def test_copies_are_told_apart(spark, sf_dir):
     rows = [(k, text(120)) for k in range(150)]
     rows += [(500 + k, rows[k][1]) for k in range(40, 80)] + [(1000, rows[5][1]), (1001, text(120))]
     got = {r["doc_id"]: r for r in language_model.score(spark.createDataFrame(rows, "doc_id long, text string"), train=F.col("doc_id") < 1000).collect()}
-    assert got[1000]["bits_per_byte"] < 0.75 * got[1001]["bits_per_byte"]
+    assert got[1000]["bits_per_byte"] < 0.9 * got[1001]["bits_per_byte"]
     assert all(got[k]["followed"] > 100 for k in (*range(40, 80), *range(540, 580), 1000))
     assert all(got[k]["followed"] < 40 for k in (*range(40), *range(80, 150), 1001))
 
@@ -258,11 +262,11 @@ def test_language_model_learns_from_all_decisions(spark, sf_dir):
     index = {t: k for k, t in enumerate(names)}
     symbols = language_model.balanced(np.array([*(totals[t] for t in names), 1.0]))
     n_tokens = sum(totals.values())
-    shape = language_model.sized(n_tokens, 23)
+    shape = language_model.sized(n_tokens, 22)
     none = np.zeros(0, np.uint16)
     empty = language_model.Tables(symbols, np.zeros(len(names) + 1, np.int64), language_model.balanced(want + 1), shape, none, none)
     given = spark.sparkContext.broadcast(index)
-    tables = language_model.gathered(language_model.counted(docs, counted, given, empty), empty)
+    tables, mixed = language_model.gathered(language_model.counted(docs, counted, given, empty), empty)
     pair = np.stack([tables.counts & 255, tables.counts >> 8], 1).astype(int)
     ids = np.array([index.get(t, len(names)) for ts in texts for t in ts])
     true = np.zeros((len(names) + 1, 2), int)
@@ -277,11 +281,12 @@ def test_language_model_learns_from_all_decisions(spark, sf_dir):
             np.add.at(spelled, (part, bit.astype(int)), times[word])
     want = np.ceil(spelled / np.maximum(1, spelled.max(1, keepdims=True) / 254)).astype(int)
     assert np.array_equal(pair[first[3] :], want[first[3] :]) and want[first[6] :].sum() > 1000
-    mixed = language_model.mixer(docs, counted, given, spark.sparkContext.broadcast(language_model.plain(tables)))
     assert mixed.weights.shape == (language_model.INPUTS, language_model.GATES) and np.isfinite(mixed.weights).all() and np.isfinite(mixed.log10s).all()
     once = next(t for t, c in totals.items() if c == 1 and len(t) > 5)
     assert all((tables.counts[k] > 0).all() for _, _, slots in language_model.spelled_slots(tables, [once]) for k in slots)
-    assert language_model.sized(10_000, 23) < language_model.sized(1_000_000, 23) < language_model.sized(4_000_000, 23)
+    assert language_model.sized(10_000, 22) < language_model.sized(300_000, 22) < language_model.sized(1_000_000, 22)
+    back, same = language_model.unpacked(language_model.packed(tables, mixed))
+    assert np.array_equal(back.counts, tables.counts) and np.array_equal(back.symbols.node, tables.symbols.node) and back.shape == shape and np.array_equal(same.log10s, mixed.log10s)
 
 
 def test_token_probabilities_add_up():
@@ -294,9 +299,9 @@ def test_token_probabilities_add_up():
     t.follows[:] = (np.arange(len(t.follows)) % 256 << 24) | (9 << 6) | 3
     total = 0.0
     for last in range(len(names) + 1):
-        s = language_model.stream(np.array([1, 2, last]), hashes, np.array([0]), t.rank)
+        s = language_model.stream(np.array([1, 2, last]), hashes, np.array([1, 2, 3]), np.array([0]))
         s = s._replace(key=np.repeat((s.key[2] >> np.uint64(8) << np.uint64(8)) | ((s.key[2] >> np.uint64(64 - t.shape.follows)) & np.uint64(255)), 3))
         total += 10 ** float(language_model.log10_of_tokens(s, t, m)[2])
     assert abs(total - 1) < 1e-3 and language_model.follower(t, s)[0][2] == 9
-    at_start = lambda b: 10 ** float(next(m.log10(*language_model.spelled_inputs([t.counts.take(k) for k in slots]), bit).astype(float)[: t.letters.length[b]].sum() for _, bit, slots in language_model.spelled_slots(t, [bytes([b]) * 2])))
+    at_start = lambda b: 10 ** float(next(m.log10(*language_model.spelled_inputs(language_model.known(t.counts, slots)), bit).astype(float)[: t.letters.length[b]].sum() for _, bit, slots in language_model.spelled_slots(t, [bytes([b]) * 2])))
     assert abs(sum(at_start(b) for b in range(256)) - 1) < 1e-3
