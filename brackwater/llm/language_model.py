@@ -42,30 +42,25 @@ def tokens_of(text: bytes) -> list[bytes]:
 
 
 def texts_of(column) -> list[list[bytes]]:
-    return [tokens_of(t.as_py().encode("utf-8", "surrogatepass")) for t in column]
+    return [tokens_of(t) for t in column.to_pylist()]
 
 
-class Vocabulary(dict):
-    """Small numbers for tokens, given as they come; with what a token is known by: its hash, the symbol that stands for it, and what it is as a context: its rank, or its last two bytes."""
+class Names(dict):
+    """Small numbers for tokens, given as they come, and their hashes."""
 
-    def __init__(self, symbols: dict[bytes, int] | None = None, rank: np.ndarray | None = None):
+    def __init__(self):
         super().__init__()
-        self.symbols, self.other = symbols or {}, len(symbols or {})
-        self.rank = [0] * (self.other + 1) if rank is None else rank.tolist()
         self.reset()
 
     def reset(self) -> None:
         self.clear()
         self.tokens: list[bytes] = []
-        self.hashes, self.ids, self.contexts = array("Q"), array("q"), array("q")
+        self.hashes = array("Q")
 
     def __missing__(self, token: bytes) -> int:
         value = self[token] = len(self.tokens)
         self.tokens.append(token)
         self.hashes.append(xxhash.xxh3_64_intdigest(token))
-        symbol = self.symbols.get(token, self.other)
-        self.ids.append(symbol)
-        self.contexts.append(self.rank[symbol] or COMMON + 1 + int.from_bytes(token[-2:]))
         return value
 
     def keys_of(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
@@ -74,11 +69,29 @@ class Vocabulary(dict):
         return np.fromiter(map(self.__getitem__, chain.from_iterable(texts)), np.int64, sum(sizes)), np.cumsum([0, *sizes[:-1]])
 
 
+class Vocabulary(Names):
+    """Names with what a model knows of a token: the symbol that stands for it, and what it is as a context: its rank, or its last two bytes."""
+
+    def __init__(self, symbols: dict[bytes, int], rank: np.ndarray):
+        self.symbols, self.other, self.rank = symbols, len(symbols), rank.tolist()
+        super().__init__()
+
+    def reset(self) -> None:
+        super().reset()
+        self.ids, self.contexts = array("q"), array("q")
+
+    def __missing__(self, token: bytes) -> int:
+        symbol = self.symbols.get(token, self.other)
+        self.ids.append(symbol)
+        self.contexts.append(self.rank[symbol] or COMMON + 1 + int.from_bytes(token[-2:]))
+        return super().__missing__(token)
+
+
 def token_counts(docs: DataFrame) -> DataFrame:
-    """docs(text) to token, h, c: how often each token occurs."""
+    """docs(text), in bytes, to token, h, c: how often each token occurs."""
 
     def run(batches):
-        names = Vocabulary()
+        names = Names()
         total = np.zeros(0, np.int64)
 
         def out():
@@ -356,7 +369,7 @@ INPUTS, GATES, STEPS, FINE, EDGE = 4, 80, 32, 1024, 12.0
 
 
 class Seen(NamedTuple):
-    """What is known of decisions in each of their contexts: log-odds, and how much has been seen."""
+    """What is known of decisions in each of their contexts: log-odds, and how much has been seen in the last two."""
 
     odds: list[np.ndarray]
     n: list[np.ndarray]
@@ -366,19 +379,19 @@ def learned(counts: np.ndarray, slots) -> Seen:
     """From the counts that a task adds to."""
     pairs = [counts.take(k, axis=0) for k in slots]
     halves = [(p[:, 0].astype(np.float32), p[:, 1].astype(np.float32)) for p in pairs]
-    return Seen([odds(*h) for h in halves], [a + b for a, b in halves])
+    return Seen([odds(*h) for h in halves], [a + b for a, b in halves[-2:]])
 
 
 def known(counts: np.ndarray, slots) -> Seen:
     """From the counts of all tasks, in 16 bits."""
     pairs = [counts.take(k) for k in slots]
-    return Seen([ODDS.take(p) for p in pairs], [(p >> np.uint16(8)) + (p & np.uint16(255)) for p in pairs])
+    return Seen([ODDS.take(p) for p in pairs], [(p >> np.uint16(8)) + (p & np.uint16(255)) for p in pairs[-2:]])
 
 
 def token_inputs(seen: Seen, node, bit, size, found, votes, run) -> tuple[np.ndarray, np.ndarray]:
     """The predictors' log-odds and the gates of tokens' decisions, from the counts of their slots and from what followed before, as long as the token agrees with that."""
     x = [*seen.odds, np.zeros(len(bit), np.float32)]
-    gate = steps_of(seen.n[2], FEW) * np.uint8(4) + steps_of(seen.n[1], OFTEN)
+    gate = steps_of(seen.n[1], FEW) * np.uint8(4) + steps_of(seen.n[0], OFTEN)
     has = np.flatnonzero(found >= 0)
     if len(has):
         own = size[has]
@@ -395,7 +408,7 @@ def token_inputs(seen: Seen, node, bit, size, found, votes, run) -> tuple[np.nda
 
 
 def spelled_inputs(seen: Seen) -> tuple[np.ndarray, np.ndarray]:
-    return seen.odds, np.uint8(64) + steps_of(seen.n[3], FEW) * np.uint8(4) + steps_of(seen.n[2], OFTEN)
+    return seen.odds, np.uint8(64) + steps_of(seen.n[1], FEW) * np.uint8(4) + steps_of(seen.n[0], OFTEN)
 
 
 class Mixer(NamedTuple):
@@ -406,9 +419,9 @@ class Mixer(NamedTuple):
 
     def log10(self, x: np.ndarray, gate: np.ndarray, bit: np.ndarray) -> np.ndarray:
         g = gate.astype(np.int64)
-        z = self.weights[0].take(g) * x[0]
+        z = self.weights[0][g] * x[0]
         for k in range(1, INPUTS):
-            z += self.weights[k].take(g) * x[k]
+            z += self.weights[k][g] * x[k]
         np.clip(z, -EDGE, EDGE, out=z)
         z += np.float32(EDGE)
         z *= np.float32((FINE - 1) / (2 * EDGE))
@@ -416,7 +429,7 @@ class Mixer(NamedTuple):
         g += np.rint(z, out=z).astype(np.int64)
         g *= 2
         g += bit
-        return self.log10s.take(g)
+        return self.log10s[g]
 
 
 def refined(weights: np.ndarray, hits: np.ndarray) -> Mixer:
@@ -439,7 +452,7 @@ class Learner:
     def learn(self, x: np.ndarray, gate: np.ndarray, bit: np.ndarray, times: np.ndarray | None = None) -> None:
         """One step; times says how often each decision counts."""
         order = np.argsort(gate, kind="stable")
-        gate, bit, x = gate.take(order), bit.take(order), [row.take(order) for row in x]
+        gate, bit, x = gate[order], bit[order], [row[order] for row in x]
         start = np.concatenate([[0], np.flatnonzero(gate[1:] != gate[:-1]) + 1])
         size, here = np.diff([*start, len(gate)]), gate[start].astype(np.int64)
         weights = self.weights.astype(np.float32)
@@ -535,7 +548,7 @@ def counted(docs: DataFrame, totals: DataFrame, symbols, empty: Tables) -> DataF
 
     def texts(batches):
         counts, follows, learner = np.zeros((size, 2), np.int32), np.zeros(1 << empty.shape.follows, np.uint32), Learner()
-        flat, t = counts.ravel(), empty._replace(follows=follows)
+        flat, t, one = counts.ravel(), empty._replace(follows=follows), np.ones(2 * BLOCK, np.int32)
         for s in streams(batches, Vocabulary(symbols.value, empty.rank)):
             found, votes = follower(t, s)
             run = runs(found, s)
@@ -543,7 +556,7 @@ def counted(docs: DataFrame, totals: DataFrame, symbols, empty: Tables) -> DataF
                 node, bit, slots, reps, _ = token_slots(t, s, lo, hi)
                 learner.learn(*token_inputs(learned(counts, slots), node, bit, reps, found[lo:hi], votes[lo:hi], run[lo:hi]), bit)
                 for part in slots:
-                    np.add.at(flat, part * 2 + bit, np.int32(1))
+                    np.add.at(flat, part * 2 + bit, one[: len(bit)])
             late = s.place > 1
             at, value, n = prevailing(s.key[late], s.ids[late], t.shape.follows)
             follows[at] = prevailed(follows[at], value, n)
@@ -606,10 +619,11 @@ def _scored(docs: DataFrame, symbols, counts, model) -> DataFrame:
 
     def run(batches):
         (t, m), base = unpacked(model.value), counts.value
+        logs = np.log10(base + 0.5)
         names, part, chunk, rare_now = Vocabulary(symbols.value, t.rank), TaskContext.get().partitionId(), 0, 0
         other, spelled = names.other, np.zeros(0)
         for batch in batches:
-            raw = [x.as_py().encode("utf-8", "surrogatepass") for x in batch.column(2)]
+            raw = batch.column(2).to_pylist()
             texts = [tokens_of(x) for x in raw]
             if not texts:
                 continue
@@ -637,7 +651,7 @@ def _scored(docs: DataFrame, symbols, counts, model) -> DataFrame:
             summed = lambda x: pa.array(np.add.reduceat(x, starts))
             columns = [
                 pa.array(np.full(len(texts), (part << 24) + chunk, np.int64)), batch.column(0), batch.column(1), pa.array(sizes.astype(np.int64)), pa.array(hot_of),
-                summed(np.where(is_hot, np.log10(base[ids] + 0.5), 0.0)), summed(whole), summed((elsewhere == ids).astype(np.int64)),
+                summed(np.where(is_hot, logs[ids], 0.0)), summed(whole), summed((elsewhere == ids).astype(np.int64)),
                 pa.array(np.array(list(map(len, raw)), np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(rare)), pa.ListArray.from_arrays(pa.array(ends), pa.array(less.astype(np.float32))),
             ]
             yield pa.RecordBatch.from_arrays(columns, names=["chunk", "doc_id", "held_out", "n_tokens", "n_hot", "hot_sum", "whole", "followed", "n_bytes", "rare", "less"])
@@ -700,7 +714,7 @@ def score(docs: DataFrame, *, train: Column | None = None, most_bits: int = 22)
     spark = docs.sparkSession
     small_batches(spark)
     scratch = Scratch(spark, "model")
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().cast("binary").alias("text"))
     own = slim.withColumn("held_out", ~train if train is not None else F.lit(False))
     training = own.filter(~F.col("held_out")).select("text")
     totals = scratch.save(token_counts(training), "totals")
