@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder, shipped, small_batches, text_of
+from .common import Scratch, remainder, shipped, small_batches, text_of
 
 shipped(__name__)
 
@@ -32,6 +32,7 @@ PATTERNS = {
     "masked": re.compile(r"\b[a-z]+\*{2,}[a-z]*\b", re.I),
     "threat": re.compile(r"\b(?:kill|hurt|destroy|get rid of)\s+(?:you|yourself|them all)\b", re.I),
 }
+INSULT_SETS = [frozenset(v.split()) for v in INSULTS.values()]
 FIXED = [*(f"insults-{k}" for k in INSULTS), *PATTERNS]
 
 
@@ -44,9 +45,9 @@ def text_features(text: str) -> set[str]:
     return {f for w in set(WORD.findall(text.lower())) for f in word_features(w)}
 
 
-def fixed_votes(text: str) -> list[int]:
-    words = set(WORD.findall(text.lower()))
-    return [*(int(not words.isdisjoint(v.split())) for v in INSULTS.values()), *(int(bool(p.search(text))) for p in PATTERNS.values())]
+def fixed_votes(text: str, words: set[str] | None = None) -> list[int]:
+    words = set(WORD.findall(text.lower())) if words is None else words
+    return [*(int(not words.isdisjoint(v)) for v in INSULT_SETS), *(int(bool(p.search(text))) for p in PATTERNS.values())]
 
 
 def _counted(docs: DataFrame, wanted: frozenset | None) -> DataFrame:
@@ -77,8 +78,8 @@ def surprise(k: int, of: int, n: int, total: int) -> float:
 
 def lexicon(toxic: DataFrame, clean: DataFrame, n_toxic: int, n_clean: int, *, least_texts: int, least_surprise: float, most_features: int) -> dict[str, float]:
     """Features that toxic texts have far more often than chance would let clean ones lack them, with how surprising each is."""
-    seen = _counted(toxic, None).filter(F.col("n") >= least_texts).orderBy(F.desc("n"), "f").limit(20 * most_features).collect()
-    seen = {r["f"]: r["n"] for r in seen}
+    # Of labelled rows, a bounded number: so are their features.
+    seen = {r["f"]: r["n"] for r in _counted(toxic, None).filter(F.col("n") >= least_texts).toLocalIterator()}
     other = {r["f"]: r["n"] for r in _counted(clean, frozenset(seen)).collect()} if seen else {}
     scored = {f: surprise(k, n_toxic, k + other.get(f, 0), n_toxic + n_clean) for f, k in seen.items() if k >= 10 * other.get(f, 0)}
     best = sorted(((s, f) for f, s in scored.items() if s >= least_surprise), reverse=True)[:most_features]
@@ -91,50 +92,97 @@ def voters(features: dict[str, float]) -> dict[str, int]:
     return {f: len(FIXED) + roots.index(f[: PREFIXES[0]]) for f in features}
 
 
-def label_model(votes: np.ndarray, clean_votes: np.ndarray, y: np.ndarray, prior: float, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Posteriors of being toxic, the voters' accuracies and their weights.
+class Votes:
+    """Patterns of votes in a batch, and how often each occurs: rows of zeros and ones."""
 
-    A voter says toxic or abstains; the last one says clean where no lexicon fires. Expectation maximisation estimates how often each is
-    right where it votes, from the posteriors and, as a prior of equal weight, from the labels y of the training rows. Voters whose votes go
-    together beyond what the posterior explains share their weight.
+    def __init__(self, batch, of: np.ndarray, n_voters: int):
+        hits, fixed = batch.column("hits").to_pylist(), batch.column("votes").to_pylist()
+        self.times = batch.column("n").to_numpy().astype(float)
+        self.matrix = np.zeros((len(hits), n_voters))
+        for k, (h, f) in enumerate(zip(hits, fixed)):
+            self.matrix[k, : len(f)] = f
+            self.matrix[k, of[h]] = 1
+        self.hits = hits
+
+
+def posterior(votes: np.ndarray, model: tuple | None) -> np.ndarray:
+    """The probability of being toxic, by the label model; before there is one, by how many voters say so."""
+    if model is None:
+        return np.where(votes.sum(1) > 0, 1 - 0.5 ** np.minimum(votes.sum(1) + 1, 6), 0.001)
+    prior, hit, false, weight = model
+    odds = math.log(prior / (1 - prior)) + votes @ (weight * np.log(hit / false)) + (1 - votes) @ (weight * np.log((1 - hit) / (1 - false)))
+    return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+
+
+def told(votes: np.ndarray, times: np.ndarray, model: tuple | None) -> list[np.ndarray]:
+    """What a round of expectation maximisation needs of some patterns: sums over texts, toxic and clean, of votes and of pairs of votes."""
+    toxic = times * posterior(votes, model)
+    return [np.array([times.sum(), toxic.sum()]), toxic @ votes, (times - toxic) @ votes, (votes * toxic[:, None]).T @ votes, (votes * (times - toxic)[:, None]).T @ votes]
+
+
+def next_model(sums: list[np.ndarray]) -> tuple:
+    """The prior, how often each voter fires on toxic and on clean texts, and its weight.
+
+    Voters whose votes go together beyond what the posterior explains share their weight: the correlation is that of what is left of two votes inside the classes.
     """
-    all_votes = np.c_[votes, clean_votes].astype(float)
-    sign = np.r_[np.ones(votes.shape[1]), -1.0]
-    voted = all_votes.sum(0)
-    known = (all_votes * np.where(sign > 0, y[:, None], 1 - y[:, None])).sum(0)
-    right, weight = np.clip((known + 1) / (voted + 2), 0.501, 0.995), np.ones(len(sign))
-    start = math.log(prior / (1 - prior))
-    post = np.full(len(all_votes), prior)
+    (n, toxic), one, zero, ones, zeros = sums
+    prior = min(max((toxic + 1) / (n + 2), 1e-4), 0.5)
+    hit, false = np.clip((one + 0.5) / (toxic + 1), 1e-3, 0.999), np.clip((zero + 0.05) / (n - toxic + 1), 1e-6, 0.5)
+    left = ones - toxic * np.outer(hit, hit) + zeros - (n - toxic) * np.outer(false, false)
+    spread = np.sqrt(np.maximum(toxic * hit * (1 - hit) + (n - toxic) * false * (1 - false), 1e-9))
+    tied = np.clip(left / np.outer(spread, spread), 0, 1)
+    np.fill_diagonal(tied, 0)
+    return prior, hit, np.minimum(false, hit * 0.9), 1 / (1 + np.where(tied > 0.3, tied, 0).sum(0))
+
+
+def label_model(patterns: DataFrame, of: np.ndarray, n_voters: int, rounds: int = 8) -> tuple | None:
+    """Expectation maximisation over patterns(hits, votes, n) of all training texts, labelled or not; no label is looked at. Each round is one sum over the patterns."""
+    model = None
     for _ in range(rounds):
-        post = 1 / (1 + np.exp(-(start + all_votes @ (sign * weight * np.log(right / (1 - right))))))
-        agree = (all_votes * np.where(sign > 0, post[:, None], 1 - post[:, None])).sum(0)
-        right = np.clip((agree + known + 1) / (2 * voted + 2), 0.501, 0.995)
-        left = all_votes - np.where(sign > 0, post[:, None], 1 - post[:, None]) * (all_votes.mean(0) / np.maximum(np.where(sign > 0, post.mean(), 1 - post.mean()), 1e-9))
-        spread = np.sqrt((left**2).sum(0)) + 1e-9
-        tied = np.clip((left.T @ left) / np.outer(spread, spread), 0, 1)
-        np.fill_diagonal(tied, 0)
-        weight = 1 / (1 + np.where(tied > 0.3, tied, 0).sum(0))
-    return post, right, weight
-
-
-def linear(hits: list[list[int]], extra: np.ndarray, target: np.ndarray, n_features: int, *, rounds: int = 300, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray, float]:
-    """Logistic regression on posterior labels over sparse presence features and some dense ones."""
-    rows = np.repeat(np.arange(len(hits)), [len(h) for h in hits])
-    cols = np.array([c for h in hits for c in h], int)
-    scale = 1 / np.sqrt(np.maximum(np.array([len(h) for h in hits]), 1))[rows] if len(cols) else np.zeros(0)
-    w, u, b = np.zeros(n_features), np.zeros(extra.shape[1]), 0.0
-    size = max(len(hits), 1)
-    sums = [np.full(n_features, 1e-8), np.full(extra.shape[1], 1e-8), 1e-8]
+        def run(batches, model=model):
+            total = None
+            for batch in batches:
+                if batch.num_rows:
+                    v = Votes(batch, of, n_voters)
+                    part = told(v.matrix, v.times, model)
+                    total = part if total is None else [a + b for a, b in zip(total, part)]
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([x.ravel() for x in total]).tobytes()], pa.binary())], names=["sums"])
+
+        got = [np.frombuffer(r["sums"]) for r in patterns.mapInArrow(run, "sums binary").collect()]
+        if not got:
+            return None
+        flat, shapes = sum(got), [(2,), (n_voters,), (n_voters,), (n_voters, n_voters), (n_voters, n_voters)]
+        cuts = np.cumsum([0, *(math.prod(x) for x in shapes)])
+        model = next_model([flat[a:b].reshape(x) for a, b, x in zip(cuts, cuts[1:], shapes)])
+    return model
+
+
+def linear(patterns: DataFrame, of: np.ndarray, n_voters: int, model: tuple, n_features: int, *, rounds: int = 25, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray, float]:
+    """Logistic regression on the posterior labels of all patterns, over presence features and the fixed voters: each round is one sum of gradients."""
+    size = n_features + len(FIXED) + 1
+    w, sums = np.r_[np.zeros(n_features), np.zeros(len(FIXED)), -3.0], np.full(size, 1e-8)
     for _ in range(rounds):
-        z = extra @ u + b + (np.bincount(rows, scale * w[cols], len(hits)) if len(cols) else 0)
-        g = (1 / (1 + np.exp(-z)) - target) / size
-        gw = np.bincount(cols, scale * g[rows], n_features) + decay * w / n_features if len(cols) else np.zeros(n_features)
-        gu, gb = extra.T @ g + decay * u / size, float(g.sum())
-        for s, q in zip((0, 1), (gw, gu)):
-            sums[s] = sums[s] + q * q
-        sums[2] += gb * gb
-        w, u, b = w - 0.5 * gw / np.sqrt(sums[0]), u - 0.5 * gu / np.sqrt(sums[1]), b - 0.5 * gb / math.sqrt(sums[2])
-    return w, u, b
+        def run(batches, w=w):
+            total = np.zeros(size + 1)
+            for batch in batches:
+                if batch.num_rows:
+                    v = Votes(batch, of, n_voters)
+                    target = posterior(v.matrix, model)
+                    sizes = np.array([len(h) for h in v.hits])
+                    rows, cols = np.repeat(np.arange(len(v.hits)), sizes), np.array([c for h in v.hits for c in h], int)
+                    scale = 1 / np.sqrt(np.maximum(sizes, 1))[rows]
+                    fixed = v.matrix[:, : len(FIXED)]
+                    z = fixed @ w[n_features:-1] + w[-1] + np.bincount(rows, scale * w[cols], len(v.hits))
+                    g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target) * v.times
+                    total += np.r_[np.bincount(cols, scale * g[rows], n_features) if n_features else np.zeros(0), fixed.T @ g, g.sum(), v.times.sum()]
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+
+        got = sum((np.frombuffer(r["sums"]) for r in patterns.mapInArrow(run, "sums binary").collect()), np.zeros(size + 1))
+        g = got[:-1] / max(got[-1], 1) + np.r_[decay * w[:-1] / size, 0.0]
+        sums += g * g
+        w = w - 1.0 * g / np.sqrt(sums)
+    return w[:n_features], w[n_features:-1], float(w[-1])
 
 
 def _observed(docs: DataFrame, features: dict[str, int], carried: str) -> DataFrame:
@@ -147,16 +195,18 @@ def _observed(docs: DataFrame, features: dict[str, int], carried: str) -> DataFr
             hits, votes = [], []
             for t in batch.column(len(names)):
                 text = t.as_py()
+                words = set(WORD.findall(text.lower()))
                 found: set[int] = set()
-                for w in set(WORD.findall(text.lower())):
+                for w in words:
                     ks = of.get(w)
                     if ks is None:
                         if len(of) >= CACHE:
                             of.clear()
                         ks = of[w] = tuple(features[f] for f in word_features(w) if f in features)
-                    found.update(ks)
+                    if ks:
+                        found.update(ks)
                 hits.append(sorted(found))
-                votes.append(fixed_votes(text))
+                votes.append(fixed_votes(text, words))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(names))), pa.array(hits, pa.list_(pa.int32())), pa.array(votes, pa.list_(pa.int32()))], names=[*names, "hits", "votes"])
 
     return docs.mapInArrow(run, f"{carried}, hits array<int>, votes array<int>")
@@ -166,41 +216,41 @@ def classify(docs: DataFrame, labels: DataFrame, *, train: Column | None = None,
     """Each document's toxicity: doc_id, score, predicted.
 
     From at most `most_labelled` labelled rows for which `train`, over doc_id, holds, first by hash of the id, features (words and
-    their beginnings) are chosen that toxic texts have and clean ones lack; those that begin alike are one lexicon voter. With general
-    insults and patterns as further voters, the label model estimates accuracies and correlations, and a linear
-    classifier is trained on its posteriors; the labels of the same rows set the point of 0.5. Every whole text is scored.
+    their beginnings) are chosen that toxic texts have and clean ones lack, the `most_features` most surprising; those that begin alike are one lexicon voter. General
+    insults and patterns are further voters. Each whole text's votes are taken once. From the patterns of votes of all training texts, labelled or not, and without a look at the
+    labels, the label model estimates how often each voter fires on toxic and on clean texts and which voters go together, and a linear classifier is trained on its posteriors of
+    all these texts. The labels then set the point of 0.5 only.
 
     Null, empty and blank texts have no feature and get the intercept's score. Without labelled rows only the fixed voters speak. Labels that
-    are null are left out; repeated rows get equal scores. Other columns are ignored.
+    are null are left out, and an id's repeated labels count as toxic if one does; repeated rows get equal scores. Other columns are ignored.
     """
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
+    scratch = Scratch(spark, "toxicity")
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y")).filter("y is not null and doc_id is not null")
     known = (known.filter(train) if train is not None else known).groupBy("doc_id").agg(F.max("y").alias("y"))
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled)
-    rows = slim.join(F.broadcast(known), "doc_id").select("doc_id", "y", "text")
-    counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    known = scratch.save(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled), "known")
+    # An id's repeated rows count once: their number is bounded only so.
+    rows = scratch.save(slim.join(F.broadcast(known), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")), "labelled")
+    counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_toxic, n_clean = counts.get(1, 0), counts.get(0, 0)
     chosen = lexicon(rows.filter("y = 1").select("text"), rows.filter("y = 0").select("text"), n_toxic, n_clean, least_texts=least_texts, least_surprise=least_surprise, most_features=most_features) if n_toxic and n_clean else {}
     index = {f: k for k, f in enumerate(sorted(chosen))}
     lexicons = voters(chosen)
-    got = sorted(tuple(r) for r in _observed(rows, index, "doc_id long, y int").collect())
     n_voters = len(FIXED) + len({v for v in lexicons.values()})
-    of = [lexicons[f] for f in sorted(chosen)]
-    votes = np.zeros((len(got), n_voters))
-    for k, (_, _, hits, fixed) in enumerate(got):
-        votes[k, : len(FIXED)] = fixed
-        votes[k, [of[h] for h in hits]] = 1
-    y = np.array([r[1] for r in got], float)
+    of = np.array([lexicons[f] for f in sorted(chosen)], int)
+    seen = scratch.save(_observed(slim, index, "doc_id long"), "observed")
+    learned = seen if train is None else seen.filter(train)
+    patterns = scratch.save(learned.groupBy("hits", "votes").agg(F.count(F.lit(1)).alias("n")), "patterns")
+    model = label_model(patterns, of, n_voters)
     weights, dense, intercept, shift = np.zeros(len(index)), np.full(len(FIXED), 3.0), -3.0, 0.0
-    if len(got):
-        prior = min(max(n_toxic / max(n_toxic + n_clean, 1), 0.01), 0.5)
-        post, _, _ = label_model(votes, (votes[:, [*range(len(INSULTS)), *range(len(FIXED), n_voters)]].sum(1) == 0), y, prior)
-        weights, dense, intercept = linear([r[2] for r in got], votes[:, : len(FIXED)], post, len(index))
-        z = np.array([scored(r[2], r[3], weights, dense, intercept) for r in got])
-        shift = -_border(z, y) if y.min() != y.max() else 0.0
-    model = ({f: float(weights[k]) for f, k in index.items()}, [float(u) for u in dense], intercept + shift)
-    return _scored(slim, model)
+    if model is not None:
+        weights, dense, intercept = linear(patterns, of, n_voters, model, len(index))
+        got = sorted((r["doc_id"], r["y"], r["hits"], r["votes"]) for r in seen.join(F.broadcast(known), "doc_id").dropDuplicates(["doc_id"]).collect())
+        z, y = np.array([scored(r[2], r[3], weights, dense, intercept) for r in got]), np.array([r[1] for r in got], float)
+        shift = -_border(z, y) if len(y) and y.min() != y.max() else 0.0
+    return _scored(seen, weights.tolist(), [float(u) for u in dense], intercept + shift)
 
 
 def scored(hits, fixed, weights, dense, intercept) -> float:
@@ -220,32 +270,13 @@ def _border(z: np.ndarray, y: np.ndarray) -> float:
     return float((z[k] + z[k + 1]) / 2)
 
 
-def _scored(slim: DataFrame, model: tuple) -> DataFrame:
-    weights, dense, intercept = model
-    index = {f: k for k, f in enumerate(weights)}
-    values = list(weights.values())
-
+def _scored(seen: DataFrame, weights: list[float], dense: list[float], intercept: float) -> DataFrame:
     def run(batches):
-        of: dict[str, tuple[int, ...]] = {}
         for batch in batches:
-            out = []
-            for t in batch.column(1):
-                text = t.as_py()
-                found: set[int] = set()
-                words = set(WORD.findall(text.lower()))
-                for w in words:
-                    ks = of.get(w)
-                    if ks is None:
-                        if len(of) >= CACHE:
-                            of.clear()
-                        ks = of[w] = tuple(index[f] for f in word_features(w) if f in index)
-                    if ks:
-                        found.update(ks)
-                z = scored(found, fixed_votes(text), values, dense, intercept)
-                out.append(1 / (1 + math.exp(-max(min(z, 700.0), -700.0))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], names=["doc_id", "score"])
+            z = [scored(h, v, weights, dense, intercept) for h, v in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([1 / (1 + math.exp(-max(min(x, 700.0), -700.0))) for x in z], pa.float64())], names=["doc_id", "score"])
 
-    return slim.mapInArrow(run, "doc_id long, score double").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return seen.select("doc_id", "hits", "votes").mapInArrow(run, "doc_id long, score double").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def held_out() -> Column:

@@ -1,3 +1,4 @@
+import re
 import zlib
 
 import numpy as np
@@ -66,11 +67,59 @@ def test_compiled_rules_equal_the_model(spark):
     assert np.allclose(got, 1 / (1 + np.exp(-z))) and np.mean((got > 0.5) == y) > 0.95
 
 
-def test_label_model_finds_accuracies():
+def test_label_model_finds_accuracies(spark):
+    """Accuracies and correlations come out of votes alone, as a brute-force run of the same rounds has them."""
     rng = np.random.default_rng(6)
-    y = (rng.random(4000) < 0.2).astype(float)
-    fires = lambda hit, noise: ((y == 1) & (rng.random(4000) < hit) | (y == 0) & (rng.random(4000) < noise)).astype(float)
-    good, bad = fires(0.6, 0.002), fires(0.2, 0.2)
-    votes = np.c_[good, fires(0.6, 0.002), fires(0.5, 0.003), bad, good]
-    post, right, weight = toxicity.label_model(votes, votes[:, :3].sum(1) == 0, y, 0.2)
-    assert right[0] > 0.9 and right[3] < 0.6 and weight[0] < weight[1] and np.mean((post > 0.5) == y) > 0.95
+    y = (rng.random(6000) < 0.15).astype(float)
+    fires = lambda hit, noise: ((y == 1) & (rng.random(6000) < hit) | (y == 0) & (rng.random(6000) < noise)).astype(int)
+    good, n = fires(0.6, 0.002), len(toxicity.FIXED)
+    votes = np.zeros((6000, n + 3), int)
+    for k, v in enumerate((good, fires(0.6, 0.002), fires(0.5, 0.003), good, fires(0.03, 0.03))):
+        votes[:, k if k < 3 else n + k - 3] = v
+    rows = [([j for j in range(3) if v[n + j]], v[:n].tolist()) for v in votes]
+    df = spark.createDataFrame(rows, "hits array<int>, votes array<int>").groupBy("hits", "votes").agg(F.count(F.lit(1)).alias("n")).repartition(3)
+    prior, hit, false, weight = toxicity.label_model(df, np.array([n, n + 1, n + 2]), n + 3)
+    assert abs(prior - 0.15) < 0.03 and abs(hit[1] - 0.6) < 0.1 and false[1] < 0.02 and hit[n + 1] / max(false[n + 1], 1e-9) < 4
+    assert weight[0] < 0.7 and weight[n] < 0.7 and weight[1] > 0.9
+    post = toxicity.posterior(votes.astype(float), (prior, hit, false, weight))
+    assert np.mean((post > 0.5) == y) > 0.93
+    model = None
+    for _ in range(8):
+        toxic = toxicity.posterior(votes.astype(float), model)
+        sums = [np.array([6000.0, toxic.sum()]), *(np.array([sum(w * v[a] for w, v in zip(c, votes)) for a in range(n + 3)]) for c in (toxic, 1 - toxic))]
+        sums += [sum(w * np.outer(v, v) for w, v in zip(c, votes)) for c in (toxic, 1 - toxic)]
+        model = toxicity.next_model(sums)
+    assert np.isclose(model[0], prior) and all(np.allclose(a, b) for a, b in zip(model[1:], (hit, false, weight)))
+
+
+def test_votes_are_what_texts_hold(spark):
+    texts = ["You are an idiot! idiots", "nothing at all", "", "du bist dumm, dumm", "f*** off, I will hurt you", None, "THE Vermin and pigs"]
+    features = {"idi": 0, "idiot$": 1, "dumm$": 2, "ver": 3}
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").selectExpr("doc_id", "coalesce(text, '') as text")
+    got = {r["doc_id"]: (r["hits"], r["votes"]) for r in toxicity._observed(df, features, "doc_id long").collect()}
+    for k, t in enumerate(texts):
+        words = re.findall(r"[^\W\d_]+", (t or "").lower())
+        want = sorted({v for f, v in features.items() for w in words if (f == w + "$" if f.endswith("$") else w.startswith(f) and len(w) > len(f))})
+        fixed = [int(any(w in v.split() for w in words)) for v in toxicity.INSULTS.values()] + [int(p.search(t or "") is not None) for p in toxicity.PATTERNS.values()]
+        assert got[k] == (want, fixed)
+
+
+def test_statistics_of_a_text():
+    """The statistics of the quality model, by plain loops."""
+    texts = ["", "one", "A b! A b! a, C. 12 | x\n\nA b!\n \nlast line", "w " * 500, "é \u00df €5", "#tag word# plain & *"]
+    for t in texts:
+        got = dict(zip(quality_model.STATISTICS, quality_model.statistics(t)))
+        ws = t.encode().split()
+        if not ws:
+            assert not any(got.values())
+            continue
+        n, raw = len(ws), t.encode()
+        lines = [x for x in raw.split(b"\n") if x.split()]
+        pairs = {(a, b) for a, b in zip(ws, ws[1:])}
+        want = {
+            "words": n, "word_length": sum(len(w) for w in ws) / n, "longest_word": max(len(w) for w in ws), "distinct": len(set(ws)) / n, "distinct_pairs": len(pairs) / max(n - 1, 1), "top_share": max(ws.count(w) for w in set(ws)) / n,
+            "same_as_last": sum(a == b for a, b in zip(ws, ws[1:])) / n, "upper": sum(65 <= c <= 90 for c in raw) / max(sum(65 <= c <= 90 or 97 <= c <= 122 for c in raw), 1), "digits": sum(48 <= c <= 57 for c in raw) / len(raw),
+            "symbols": sum(c in b"#*$%&|<>@^~_=+{}[]\\" for c in raw) / len(raw), "bars": raw.count(b"|") / n, "shouts": raw.count(b"!") / n, "stops": raw.count(b".") / n, "commas": raw.count(b",") / n,
+            "line_words": n / max(len(lines), 1), "dup_lines": 1 - len(set(lines)) / max(len(lines), 1), "other_bytes": sum(c > 127 for c in raw) / len(raw), "loud_words": sum(w[0] in b"!#*$%&|" or w[-1] in b"!#*$%&|" for w in ws) / n,
+        }
+        assert all(abs(got[k] - want[k]) < 1e-12 for k in want) and got.keys() == want.keys()
