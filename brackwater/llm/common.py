@@ -36,6 +36,14 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores as make it one that df doesn't have; Spark tells no case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def remainder(doc_id: str, divisor: int) -> Column:
     """crc32 of the id as text, modulo; null ids count as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % divisor
@@ -51,9 +59,11 @@ def bounded_broadcast(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> D
 
 
 def work_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset, as in tests."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, as in tests, one of our own, but only if driver and executors are one machine."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not shared:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         shared = "/tmp/checkpoints/brackwater"
         spark.sparkContext.setCheckpointDir(shared)
     return shared.rstrip("/")

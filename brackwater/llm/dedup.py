@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, bounded_broadcast, shipped, small_batches, text_of
+from .common import Scratch, bounded_broadcast, shipped, small_batches, text_of, unused
 
 shipped(__name__)
 
@@ -257,7 +257,16 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, tab
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """The documents with the smallest id of their groups, with docs' columns. Rows of one id count as one document and stay or go together."""
-    groups = near_duplicates(docs, **options)
-    dropped = groups.filter("not kept").select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(dropped, F.col("doc_id").cast("long") == F.col("_dropped"), "left_anti")
+    """The documents with the smallest id of their groups, with docs' columns. Of rows with one id and one text, one stays; rows of one id that have other texts stay or go with it. Rows with null ids stay."""
+    scratch, own = Scratch(docs.sparkSession, "first"), unused(docs, "dropped")
+    groups = scratch.save(near_duplicates(docs, **options), "groups")
+    dropped = groups.filter("not kept").select(F.col("doc_id").alias(own)).distinct()
+    out = docs.join(dropped, F.col("doc_id").cast("long") == F.col(own), "left_anti")
+    again = groups.filter("kept and doc_id is not null").groupBy(F.col("doc_id").alias(own)).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(own)
+    again = scratch.save(again, "again")
+    n = again.count()
+    if not n:
+        return out
+    again = bounded_broadcast(again, n)
+    match = F.col("doc_id").cast("long") == F.col(own)
+    return out.join(again, match, "left_anti").unionByName(out.join(again, match, "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -122,27 +122,33 @@ def mix(docs: DataFrame, *, scratch: Scratch | None = None, **options) -> DataFr
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mix, with docs' columns: a row for each whole repetition, and for a fractional one the first words of the text.
 
-    Rows are told apart by id and size; rows alike in both and at a source's border share the fractional repetition evenly, rounded down.
+    Rows are told apart by id and size; rows alike in both and at a source's border share the fractional repetition evenly, to a word that is drawn.
     Rows with null text or no word are not in the mix: they hold no word to take. Texts stay where they are read: only the
     rules, a row for each source, and the rows at the borders are sent to them.
     """
     scratch = Scratch(docs.sparkSession, "mixed")
     rules, edge, n = _rules(docs, scratch, **options)
-    edge = scratch.save(edge.groupBy("doc_id", "size").agg((F.sum("taken") / F.count(F.lit(1))).cast("long").alias("_edge")).select(F.col("doc_id").alias("_id"), F.col("size").alias("_n"), "_edge"), "edge")
+    edge = edge.groupBy("doc_id", "size").agg(F.sum("taken").alias("_all"), F.count(F.lit(1)).alias("_like"))
+    edge = scratch.save(edge.select(F.col("doc_id").alias("_id"), F.col("size").alias("_n"), "_all", "_like"), "edge")
     size = F.size(words(text_of())).cast("long")
-    own = docs.withColumn("_size", size)
-    own = own.withColumn("_h", _hash(F.col("doc_id").cast("long"), F.col("_size"), options.get("seed", 7)))
+    # The whole row is one column, so that its names meet no others.
+    row = lambda c: F.col(f"row.{c}")
+    own = docs.select(F.struct(*docs.columns).alias("row"), size.alias("_size"))
+    own = own.withColumn("_h", _hash(row("doc_id").cast("long"), F.col("_size"), options.get("seed", 7)))
     rules = rules.select(F.col("s").alias("_s"), F.col("whole").alias("_whole"), (F.col("d0") * RADIX + F.col("d1")).alias("_limit"))
-    own = own.join(bounded_broadcast(rules, n), F.col("source").cast("string").eqNullSafe(F.col("_s")))
-    own = own.join(bounded_broadcast(edge, edge.count()), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_size") == F.col("_n")), "left")
+    own = own.join(bounded_broadcast(rules, n), row("source").cast("string").eqNullSafe(F.col("_s")))
+    own = own.join(bounded_broadcast(edge, edge.count()), row("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_size") == F.col("_n")), "left")
     prefix = F.shiftright("_h", 47)
-    taken = F.when(prefix < F.col("_limit"), F.col("_size") * (F.col("_whole") + 1)).when(prefix == F.col("_limit"), F.coalesce(F.col("_edge"), F.lit(0))).otherwise(F.col("_size") * F.col("_whole"))
+    # Whole words for each of the like rows, and one more for as many of them as are left over, drawn by their places.
+    drawn = F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(options.get("seed", 7))), F.col("_like")) < F.col("_all") % F.col("_like")
+    share = F.floor(F.col("_all") / F.col("_like")) + drawn.cast("long")
+    taken = F.when(prefix < F.col("_limit"), F.col("_size") * (F.col("_whole") + 1)).when(prefix == F.col("_limit"), F.coalesce(share, F.lit(0))).otherwise(F.col("_size") * F.col("_whole"))
     own = own.withColumn("_taken", taken).filter("_size > 0 and _taken > 0")
     own = own.withColumn("_times", F.floor(F.col("_taken") / F.col("_size")).cast("int")).withColumn("_part", (F.col("_taken") % F.col("_size")).cast("int"))
     own = own.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times") + (F.col("_part") > 0).cast("int"))))
     partial = F.col("_copy") > F.col("_times")
-    text = F.when(partial, F.array_join(F.slice(words(text_of()), 1, F.greatest(F.col("_part"), F.lit(1))), " ")).otherwise(F.col("text"))
+    text = F.when(partial, F.array_join(F.slice(words(row("text")), 1, F.greatest(F.col("_part"), F.lit(1))), " ")).otherwise(row("text"))
     put = {"text": text}
     if "n_chars" in docs.columns:
-        put["n_chars"] = F.when(partial, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return own.withColumns(put).select(*docs.columns)
+        put["n_chars"] = F.when(partial, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(row("n_chars"))
+    return own.select(*[put.get(c, row(c)).alias(c) for c in docs.columns])

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, text_of
+from .common import let, text_of, unused
 
 # The base patterns in a form that never runs over the same characters twice. A run of characters that can begin a match is
 # only tried from its start, or from where the last match ended; runs are possessive where nothing that follows could take back a character.
@@ -22,7 +22,7 @@ SECRET = r"(?<![A-Za-z0-9])[A-Za-z0-9+/_=-]{20,}+"
 NAMED_SECRET = r"(?<==)[A-Za-z0-9+/_-]{20,}+(?:=++(?![A-Za-z0-9+/_-]))?"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 LOCAL_PHONE = r"(?<![0-9+(-])(?:\([0-9]{3}\)[\x20]?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9-])"
-MASKED_EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}[\x20]?(?:\[at\]|\(at\)|@)[\x20]?[A-Za-z0-9-]{1,63}(?:[\x20]?(?:\[dot\]|\(dot\)|\.)[\x20]?[A-Za-z0-9-]{1,63})+"
+MASKED_EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}[\x20]?(?:\[at\]|\(at\)|@)[\x20]?[A-Za-z0-9-]{1,63}(?:[\x20]?(?:\[dot\]|\(dot\)|\.)[\x20]?[A-Za-z0-9-]{1,63}){1,16}"
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "secret", "ssn", "local_phone", "masked_email")
@@ -250,32 +250,33 @@ def fitted(spark, *, each: int = 40, rounds: int = 24, depth: int = 3, rate: flo
     return trees, least
 
 
-def find(docs: DataFrame, *, text_column: str = "text", **options) -> DataFrame:
-    """docs with `pii`, struct(base, spans): arrays of struct(start, kind, end) in code points, end exclusive, by start, then kind.
+def find(docs: DataFrame, *, text_column: str = "text", column: str = "pii", **options) -> DataFrame:
+    """docs with `column`, struct(base, spans): arrays of struct(start, kind, end) in code points, end exclusive, by start, then kind.
 
     base holds every match of the four base patterns that passes its kind's rule, overlaps between kinds included. spans adds those
     candidates of the further generators whose boosted score reaches their kind's threshold, unless they overlap a base span or a further
     one that starts before them. Null texts are empty and have no spans; repeated rows have the same ones. Other columns pass
-    through; one named `pii` is replaced.
+    through; one of that name is replaced.
     """
     trees, least = fitted(docs.sparkSession, **options)
     text = text_of(text_column)
     short = lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"))
-    out = docs.withColumn("pii", candidates(text))
-    sure = F.filter("pii", lambda c: (c["kind"] < len(BASE)) & valid(c["kind"], c["found"]))
-    more = F.filter("pii", lambda c: c["kind"] >= len(BASE))
+    out = docs.withColumn(column, candidates(text))
+    sure = F.filter(column, lambda c: (c["kind"] < len(BASE)) & valid(c["kind"], c["found"]))
+    more = F.filter(column, lambda c: c["kind"] >= len(BASE))
     floors = [least.get(k, math.inf) for k in range(len(KINDS))]
     floor = lambda k: F.element_at(F.array(*[F.lit(x) for x in floors]), k + 1)
     chosen = F.filter(more, lambda c: let(features(text, c), lambda f: compiled(trees, f)) >= floor(c["kind"]))
-    out = out.withColumn("pii", F.struct(F.array_sort(F.transform(sure, short)).alias("base"), F.array_sort(F.transform(chosen, short)).alias("more")))
+    out = out.withColumn(column, F.struct(F.array_sort(F.transform(sure, short)).alias("base"), F.array_sort(F.transform(chosen, short)).alias("more")))
 
     def apart(more_: Column) -> Column:
         start = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<start:int,kind:int,end:int>>").alias("out"))
         step = lambda a, c: F.when(c["start"] >= a["end"], F.struct(c["end"].alias("end"), F.concat(a["out"], F.array(c)).alias("out"))).otherwise(a)
         return F.aggregate(more_, start, step, lambda a: a["out"])
 
-    free = F.filter(F.col("pii.more"), lambda c: ~F.exists(F.col("pii.base"), lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    return out.withColumn("pii", F.struct(F.col("pii.base").alias("base"), F.array_sort(F.concat(F.col("pii.base"), apart(free))).alias("spans")))
+    base = F.col(f"{column}.base")
+    free = F.filter(F.col(f"{column}.more"), lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    return out.withColumn(column, F.struct(base.alias("base"), F.array_sort(F.concat(base, apart(free))).alias("spans")))
 
 
 def listed(spans: Column) -> Column:
@@ -287,9 +288,11 @@ def listed(spans: Column) -> Column:
 def redact(docs: DataFrame, **options) -> DataFrame:
     """docs with each found span of `text` replaced by its kind in brackets, overlapping ones as one; n_chars follows where docs have it.
 
-    Texts without a span, null ones among them, stay as they are.
+    Texts without a span, null ones among them, stay as they are, and so do all other columns, whatever their names.
     """
-    found = find(docs, **options)
+    own = unused(docs, "pii")
+    found = find(docs, column=own, **options)
+    spans = F.col(f"{own}.spans")
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     text = text_of()
 
@@ -301,7 +304,7 @@ def redact(docs: DataFrame, **options) -> DataFrame:
         done = lambda a: F.concat(F.array_join(F.transform(a["out"], lambda s: F.concat(F.substring(text, s["from"] + 1, s["to"] - s["from"]), F.element_at(names, s["kind"] + 1))), ""), F.substring(text, a["end"] + 1, F.lit(2**31 - 1)))
         return F.aggregate(spans, start, step, done)
 
-    put = {"text": F.when(F.size("pii.spans") > 0, merged(F.col("pii.spans"))).otherwise(F.col("text"))}
+    out = found.withColumn("text", F.when(F.size(spans) > 0, merged(spans)).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        put["n_chars"] = F.when(F.size("pii.spans") > 0, F.length(put["text"]).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return found.withColumns(put).select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(F.size(spans) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)

@@ -25,8 +25,8 @@ def base32_sha1(data: Column) -> Column:
     return F.translate(F.upper(F.concat(*parts)), DIGITS32, BASE32)
 
 
-def classified(pages: DataFrame, *, smallest: int = 0, id_column: str = "page_id", payload_column: str = "html") -> DataFrame:
-    """pages with `_payload`, `_digest`, `_bytes`, `_first`: the id that a revisit refers to, null for responses.
+def classified(pages: DataFrame, *, smallest: int = 0, id_column: str = "page_id", url_column: str | None = "url", payload_column: str = "html") -> DataFrame:
+    """id, url, payload, digest, bytes and first of each page, the id that a revisit refers to, null for responses. Other columns of pages are left behind.
 
     Of rows with equal payloads of at least `smallest` bytes those with the smallest id are responses, so repeated rows of it all are; rows
     with null ids refer to it like others, and are responses where no row has an id. Only digests that several rows have are kept in a table,
@@ -34,11 +34,12 @@ def classified(pages: DataFrame, *, smallest: int = 0, id_column: str = "page_id
     Spark can split a payload that many rows share.
     """
     payload = F.coalesce(F.col(payload_column), F.lit(""))
-    rows = pages.withColumns({"_payload": payload, "_digest": base32_sha1(payload.cast("binary")), "_bytes": F.octet_length(payload).cast("long")})
-    firsts = rows.filter(F.col("_bytes") >= smallest).groupBy("_digest", "_bytes").agg(F.min(id_column).alias("_least"), F.count(F.lit(1)).alias("_n")).filter("_n > 1 and _least is not null")
-    firsts = Scratch(pages.sparkSession, "firsts").save(firsts.select(F.col("_digest").alias("_d"), F.col("_bytes").alias("_b"), "_least"), "firsts")
-    out = rows.join(bounded_broadcast(firsts, firsts.count()), (F.col("_digest") == F.col("_d")) & (F.col("_bytes") == F.col("_b")), "left")
-    return out.withColumn("_first", F.when(~F.col(id_column).eqNullSafe(F.col("_least")), F.col("_least"))).drop("_d", "_b", "_least")
+    url = F.col(url_column).cast("string") if url_column and url_column in pages.columns else F.lit(None).cast("string")
+    rows = pages.select(F.col(id_column).alias("id"), url.alias("url"), payload.alias("payload"), base32_sha1(payload.cast("binary")).alias("digest"), F.octet_length(payload).cast("long").alias("bytes"))
+    firsts = rows.filter(F.col("bytes") >= smallest).groupBy("digest", "bytes").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1 and least is not null")
+    firsts = Scratch(pages.sparkSession, "firsts").save(firsts.select(F.col("digest").alias("d"), F.col("bytes").alias("b"), "least"), "firsts")
+    out = rows.join(bounded_broadcast(firsts, firsts.count()), (F.col("digest") == F.col("d")) & (F.col("bytes") == F.col("b")), "left")
+    return out.select("id", "url", "payload", "digest", "bytes", F.when(~F.col("id").eqNullSafe(F.col("least")), F.col("least")).alias("first"))
 
 
 def write(pages: DataFrame, path: str, *, id_column: str = "page_id", url_column: str | None = "url", payload_column: str = "html", smallest: int = 0) -> None:
@@ -46,21 +47,21 @@ def write(pages: DataFrame, path: str, *, id_column: str = "page_id", url_column
 
     Null payloads are empty. The id is a header of its own (left out where null), and so are the payload's length and digest.
     """
-    rows = classified(pages, smallest=smallest, id_column=id_column, payload_column=payload_column)
-    first = F.col("_first")
+    rows = classified(pages, smallest=smallest, id_column=id_column, url_column=url_column, payload_column=payload_column)
+    first = F.col("first")
     lines = [
         F.when(first.isNull(), "WARC-Type: response").otherwise("WARC-Type: revisit"),
-        F.concat(F.lit("WARC-Record-ID: <urn:page:"), F.coalesce(F.col(id_column).cast("string"), F.lit("none")), F.lit(">")),
-        F.concat(F.lit("WARC-Page-ID: "), F.col(id_column).cast("string")),
-        F.concat(F.lit("WARC-Target-URI: "), F.regexp_replace(F.col(url_column).cast("string"), r"[\r\n]+", "")) if url_column and url_column in pages.columns else F.lit(None).cast("string"),
+        F.concat(F.lit("WARC-Record-ID: <urn:page:"), F.coalesce(F.col("id").cast("string"), F.lit("none")), F.lit(">")),
+        F.concat(F.lit("WARC-Page-ID: "), F.col("id").cast("string")),
+        F.concat(F.lit("WARC-Target-URI: "), F.regexp_replace("url", r"[\r\n]+", "")),
         F.lit("WARC-Date: 1970-01-01T00:00:00Z"),
-        F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("_digest")),
-        F.concat(F.lit("WARC-Payload-Length: "), F.col("_bytes").cast("string")),
+        F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("digest")),
+        F.concat(F.lit("WARC-Payload-Length: "), F.col("bytes").cast("string")),
         F.concat(F.lit("WARC-Refers-To: <urn:page:"), first.cast("string"), F.lit(">")),
         F.when(first.isNotNull(), "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
-        F.concat(F.lit("Content-Length: "), F.when(first.isNull(), F.col("_bytes")).otherwise(0).cast("string")),
+        F.concat(F.lit("Content-Length: "), F.when(first.isNull(), F.col("bytes")).otherwise(0).cast("string")),
     ]
-    record = F.concat(F.lit(MAGIC), F.concat_ws("\r\n", *lines), F.lit(END), F.when(first.isNull(), F.col("_payload")).otherwise(""))
+    record = F.concat(F.lit(MAGIC), F.concat_ws("\r\n", *lines), F.lit(END), F.when(first.isNull(), F.col("payload")).otherwise(""))
     rows.select(record.alias("value")).write.mode("overwrite").option("lineSep", END).text(path)
 
 

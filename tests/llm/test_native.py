@@ -1,10 +1,14 @@
 """Brute-force twins of the operators that run in DataFrame operations only."""
 
 import hashlib
+import math
 import re
+import struct
 from collections import Counter
 
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 
 from brackwater.llm import mixing, quality_rules, queries, winnowing
 
@@ -54,6 +58,57 @@ def test_quality_signals(spark, sf_dir, documents, odd):
     assert sorted(tuple(r["rules"])[:5] for r in rows) == sorted(signals(x[1]) for x in ODD)
     assert all(r["rules"]["ratio"] == 0 and r["rules"]["kept"] == (not r["rules"]["base_failed"]) for r in rows)
     assert quality_rules.apply_rules(odd.limit(0), none).count() == 0
+    clash = spark.createDataFrame([(1, "twelve words that stand here only once and make no rule fail", "own", "too")], "doc_id long, text string, rules string, _rules string")
+    assert [tuple(r) for r in quality_rules.keep_good(clash, none).collect()] == [tuple(r) for r in clash.collect()]
+
+
+def spark_hash(*values):
+    """Spark's xxhash64 of strings, longs (int) and ints (as 4 bytes)."""
+    seed = 42
+    for v in values:
+        seed = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else v, seed)
+    return seed
+
+
+def verdicts(rows, labels, buckets=16_384, smoothing=0.5, doubt=0.5, keep=0.99):
+    """ratio and kept of every document, by plain loops."""
+    long = lambda i: struct.pack("<q", i)
+    good = sorted({i for i, q in labels if q == 1 and i is not None})
+    half = {i: spark_hash(long(i), struct.pack("<i", 29)) % 2 for i in good}  # the last bit is the same with and without sign
+    grams = {}
+    for k, (_, text, _) in enumerate(rows):
+        ws = words(text)
+        grams[k] = [spark_hash(w) % buckets for w in ws] + [spark_hash(b, a) % buckets for a, b in zip(ws, ws[1:])]
+    raw, target = Counter(), Counter()
+    for k, (i, _, _) in enumerate(rows):
+        raw.update(grams[k])
+        if half.get(i) == 0:
+            target.update(grams[k])
+    n, m = raw.total(), target.total()
+    weight = [round(1000 * (math.log((target[b] + smoothing) / (m + smoothing * buckets)) - math.log((raw[b] + smoothing) / (n + smoothing * buckets)))) for b in range(buckets)] if m else [0] * buckets
+    total = {k: sum(weight[b] for b in g) for k, g in grams.items()}
+    reached = sorted((total[k] / 1000 + doubt * math.sqrt(len(grams[k]))) / len(grams[k]) for k, (i, _, _) in enumerate(rows) if half.get(i) == 1 and grams[k])
+    least = math.floor(1000 * reached[int((1 - keep) * len(reached))]) / 1000 if len(reached) >= 10 else -0.03
+    out = []
+    for k, (i, text, _) in enumerate(rows):
+        c = signals(text)
+        failed = c[0] < 10 or 100 * c[4] > 20 * c[0]
+        g = len(grams[k])
+        out.append((i, failed, not failed and total[k] >= 1000 * (least * g - doubt * math.sqrt(g)), total[k] / (1000 * g) if g else 0.0))
+    return out
+
+
+def test_ratios_and_verdicts(spark, documents):
+    """Labels of every fourth document: the threshold comes from a half of the good ones."""
+    labels = [(i, int(k % 3 > 0)) for k, (i, text, _) in enumerate(documents)] * 2
+    docs = spark.createDataFrame([d[:2] for d in documents], "doc_id long, text string")
+    for given in (labels, labels[:20], []):
+        got = quality_rules.apply_rules(docs, spark.createDataFrame([(i, q, 0) for i, q in given], "doc_id long, quality int, toxic int")).collect()
+        want = {i: (f, k, r) for i, f, k, r in verdicts(documents, given)}
+        assert len(got) == len(want)
+        for r in got:
+            f, k, ratio = want[r["doc_id"]]
+            assert (r["rules"]["base_failed"], r["rules"]["kept"]) == (f, k) and abs(r["rules"]["ratio"] - ratio) < 1e-9
 
 
 def test_quality_verdicts_follow_labels(spark, sf_dir):
@@ -105,6 +160,20 @@ def test_water_filling_and_taken(spark, sf_dir, documents, odd):
         got[r["doc_id"]] += len(words(r["text"]))
     assert got == +total
     assert mixing.mixed_documents(odd).columns == odd.columns
+    clash = docs.limit(40).withColumns({k: F.lit(f"own {k}") for k in ("_size", "_h", "_s", "_taken", "row", "_copy")}).cache()
+    out = mixing.mixed_documents(clash)
+    assert out.columns == clash.columns and {tuple(r) for r in out.select("_size", "_h", "_s", "_taken", "row", "_copy").collect()} == {tuple(f"own {k}" for k in ("_size", "_h", "_s", "_taken", "row", "_copy"))}
+
+
+def test_like_rows_meet_the_target(spark):
+    """A third of the rows are alike in id and size: their fractional repetitions add up, too."""
+    rows = [(None, "one two three four five six seven", "a")] * 300 + [(k, "w " * (k % 50 + 1), "ab"[k % 2]) for k in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for r in mixing.mix(df).groupBy("source_size", "target").agg(F.sum("taken").alias("t")).collect():
+        assert abs(r["t"] - r["target"]) <= 1
+    want = {r["target"]: r["t"] for r in mixing.mix(df).groupBy("target").agg(F.sum("taken").alias("t")).collect()}
+    got = mixing.mixed_documents(df).groupBy("source").agg(F.sum(F.size(F.split(F.trim("text"), " +"))).alias("t")).collect()
+    assert sorted(r["t"] for r in got) == pytest.approx(sorted(want.values()), abs=60)
 
 
 def choose(values):

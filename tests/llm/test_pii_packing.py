@@ -31,7 +31,7 @@ def base(text):
 
 def odd_texts():
     rng = random.Random(3)
-    yield from (None, "", " ", "a@b.c_x@d.e", "x@y.z@w.v.u", "1.2.3.4.5.6.7.8", "001.002.003.0255 256.1.1.1", "\U0001f600 a@b.co \U0001f600 +1 (555) 010-9999 é 4111 1111 1111 1111", "+1+22+333 444 555 666", "4111-1111-1111-1111 0000 0000 0000", "9" * 30000, "a" * 30000, "1.1" * 5000, "+1" + " " * 9000, "a.b" * 8000 + "@c.d", "key " + "ab12" * 10)
+    yield from (None, "", " ", "a@b.c_x@d.e", "x@y.z@w.v.u", "1.2.3.4.5.6.7.8", "001.002.003.0255 256.1.1.1", "\U0001f600 a@b.co \U0001f600 +1 (555) 010-9999 é 4111 1111 1111 1111", "+1+22+333 444 555 666", "4111-1111-1111-1111 0000 0000 0000", "9" * 30000, "a" * 30000, "1.1" * 5000, "+1" + " " * 9000, "a.b" * 8000 + "@c.d", "a@b" + ".c" * 1000, "x a@b" + ".c" * 100_000 + " y", "a [at] b" + " [dot] c" * 20_000, "key " + "ab12" * 10)
     for _ in range(300):
         yield "".join(rng.choice(["a", "Z", "1", "23", "4567", ".", "@", "-", "+", " ", "_", "(", ")", "\n", "é", "com", "255", "4111111111111111"]) for _ in range(rng.randrange(1, 60)))
 
@@ -67,6 +67,8 @@ def test_trees_add_other_kinds_and_leave_prose(spark):
     assert clean[0] == 'the token = "[SECRET]" ends' and clean[3] == texts[3]
     two = pii.redact(spark.createDataFrame([(1, "x 4111 1111 1111 1111 y a@b.co", 9), (2, None, None)], "doc_id long, text string, n_chars long")).orderBy("doc_id").collect()
     assert "4111" not in two[0]["text"] and two[0]["text"].endswith("y [EMAIL]") and two[0]["n_chars"] == len(two[0]["text"]) and two[1]["text"] is None
+    own = spark.createDataFrame([(1, "to a@b.co", "mine", "too")], "doc_id long, text string, pii string, _pii string")
+    assert tuple(pii.redact(own).first()) == (1, "to [EMAIL]", "mine", "too")
 
 
 def test_long_and_named_secrets(spark):
