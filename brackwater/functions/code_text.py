@@ -14,18 +14,43 @@ BRANCHES = (r"\bif\s*\(", r"\belse\s+if\s*\(", r"\bwhile\s*\(", r"\bfor\s*\(", r
 DEEP = (r"@\w+", r"Stream\.", r"Optional\.", r"CompletableFuture", r"BigDecimal", r"Reflection", r"Pattern\.", r"\.map\(", r"\.filter\(", r"\.reduce\(")
 # Words that look like calls or fields but are keywords.
 CALL_KEYWORDS = ("if", "for", "while", "switch", "catch", "return", "new", "throw")
-# Default categories of external dependencies, with criticality and patterns; more come in as a table.
-DEPENDENCIES = (
-    ("database", "high", (r"\.save\(", r"\.findBy", r"\.delete\(", r"Repository", r"EntityManager")),
-    ("network", "high", (r"\.get\(", r"\.post\(", r"\.put\(", r"HttpClient", r"RestTemplate", r"WebClient")),
-    ("file_system", "high", (r"Files\.", r"File\.", r"\.read\(", r"\.write\(", r"InputStream", r"OutputStream")),
-    ("logging", "medium", (r"Logger", r"\.log\(", r"LogManager")),
-    ("time", "medium", (r"System\.currentTimeMillis", r"LocalDateTime", r"Instant\.", r"Clock\.")),
-    ("random", "medium", (r"Random", r"Math\.random")),
-    ("environment", "high", (r"System\.getenv\(", r"System\.getProperty\(")),
-    ("object_creation", "high", (r"new\s+[A-Z]\w*\(",)),
-    ("security", "high", (r"SecurityContext", r"Authentication", r"Principal")),
+# Categories of external dependencies with their patterns, read in any case. Categories of single frameworks come in as a table of the same form.
+PATTERNS = (
+    ("database", (r"\.save\(", r"\.findBy", r"\.delete\(", r"Repository", r"EntityManager", r"JpaRepository", r"CrudRepository", r"@Transactional", r"@Entity")),
+    ("network", (r"\.get\(", r"\.post\(", r"\.put\(", r"\.delete\(", r"HttpClient", r"RestTemplate", r"WebClient", r"OkHttp", r"ApacheHttp")),
+    ("file_system", (r"Files\.", r"File\.", r"\.read\(", r"\.write\(", r"Path\.", r"InputStream", r"OutputStream", r"BufferedReader", r"BufferedWriter")),
+    ("logging", (r"Logger", r"\.log\(", r"LogManager", r"LoggerFactory", r"@Slf4j", r"@Log4j2")),
+    ("time", (r"System\.currentTimeMillis", r"LocalDateTime", r"Instant\.", r"ZonedDateTime", r"Clock\.", r"Date\.")),
+    ("random", (r"Random", r"Math\.random", r"ThreadLocalRandom", r"SecureRandom")),
+    ("system", (r"System\.", r"Runtime\.", r"ProcessBuilder", r"Process\.")),
+    ("environment", (r"System\.getenv\(", r"System\.getProperty\(", r"System\.setProperty\(", r'@Value\s*\(\s*"\$\{', r"@ConfigurationProperties")),
+    ("object_creation", (r"new\s+[A-Z]\w*\(", r"\.newInstance\(", r"Class\.forName\(", r"BeanUtils\.", r"ObjectMapper\.")),
+    ("reflection", (r"\.getClass\(", r"\.getMethod\(", r"\.invoke\(", r"Field\.", r"Constructor\.", r"Method\.")),
+    ("io_operations", (r"\.read\(", r"\.write\(", r"\.flush\(", r"\.close\(", r"\.available\(", r"\.skip\(")),
+    ("security", (r"SecurityContext", r"Authentication", r"Principal", r"@PreAuthorize", r"@Secured", r"BCrypt", r"JWT")),
+    ("validation", (r"@Valid", r"@NotNull", r"@NotEmpty", r"@Size", r"@Pattern", r"Validator\.", r"ConstraintViolation")),
+    ("serialization", (r"ObjectMapper", r"Gson", r"Jackson", r"@JsonIgnore", r"@JsonProperty", r"Serializable")),
+    ("caching", (r"@Cacheable", r"@CacheEvict", r"@CachePut", r"CacheManager", r"RedisTemplate", r"@EnableCaching")),
+    ("messaging", (r"@RabbitListener", r"@KafkaListener", r"@JmsListener", r"MessageProducer", r"MessageConsumer")),
+    ("scheduling", (r"@Scheduled", r"@EnableScheduling", r"TaskScheduler", r"CronExpression")),
+    ("configuration", (r"@Configuration", r"@Bean", r"@Component", r"@Service", r"@Repository", r"@Controller")),
+    ("testing", (r"@MockBean", r"@SpyBean", r"@TestConfiguration", r"@MockitoSettings")),
+    ("metrics", (r"@Timed", r"@Counted", r"MeterRegistry", r"Counter\.", r"Timer\.", r"Gauge\.")),
+    ("actuator", (r"@Actuator", r"HealthIndicator", r"@Endpoint", r"@ReadOperation")),
 )
+# Which categories are critical, those of frameworks included; all others are medium.
+HIGH = (
+    "database", "network", "environment", "object_creation", "security", "file_system", "io_operations", "reflection", "validation", "serialization", "caching", "messaging",
+    "spring_boot", "spring_web", "spring_security", "spring_data", "hibernate", "hibernate_advanced", "jpa_queries", "spring_batch", "spring_cloud", "spring_kafka", "spring_amqp", "microservices",
+)
+# Four further checks, in this case only, all critical.
+SPECIFIC = (("environment", r"System\.getenv\s*\("), ("object_creation", r"new\s+[A-Z]\w*\s*\("), ("method_calls", r"[a-zA-Z_]\w*\.\w+\s*\("), ("static_calls", r"[A-Z]\w*\.\w+\s*\("))
+# Names of methods that change data, or check it.
+CHANGING, CHECKING = ("save", "delete", "update", "create"), ("validate", "check", "verify")
+
+
+def criticality(category: str) -> str:
+    return "high" if category in HIGH else "medium"
 
 
 def count(c: Column, pattern: str, any_case: bool = False) -> Column:
@@ -119,21 +144,122 @@ def recommended_tests(cc: Column, edges: Column) -> Column:
     return F.least(F.lit(15), F.lit(3) + F.when(cc > 10, 3).when(cc > 5, 2).otherwise(1) + F.least(n, F.lit(5)))
 
 
+def generator_score(c: Column) -> Column:
+    """A rough size of code: its control words, and brackets that are open."""
+    return total([plain_count(c, w) for w in ("if", "for", "while", "switch", "catch", "try")]) + plain_count(c, "(") - plain_count(c, ")") + plain_count(c, "{") - plain_count(c, "}")
+
+
+def is_async(c: Column) -> Column:
+    return has(c, "CompletableFuture", "@Async", "Thread", "ExecutorService")
+
+
+def test_priorities(level_: Column, critical: Column, edges: Column, performance: Column) -> Column:
+    """What to test first, in order."""
+    first = [(level_.isin("High", "Very High"), "branches"), (critical > 0, "mocks"), (edges > 3, "edge cases"), (performance != "Low Impact", "performance")]
+    return F.concat_ws(",", *[F.when(c, F.lit(n)) for c, n in first], F.lit("happy path"), F.lit("exceptions"), F.lit("boundaries"), F.lit("messages"))
+
+
+def special_considerations(level_: Column, dependencies: Column, async_: Column, concerns: Column) -> Column:
+    return named([("refactor", level_ == "Very High"), ("mocking", dependencies > 0), ("futures", async_), ("cleanup", concerns != "")])
+
+
+def test_strategy(level_: Column, critical: Column, edges: Column, categories: Column) -> Column:
+    """struct(approach, focus, patterns)."""
+    hard = level_.isin("High", "Very High")
+    return F.struct(
+        F.when(hard, "branch-focused").otherwise("comprehensive").alias("approach"),
+        named([("branches", hard), ("dependencies", critical > 0), ("edge cases", edges > 0)]).alias("focus"),
+        F.concat_ws(",", F.lit("arrange-act-assert"), F.when(F.array_contains(categories, "database"), "transactions"), F.when(F.array_contains(categories, "network"), "http")).alias("patterns"),
+    )
+
+
+def placeholders(c: Column) -> Column:
+    """Template code with numbered placeholders, scripts first; text that repeats keeps its first number."""
+    for pattern, prefix in ((r"(?s)<%.*?%>", "GROOVY_EXPRESSION_"), (r"\$\{[^}]+\}", "TEMPLATE_VAR_")):
+        found = F.transform(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), lambda x, i: F.struct(x.alias("x"), i.alias("i")))
+        c = F.aggregate(found, c, _numbered(prefix))
+    return c
+
+
+def _numbered(prefix: str):
+    return lambda a, e: F.replace(a, e["x"], F.concat(F.lit(prefix), e["i"].cast("string")))
+
+
+def used_variables(c: Column, names: list[str]) -> Column:
+    """The variables whose names a member's source holds."""
+    return F.filter(F.array(*[F.lit(n) for n in names]), lambda n: F.contains(c, n))
+
+
+def balanced_body(c: Column, start: str) -> Column:
+    """From the first brace behind `start` to the one that closes it; empty if none does."""
+    behind = F.substring(c, F.greatest(F.instr(c, start), F.lit(1)), F.lit(2**31 - 1))
+    at = F.instr(behind, "{")
+    rest = F.substring(behind, at, F.lit(2**31 - 1))
+    parts = F.regexp_extract_all(rest, F.lit(r"[^{}]*[{}]"), F.lit(0))
+    begin = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("size"), F.lit(0).alias("end"))
+
+    def step(a, x):
+        depth, size = a["depth"] + F.when(F.endswith(x, F.lit("{")), 1).otherwise(-1), a["size"] + F.length(x)
+        open_ = a["end"] == 0
+        return F.struct(F.when(open_, depth).otherwise(a["depth"]).alias("depth"), F.when(open_, size).otherwise(a["size"]).alias("size"), F.when(open_ & (depth == 0), size).otherwise(a["end"]).alias("end"))
+
+    end = F.aggregate(parts, begin, step, lambda a: a["end"])
+    return F.when(at > 0, F.substring(rest, F.lit(1), end)).otherwise("")
+
+
+def package_name(c: Column) -> Column:
+    return F.regexp_extract(c, r"package\s+([\w.]+)\s*;", 1)
+
+
+def class_name(c: Column) -> Column:
+    """The first public class, or the first one, or TestClass."""
+    public, any_ = F.regexp_extract(c, r"public\s+class\s+(\w+)", 1), F.regexp_extract(c, r"class\s+(\w+)", 1)
+    return F.when(public != "", public).when(any_ != "", any_).otherwise("TestClass")
+
+
+# Classes that every program has.
+BUILT_IN = (
+    "String", "Integer", "Double", "Float", "Long", "Boolean", "Character", "Object", "Exception", "RuntimeException", "IllegalArgumentException", "NullPointerException", "IndexOutOfBoundsException",
+    "System", "Math", "ArrayList", "HashMap", "HashSet", "List", "Map", "Set", "Collection", "Iterator", "Comparable", "Serializable", "Cloneable", "Runnable", "Thread", "Date", "Calendar",
+    "SimpleDateFormat", "Scanner", "BufferedReader", "File", "FileReader", "FileWriter", "PrintWriter", "IOException", "FileNotFoundException", "NumberFormatException",
+    "ArrayIndexOutOfBoundsException", "ClassCastException", "IllegalStateException", "UnsupportedOperationException", "ConcurrentModificationException", "NoSuchElementException", "InputMismatchException",
+)
+
+
+def class_references(c: Column, own: Column) -> Column:
+    """Classes that code makes or takes as parameters, without itself and those that every program has."""
+    made = F.regexp_extract_all(c, F.lit(r"new\s+(\w+)\s*\("), F.lit(1))
+    taken = F.regexp_extract_all(c, F.lit(r"(\w+)\s+\w+\s*[,\)]"), F.lit(1))
+    return F.filter(F.array_except(F.array_distinct(F.concat(made, taken)), F.array(*[F.lit(x) for x in BUILT_IN])), lambda x: x != own)
+
+
 def mock_strategy(score: Column, dependencies: Column) -> Column:
     return F.when(score > 20, "comprehensive").when(score > 10, "moderate").when(dependencies > 5, "focused").otherwise("minimal")
 
 
-def patterns_table(spark: SparkSession, rows=DEPENDENCIES) -> DataFrame:
-    return spark.createDataFrame([(c, k, p) for c, k, ps in rows for p in ps], "category string, criticality string, pattern string")
+def patterns_table(spark: SparkSession, rows=PATTERNS) -> DataFrame:
+    """(category, criticality, pattern, any_case) of categories with their patterns, and of the specific checks."""
+    out = [(c, criticality(c), p, True) for c, ps in rows for p in ps] + [(c, "high", p, False) for c, p in SPECIFIC]
+    return spark.createDataFrame(out, "category string, criticality string, pattern string, any_case boolean")
 
 
-def external_dependencies(methods: DataFrame, patterns: DataFrame | None = None, source: str = "source", key: str = "id") -> DataFrame:
-    """(key, category, criticality, pattern, matches): the dimension of patterns, a few hundred rows at most, meets every method once."""
-    rows = (patterns if patterns is not None else patterns_table(methods.sparkSession)).limit(1000).collect()
-    each = [F.struct(F.lit(r["category"]).alias("category"), F.lit(r["criticality"]).alias("criticality"), F.lit(r["pattern"]).alias("pattern"), count(F.col(source), r["pattern"], True).alias("matches")) for r in rows]
+def external_dependencies(methods: DataFrame, patterns: DataFrame | None = None, source: str = "source", key: str = "id", most: int = 2000) -> DataFrame:
+    """(key, category, criticality, pattern, matches): the dimension of patterns, at most `most` rows, meets every method once; a larger one is refused."""
+    found = (patterns if patterns is not None else patterns_table(methods.sparkSession)).limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} patterns")
+    each = [F.struct(F.lit(r["category"]).alias("category"), F.lit(r["criticality"]).alias("criticality"), F.lit(r["pattern"]).alias("pattern"), count(F.col(source), r["pattern"], r["any_case"]).alias("matches")) for r in found]
     return methods.select(key, F.explode(F.filter(F.array(*each), lambda x: x["matches"] > 0)).alias("d")).select(key, "d.*")
 
 
+def critical_dependencies(methods: DataFrame, found: DataFrame, key: str = "id", name: str = "name") -> DataFrame:
+    """(key, what, reason, criticality): called methods(key, name) that change data or check it, and the critical ones of external_dependencies."""
+    low = F.lower(name)
+    kind = F.when(has(low, *CHANGING), "Data modification operation").when(has(low, *CHECKING), "Validation operation")
+    own = methods.select(key, F.col(name).alias("what"), kind.alias("reason")).filter("reason is not null").withColumn("criticality", F.when(F.col("reason") == "Validation operation", "medium").otherwise("high"))
+    return own.unionByName(found.filter("criticality = 'high'").select(key, F.col("pattern").alias("what"), F.concat(F.lit("External "), "category", F.lit(" dependency")).alias("reason"), "criticality"))
+
+
 def calls(c: Column) -> Column:
     """Distinct called names, keywords left out."""
     return F.array_except(F.array_distinct(F.regexp_extract_all(c, F.lit(r"([A-Za-z0-9_]+(?:\.[A-Za-z0-9_]+)*)\s*\("), F.lit(1))), F.array(*[F.lit(k) for k in CALL_KEYWORDS]))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import weights as W
+from ..session import saved
 from .store import top_of
 
 #: Rows of a frontier or a path set that may be broadcast.
@@ -38,34 +40,87 @@ def adjacency(near: DataFrame) -> DataFrame:
     return near.select("node", "neighbour", "rel_type", (hi - F.col("w")).alias("lo"), hi.alias("hi"), F.sum("w").over(Window.partitionBy("node")).alias("total"))
 
 
+@dataclass(frozen=True)
+class Strategy:
+    """Walks of one kind: how many, how long, along edges both ways or forward only, with factors for types of edges. Of guidance scores, scaled by `guidance`, the even walks take notice, or all."""
+
+    name: str
+    steps: int
+    walks: int
+    forward: bool = False
+    factors: tuple[tuple[str, float], ...] = ()
+    guidance: float = 0.0
+    all_guided: bool = False
+
+
+def standard(steps: int, walks: int) -> list[Strategy]:
+    return [Strategy("shallow_wide", steps // 2, walks * 2), Strategy("deep_narrow", steps * 2, walks // 2), Strategy("balanced", steps, walks), Strategy("forward_only", steps, walks, forward=True)]
+
+
+def enterprise(steps: int, walks: int) -> list[Strategy]:
+    calls, uses = (("CALLS", 1.5),), (("USES", 1.5),)
+    every = tuple((t, 1.3) for t in ("CALLS", "USES", "EXTENDS", "IMPLEMENTS", "RETURNS", "PARAMETER"))
+    return [
+        Strategy("ultra_wide", 3, walks * 3, factors=calls),
+        Strategy("deep_exploration", steps * 3, walks // 3, factors=uses),
+        Strategy("balanced_enterprise", steps, walks, factors=every),
+        Strategy("forward_enterprise", steps, walks, forward=True, factors=calls),
+        Strategy("reverse_enterprise", steps, walks, factors=uses),
+    ]
+
+
+def hybrid(steps: int, walks: int) -> list[Strategy]:
+    return [Strategy("vector_guided", steps, walks, guidance=0.7), Strategy("markov_heavy", steps * 2, walks, guidance=0.3), Strategy("balanced_hybrid", steps, walks * 2, guidance=0.5)]
+
+
+def ways(rels: DataFrame) -> DataFrame:
+    """(forward, node, neighbour, rel_type, n): the edges both ways as a set, and forward as a bag with its multiplicities."""
+    out = rels.select(F.col("source_id").alias("node"), F.col("target_id").alias("neighbour"), "rel_type")
+    bag = out.groupBy("node", "neighbour", "rel_type").agg(F.count(F.lit(1)).alias("n"))
+    both = bag.drop("n").unionByName(bag.select(F.col("neighbour").alias("node"), F.col("node").alias("neighbour"), "rel_type")).distinct()
+    return both.select(F.lit(False).alias("forward"), "*", F.lit(1).cast("bigint").alias("n")).unionByName(bag.select(F.lit(True).alias("forward"), "*"))
+
+
 def draw(*key: Column) -> Column:
-    """A uniform number of [0, 1) that depends on the key alone."""
-    return F.conv(F.substring(F.md5(F.concat_ws("|", *key)), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    """A uniform number between 0 and 1, both excluded, that depends on the key alone."""
+    return (F.conv(F.substring(F.md5(F.concat_ws("|", *key)), 1, 8), 16, 10).cast("double") + 0.5) / F.lit(4294967296.0)
 
 
-def walk(adj: DataFrame, starts: DataFrame, *, steps: int, seed: int = 42) -> DataFrame:
-    """starts(strategy, walk, node) to (strategy, walk, length, path): all walks of all strategies move on together, one join a step.
+def walk(edges: DataFrame, start: str, strategies: list[Strategy], *, table: dict[str, float] = W.BASE, guidance: DataFrame | None = None, seed: int = 42) -> DataFrame:
+    """ways' edges to (strategy, walk, length, path): the walks of all strategies from start move on together, one join a step.
 
-    The walks asked for, a checked number of rows, are broadcast to the adjacency, which stays where it is and is kept in memory meanwhile. A
-    step draws from the hash of its key, so walks are the same however rows are dealt. At a dead end a walk stops.
+    The edges are written once. At each step the walks, a checked number of rows, go to the edges of the nodes where they are. Every edge there draws from
+    the hash of its key an exponential time of rate w, and the earliest is taken, so that an edge is followed with probability w / sum of w: a minimum, which
+    is found in part where the edges lie, so a node with very many edges is no task of its own. Walks are the same however rows are dealt. At a dead end one stops.
     """
-    spark, most = adj.sparkSession, BOUND // max(steps, 1)
-    rows = starts.select("strategy", "walk", "node").limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} walks; start fewer at once")
-    paths = {(r["strategy"], r["walk"]): [r["node"]] for r in rows}
-    live, adj = dict(paths), adj.persist()
-    for k in range(steps):
-        here = spark.createDataFrame([(s, w, p[-1]) for (s, w), p in live.items()], "strategy string, walk int, node string")
-        u = draw(F.lit(str(seed)), F.col("strategy"), F.col("walk").cast("string"), F.lit(str(k)), F.col("node"))
-        at = F.floor(u * F.col("total"))
-        moved = adj.join(F.broadcast(here), "node").filter((F.col("lo") <= at) & (at < F.col("hi"))).select("strategy", "walk", "neighbour").collect()
-        live = {(r["strategy"], r["walk"]): [*paths[r["strategy"], r["walk"]], r["neighbour"]] for r in moved}
-        paths |= live
+    spark = edges.sparkSession
+    live = {(s.name, k): [start] for s in strategies for k in range(s.walks)}
+    if len(live) > BOUND // max([1, *(s.steps for s in strategies)]):
+        raise ValueError(f"{len(live)} walks are too many at once")
+    edges = saved(edges, "edges")
+    of, paths = {s.name: s for s in strategies}, dict(live)
+    factors = spark.createDataFrame([(s.name, t, f) for s in strategies for t, f in s.factors], "strategy string, rel_type string, factor double")
+    if guidance is not None:
+        found = guidance.select(F.col("node").alias("neighbour"), F.col("score").cast("double")).limit(BOUND + 1).collect()
+        if len(found) > BOUND:
+            raise ValueError("guidance names too many nodes")
+        guidance = F.broadcast(spark.createDataFrame(found, "neighbour string, score double"))
+    for step in range(max([0, *(s.steps for s in strategies)])):
+        live = {key: p for key, p in live.items() if of[key[0]].steps > step}
         if not live:
             break
-    adj.unpersist()
-    return spark.createDataFrame([(s, w, len(p) - 1, p) for (s, w), p in sorted(paths.items())], "strategy string, walk int, length int, path array<string>")
+        rows = [(s, k, p[-1], of[s].forward, of[s].guidance if of[s].all_guided or k % 2 == 0 else 0.0) for (s, k), p in live.items()]
+        here = spark.createDataFrame(rows, "strategy string, walk int, node string, forward boolean, guidance double")
+        met = edges.filter(F.col("node").isin(sorted({r[2] for r in rows}))) if len(rows) <= 1000 else edges
+        met = met.join(F.broadcast(here), ["node", "forward"]).join(F.broadcast(factors), ["strategy", "rel_type"], "left")
+        met = met.withColumn("w", F.round(F.col("n") * weight(F.col("rel_type"), table) * F.coalesce("factor", F.lit(1.0))))
+        if guidance is not None:
+            met = met.join(guidance, "neighbour", "left").withColumn("w", F.round(F.col("w") * (1 + 0.5 * F.coalesce("score", F.lit(0.0)) * F.col("guidance"))))
+        u = draw(F.lit(str(seed)), "strategy", F.col("walk").cast("string"), F.lit(str(step)), "node", "neighbour", "rel_type")
+        moved = met.filter("w > 0").groupBy("strategy", "walk").agg(F.min_by("neighbour", F.struct(-F.log(u) / F.col("w"), "neighbour")).alias("to")).collect()
+        live = {(r["strategy"], r["walk"]): [*paths[r["strategy"], r["walk"]], r["to"]] for r in moved}
+        paths |= live
+    return spark.createDataFrame([(s, k, len(p) - 1, p) for (s, k), p in sorted(paths.items())], "strategy string, walk int, length int, path array<string>")
 
 
 def visits(walked: DataFrame) -> DataFrame:
@@ -81,21 +136,18 @@ def most_visited(seen: DataFrame, entities: DataFrame, start: str, limit: int =
     return top_of(known, ["strategy"], [F.col("n").desc(), "first", "node"], limit)
 
 
-def combined(seen: DataFrame, guidance: DataFrame | None = None, limit: int = 30) -> DataFrame:
-    """Summed scores of all strategies: visit share plus 0.3 times the guidance score."""
-    if guidance is not None:
-        seen = seen.join(guidance.select("node", F.col("score").alias("g")), "node", "left")
-        seen = seen.withColumn("score", F.col("prob") + 0.3 * F.coalesce("g", F.lit(0.0)))
-    else:
-        seen = seen.withColumn("score", F.col("prob"))
-    total = seen.groupBy("node").agg(F.sum("score").alias("score"), F.count(F.lit(1)).alias("strategies"))
+def combined(top: DataFrame, limit: int = 30) -> DataFrame:
+    """Of each strategy's most visited nodes, with `score` of guidance where there is one, the summed visit shares plus 0.3 times the scores."""
+    score = F.col("prob") + (0.3 * F.coalesce("score", F.lit(0.0)) if "score" in top.columns else 0.0)
+    total = top.groupBy("node").agg(F.sum(score).alias("combined"), F.count(F.lit(1)).alias("strategies")).withColumnRenamed("combined", "score")
     return total.orderBy(F.round("score", 9).desc(), "node").limit(limit)
 
 
-def guided(near: DataFrame, guidance: DataFrame) -> DataFrame:
-    """Neighbours that guidance(node, score) names weigh (1 + score / 2) times as much."""
-    g = guidance.select(F.col("node").alias("neighbour"), "score")
-    return near.join(g, "neighbour", "left").withColumn("w", F.when(F.col("score").isNull(), F.col("w")).otherwise(F.round(F.col("w") * (1 + 0.5 * F.col("score"))).cast("bigint"))).drop("score")
+def with_guidance(top: DataFrame, guidance: DataFrame, strategies: list[Strategy]) -> DataFrame:
+    """The nodes' guidance scores, as much of them as each strategy takes."""
+    share = top.sparkSession.createDataFrame([(s.name, s.guidance) for s in strategies], "strategy string, share double")
+    out = top.join(guidance.select("node", F.col("score").alias("own")), "node", "left").join(F.broadcast(share), "strategy")
+    return out.withColumn("score", F.col("own") * F.col("share")).drop("own", "share")
 
 
 def degrees(rels: DataFrame) -> DataFrame:
@@ -104,33 +156,94 @@ def degrees(rels: DataFrame) -> DataFrame:
     return ends.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
 
 
-def connectivity(degree: Column, methods: Column) -> Column:
-    ratio = degree / F.greatest(methods, F.lit(1))
-    return F.when(ratio == 0, "ISOLATED").when(ratio < 2, "LOW").when(ratio < 5, "MODERATE").otherwise("HIGH")
+def connectivity(degree: Column) -> Column:
+    return F.when(degree == 0, "ISOLATED").when(degree < 2, "LOW").when(degree < 5, "MODERATE").otherwise("HIGH")
+
+
+def profile(methods: DataFrame, *keys: str) -> DataFrame:
+    """methods(source_code, annotations, modifiers, parameter_types, complexity) to the shares by which projects are told apart."""
+    share = lambda c: F.avg(c.cast("int"))
+    has = lambda words: reduce(lambda a, b: a | b, [F.col("source_code").contains(w) for w in words])
+    return methods.groupBy(*keys).agg(
+        share(has(PROFILE_WORDS["gui"])).alias("gui"),
+        share(F.size("annotations") > 0).alias("annotated"),
+        share(has(PROFILE_WORDS["database"])).alias("database"),
+        share(has(PROFILE_WORDS["math"])).alias("math"),
+        share(has(PROFILE_WORDS["exceptions"])).alias("exceptions"),
+        share(F.array_contains("modifiers", "static")).alias("static"),
+        F.avg(F.size("parameter_types")).alias("parameters"),
+        F.avg("complexity").alias("complexity"),
+        F.count(F.lit(1)).alias("methods"),
+    )
+
+
+# Words that show what code is for.
+PROFILE_WORDS = {"gui": ("JFrame", "JButton", "Swing", "ActionListener"), "database": ("ResultSet", "Connection", "SQL", "Statement"), "math": ("Math.", "calculate", "compute", "+", "-", "*", "/"), "exceptions": ("try", "catch")}
+
+
+def project_type(p: DataFrame) -> Column:
+    """The first rule that a profile meets."""
+    rules = (
+        ((p["methods"] > 30) | (p["complexity"] > 3), "large_enterprise"), (p["gui"] > 0.2, "gui_application"), (p["annotated"] > 0.3, "framework_library"), (p["database"] > 0.15, "data_processing"),
+        ((p["math"] > 0.4) | (p["complexity"] < 2), "utility_library"), (p["exceptions"] > 0.3, "business_logic"),
+    )
+    return reduce(lambda c, r: c.when(*r), rules[1:], F.when(*rules[0])).otherwise("general")
+
+
+def adaptive_walk(rels: DataFrame, methods: DataFrame, entities: DataFrame, start: str, *, steps: int = 10, walks: int = 5, guidance: DataFrame | None = None) -> DataFrame:
+    """Top nodes of walks that suit the project: (node, score, strategies, project_type, connectivity, calls_weight, strategies_used).
+
+    The profile of all methods gives the project's type, which adapts the weights and, without guidance, chooses the strategies: those of large projects or the standard ones. With guidance they are the hybrid ones.
+    """
+    degree = degrees(rels).filter(F.col("node") == start)
+    status = degree.agg(F.coalesce(F.max("degree"), F.lit(0)).alias("degree")).select(connectivity(F.col("degree")).alias("s")).first()["s"]
+    p = profile(methods)
+    found = p.select("*", project_type(p).alias("type")).first()
+    kind = found["type"] if found["methods"] else "unknown"
+    table = W.adapted(kind, found["complexity"] or 0.0, found["methods"])
+    plan = hybrid(steps, walks) if guidance is not None else enterprise(steps, walks) if kind == "large_enterprise" else standard(steps, walks)
+    top = most_visited(visits(walk(ways(rels), start, plan, table=table, guidance=guidance)), entities, start)
+    top = top if guidance is None else with_guidance(top, guidance, plan)
+    return combined(top).select("*", F.lit(kind).alias("project_type"), F.lit(status).alias("connectivity"), F.lit(table["CALLS"]).alias("calls_weight"), F.lit(len(plan)).alias("strategies_used"))
 
 
 def reach(rels: DataFrame, start: str, depth: int) -> DataFrame:
-    """(node, level): breadth-first along edges, the start excluded. Each level leaves out what has been seen."""
+    """(node, level): breadth-first along edges, the start excluded. Each level is written once, and leaves out what has been seen."""
     edges = rels.select(F.col("source_id").alias("node"), F.col("target_id").alias("next")).distinct()
-    seen = rels.sparkSession.createDataFrame([(start, 0)], "node string, level int")
+    edges = saved(edges, "reach-edges") if depth > 1 else edges
+    seen = level = rels.sparkSession.createDataFrame([(start, 0)], "node string, level int")
     for k in range(depth):
-        new = seen.filter(F.col("level") == k).join(edges, "node").select(F.col("next").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
-        seen = seen.unionByName(new.withColumn("level", F.lit(k + 1)))
+        new = level.join(edges, "node").select(F.col("next").alias("node")).distinct().join(seen.select("node"), "node", "left_anti").withColumn("level", F.lit(k + 1))
+        level = saved(new, "level")
+        seen = seen.unionByName(level)
     return seen.filter("level > 0")
 
 
 def simple_paths(rels: DataFrame, start: str, end: str, cutoff: int = 5, limit: int = 10) -> DataFrame:
-    """Undirected simple paths in order of length, then nodes."""
+    """Undirected simple paths in order of length, then nodes.
+
+    Only nodes from which the end is near enough are entered: their distances from it are found first, backwards. A level once reached is written,
+    and no longer paths are looked for when there are `limit` of them.
+    """
     one = rels.filter("source_id <> target_id").select(F.col("source_id").alias("node"), F.col("target_id").alias("next"))
-    edges = one.unionByName(one.select(F.col("next").alias("node"), F.col("node").alias("next"))).distinct()
-    paths = rels.sparkSession.createDataFrame([(start, [start])], "node string, path array<string>")
-    done = None
-    for _ in range(cutoff):
-        paths = paths.join(edges, "node").filter(~F.array_contains("path", F.col("next"))).select(F.col("next").alias("node"), F.concat("path", F.array("next")).alias("path"))
-        hit = paths.filter(F.col("node") == end).select("path")
-        done = hit if done is None else done.unionByName(hit)
+    edges = saved(one.unionByName(one.select(F.col("next").alias("node"), F.col("node").alias("next"))).distinct(), "path-edges")
+    spark = rels.sparkSession
+    far = spark.createDataFrame([(end, 0)], "node string, far int")
+    last = far
+    for k in range(1, cutoff):
+        last = saved(last.join(edges, "node").select(F.col("next").alias("node")).distinct().join(far.select("node"), "node", "left_anti").withColumn("far", F.lit(k)), "far")
+        far = far.unionByName(last)
+    near_end = far.withColumnRenamed("node", "next")
+    paths, done, n = spark.createDataFrame([(start, [start])], "node string, path array<string>"), [], 0
+    for k in range(cutoff):
+        on = paths.join(edges, "node").filter(~F.array_contains("path", F.col("next"))).join(near_end, "next").filter(F.col("far") < cutoff - k)
+        paths = saved(on.select(F.col("next").alias("node"), F.concat("path", F.array("next")).alias("path")), "paths")
+        done.append(paths.filter(F.col("node") == end).select("path"))
+        n += done[-1].count()
+        if n >= limit:
+            break
         paths = paths.filter(F.col("node") != end)
-    out = done.select(F.concat_ws(" > ", "path").alias("path"), (F.size("path") - 1).alias("length"))
+    out = reduce(DataFrame.unionByName, done).select(F.concat_ws(" > ", "path").alias("path"), (F.size("path") - 1).alias("length"))
     return out.orderBy("length", "path").limit(limit)
 
 
@@ -143,8 +256,32 @@ def fuse(graph: DataFrame, vector: DataFrame, dependency: DataFrame, target: str
     return sums.filter(score >= least).orderBy((F.col("id") == target).desc(), score.desc(), F.col("id").desc()).limit(limit)
 
 
-def fallback(sources: DataFrame, have: DataFrame, limits: dict[str, int]) -> DataFrame:
+# Of each fallback the probability and the most rows, in the order in which they are asked.
+FALLBACKS = {"class": (0.1, 5), "package": (0.05, 8), "name": (0.08, 5), "returns": (0.06, 4), "parameters": (0.07, 6), "annotations": (0.09, 4), "complexity": (0.06, 5)}
+
+
+def fallback_sources(methods: DataFrame, me, name_part: str | None = None) -> DataFrame:
+    """(strategy, prio, prob, id, name): the methods that are like `me`, a row of methods, in one of seven ways. Each row of methods is read once."""
+    last = lambda xs: [x.rpartition(".")[2] for x in xs or []]
+    c = me["complexity"] or 0
+    lo, hi = (1, 3) if c <= 2 else (c - 1, c + 2) if c <= 5 else (c - 2, c + 3)
+    any_of = lambda column, xs: F.arrays_overlap(column, F.array(*[F.lit(x) for x in xs]).cast("array<string>")) if xs else F.lit(False)
+    like = {
+        "class": F.col("class_id") == me["class_id"],
+        "package": F.startswith("package", F.lit(me["package"] or "")) if me["package"] else F.lit(False),
+        "name": F.contains(F.lower("name"), F.lit((name_part or me["name"]).lower())),
+        "returns": F.col("return_type") == me["return_type"] if me["return_type"] not in (None, "", "void") else F.lit(False),
+        "parameters": any_of(F.transform("parameter_types", lambda x: F.element_at(F.split(x, r"\."), -1)), last(me["parameter_types"])),
+        "annotations": any_of(F.transform("annotations", lambda x: F.element_at(F.split(x, r"\."), -1)), last(me["annotations"])),
+        "complexity": F.col("complexity").between(lo, hi) if c > 0 else F.lit(False),
+    }
+    rows = [F.when(like[s], F.struct(F.lit(s).alias("strategy"), F.lit(k).alias("prio"), F.lit(p).alias("prob"))) for k, (s, (p, _)) in enumerate(FALLBACKS.items())]
+    return methods.select("id", "name", F.explode(F.array_compact(F.array(*rows))).alias("s")).select("s.*", "id", "name")
+
+
+def fallback(sources: DataFrame, have: DataFrame, limits: dict[str, int] | None = None) -> DataFrame:
     """sources(strategy, prio, id, name, prob): at most limits rows of each strategy, each id once by priority, none that `have` holds."""
+    limits = limits or {s: n for s, (_, n) in FALLBACKS.items()}
     top = top_of(sources, ["strategy"], ["name", "id"], max(limits.values()))
     cap = reduce(lambda c, kv: c.when(F.col("strategy") == kv[0], kv[1]), limits.items(), F.when(F.lit(False), 0)).otherwise(0)
     kept = top.filter(F.col("rank") <= cap).join(have.select("id"), "id", "left_anti")

@@ -21,13 +21,16 @@ def entities(parsed: DataFrame) -> DataFrame:
 
 
 def relationships(parsed: DataFrame) -> DataFrame:
-    """CONTAINS from structure; EXTENDS and CALLS resolved by name over the whole batch, parents that aren't known as virtual nodes."""
+    """CONTAINS from structure; EXTENDS, IMPLEMENTS, IMPORTS and CALLS resolved by name over the whole batch, classes that aren't known as virtual nodes."""
     c = class_ids(parsed)
     edge = lambda df, s, t, k: df.select(s.alias("source_id"), t.alias("target_id"), F.lit(k).alias("rel_type"))
     method = F.concat(F.lit("method:"), "class_id", F.lit(":"), "x.name")
     m, f = (c.select("class_id", F.explode(k).alias("x")) for k in ("methods", "fields"))
     known = c.groupBy("name").agg(F.min("class_id").alias("parent"))
-    up = c.filter("extends is not null").select("class_id", F.col("extends").alias("name")).join(known, "name", "left").select("class_id", F.coalesce("parent", F.concat(F.lit("virtual:"), "name")).alias("parent"))
+    named_class = lambda df: df.join(known, "name", "left").select("class_id", F.coalesce("parent", F.concat(F.lit("virtual:"), "name")).alias("parent"))
+    up = named_class(c.filter("extends is not null").select("class_id", F.col("extends").alias("name")))
+    does = named_class(c.select("class_id", F.explode("implements").alias("name")))
+    takes = named_class(c.select("class_id", F.explode(F.transform("imports", lambda x: F.element_at(F.split(x, r"\."), -1))).alias("name")))
     named = m.select(F.col("x.name").alias("callee"), method.alias("target_id")).groupBy("callee").agg(F.min("target_id").alias("target_id"))
     calls = m.select(method.alias("source_id"), F.explode("x.calls").alias("callee")).join(named, "callee")
     return (
@@ -35,5 +38,7 @@ def relationships(parsed: DataFrame) -> DataFrame:
         .unionByName(edge(m, F.col("class_id"), method, "CONTAINS"))
         .unionByName(edge(f, F.col("class_id"), F.concat(F.lit("field:"), "class_id", F.lit(":"), "x.name"), "CONTAINS"))
         .unionByName(edge(up, F.col("class_id"), F.col("parent"), "EXTENDS"))
+        .unionByName(edge(does, F.col("class_id"), F.col("parent"), "IMPLEMENTS"))
+        .unionByName(edge(takes, F.col("class_id"), F.col("parent"), "IMPORTS"))
         .unionByName(edge(calls, F.col("source_id"), F.col("target_id"), "CALLS"))
     )

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import saved
+
 
 def colour(score: Column) -> Column:
     return F.when(score >= 0.8, "high").when(score >= 0.6, "medium").otherwise("low")
@@ -31,10 +33,20 @@ def tail(df: DataFrame, order: str, n: int) -> DataFrame:
 
 def zipped(left: DataFrame, right: DataFrame, order: str) -> DataFrame:
     """Rows of two tables of equal length by position; their numbers must match."""
-    if left.count() != right.count():
+    one, two = numbered(left, order), numbered(right, order)
+    if one.count() != two.count():
         raise ValueError("tables differ in length")
-    number = lambda df: df.withColumn("_pos", F.row_number().over(Window.orderBy(order)))
-    return number(left).join(number(right).drop(order), "_pos").drop("_pos")
+    return one.join(two.drop(order), "_pos").drop("_pos")
+
+
+def numbered(df: DataFrame, order: str) -> DataFrame:
+    """df with `_pos`, counted from 1 by order. Rows are dealt by range, numbered inside each, and shifted by the ranges before, so that no task sees them all."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = saved(df.repartitionByRange(parts, order).withColumn("_part", F.spark_partition_id()), "numbered")
+    sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row for each range
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(order))
+    return dealt.withColumn("_in", inside).join(F.broadcast(before), "_part").withColumn("_pos", F.col("_in") + F.col("_before")).drop("_part", "_in", "_before")
 
 
 def feedback(issues: Column, suggestions: Column) -> Column:
@@ -56,3 +68,24 @@ def parameter_types(signature: Column) -> Column:
 def merged(left: Column, right: Column) -> Column:
     """Two maps; the right one wins."""
     return F.map_concat(F.map_filter(left, lambda k, v: ~F.map_contains_key(right, k)), right)
+
+
+def signature(method: Column) -> Column:
+    """A method's modifiers, type, name and parameters as text."""
+    parameters = F.array_join(F.transform(method["parameters"], lambda p: F.concat(p["type"], F.lit(" "), p["name"])), ", ")
+    return F.concat(F.array_join(method["modifiers"], " "), F.lit(" "), method["return_type"], F.lit(" "), method["name"], F.lit("("), parameters, F.lit(")"))
+
+
+# What requests may ask for.
+LIMITS = {"hours": (1, 168), "limit": (1, 100), "points": (10, 500)}
+NAMES = {"agent": ("IndexerAgent", "ResearcherAgent", "GeneratorAgent", "CriticAgent"), "format": ("html", "png", "json")}
+
+
+def valid(kind: Column, value: Column) -> Column:
+    """Whether a request's value is one that its kind allows; kinds that aren't known allow none."""
+    number, out = value.try_cast("int"), F.lit(False)
+    for name, (least, most) in LIMITS.items():
+        out = F.when(kind == name, F.coalesce(number.between(least, most), F.lit(False))).otherwise(out)
+    for name, values in NAMES.items():
+        out = F.when(kind == name, value.isin(*values)).otherwise(out)
+    return out

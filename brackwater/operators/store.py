@@ -78,6 +78,22 @@ def top_of(df: DataFrame, keys: list[str], order: list, n: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("rank") <= n)
 
 
+def sql(spark, statement: str, args: dict | None = None, **tables: DataFrame) -> DataFrame:
+    """A statement with named parameters over tables, which stand in braces; values are never spelled into the text."""
+    return spark.sql(statement, args=args or {}, **tables)
+
+
+def stamped(points: DataFrame) -> DataFrame:
+    """points with an id of their own and the time at which they came."""
+    return points.withColumns({"point_id": F.uuid(), "indexed_at": F.current_timestamp()})
+
+
+def cleared(**stores: DataFrame) -> DataFrame:
+    """(store, removed, left): every store emptied, with how many rows each had and has."""
+    each = [df.agg(F.lit(name).alias("store"), F.count(F.lit(1)).alias("removed"), F.count(F.when(F.lit(False), 1)).alias("left")) for name, df in stores.items()]
+    return reduce(DataFrame.unionByName, each)
+
+
 def upsert(table: DataFrame, changes: DataFrame, keys: tuple[str, ...] = ("id",), seq: str = "seq") -> DataFrame:
     """Last write wins by keys."""
     return first_of(table.unionByName(changes), list(keys), [F.col(seq).desc()])
@@ -127,9 +143,12 @@ def dependencies(rels: DataFrame, entities: DataFrame, node: str) -> DataFrame:
 
 
 def complexity_neighbours(methods: DataFrame) -> DataFrame:
-    """Pairs of a method and others of its class in its complexity's range: an equi-join on class with the range as its condition."""
-    c = F.col("a.complexity")
+    """(id, n): how many others of its class are in a method's complexity's range. Counted by class and complexity first, so that what is joined is a row for each value, not for each pair."""
+    counts = methods.groupBy("class_id", F.col("complexity").alias("other")).agg(F.count(F.lit(1)).alias("m"))
+    values = counts.select("class_id", F.col("other").alias("complexity"))
+    c = F.col("complexity")
     lo = F.when(c <= 2, 1).when(c <= 5, c - 1).otherwise(c - 2)
     hi = F.when(c <= 2, 3).when(c <= 5, c + 2).otherwise(c + 3)
-    where = (F.col("a.class_id") == F.col("b.class_id")) & (F.col("a.id") != F.col("b.id")) & F.col("b.complexity").between(lo, hi)
-    return methods.alias("a").join(methods.alias("b"), where).groupBy(F.col("a.id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    near = values.join(counts, "class_id").filter(F.col("other").between(lo, hi)).groupBy("class_id", "complexity").agg(F.sum("m").alias("m"))
+    own = F.when(c.between(lo, hi), 1).otherwise(0)  # a method is no neighbour of itself
+    return methods.select("id", "class_id", "complexity").join(near, ["class_id", "complexity"]).select("id", (F.col("m") - own).alias("n")).filter("n > 0")

@@ -5,21 +5,22 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import weights as W
-from ..operators import graph
+from ..operators import graph, vector
+from ..operators.presentation import rendered_path
 from ..session import table
-from .graph_model import GRAPH_SQL, entities, methods, relationships
+from .graph_model import GRAPH_SQL, classes, entities, methods, relationships
 from .registry import query
 from .relational import SOME_METHOD, some_method
 
 G = f"WITH RECURSIVE {GRAPH_SQL} "
 
 
-def _weights_sql(column: str, w: dict[str, float]) -> str:
-    return "CAST(CASE " + column + "".join(f" WHEN '{k}' THEN {round(v * W.SCALE)}" for k, v in w.items()) + f" ELSE {round(W.UNKNOWN * W.SCALE)} END AS BIGINT)"
-
+# The edge weights in ten-thousandths, of a plain walk and of a large project whose methods are many and complex.
+BASE_SQL = "CAST(CASE rel_type WHEN 'CALLS' THEN 10000 WHEN 'USES' THEN 8000 WHEN 'CONTAINS' THEN 3000 WHEN 'EXTENDS' THEN 6000 WHEN 'IMPLEMENTS' THEN 6000 WHEN 'RETURNS' THEN 4000 WHEN 'PARAMETER' THEN 4000 ELSE 5000 END AS BIGINT)"
+LARGE_SQL = "CAST(CASE rel_type WHEN 'CALLS' THEN 33800 WHEN 'USES' THEN 18000 WHEN 'CONTAINS' THEN 1440 WHEN 'EXTENDS' THEN 11550 ELSE 5000 END AS BIGINT)"
 
 NEAR_SQL = f"""
-, near AS (SELECT node, neighbour, rel_type, CAST(1 AS BIGINT) AS n, {_weights_sql('rel_type', W.BASE)} AS w FROM
+, near AS (SELECT node, neighbour, rel_type, CAST(1 AS BIGINT) AS n, {BASE_SQL} AS w FROM
   (SELECT source_id AS node, target_id AS neighbour, rel_type FROM relationships UNION SELECT target_id, source_id, rel_type FROM relationships))
 """
 ADJ_SQL = """
@@ -28,30 +29,41 @@ ADJ_SQL = """
 """
 
 
-def _walk_sql(starts: str, steps: int, adj: str = "adj") -> str:
-    return f"""
-, starts AS ({starts})
-, walked AS (SELECT strategy, walk, 0 AS step, node, [node] AS path FROM starts
-  UNION ALL SELECT w.strategy, w.walk, w.step + 1, a.neighbour, list_append(w.path, a.neighbour) FROM walked w JOIN {adj} a ON a.node = w.node
-    AND a.lo <= floor((('0x' || substr(md5('42|' || w.strategy || '|' || w.walk || '|' || w.step || '|' || w.node), 1, 8))::UBIGINT / 4294967296.0) * a.total)
-    AND a.hi > floor((('0x' || substr(md5('42|' || w.strategy || '|' || w.walk || '|' || w.step || '|' || w.node), 1, 8))::UBIGINT / 4294967296.0) * a.total)
-  WHERE w.step < {steps})
+WAYS_SQL = """
+, bag AS (SELECT source_id AS node, target_id AS neighbour, rel_type, count(*) AS n FROM relationships GROUP BY ALL)
+, ways AS MATERIALIZED (SELECT false AS forward, node, neighbour, rel_type, 1 AS n FROM (SELECT node, neighbour, rel_type FROM bag UNION SELECT neighbour, node, rel_type FROM bag) UNION ALL SELECT true, * FROM bag)
+"""
+NO_GUIDE = ", guide AS (SELECT '' AS node, 0.0 AS score WHERE false)"
+
+
+def _walk_sql(plan: str, *, factors: str = "('', '', 1.0)", guide: str = NO_GUIDE, base: str = BASE_SQL) -> str:
+    """plan: rows of strategy, steps, walks, forward, guidance, whether all walks are guided. Each edge draws an exponential time of its weight's rate; the earliest is followed."""
+    return f"""{WAYS_SQL}{guide}
+, plan(strategy, steps, walks, forward, guidance, every) AS (VALUES {plan})
+, factors(strategy, rel_type, factor) AS (VALUES {factors})
+, walked AS (SELECT strategy, steps, forward, guidance, every, CAST(unnest(range(walks)) AS INTEGER) AS walk, 0 AS step, {SOME_METHOD} AS node, [{SOME_METHOD}] AS path FROM plan
+  UNION ALL SELECT strategy, any_value(steps), any_value(forward), any_value(guidance), any_value(every), walk, step + 1, arg_min(neighbour, time), list_append(any_value(path), arg_min(neighbour, time)) FROM (
+    SELECT w.*, e.neighbour, -ln((('0x' || substr(md5('42|' || w.strategy || '|' || w.walk || '|' || w.step || '|' || w.node || '|' || e.neighbour || '|' || e.rel_type), 1, 8))::UBIGINT + 0.5) / 4294967296.0)
+      / round(round(e.n * {base.replace('rel_type', 'e.rel_type')} * coalesce(f.factor, 1.0)) * (1 + 0.5 * coalesce(g.score, 0.0) * CASE WHEN w.every OR w.walk % 2 = 0 THEN w.guidance ELSE 0 END)) AS time
+    FROM walked w JOIN ways e ON e.node = w.node AND e.forward = w.forward LEFT JOIN factors f ON f.strategy = w.strategy AND f.rel_type = e.rel_type LEFT JOIN guide g ON g.node = e.neighbour
+    WHERE w.step < w.steps) GROUP BY strategy, walk, step)
 , paths AS (SELECT strategy, walk, step AS length, path FROM walked QUALIFY row_number() OVER (PARTITION BY strategy, walk ORDER BY step DESC) = 1)
 , seen AS (SELECT strategy, node, count(*) AS n, min(walk * 1000 + step) AS first FROM (SELECT strategy, walk, unnest(path) AS node, generate_subscripts(path, 1) - 1 AS step FROM paths) GROUP BY 1, 2)
 , shares AS (SELECT *, n / sum(n) OVER (PARTITION BY strategy) AS prob FROM seen)
+, top AS (SELECT s.*, e.type, e.name FROM shares s JOIN entities e ON e.id = node WHERE node <> {SOME_METHOD} QUALIFY row_number() OVER (PARTITION BY strategy ORDER BY n DESC, first, node) <= 20)
 """
 
 
-def _near(spark, sf):
-    return graph.neighbours(relationships(spark, sf))
+def _plain(walks: int, steps: int) -> str:
+    return f"('plain', {steps}, {walks}, false, 0.0, false)"
 
 
-def _starts(spark, node: str, plan: dict[str, int]):
-    return spark.createDataFrame([(s, k, node) for s, n in plan.items() for k in range(n)], "strategy string, walk int, node string")
+def _walked(spark, sf, walks: int, steps: int):
+    return graph.walk(graph.ways(relationships(spark, sf)), some_method(spark, sf), [graph.Strategy("plain", steps, walks)])
 
 
-def _starts_sql(plan: dict[str, int]) -> str:
-    return " UNION ALL ".join(f"SELECT '{s}' AS strategy, CAST(unnest(range({n})) AS INTEGER) AS walk, {SOME_METHOD} AS node" for s, n in plan.items())
+def _near(spark, sf):
+    return graph.neighbours(relationships(spark, sf))
 
 
 @query(G + NEAR_SQL + "SELECT rel_type, count(*) AS pairs, CAST(sum(w) AS BIGINT) AS weight FROM near GROUP BY 1")
@@ -59,7 +71,7 @@ def neighbors_weighted(spark, sf):
     return _near(spark, sf).groupBy("rel_type").agg(F.count(F.lit(1)).alias("pairs"), F.sum("w").alias("weight"))
 
 
-@query(G + f"SELECT source_id AS node, target_id AS neighbour, rel_type, n, n * {_weights_sql('rel_type', W.BASE)} AS w FROM (SELECT source_id, target_id, rel_type, count(*) AS n FROM relationships GROUP BY ALL) JOIN methods ON id = source_id WHERE c_custkey = 7")
+@query(G + f"SELECT source_id AS node, target_id AS neighbour, rel_type, n, n * {BASE_SQL} AS w FROM (SELECT source_id, target_id, rel_type, count(*) AS n FROM relationships GROUP BY ALL) JOIN methods ON id = source_id WHERE c_custkey = 7")
 def neighbors_weighted_forward_bag(spark, sf):
     return graph.neighbours(relationships(spark, sf).filter(F.col("source_id") == some_method(spark, sf)), include_reverse=False)
 
@@ -69,10 +81,13 @@ def degree_all(spark, sf):
     return graph.degrees(relationships(spark, sf))
 
 
-@query(G + ", d AS (SELECT node, count(*) AS degree FROM (SELECT source_id AS node FROM relationships UNION ALL SELECT target_id FROM relationships WHERE source_id <> target_id) GROUP BY 1), m AS (SELECT count(*) AS n FROM methods) SELECT status, count(*) AS n FROM (SELECT CASE WHEN r = 0 THEN 'ISOLATED' WHEN r < 2 THEN 'LOW' WHEN r < 5 THEN 'MODERATE' ELSE 'HIGH' END AS status FROM (SELECT 60 * degree / greatest(n, 1) AS r FROM d, m)) GROUP BY 1")
+@query(G + ", d AS (SELECT node, count(*) AS degree FROM (SELECT source_id AS node FROM relationships UNION ALL SELECT target_id FROM relationships WHERE source_id <> target_id) GROUP BY 1) SELECT CASE WHEN coalesce(degree, 0) = 0 THEN 'ISOLATED' WHEN degree < 2 THEN 'LOW' WHEN degree < 5 THEN 'MODERATE' ELSE 'HIGH' END AS status, count(*) AS n, round((SELECT count(*) FROM relationships) / (SELECT greatest(count(*), 1) FROM methods), 6) AS edges_per_method, round(sum(coalesce(degree, 0)) / (SELECT greatest(count(*), 1) FROM methods), 6) AS degree_per_method FROM entities LEFT JOIN d ON node = id GROUP BY 1")
 def connectivity_status(spark, sf):
-    n = methods(spark, sf).count()
-    return graph.degrees(relationships(spark, sf)).select(graph.connectivity(60 * F.col("degree"), F.lit(n)).alias("status")).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    rels = relationships(spark, sf)
+    n, edges = methods(spark, sf).count(), rels.count()
+    degree = F.coalesce("degree", F.lit(0))
+    each = entities(spark, sf).select("id").join(graph.degrees(rels), F.col("node") == F.col("id"), "left")
+    return each.groupBy(graph.connectivity(degree).alias("status")).agg(F.count(F.lit(1)).alias("n"), F.lit(round(edges / max(1, n), 6)).alias("edges_per_method"), F.round(F.sum(degree) / max(1, n), 6).alias("degree_per_method"))
 
 
 @query(G + f", e AS (SELECT DISTINCT source_id AS node, target_id AS next FROM relationships), one AS (SELECT DISTINCT next AS node FROM e WHERE node = {SOME_METHOD} AND next <> {SOME_METHOD}), two AS (SELECT DISTINCT e.next AS node FROM one JOIN e USING (node) WHERE e.next <> {SOME_METHOD} AND e.next NOT IN (SELECT node FROM one)) SELECT node, 1 AS level FROM one UNION ALL SELECT node, 2 FROM two")
@@ -88,136 +103,196 @@ SELECT array_to_string(path, ' > ') AS path, CAST(len(path) - 1 AS INTEGER) AS l
 
 @query(G + PATHS_SQL)
 def simple_paths_d3(spark, sf):
-    from .graph_model import classes
-
     ends = classes(spark, sf).filter("n_regionkey = 1").agg(F.min("class_id").alias("a"), F.max("class_id").alias("b")).first()
     return graph.simple_paths(relationships(spark, sf).filter("rel_type in ('CONTAINS', 'EXTENDS')"), ends["a"], ends["b"], 3, 10)
 
 
-@query(G + NEAR_SQL + ADJ_SQL + _walk_sql(_starts_sql({"plain": 1}), 10) + "SELECT strategy, walk, CAST(length AS INTEGER) AS length, array_to_string(path, ' > ') AS path FROM paths")
+@query(G + NEAR_SQL + ADJ_SQL + "SELECT node, neighbour, rel_type, lo, hi, total FROM adj WHERE node IN (SELECT class_id FROM classes) AND rel_type = 'EXTENDS'")
+def weight_intervals(spark, sf):
+    return graph.adjacency(_near(spark, sf)).join(classes(spark, sf).select(F.col("class_id").alias("node")), "node").filter("rel_type = 'EXTENDS'")
+
+
+@query(G + _walk_sql(_plain(1, 10)) + "SELECT strategy, walk, CAST(length AS INTEGER) AS length, array_to_string(path, ' > ') AS path FROM paths")
 def walk_one(spark, sf):
-    out = graph.walk(graph.adjacency(_near(spark, sf)), _starts(spark, some_method(spark, sf), {"plain": 1}), steps=10)
-    return out.withColumn("path", F.concat_ws(" > ", "path"))
+    return _walked(spark, sf, 1, 10).withColumn("path", F.concat_ws(" > ", "path"))
+
 
+@query(G + _walk_sql(_plain(5, 10)) + "SELECT 'walk: ' || array_to_string(path, ' -> ') || ' (' || (len(path) - 1) || ' steps)' AS text FROM paths")
+def walk_rendered(spark, sf):
+    return _walked(spark, sf, 5, 10).select(rendered_path(F.col("path")).alias("text"))
 
-@query(G + NEAR_SQL + ADJ_SQL + _walk_sql(_starts_sql({"plain": 5}), 10) + f"SELECT node, type, name, n, round(prob, 6) AS prob FROM shares JOIN entities ON id = node WHERE node <> {SOME_METHOD} QUALIFY row_number() OVER (ORDER BY n DESC, first, node) <= 20")
+
+@query(G + _walk_sql(_plain(5, 10)) + "SELECT node, type, name, n, round(prob, 6) AS prob FROM top")
 def walk_frequencies_top20(spark, sf):
-    start = some_method(spark, sf)
-    walked = graph.walk(graph.adjacency(_near(spark, sf)), _starts(spark, start, {"plain": 5}), steps=10)
-    return graph.most_visited(graph.visits(walked), entities(spark, sf), start).select("node", "type", "name", "n", F.round("prob", 6).alias("prob"))
+    return graph.most_visited(graph.visits(_walked(spark, sf, 5, 10)), entities(spark, sf), some_method(spark, sf)).select("node", "type", "name", "n", F.round("prob", 6).alias("prob"))
 
 
-@query(G + NEAR_SQL + ADJ_SQL + _walk_sql(_starts_sql({"plain": 3}), 8) + "SELECT walk, CAST(i AS INTEGER) AS step, path[i] AS node, path[i + 1] AS next FROM (SELECT walk, path, unnest(range(1, len(path))) AS i FROM paths)")
+@query(G + _walk_sql(_plain(3, 8)) + "SELECT walk, CAST(i AS INTEGER) AS step, path[i] AS node, path[i + 1] AS next FROM (SELECT walk, path, unnest(range(1, len(path))) AS i FROM paths)")
 def walk_path_edges(spark, sf):
-    walked = graph.walk(graph.adjacency(_near(spark, sf)), _starts(spark, some_method(spark, sf), {"plain": 3}), steps=8)
     pairs = F.zip_with(F.slice("path", 1, F.size("path") - 1), F.slice("path", 2, F.size("path")), lambda a, b: F.struct(a.alias("node"), b.alias("next")))
-    return walked.select("walk", F.posexplode(pairs).alias("p", "e")).select("walk", (F.col("p") + 1).alias("step"), "e.node", "e.next")
+    return _walked(spark, sf, 3, 8).select("walk", F.posexplode(pairs).alias("p", "e")).select("walk", (F.col("p") + 1).alias("step"), "e.node", "e.next")
 
 
-@query(G + NEAR_SQL + ADJ_SQL + _walk_sql(_starts_sql({"plain": 6}), 6) + f"SELECT type, count(*) AS nodes, CAST(sum(n) AS BIGINT) AS visits FROM seen JOIN entities ON id = node WHERE node <> {SOME_METHOD} GROUP BY 1")
+@query(G + _walk_sql(_plain(6, 6)) + f"SELECT type, count(*) AS nodes, CAST(sum(n) AS BIGINT) AS visits FROM seen JOIN entities ON id = node WHERE node <> {SOME_METHOD} GROUP BY 1")
 def walk_context_by_type(spark, sf):
-    start = some_method(spark, sf)
-    seen = graph.visits(graph.walk(graph.adjacency(_near(spark, sf)), _starts(spark, start, {"plain": 6}), steps=6))
-    return seen.join(entities(spark, sf).select(F.col("id").alias("node"), "type"), "node").filter(F.col("node") != start).groupBy("type").agg(F.count(F.lit(1)).alias("nodes"), F.sum("n").alias("visits"))
+    seen = graph.visits(_walked(spark, sf, 6, 6))
+    return seen.join(entities(spark, sf).select(F.col("id").alias("node"), "type"), "node").filter(F.col("node") != some_method(spark, sf)).groupBy("type").agg(F.count(F.lit(1)).alias("nodes"), F.sum("n").alias("visits"))
+
 
+STANDARD_SQL = "('shallow_wide', 4, 8, false, 0.0, false), ('deep_narrow', 16, 2, false, 0.0, false), ('balanced', 8, 4, false, 0.0, false), ('forward_only', 8, 4, true, 0.0, false)"
+ENTERPRISE_SQL = "('ultra_wide', 3, 12, false, 0.0, false), ('deep_exploration', 24, 1, false, 0.0, false), ('balanced_enterprise', 8, 4, false, 0.0, false), ('forward_enterprise', 8, 4, true, 0.0, false), ('reverse_enterprise', 8, 4, false, 0.0, false)"
+FACTORS_SQL = "('ultra_wide', 'CALLS', 1.5), ('deep_exploration', 'USES', 1.5), ('balanced_enterprise', 'CALLS', 1.3), ('balanced_enterprise', 'USES', 1.3), ('balanced_enterprise', 'EXTENDS', 1.3), ('forward_enterprise', 'CALLS', 1.5), ('reverse_enterprise', 'USES', 1.5)"
+HYBRID_SQL = "('vector_guided', 6, 4, false, 0.7, false), ('markov_heavy', 12, 4, false, 0.3, false), ('balanced_hybrid', 6, 8, false, 0.5, false)"
+COMBINED_SQL = "SELECT node, round(sum(prob), 6) AS score, count(*) AS strategies FROM top GROUP BY 1 ORDER BY round(sum(prob), 9) DESC, node LIMIT 30"
 
-STRATEGIES = {"wide": 6, "deep": 2, "standard": 3, "forward": 3}
+
+def _combined(spark, sf, strategies, **more):
+    start = some_method(spark, sf)
+    top = graph.most_visited(graph.visits(graph.walk(graph.ways(relationships(spark, sf)), start, strategies, **more)), entities(spark, sf), start)
+    top = graph.with_guidance(top, more["guidance"], strategies) if "guidance" in more else top
+    return graph.combined(top).select("node", F.round("score", 6).alias("score"), "strategies")
 
 
-@query(G + NEAR_SQL + ADJ_SQL + _walk_sql(_starts_sql(STRATEGIES), 8) + "SELECT node, round(sum(prob), 6) AS score, count(*) AS strategies FROM shares GROUP BY 1 ORDER BY round(sum(prob), 9) DESC, node LIMIT 30")
+@query(G + _walk_sql(STANDARD_SQL) + COMBINED_SQL)
 def multi_strategy_combined_top30(spark, sf):
-    walked = graph.walk(graph.adjacency(_near(spark, sf)), _starts(spark, some_method(spark, sf), STRATEGIES), steps=8)
-    return graph.combined(graph.visits(walked)).select("node", F.round("score", 6).alias("score"), "strategies")
+    return _combined(spark, sf, graph.standard(8, 4))
 
 
-GUIDE_SQL = ", guide AS (SELECT id AS node, 0.1 + (c_custkey % 10) / 20.0 AS score FROM methods WHERE c_custkey % 4 = 1)"
-GUIDED_SQL = GUIDE_SQL + ", near2 AS (SELECT n.node, neighbour, rel_type, CASE WHEN g.score IS NULL THEN w ELSE CAST(round(w * (1 + 0.5 * g.score)) AS BIGINT) END AS w FROM near n LEFT JOIN guide g ON g.node = n.neighbour)"
+@query(G + _walk_sql(ENTERPRISE_SQL, factors=FACTORS_SQL) + COMBINED_SQL)
+def enterprise_combined_top30(spark, sf):
+    return _combined(spark, sf, graph.enterprise(8, 4))
+
+
+@query(G + _walk_sql(ENTERPRISE_SQL, factors=FACTORS_SQL, base=LARGE_SQL) + f""", d AS (SELECT count(*) AS degree FROM (SELECT 1 FROM relationships WHERE source_id = {SOME_METHOD} OR target_id = {SOME_METHOD}))
+SELECT node, round(sum(prob), 6) AS score, count(*) AS strategies, 'large_enterprise' AS project_type, (SELECT CASE WHEN degree = 0 THEN 'ISOLATED' WHEN degree < 2 THEN 'LOW' WHEN degree < 5 THEN 'MODERATE' ELSE 'HIGH' END FROM d) AS connectivity, 3.38::DOUBLE AS calls_weight, 5 AS strategies_used FROM top GROUP BY 1 ORDER BY round(sum(prob), 9) DESC, node LIMIT 30""")
+def adaptive_walk(spark, sf):
+    out = graph.adaptive_walk(relationships(spark, sf), _coded(spark, sf), entities(spark, sf), some_method(spark, sf), steps=8, walks=4)
+    return out.withColumn("score", F.round("score", 6))
+
+
+# Vector results that name methods guide the walks: their payload is joined to the graph by method and class name.
+GUIDE_SQL = """, hits AS (SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 7)), 2) AS score FROM embeddings WHERE vec_id IN (SELECT c_custkey FROM customer) ORDER BY round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 7)), 9) DESC, vec_id LIMIT 40)
+, guide AS (SELECT m.id AS node, max(greatest(score, 0.0)) AS score FROM hits JOIN methods p ON p.c_custkey = vec_id JOIN methods m ON m.name = p.name AND m.class_name = p.class_name GROUP BY 1)"""
 
 
 def _guide(spark, sf):
-    return methods(spark, sf).filter("c_custkey % 4 = 1").select(F.col("id").alias("node"), (F.lit(0.1) + (F.col("c_custkey") % 10) / 20.0).alias("score"))
+    """The 40 vectors closest to one, as nodes of the graph."""
+    points = table(spark, sf, "embeddings")
+    m = methods(spark, sf)
+    payload = m.select(F.col("c_custkey").alias("vec_id"), F.col("name").alias("method_name"), "class_name")
+    named = points.select("vec_id", "embedding").join(payload, "vec_id")
+    wanted = points.filter("vec_id = 7").first()["embedding"]
+    found = vector.search(named, wanted, limit=40, places=9).select("method_name", "class_name", F.greatest(F.round("score", 2), F.lit(0.0)).alias("score"))
+    return vector.as_nodes(found, m)
+
 
+@query(G + GUIDE_SQL + " SELECT node, score FROM guide")
+def vector_guidance(spark, sf):
+    return _guide(spark, sf)
 
-@query(G + NEAR_SQL + GUIDED_SQL + ADJ_SQL.replace("FROM near ", "FROM near2 ") + _walk_sql(_starts_sql({"guided": 4}), 8) + "SELECT walk, CAST(length AS INTEGER) AS length, array_to_string(path, ' > ') AS path FROM paths")
+
+@query(G + _walk_sql("('guided', 8, 4, false, 1.0, true)", guide=GUIDE_SQL) + "SELECT walk, CAST(length AS INTEGER) AS length, array_to_string(path, ' > ') AS path FROM paths")
 def guided_walk(spark, sf):
-    adj = graph.adjacency(graph.guided(_near(spark, sf), _guide(spark, sf)).select("node", "neighbour", "rel_type", "w"))
-    return graph.walk(adj, _starts(spark, some_method(spark, sf), {"guided": 4}), steps=8).select("walk", "length", F.concat_ws(" > ", "path").alias("path"))
+    out = graph.walk(graph.ways(relationships(spark, sf)), some_method(spark, sf), [graph.Strategy("guided", 8, 4, guidance=1.0, all_guided=True)], guidance=_guide(spark, sf))
+    return out.select("walk", "length", F.concat_ws(" > ", "path").alias("path"))
+
 
+@query(G + _walk_sql("('hybrid', 6, 6, false, 1.0, false)", guide=GUIDE_SQL) + "SELECT t.node, t.type, t.n, round(prob, 6) AS prob, coalesce(g.score, 0.0) AS score FROM top t LEFT JOIN guide g ON g.node = t.node")
+def hybrid_walk(spark, sf):
+    start, guide = some_method(spark, sf), _guide(spark, sf)
+    plan = [graph.Strategy("hybrid", 6, 6, guidance=1.0)]
+    top = graph.most_visited(graph.visits(graph.walk(graph.ways(relationships(spark, sf)), start, plan, guidance=guide)), entities(spark, sf), start)
+    return graph.with_guidance(top, guide, plan).select("node", "type", "n", F.round("prob", 6).alias("prob"), F.coalesce("score", F.lit(0.0)).alias("score"))
 
-@query(G + NEAR_SQL + GUIDE_SQL + ADJ_SQL + _walk_sql(_starts_sql({"guided": 3, "markov": 6, "balanced": 3}), 6) + "SELECT s.node, round(sum(prob + 0.3 * coalesce(g.score, 0)), 6) AS score, count(*) AS strategies FROM shares s LEFT JOIN guide g ON g.node = s.node GROUP BY 1 ORDER BY round(sum(prob + 0.3 * coalesce(g.score, 0)), 9) DESC, 1 LIMIT 30")
+
+@query(G + _walk_sql(HYBRID_SQL, guide=GUIDE_SQL) + "SELECT t.node, round(sum(prob + 0.3 * coalesce(g.score, 0) * p.guidance), 6) AS score, count(*) AS strategies FROM top t JOIN plan p USING (strategy) LEFT JOIN guide g ON g.node = t.node GROUP BY 1 ORDER BY round(sum(prob + 0.3 * coalesce(g.score, 0) * p.guidance), 9) DESC, 1 LIMIT 30")
 def hybrid_combined(spark, sf):
-    walked = graph.walk(graph.adjacency(_near(spark, sf)), _starts(spark, some_method(spark, sf), {"guided": 3, "markov": 6, "balanced": 3}), steps=6)
-    return graph.combined(graph.visits(walked), _guide(spark, sf)).select("node", F.round("score", 6).alias("score"), "strategies")
+    return _combined(spark, sf, graph.hybrid(6, 4), guidance=_guide(spark, sf))
 
 
-PROFILE_SQL = "avg(CASE WHEN len(parameter_types) > 1 THEN 1.0 ELSE 0.0 END) AS gui_share, avg(CASE WHEN len(annotations) > 0 THEN 1.0 ELSE 0.0 END) AS annotation_share, avg(len(parameter_types)) AS mean_parameters, avg(complexity) AS mean_complexity, count(*) AS methods"
+# What methods say, by key, and projects of about eight methods each.
+CODE = ("return name;", "JButton b = make();", "ResultSet rs = run(SQL);", "return Math.abs(x);", "try { go(); } catch (E e) { }", "int n = a + b;", "setTitle(x);", "new ActionListener();")
+CODED_SQL = f"""
+, coded AS (SELECT *, [{', '.join(f"'{c}'" for c in CODE)}][CAST(1 + (c_custkey * 31 + c_custkey // 7) % {len(CODE)} AS INTEGER)] AS source_code, c_custkey % 4 = 1 AS fixed, 1 + (c_custkey // 3) % 4 AS cc, c_custkey % (SELECT greatest(count(*) // 8, 1) FROM customer) AS project FROM methods)
+, profiles AS (SELECT project, avg(CASE WHEN regexp_matches(source_code, 'JFrame|JButton|Swing|ActionListener') THEN 1.0 ELSE 0.0 END) AS gui, avg(CASE WHEN len(annotations) > 0 THEN 1.0 ELSE 0.0 END) AS annotated,
+  avg(CASE WHEN regexp_matches(source_code, 'ResultSet|Connection|SQL|Statement') THEN 1.0 ELSE 0.0 END) AS database, avg(CASE WHEN regexp_matches(source_code, 'Math[.]|calculate|compute|[+*/-]') THEN 1.0 ELSE 0.0 END) AS math,
+  avg(CASE WHEN regexp_matches(source_code, 'try|catch') THEN 1.0 ELSE 0.0 END) AS exceptions, avg(CASE WHEN fixed THEN 1.0 ELSE 0.0 END) AS static, avg(len(parameter_types)) AS parameters, avg(cc) AS complexity, count(*) AS methods FROM coded GROUP BY 1)
+"""
 
 
-def _profile(df, *keys):
-    share = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
-    return df.groupBy(*keys).agg(share(F.size("parameter_types") > 1).alias("gui_share"), share(F.size("annotations") > 0).alias("annotation_share"), F.avg(F.size("parameter_types")).alias("mean_parameters"), F.avg("complexity").alias("mean_complexity"), F.count(F.lit(1)).alias("methods"))
+def _coded(spark, sf):
+    m, k = methods(spark, sf), F.col("c_custkey")
+    code = F.element_at(F.array(*[F.lit(c) for c in CODE]), (1 + (k * 31 + F.floor(k / 7)) % len(CODE)).cast("int"))
+    return m.withColumn("source_code", code).withColumn("modifiers", F.when(k % 4 == 1, F.array(F.lit("public"), F.lit("static"))).otherwise(F.array(F.lit("public"))))
 
 
-@query(G + f"SELECT project_id, round(gui_share, 6) AS gui_share, round(annotation_share, 6) AS annotation_share, round(mean_parameters, 6) AS mean_parameters, round(mean_complexity, 6) AS mean_complexity, methods FROM (SELECT project_id, {PROFILE_SQL} FROM methods GROUP BY 1)")
-def project_profile(spark, sf):
-    out = _profile(methods(spark, sf), "project_id")
-    return out.select("project_id", *[F.round(c, 6).alias(c) for c in ("gui_share", "annotation_share", "mean_parameters", "mean_complexity")], "methods")
+def _profiles(spark, sf):
+    rows = _coded(spark, sf)
+    groups = max(table(spark, sf, "customer").count() // 8, 1)
+    rows = rows.withColumns({"complexity": 1 + F.floor(F.col("c_custkey") / 3) % 4, "project": F.col("c_custkey") % groups})
+    return graph.profile(rows, "project")
 
 
-@query(G + f"SELECT package, class_name, CASE WHEN methods > 30 OR mean_complexity > 8 THEN 'large_enterprise' WHEN gui_share > 0.2 THEN 'gui_application' WHEN annotation_share > 0.3 THEN 'framework_library' WHEN mean_complexity < 2 THEN 'utility_library' ELSE 'general' END AS project_type FROM (SELECT package, class_name, {PROFILE_SQL} FROM methods GROUP BY 1, 2)")
-def project_type(spark, sf):
-    p = _profile(methods(spark, sf), "package", "class_name")
-    kind = F.when((F.col("methods") > 30) | (F.col("mean_complexity") > 8), "large_enterprise").when(F.col("gui_share") > 0.2, "gui_application").when(F.col("annotation_share") > 0.3, "framework_library").when(F.col("mean_complexity") < 2, "utility_library").otherwise("general")
-    return p.select("package", "class_name", kind.alias("project_type"))
+@query(G + CODED_SQL + "SELECT project, round(gui, 6) AS gui, round(annotated, 6) AS annotated, round(database, 6) AS database, round(math, 6) AS math, round(exceptions, 6) AS exceptions, round(static, 6) AS static, round(parameters, 6) AS parameters, round(complexity, 6) AS complexity, methods FROM profiles")
+def project_profile(spark, sf):
+    out = _profiles(spark, sf)
+    return out.select("project", *[F.round(c, 6).alias(c) for c in out.columns[1:-1]], "methods")
 
 
-def _weights_rows() -> list[tuple[str, str, float]]:
-    return [(p, k, w) for p in W.FACTORS for k, w in W.adapted(p, 3.0, 50).items()]
+@query(G + CODED_SQL + "SELECT project, CASE WHEN methods > 30 OR complexity > 3 THEN 'large_enterprise' WHEN gui > 0.2 THEN 'gui_application' WHEN annotated > 0.3 THEN 'framework_library' WHEN database > 0.15 THEN 'data_processing' WHEN math > 0.4 OR complexity < 2 THEN 'utility_library' WHEN exceptions > 0.3 THEN 'business_logic' ELSE 'general' END AS project_type FROM profiles")
+def project_type(spark, sf):
+    p = _profiles(spark, sf)
+    return p.select("project", graph.project_type(p).alias("project_type"))
 
 
-ADAPTED_SQL = "SELECT * FROM (VALUES " + ", ".join(f"('{p}', '{k}', CAST({w} AS DOUBLE))" for p, k, w in (("general", k, w) for k, w in W.ADAPTIVE.items())) + ") AS t(project_type, rel_type, weight)"
+# The adapted weights of each type of project, and of general ones of many complex methods and of few simple ones.
+ADAPTED_SQL = """SELECT project_type, rel_type, CAST(weight AS DOUBLE) AS weight FROM (UNPIVOT (SELECT * FROM (VALUES
+('CALLS', 1.3, 1.3, 1.82, 1.17, 1.56, 2.6, 1.3, 1.69, 1.404), ('USES', 1.3, 1.0, 1.0, 1.2, 1.2, 1.8, 1.0, 1.0, 1.21), ('CONTAINS', 0.56, 0.4, 0.4, 0.4, 0.4, 0.12, 0.4, 0.48, 0.4),
+('EXTENDS', 0.7, 1.12, 0.7, 0.7, 0.7, 1.05, 0.7, 0.77, 0.7), ('IMPLEMENTS', 0.7, 1.05, 0.7, 0.7, 0.7, 1.05, 0.7, 0.77, 0.7), ('RETURNS', 0.5, 0.65, 0.5, 0.55, 0.5, 0.7, 0.5, 0.5, 0.5),
+('PARAMETER', 0.5, 0.5, 0.65, 0.5, 0.5, 0.7, 0.5, 0.5, 0.5), ('THROWS', 0.6, 0.6, 0.72, 0.6, 0.66, 0.78, 0.6, 0.66, 0.6), ('ANNOTATED', 0.96, 1.04, 0.8, 0.8, 0.8, 1.04, 0.8, 0.8, 0.8),
+('OVERRIDES', 0.9, 1.26, 0.9, 0.9, 0.9, 1.26, 0.9, 0.9, 0.9), ('DEPENDS_ON', 0.6, 0.6, 0.72, 0.6, 0.66, 0.78, 0.6, 0.72, 0.6)) AS t(rel_type, gui_application, framework_library, data_processing, utility_library, business_logic, large_enterprise, general, many_complex, few_simple))
+ON gui_application, framework_library, data_processing, utility_library, business_logic, large_enterprise, general, many_complex, few_simple INTO NAME project_type VALUE weight)"""
 
 
 @query(ADAPTED_SQL)
 def adapted_weights(spark, sf):
-    return spark.createDataFrame(_weights_rows(), "project_type string, rel_type string, weight double").filter("project_type = 'general'")
+    rows = [(p, k, w) for p in W.FACTORS for k, w in W.adapted(p, 3.0, 50).items()]
+    rows += [(n, k, w) for n, c, m in (("many_complex", 5.0, 150), ("few_simple", 1.0, 10)) for k, w in W.adapted("general", c, m).items()]
+    return spark.createDataFrame(rows, "project_type string, rel_type string, weight double")
 
 
-@query(G + f""", t AS (SELECT {SOME_METHOD} AS id),
-g AS (SELECT id, 1.0 / (1 + c_custkey % 9) AS score FROM methods WHERE c_custkey % 6 = 1),
-v AS (SELECT id, 1.0 / (1 + c_custkey % 7) AS score FROM methods WHERE c_custkey % 5 = 2),
+@query(G + _walk_sql(_plain(5, 10)) + GUIDE_SQL.replace(", guide AS", ", near_by AS") + f""", t AS (SELECT {SOME_METHOD} AS id),
 d AS (SELECT DISTINCT target_id AS id, 1.0 AS score FROM relationships WHERE source_id = (SELECT id FROM t) AND rel_type = 'CALLS'),
-a AS (SELECT id, score * 0.7 AS score, 'graph' AS source FROM g UNION ALL SELECT id, score * 0.5, 'vector' FROM v UNION ALL SELECT id, score, 'dependency' FROM d)
+a AS (SELECT node AS id, prob * 0.7 AS score, 'graph' AS source FROM top UNION ALL SELECT node, score * 0.5, 'vector' FROM near_by UNION ALL SELECT id, score, 'dependency' FROM d)
 SELECT id, round(s, 6) AS score, sources FROM (SELECT id, round(sum(score), 9) AS s, array_to_string(list_sort(list_distinct(list(source))), ',') AS sources FROM a GROUP BY 1) WHERE s >= 0.1 ORDER BY (id = (SELECT id FROM t)) DESC, s DESC, id DESC LIMIT 20""")
 def context_fusion_top20(spark, sf):
-    m, t = methods(spark, sf), some_method(spark, sf)
-    g = m.filter("c_custkey % 6 = 1").select("id", (1.0 / (1 + F.col("c_custkey") % 9)).alias("score"))
-    v = m.filter("c_custkey % 5 = 2").select("id", (1.0 / (1 + F.col("c_custkey") % 7)).alias("score"))
+    """What walks visit, what vectors find and what the method calls, fused."""
+    t = some_method(spark, sf)
+    g = graph.most_visited(graph.visits(_walked(spark, sf, 5, 10)), entities(spark, sf), t).select(F.col("node").alias("id"), F.col("prob").alias("score"))
+    v = _guide(spark, sf).select(F.col("node").alias("id"), "score")
     d = relationships(spark, sf).filter((F.col("source_id") == t) & (F.col("rel_type") == "CALLS")).select(F.col("target_id").alias("id")).distinct().withColumn("score", F.lit(1.0))
     return graph.fuse(g, v, d, t).withColumn("score", F.round("score", 6))
 
 
-FALLBACKS = {"class": 5, "package": 8, "returns": 5, "complexity": 5}
-
-
-@query(G + f""", me AS (SELECT * FROM methods WHERE c_custkey = 7), have AS (SELECT id FROM methods WHERE c_custkey % 11 = 0 OR c_custkey = 7),
-s AS (SELECT 'class' AS strategy, 1 AS prio, m.id, m.name FROM methods m, me WHERE m.class_id = me.class_id
-  UNION ALL SELECT 'package', 2, m.id, m.name FROM methods m, me WHERE m.package = me.package
-  UNION ALL SELECT 'returns', 3, m.id, m.name FROM methods m, me WHERE m.return_type = me.return_type
-  UNION ALL SELECT 'complexity', 4, m.id, m.name FROM methods m, me WHERE m.complexity BETWEEN me.complexity - 2 AND me.complexity + 3),
+@query(G + """, me AS (SELECT * FROM methods WHERE c_custkey = 15), have AS (SELECT id FROM methods WHERE c_custkey % 11 = 0 OR c_custkey = 15),
+s AS (SELECT 'class' AS strategy, 1 AS prio, 0.1 AS prob, m.id, m.name FROM methods m, me WHERE m.class_id = me.class_id
+  UNION ALL SELECT 'package', 2, 0.05, m.id, m.name FROM methods m, me WHERE starts_with(m.package, me.package)
+  UNION ALL SELECT 'name', 3, 0.08, m.id, m.name FROM methods m, me WHERE m.name ILIKE '%' || substr(me.name, 1, 15) || '%'
+  UNION ALL SELECT 'returns', 4, 0.06, m.id, m.name FROM methods m, me WHERE m.return_type = me.return_type AND me.return_type <> 'void'
+  UNION ALL SELECT 'parameters', 5, 0.07, m.id, m.name FROM methods m, me WHERE list_has_any(list_transform(m.parameter_types, lambda x: string_split(x, '.')[-1]), list_transform(me.parameter_types, lambda x: string_split(x, '.')[-1]))
+  UNION ALL SELECT 'annotations', 6, 0.09, m.id, m.name FROM methods m, me WHERE list_has_any(m.annotations, me.annotations)
+  UNION ALL SELECT 'complexity', 7, 0.06, m.id, m.name FROM methods m, me WHERE m.complexity BETWEEN 3 AND 6),
 top AS (SELECT *, row_number() OVER (PARTITION BY strategy ORDER BY name, id) AS place FROM s),
-kept AS (SELECT * FROM top WHERE place <= CASE strategy WHEN 'class' THEN 5 WHEN 'package' THEN 8 ELSE 5 END AND id NOT IN (SELECT id FROM have))
-SELECT strategy, id, CAST(place AS INTEGER) AS place FROM kept QUALIFY row_number() OVER (PARTITION BY id ORDER BY prio, place) = 1""")
+kept AS (SELECT * FROM top WHERE place <= CASE strategy WHEN 'package' THEN 8 WHEN 'returns' THEN 4 WHEN 'parameters' THEN 6 WHEN 'annotations' THEN 4 ELSE 5 END AND id NOT IN (SELECT id FROM have))
+SELECT strategy, id, CAST(prob AS DOUBLE) AS prob, CAST(place AS INTEGER) AS place FROM kept QUALIFY row_number() OVER (PARTITION BY id ORDER BY prio, place) = 1""")
 def fallback_expansion(spark, sf):
     m = methods(spark, sf)
-    me = m.filter("c_custkey = 7").first()
-    part = lambda s, p, where: m.filter(where).select(F.lit(s).alias("strategy"), F.lit(p).alias("prio"), "id", "name")
-    sources = part("class", 1, F.col("class_id") == me["class_id"]).unionByName(part("package", 2, F.col("package") == me["package"])).unionByName(part("returns", 3, F.col("return_type") == me["return_type"])).unionByName(part("complexity", 4, F.col("complexity").between(me["complexity"] - 2, me["complexity"] + 3)))
-    have = m.filter("c_custkey % 11 = 0 or c_custkey = 7").select("id")
-    return graph.fallback(sources, have, FALLBACKS).select("strategy", "id", "place")
+    me = m.filter("c_custkey = 15").first()
+    have = m.filter("c_custkey % 11 = 0 or c_custkey = 15").select("id")
+    return graph.fallback(graph.fallback_sources(m, me, name_part=me["name"][:15]), have).select("strategy", "id", "prob", "place")
 
 
-@query(G + """, wanted AS (SELECT c_custkey AS q, CASE c_custkey % 3 WHEN 0 THEN id WHEN 1 THEN name ELSE lower(substr(name, 1, 15)) END AS text FROM methods WHERE c_custkey < 30),
+@query(G + """, wanted AS (SELECT c_custkey AS q, CASE c_custkey % 3 WHEN 0 THEN id WHEN 1 THEN name ELSE lower(substr(name, 1, 15)) END AS text FROM methods WHERE c_custkey % 50 = 0),
 c AS (SELECT q, m.id, 1 AS prio FROM wanted JOIN methods m ON m.id = text UNION ALL SELECT q, m.id, 2 FROM wanted JOIN methods m ON m.name = text UNION ALL SELECT q, m.id, 3 FROM wanted JOIN methods m ON m.name ILIKE text || '%')
 SELECT q, id, prio FROM c QUALIFY row_number() OVER (PARTITION BY q ORDER BY prio, id) = 1""")
 def resolve_method_cascade(spark, sf):
@@ -225,9 +300,11 @@ def resolve_method_cascade(spark, sf):
 
     m = methods(spark, sf)
     text = F.when(F.col("c_custkey") % 3 == 0, F.col("id")).when(F.col("c_custkey") % 3 == 1, F.col("name")).otherwise(F.lower(F.substring("name", 1, 15)))
-    wanted = m.filter("c_custkey < 30").select(F.col("c_custkey").alias("q"), text.alias("text"))
-    part = lambda where, p: F.broadcast(wanted).join(m, where).select("q", "id", F.lit(p).alias("prio"))
-    met = part(F.col("id") == F.col("text"), 1).unionByName(part(F.col("name") == F.col("text"), 2)).unionByName(part(F.expr("name ilike concat(text, '%')"), 3))
+    wanted = m.filter("c_custkey % 50 = 0").select(F.col("c_custkey").alias("q"), text.alias("text"))
+    part = lambda p, *on: wanted.join(m.withColumn("start", F.lower(F.substring("name", 1, 15))), *on).select("q", "id", F.lit(p).alias("prio"))
+    # A text that begins a name shares its first 15 characters with it: an equi-join that Spark can split.
+    begins = (F.lower(F.substring("text", 1, 15)) == F.col("start")) & F.expr("name ilike concat(text, '%')")
+    met = part(1, F.col("id") == F.col("text")).unionByName(part(2, F.col("name") == F.col("text"))).unionByName(part(3, begins))
     return first_of(met, ["q"], ["prio", "id"])
 
 

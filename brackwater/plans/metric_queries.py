@@ -118,12 +118,20 @@ def file_hash(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("hash"))
 
 
-@query("SELECT source, sha256(array_to_string(list_transform(list_sort(list({'name': lpad(doc_id::VARCHAR, 9, '0'), 'hash': sha256(text)})), lambda x: x.hash || x.name), '')) AS hash FROM documents GROUP BY 1")
+TREE_SQL = """WITH f AS (SELECT source || '/d' || (doc_id // 100 % 50) || '/p' || (doc_id // 5000) AS parent, 'f' || doc_id AS name, sha256(text) AS hash FROM documents),
+a AS (SELECT regexp_replace(parent, '/[^/]*$', '') AS parent, regexp_extract(parent, '[^/]*$') AS name, parent AS path, h AS hash FROM (SELECT parent, sha256(array_to_string(list_transform(list_sort(list({'name': name, 'hash': hash})), lambda x: x.hash || x.name), '')) AS h FROM f GROUP BY 1)),
+b AS (SELECT regexp_replace(parent, '/[^/]*$', '') AS parent, regexp_extract(parent, '[^/]*$') AS name, parent AS path, h AS hash FROM (SELECT parent, sha256(array_to_string(list_transform(list_sort(list({'name': name, 'hash': hash})), lambda x: x.hash || x.name), '')) AS h FROM a GROUP BY 1)),
+c AS (SELECT parent AS path, parent AS name, sha256(array_to_string(list_transform(list_sort(list({'name': name, 'hash': hash})), lambda x: x.hash || x.name), '')) AS hash FROM b GROUP BY 1)
+SELECT path, hash FROM a UNION ALL SELECT path, hash FROM b UNION ALL SELECT path, hash FROM c UNION ALL SELECT '' AS path, sha256(array_to_string(list_transform(list_sort(list({'name': name, 'hash': hash})), lambda x: x.hash || x.name), '')) AS hash FROM c"""
+
+
+@query(TREE_SQL)
 def dir_hash(spark, sf):
-    from ..sources.files import directory_hash
+    from ..sources.files import tree_hashes
 
-    files = table(spark, sf, "documents").select(F.col("source").alias("parent"), F.lpad(F.col("doc_id").cast("string"), 9, "0").alias("name"), F.sha2("text", 256).alias("hash"))
-    return directory_hash(files).select(F.col("parent").alias("source"), "hash")
+    k = F.col("doc_id")
+    path = F.concat_ws("/", "source", F.concat(F.lit("d"), (F.floor(k / 100) % 50).cast("string")), F.concat(F.lit("p"), F.floor(k / 5000).cast("string")), F.concat(F.lit("f"), k.cast("string")))
+    return tree_hashes(table(spark, sf, "documents").select(path.alias("path"), F.sha2("text", 256).alias("hash"))).filter("not is_file").select("path", "hash")
 
 
 @query("""WITH old AS (SELECT doc_id AS path, sha256(text) AS hash FROM documents WHERE doc_id % 10 <> 3), new AS (SELECT doc_id AS path, sha256(CASE WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END) AS hash FROM documents WHERE doc_id % 10 <> 5)
@@ -141,7 +149,7 @@ def changed_files(spark, sf):
 def streaming_hourly(spark, sf):
     from ..streaming.windows import hourly_counts, run_to_table
 
-    return run_to_table(hourly_counts(spark, f"{sf}/events.parquet"), "complete").select(F.col("hour").cast("timestamp_ntz").alias("hour"), "agent", "n")
+    return run_to_table(hourly_counts(spark, f"{sf}/events.parquet"), ["hour", "agent"]).select(F.col("hour").cast("timestamp_ntz").alias("hour"), "agent", "n")
 
 
 @query("SELECT user_id, event_type, count(*) AS n FROM (SELECT DISTINCT user_id, event_type, date_trunc('day', ts) AS day FROM events) GROUP BY 1, 2")

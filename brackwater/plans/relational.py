@@ -95,13 +95,13 @@ def search_by_package_pattern(spark, sf):
 
 @query(
     G
-    + """, wanted AS (SELECT c_custkey AS query, name AS method_name, CASE WHEN c_custkey % 2 = 0 THEN class_name ELSE 'none' END AS class_name FROM methods WHERE c_custkey < 60),
+    + """, wanted AS (SELECT c_custkey AS query, name AS method_name, CASE WHEN c_custkey % 2 = 0 THEN class_name ELSE 'none' END AS class_name FROM methods WHERE c_custkey % 50 = 0),
 met AS (SELECT query, m.id, m.name, CASE WHEN m.class_name = w.class_name THEN 0 WHEN contains(lower(m.package), lower(w.class_name)) THEN 1 ELSE 2 END AS priority FROM wanted w JOIN methods m ON m.name = w.method_name)
 SELECT query, id, priority FROM met QUALIFY row_number() OVER (PARTITION BY query ORDER BY priority, name, id) = 1"""
 )
 def find_method_class_priority(spark, sf):
     m = methods(spark, sf)
-    wanted = m.filter("c_custkey < 60").select(F.col("c_custkey").alias("query"), F.col("name").alias("method_name"), F.when(F.col("c_custkey") % 2 == 0, F.col("class_name")).otherwise("none").alias("class_name"))
+    wanted = m.filter("c_custkey % 50 = 0").select(F.col("c_custkey").alias("query"), F.col("name").alias("method_name"), F.when(F.col("c_custkey") % 2 == 0, F.col("class_name")).otherwise("none").alias("class_name"))
     return store.find_by_signature(m, wanted).select("query", "id", "priority")
 
 
@@ -181,11 +181,11 @@ def complexity_range_join(spark, sf):
     return store.complexity_neighbours(methods(spark, sf))
 
 
-@query(G + ", wanted AS (SELECT id AS q, unnest(parameter_types) AS t FROM methods WHERE c_custkey < 9), met AS (SELECT DISTINCT q, t, m.id, m.name FROM wanted w JOIN methods m ON m.id <> w.q AND (list_contains(m.parameter_types, t) OR list_contains(list_transform(m.parameter_types, lambda x: string_split(x, '.')[-1]), string_split(t, '.')[-1]))) SELECT q, t, id FROM met QUALIFY row_number() OVER (PARTITION BY q, t ORDER BY name, id) <= 10")
+@query(G + ", wanted AS (SELECT id AS q, unnest(parameter_types) AS t FROM methods WHERE c_custkey % 50 = 0), met AS (SELECT DISTINCT q, t, m.id, m.name FROM wanted w JOIN methods m ON m.id <> w.q AND (list_contains(m.parameter_types, t) OR list_contains(list_transform(m.parameter_types, lambda x: string_split(x, '.')[-1]), string_split(t, '.')[-1]))) SELECT q, t, id FROM met QUALIFY row_number() OVER (PARTITION BY q, t ORDER BY name, id) <= 10")
 def param_type_overlap(spark, sf):
     m = methods(spark, sf)
     last = lambda c: F.element_at(F.split(c, r"\."), -1)
-    wanted = m.filter("c_custkey < 9").select(F.col("id").alias("q"), F.explode("parameter_types").alias("t")).withColumn("key", last(F.col("t")))
+    wanted = m.filter("c_custkey % 50 = 0").select(F.col("id").alias("q"), F.explode("parameter_types").alias("t")).withColumn("key", last(F.col("t")))
     offered = m.select("id", "name", F.explode(F.array_distinct(F.transform("parameter_types", last))).alias("key"))
     met = wanted.join(offered, "key").filter("id <> q").select("q", "t", "id", "name").distinct()
     return store.top_of(met, ["q", "t"], ["name", "id"], 10).select("q", "t", "id")

@@ -6,51 +6,68 @@ from pyspark.sql import functions as F
 
 from ..functions import java
 from ..operators import indexing
+from ..operators.presentation import signature
 from ..session import table
 from ..sources import reports
 from .graph_model import GRAPH_SQL, classes
 from .registry import query
 
 G = f"WITH {GRAPH_SQL} "
-MOST = 400
+#: Customers by a block of keys, so that files stay small however many there are.
+BLOCK = 1000
 
 
 def code_files(spark, sf):
-    """A Java file for each class: fields for its suppliers, methods for some of its customers."""
+    """A Java file for each nation and block of keys: fields for its suppliers, methods of three shapes for its customers."""
     c = classes(spark, sf)
-    m = table(spark, sf, "customer").filter(F.col("c_custkey") < MOST).select("c_custkey", F.col("c_nationkey").alias("n_nationkey"))
-    body = F.concat(F.lit("  @Override\n  public int m"), F.col("c_custkey").cast("string"), F.lit("(int a, List<String> b) throws Exception {\n    // no { here\n    if (a > 0 && b != null) { return m"), ((F.col("c_custkey") * 3) % MOST).cast("string"), F.lit("(a, b); }\n    String s = \"}\"; return other(s);\n  }\n"))
-    m = m.groupBy("n_nationkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", body.alias("t")))), lambda x: x["t"]), "").alias("methods"))
-    s = table(spark, sf, "supplier").filter("s_suppkey < 50").select("s_suppkey", F.col("s_nationkey").alias("n_nationkey"))
-    s = s.groupBy("n_nationkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s_suppkey")), lambda k: F.concat(F.lit("  private final Store f"), k.cast("string"), F.lit(" = new Store(1);\n"))), "").alias("fields"))
-    c = c.join(m, "n_nationkey", "left").join(s, "n_nationkey", "left")
-    parent = F.concat(F.lit(" extends NATION_"), ((F.col("n_nationkey") + 1) % 30).cast("string"))
-    source = F.concat(F.lit("package "), F.col("package"), F.lit(";\nimport java.util.List;\npublic abstract class "), "class_name", parent, F.lit(" implements Runnable, Shop {\n"), F.coalesce("fields", F.lit("")), F.coalesce("methods", F.lit("")), F.lit("}\nclass Extra"), F.col("n_nationkey").cast("string"), F.lit(" { int x; }\n"))
-    return c.select(F.concat("package", F.lit("/"), "class_name", F.lit(".java")).alias("path"), source.alias("source"))
-
-
-@query(G + f"SELECT package || '/' || class_name || '.java' AS path, replace(class_name, ' ', '') AS name, 'NATION_' || ((n_nationkey + 1) % 30) AS extends, CAST((SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey AND c_custkey < {MOST}) AS INTEGER) AS methods, CAST((SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey AND s_suppkey < 50) AS INTEGER) AS fields FROM classes")
+    key, n = F.col("c_custkey"), table(spark, sf, "customer").count()
+    text = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
+    plain = text("  @Override\n  public int m", key, "(int a, List<String> b) throws Exception {\n    // no { here\n    if (a > 0 && b != null) { return m", (key * 3) % n, "(a, b); }\n    String s = \"}\"; return other(s);\n  }\n")
+    loops = text("  private static void m", key, "() {\n    for (int i = 0; i < 3; i++) { while (go()) { step(i); } }\n    switch (kind()) { case 1: break; }\n  }\n")
+    open_ = text("  abstract Map<String, Integer> m", key, "(Map<String, Integer> x);\n")
+    m = table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("n_nationkey"), F.floor(key / BLOCK).alias("block"), F.when(key % 3 == 0, plain).when(key % 3 == 1, loops).otherwise(open_).alias("t"))
+    m = m.groupBy("n_nationkey", "block").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "t"))), lambda x: x["t"]), "").alias("methods"))
+    s = table(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").alias("n_nationkey"), F.floor(F.col("s_suppkey") / BLOCK).alias("block"))
+    s = s.groupBy("n_nationkey", "block").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s_suppkey")), lambda k: F.concat(F.lit("  private final Store f"), k.cast("string"), F.lit(" = new Store(1);\n"))), "").alias("fields"))
+    c = m.join(c, "n_nationkey").join(s, ["n_nationkey", "block"], "left")
+    name = F.concat("class_name", F.lit("_b"), F.col("block").cast("string"))
+    parent = text(" extends NATION_", (F.col("n_nationkey") + 1) % 30, "_b", F.col("block"))
+    source = F.concat(F.lit("package "), F.col("package"), F.lit(";\nimport java.util.List;\npublic abstract class "), name, parent, F.lit(" implements Runnable, Shop {\n"), F.coalesce("fields", F.lit("")), "methods", F.lit("}\nclass Extra"), F.col("n_nationkey").cast("string"), F.lit(" { int x; }\n"))
+    return c.select(F.concat("package", F.lit("/"), name, F.lit(".java")).alias("path"), source.alias("source"))
+
+
+FILES_SQL = f"""{G}, files AS (SELECT c.*, block, class_name || '_b' || block AS name, n_methods, coalesce(n_fields, 0) AS n_fields FROM (SELECT c_nationkey, c_custkey // {BLOCK} AS block, count(*) AS n_methods FROM customer GROUP BY 1, 2) JOIN classes c ON c_nationkey = n_nationkey LEFT JOIN (SELECT s_nationkey, s_suppkey // {BLOCK} AS s_block, count(*) AS n_fields FROM supplier GROUP BY 1, 2) ON s_nationkey = n_nationkey AND s_block = block) """
+
+
+@query(FILES_SQL + "SELECT package || '/' || name || '.java' AS path, name, 'NATION_' || ((n_nationkey + 1) % 30) || '_b' || block AS extends, 'Runnable,Shop' AS implements, 'java.util.List' AS imports, CAST(n_methods AS INTEGER) AS methods, CAST(n_fields AS INTEGER) AS fields FROM files")
 def java_parse(spark, sf):
-    return java.parsed(code_files(spark, sf)).select("path", "name", "extends", F.size("methods").alias("methods"), F.size("fields").alias("fields"))
+    return java.parsed(code_files(spark, sf)).select("path", "name", "extends", F.array_join("implements", ",").alias("implements"), F.array_join("imports", ",").alias("imports"), F.size("methods").alias("methods"), F.size("fields").alias("fields"))
 
 
-@query(G + f"SELECT 'm' || c_custkey AS name, 3 AS complexity, 6 AS loc, 'm' || ((c_custkey * 3) % {MOST}) || ',other' AS calls, 'int a,List<String> b' AS parameters FROM customer WHERE c_custkey < {MOST}")
+@query("""SELECT 'm' || c_custkey AS name, CAST([3, 4, 0][1 + c_custkey % 3] AS INTEGER) AS complexity, CAST([6, 4, 1][1 + c_custkey % 3] AS INTEGER) AS loc, CASE c_custkey % 3 WHEN 0 THEN 'm' || ((c_custkey * 3) % (SELECT count(*) FROM customer)) || ',other' WHEN 1 THEN 'go,step,kind' ELSE '' END AS calls, ['Override', '', ''][1 + c_custkey % 3] AS annotations,
+['public int m' || c_custkey || '(int a, List<String> b)', 'private static void m' || c_custkey || '()', 'abstract Map<String, Integer> m' || c_custkey || '(Map<String, Integer> x)'][1 + c_custkey % 3] AS signature FROM customer""")
 def java_methods(spark, sf):
     m = java.parsed(code_files(spark, sf)).select(F.explode("methods").alias("m"))
-    return m.select("m.name", "m.complexity", "m.loc", F.array_join("m.calls", ",").alias("calls"), F.array_join(F.transform("m.parameters", lambda p: F.concat(p["type"], F.lit(" "), p["name"])), ",").alias("parameters"))
+    return m.select("m.name", "m.complexity", "m.loc", F.array_join("m.calls", ",").alias("calls"), F.array_join("m.annotations", ",").alias("annotations"), signature(F.col("m")).alias("signature"))
 
 
-@query(G + "SELECT path, unnest([class_name, 'Extra' || n_nationkey]) AS name FROM (SELECT *, package || '/' || class_name || '.java' AS path FROM classes)")
+@query(FILES_SQL + ", f AS (SELECT 's_' AS x, s_suppkey, s_nationkey FROM supplier) SELECT 'f' || s_suppkey AS name, 'Store' AS type, 'private,final' AS modifiers, 'new Store(1)' AS initial_value FROM f JOIN files ON n_nationkey = s_nationkey AND block = s_suppkey // 1000")
+def java_fields(spark, sf):
+    f = java.parsed(code_files(spark, sf)).select(F.explode("fields").alias("f"))
+    return f.select("f.name", "f.type", F.array_join("f.modifiers", ",").alias("modifiers"), "f.initial_value")
+
+
+@query(FILES_SQL + "SELECT path, unnest([name, 'Extra' || n_nationkey]) AS name FROM (SELECT *, package || '/' || name || '.java' AS path FROM files)")
 def class_split(spark, sf):
     return java.parsed(code_files(spark, sf), first_only=False).select("path", "name")
 
 
-@query(G + f"SELECT type, count(*) AS n FROM (SELECT 'Class' AS type FROM classes UNION ALL SELECT DISTINCT 'Package' FROM (SELECT DISTINCT package FROM classes) UNION ALL SELECT 'Method' FROM customer WHERE c_custkey < {MOST} UNION ALL SELECT 'Field' FROM supplier WHERE s_suppkey < 50) WHERE type <> 'Package' GROUP BY 1 UNION ALL SELECT 'Package', count(DISTINCT package) FROM classes")
+@query(FILES_SQL + "SELECT 'Class' AS type, count(*) AS n FROM files UNION ALL SELECT 'Package', count(DISTINCT package) FROM files UNION ALL SELECT 'Method', CAST(sum(n_methods) AS BIGINT) FROM files UNION ALL SELECT 'Field', CAST(sum(n_fields) AS BIGINT) FROM files")
 def index_entities(spark, sf):
     return indexing.entities(java.parsed(code_files(spark, sf))).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(G + f"SELECT 'CONTAINS' AS rel_type, (SELECT count(*) FROM classes) + (SELECT count(*) FROM customer WHERE c_custkey < {MOST}) + (SELECT count(*) FROM supplier WHERE s_suppkey < 50) AS n UNION ALL SELECT 'EXTENDS', count(*) FROM classes UNION ALL SELECT 'CALLS', count(*) FROM customer WHERE c_custkey < {MOST} AND (c_custkey * 3) % {MOST} IN (SELECT c_custkey FROM customer)")
+@query(FILES_SQL + "SELECT 'CONTAINS' AS rel_type, CAST(sum(1 + n_methods + n_fields) AS BIGINT) AS n FROM files UNION ALL SELECT 'EXTENDS', count(*) FROM files UNION ALL SELECT 'IMPLEMENTS', 2 * count(*) FROM files UNION ALL SELECT 'IMPORTS', count(*) FROM files UNION ALL SELECT 'CALLS', count(*) FROM customer WHERE c_custkey % 3 = 0 AND (c_custkey * 3) % (SELECT count(*) FROM customer) IN (SELECT c_custkey FROM customer)")
 def index_relationships(spark, sf):
     return indexing.relationships(java.parsed(code_files(spark, sf))).groupBy("rel_type").agg(F.count(F.lit(1)).alias("n"))
 

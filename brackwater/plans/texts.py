@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import code_text as C
+from ..operators.presentation import shortened
 from ..session import table
 from .registry import query
 
@@ -118,7 +119,6 @@ def _segments(name: str, pattern: str):
 _segments("import_connections", r"import\s+(?:static\s+)?([^;]+);")
 _segments("annotation_connections", r"@(\w+(?:\.\w+)*)")
 _segments("type_connections", r"(?:new\s+|cast\s+|instanceof\s+)(\w+(?:\.\w+)*)")
-_segments("class_references", r"new\s+([A-Z]\w*)")
 _simple("extract_json_block", r"regexp_extract(source, '(?s)\{.*\}', 0)", C.json_block)
 
 
@@ -132,24 +132,32 @@ def null_safety(spark, sf):
     return sources(spark, sf).select("id", joined(C.null_safety(F.col("source"))).alias("value"))
 
 
-DIMENSION = "(VALUES " + ", ".join("('{}', '{}', '{}')".format(c, crit, p) for c, crit, ps in C.DEPENDENCIES for p in ps) + ") AS d(category, criticality, pattern)"
+HIGH_SQL = ", ".join(f"'{c}'" for c in ("database", "network", "environment", "object_creation", "security", "file_system", "io_operations", "reflection", "validation", "serialization", "caching", "messaging"))
+DIMENSION = "(SELECT category, CASE WHEN category IN (" + HIGH_SQL + ") THEN 'high' ELSE 'medium' END AS criticality, pattern, '(?i)' || pattern AS p FROM (VALUES " + ", ".join("('{}', '{}')".format(c, p) for c, ps in C.PATTERNS for p in ps) + ") AS v(category, pattern) UNION ALL SELECT category, 'high', pattern, pattern FROM (VALUES " + ", ".join("('{}', '{}')".format(c, p) for c, p in C.SPECIFIC) + ") AS v(category, pattern)) AS d"
+MET = f"(SELECT id, category, criticality, pattern, CAST(len(regexp_extract_all(source, p)) AS INTEGER) AS matches FROM s, {DIMENSION})"
 
 
-@query(f"{S} SELECT * FROM (SELECT id, category, criticality, pattern, CAST(len(regexp_extract_all(source, '(?i)' || pattern)) AS INTEGER) AS matches FROM s, {DIMENSION}) WHERE matches > 0")
+@query(f"{S} SELECT * FROM {MET} WHERE matches > 0")
 def external_dependencies(spark, sf):
     return C.external_dependencies(sources(spark, sf))
 
 
-@query(f"{S} SELECT category, criticality, count(DISTINCT id) AS methods, CAST(sum(matches) AS BIGINT) AS matches FROM (SELECT id, category, criticality, len(regexp_extract_all(source, '(?i)' || pattern)) AS matches FROM s, {DIMENSION}) WHERE matches > 0 AND criticality = 'high' GROUP BY 1, 2")
+CALLED_SQL = "SELECT id, unnest(list_distinct(regexp_extract_all(source, '([A-Za-z0-9_]+)\\s*\\(', 1))) AS name FROM s"
+
+
+@query(f"""{S}, c AS ({CALLED_SQL}) SELECT id, name AS what, CASE WHEN regexp_matches(lower(name), 'save|delete|update|create') THEN 'Data modification operation' ELSE 'Validation operation' END AS reason, CASE WHEN regexp_matches(lower(name), 'save|delete|update|create') THEN 'high' ELSE 'medium' END AS criticality FROM c WHERE regexp_matches(lower(name), 'save|delete|update|create|validate|check|verify')
+UNION ALL SELECT id, pattern, 'External ' || category || ' dependency', criticality FROM {MET} WHERE matches > 0 AND criticality = 'high'""")
 def critical_dependencies(spark, sf):
-    return C.external_dependencies(sources(spark, sf)).filter("criticality = 'high'").groupBy("category", "criticality").agg(F.countDistinct("id").alias("methods"), F.sum("matches").alias("matches"))
+    rows = sources(spark, sf)
+    called = rows.select("id", F.explode(F.array_distinct(F.regexp_extract_all("source", F.lit(r"([A-Za-z0-9_]+)\s*\("), F.lit(1)))).alias("name"))
+    return C.critical_dependencies(called, C.external_dependencies(rows))
 
 
 # How to stand in for a category.
 EXAMPLES = {"database": "@Mock Repository", "network": "@Mock RestTemplate", "file_system": "@TempDir", "environment": "MockedStatic<System>", "object_creation": "mockConstruction", "time": "Clock.fixed"}
 
 
-@query(f"{S}, e AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in EXAMPLES.items()) + f") AS e(category, example)) SELECT DISTINCT id, category, coalesce(example, 'mock(' || category || ')') AS example FROM (SELECT id, category, len(regexp_extract_all(source, '(?i)' || pattern)) AS matches FROM s, {DIMENSION}) LEFT JOIN e USING (category) WHERE matches > 0")
+@query(f"{S}, e AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in EXAMPLES.items()) + f") AS e(category, example)) SELECT DISTINCT id, category, coalesce(example, 'mock(' || category || ')') AS example FROM {MET} LEFT JOIN e USING (category) WHERE matches > 0")
 def mock_recommendations(spark, sf):
     examples = spark.createDataFrame(list(EXAMPLES.items()), "category string, example string")
     met = C.external_dependencies(sources(spark, sf)).select("id", "category").distinct()
@@ -221,11 +229,11 @@ def score_measured_coverage(spark, sf):
 
 @query("SELECT doc_id AS id, CASE WHEN length(text) > 300 THEN substr(text, 1, 300) || '...' ELSE text END AS snippet FROM documents")
 def snippet_300(spark, sf):
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.when(F.length("text") > 300, F.concat(F.substring("text", 1, 300), F.lit("..."))).otherwise(F.col("text")).alias("snippet"))
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), shortened(F.col("text"), 300).alias("snippet"))
 
 
 @query("SELECT doc_id AS id, concat_ws(chr(10), 'Signature: ' || source, CASE WHEN doc_id % 2 = 0 THEN 'Documentation: ' || lang END, 'Code: ' || CASE WHEN length(text) > 1000 THEN substr(text, 1, 1000) || '...' ELSE text END) AS body FROM documents")
 def embedding_text(spark, sf):
-    code = F.when(F.length("text") > 1000, F.concat(F.substring("text", 1, 1000), F.lit("..."))).otherwise(F.col("text"))
+    code = shortened(F.col("text"), 1000)
     parts = [F.concat(F.lit("Signature: "), "source"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("Documentation: "), "lang")), F.concat(F.lit("Code: "), code)]
     return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.concat_ws("\n", *parts).alias("body"))

@@ -41,14 +41,14 @@ def knn_filtered_threshold(spark, sf):
 
 
 def _many(name: str, every: int, limit: int):
-    @query(f"SELECT query, vec_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM (SELECT q.vec_id AS query, p.vec_id, list_cosine_similarity(p.{V}, q.{V}) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(p.{V}, q.{V}) DESC, p.vec_id) AS rank FROM embeddings p JOIN embeddings q ON q.vec_id % {every} = 0 AND p.vec_id <> q.vec_id) WHERE rank <= {limit}", name)
+    @query(f"SELECT query, vec_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM (SELECT q.vec_id AS query, p.vec_id, list_cosine_similarity(p.{V}, q.{V}) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(p.{V}, q.{V}), 9) DESC, p.vec_id) AS rank FROM embeddings p JOIN embeddings q ON q.vec_id % {every} = 0 AND p.vec_id <> q.vec_id) WHERE rank <= {limit}", name)
     def run(spark, sf):
         wanted = points(spark, sf).filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
         return vector.search_many(points(spark, sf), wanted, limit=limit).select("query", "vec_id", "rank", F.round("score", 6).alias("score"))
 
 
 _many("knn_multi_query", 50, 5)
-_many("all_pairs_topk", 5, 3)
+_many("all_pairs_topk", 1, 3)
 
 
 @query("SELECT count(*) AS points, min(len(embedding)) AS least_size, max(len(embedding)) AS most_size FROM embeddings")

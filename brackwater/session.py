@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -16,3 +19,33 @@ def session(name: str = "brackwater", master: str = "local[*]", **conf: str) ->
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table; Parquet filters and columns are pushed into the scan."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, which driver and executors share; where it is unset one of our own, if driver and executors are one machine."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return (folder or "/tmp/checkpoints/brackwater").rstrip("/")
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path for a table of its own in the shared folder, removed at the end of the program."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def drop() -> None:
+        try:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # the session has ended; its owner clears the shared folder
+            return
+
+    atexit.register(drop)
+    return path
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet and read again: computed once, cut from its lineage, and there for any executor."""
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

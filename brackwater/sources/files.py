@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import saved
+
 # Names that a scan leaves out, wherever they stand in a path, and endings.
 IGNORED_NAMES = (".git", ".idea", ".vscode", "node_modules", "venv", ".venv", "__pycache__", "target", "build", "dist", ".gradle", ".mypy_cache", ".pytest_cache")
 IGNORED_ENDINGS = (".pyc", ".pyo", ".class")
@@ -64,6 +66,26 @@ def directory_hash(files: DataFrame) -> DataFrame:
     return files.groupBy("parent").agg(F.sha2(F.array_join(F.transform(kids, lambda x: F.concat(x["hash"], x["name"])), ""), 256).alias("hash"))
 
 
+def tree_hashes(files: DataFrame) -> DataFrame:
+    """files(path, hash) with all directories up to the root, whose path is empty: (path, hash, is_file). A directory's hash needs its children's in one row, and no more: one level after the other, from the deepest."""
+    nodes = files.select("path", "hash", F.lit(True).alias("is_file"), F.size(F.split("path", "/")).alias("depth"))
+    deepest = nodes.agg(F.max("depth")).first()[0] or 0
+    out, level = nodes, None
+    for depth in range(deepest, 0, -1):
+        here = nodes.filter(F.col("depth") == depth)
+        here = here if level is None else here.unionByName(level)
+        kids = here.select(F.regexp_replace("path", "/?[^/]*$", "").alias("parent"), F.element_at(F.split("path", "/"), -1).alias("name"), "hash")
+        level = directory_hash(kids).select(F.col("parent").alias("path"), "hash", F.lit(False).alias("is_file"), F.lit(depth - 1).alias("depth"))
+        level = saved(level, "level")
+        out = out.unionByName(level)
+    return out.drop("depth")
+
+
+def file_count(files: DataFrame, glob: str = "*") -> DataFrame:
+    """(directory, n): how many files below each top directory match."""
+    return files.filter(F.col("path").rlike(glob_regex(glob))).groupBy(F.element_at(F.split("path", "/"), 1).alias("directory")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def diff(old: DataFrame, new: DataFrame, full: bool = True) -> DataFrame:
     """(path, change): new, modified, and with full also deleted."""
     a, b = old.select("path", F.col("hash").alias("a")), new.select("path", F.col("hash").alias("b"))

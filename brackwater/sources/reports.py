@@ -44,3 +44,20 @@ def keys_like(cache: DataFrame, glob: str) -> DataFrame:
 
     pattern = "^" + re.escape(glob).replace(r"\*", ".*").replace(r"\?", ".") + "$"
     return cache.filter(F.col("key").rlike("(?s)" + pattern)).select("key")
+
+
+def read_through(cache: DataFrame, wanted: DataFrame, make, now, expires) -> tuple[DataFrame, DataFrame]:
+    """wanted(key, text) answered from the cache or else by make(text), and the cache with what was made, which lasts until expires."""
+    met = get(cache, wanted, now)
+    made = met.filter("value is null").select("key", make(F.col("text")).alias("value"), F.lit(expires).cast(cache.schema["expires_at"].dataType).alias("expires_at"))
+    found = met.select("key", F.coalesce("value", make(F.col("text"))).alias("value"), F.when(F.col("value").isNull(), "miss").otherwise("hit").alias("found"))
+    return found, put(cache, made.dropDuplicates(["key"]))
+
+
+def delete(cache: DataFrame, keys: DataFrame) -> DataFrame:
+    return cache.join(keys.select("key"), "key", "left_anti")
+
+
+def json_lines(lines: DataFrame, fields: str) -> DataFrame:
+    """Log lines in JSON to their fields; a line that isn't JSON has nulls."""
+    return lines.select(F.from_json("value", fields).alias("x")).select("x.*")

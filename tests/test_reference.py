@@ -54,17 +54,27 @@ def test_simple_paths_and_degrees(small):
 
 
 def test_walks_follow_edges_and_do_not_depend_on_partitions(spark, small):
-    near = graph.neighbours(small)
-    pairs = {(r["node"], r["neighbour"]) for r in near.collect()}
-    starts = spark.createDataFrame([("s", k, "m0") for k in range(6)] + [("s", 99, "lonely")], "strategy string, walk int, node string")
-    one = {r["walk"]: r["path"] for r in graph.walk(graph.adjacency(near), starts, steps=8).collect()}
-    two = {r["walk"]: r["path"] for r in graph.walk(graph.adjacency(near.repartition(3)), starts, steps=8).collect()}
-    assert one == two and one[99] == ["lonely"] and all(len(one[k]) == 9 for k in range(6))
-    assert all((a, b) in pairs for k in range(6) for a, b in zip(one[k], one[k][1:]))
-    probs = graph.visits(graph.walk(graph.adjacency(near), starts, steps=4)).groupBy("strategy").agg({"prob": "sum"}).first()[1]
+    edges = graph.ways(small)
+    pairs = {(r["node"], r["neighbour"]) for r in edges.filter("not forward").collect()}
+    plan = [graph.Strategy("s", 8, 6), graph.Strategy("ahead", 3, 2, forward=True)]
+    one, two = ({(r["strategy"], r["walk"]): r["path"] for r in graph.walk(e, "m0", plan).collect()} for e in (edges, edges.repartition(3)))
+    assert one == two and all(len(one["s", k]) == 9 for k in range(6)) and all(len(one["ahead", k]) <= 4 and one["ahead", k][-1] in ("m1", "m2", "m3") for k in range(2))
+    assert all((a, b) in pairs for k in range(6) for a, b in zip(one["s", k], one["s", k][1:]))
+    assert graph.walk(edges, "lonely", plan[:1]).first()["path"] == ["lonely"]
+    probs = graph.visits(graph.walk(edges, "m0", plan[:1])).groupBy("strategy").agg({"prob": "sum"}).first()[1]
     assert abs(probs - 1) < 1e-9
 
 
+def test_walks_follow_weights(spark, small):
+    """From m0 edges forward weigh 3 (three calls of m1) and 1 (m3); guidance makes m3 likelier."""
+    edges = graph.ways(small.filter("rel_type = 'CALLS'"))
+    share = lambda **more: sum(r["path"][1] == "m1" for r in graph.walk(edges, "m0", [graph.Strategy("s", 1, 2000, forward=True, guidance=1.0, all_guided=True)], **more).collect()) / 2000
+    assert abs(share() - 0.75) < 0.03
+    assert abs(share(guidance=spark.createDataFrame([("m3", 4.0)], "node string, score double")) - 0.5) < 0.04
+    boosted = graph.walk(graph.ways(small), "m0", [graph.Strategy("s", 1, 2000, factors=(("CONTAINS", 10.0),))]).collect()
+    assert abs(sum(r["path"][1] == "c" for r in boosted) / 2000 - 3 / 5) < 0.04
+
+
 def test_adapted_weights():
     gui = weights.adapted("gui_application", 2.5, 0)
     assert (gui["CALLS"], gui["USES"], gui["CONTAINS"]) == (1.56, 1.43, 0.56)
@@ -119,3 +129,46 @@ def test_files(spark, tmp_path):
     a = spark.createDataFrame([("x", "1"), ("y", "2"), ("z", "3")], "path string, hash string")
     b = spark.createDataFrame([("x", "1"), ("y", "9"), ("w", "3")], "path string, hash string")
     assert {(r["path"], r["change"]) for r in files.diff(a, b).collect()} == {("y", "modified"), ("z", "deleted"), ("w", "new")} and files.diff(a, a).count() == 0
+
+
+def test_method_bodies_are_balanced(spark, sf_dir):
+    """What lies between the first brace behind a method's head and the one that closes it, found by counting."""
+
+    def body(source):
+        at = source.find("{", max(source.find("public int total"), 0))
+        depth = 0
+        for k in range(at, len(source)) if at >= 0 else ():
+            depth += (source[k] == "{") - (source[k] == "}")
+            if not depth:
+                return source[at : k + 1]
+        return ""
+
+    rows = catalog.QUERIES["method_body"](spark, sf_dir).collect()
+    assert len({r["body"] for r in rows}) > 3 and all(r["body"] == body(r["source"]) for r in rows)
+
+
+def test_complexity_neighbours_by_pairs(spark):
+    rows = [(f"m{k}", f"c{k % 3}", k * 7 % 12 + 1) for k in range(60)]
+    got = {r["id"]: r["n"] for r in store.complexity_neighbours(spark.createDataFrame(rows, "id string, class_id string, complexity int")).collect()}
+    span = lambda c: (1, 3) if c <= 2 else (c - 1, c + 2) if c <= 5 else (c - 2, c + 3)
+    want = {i: sum(j != i and d == e and span(c)[0] <= x <= span(c)[1] for j, e, x in rows) for i, d, c in rows}
+    assert got == {i: n for i, n in want.items() if n}
+
+
+def test_streams_and_trees_and_positions(spark, sf_dir):
+    from brackwater.operators import presentation
+    from brackwater.sources import files
+
+    paths = [("a/x.java", "1"), ("a/b/y.java", "2"), ("a/b/z.java", "3"), ("w.txt", "4")]
+    import hashlib
+
+    sha = lambda *kids: hashlib.sha256("".join(h + n for n, h in sorted(kids)).encode()).hexdigest()
+    b = sha(("y.java", "2"), ("z.java", "3"))
+    a = sha(("x.java", "1"), ("b", b))
+    got = {r["path"]: r["hash"] for r in files.tree_hashes(spark.createDataFrame(paths, "path string, hash string")).collect()}
+    assert got == dict(paths) | {"a/b": b, "a": a, "": sha(("a", a), ("w.txt", "4"))}
+    rows = spark.range(500).selectExpr("(id * 7919) % 1009 as k").repartition(7)
+    places = {r["k"]: r["_pos"] for r in presentation.numbered(rows, "k").collect()}
+    assert places == {k: n + 1 for n, k in enumerate(sorted(r["k"] for r in rows.collect()))}
+    with pytest.raises(ValueError):
+        presentation.zipped(rows, rows.limit(3), "k")
