@@ -92,9 +92,10 @@ class Scratch:
             return
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Texts go to Python in batches of at most so many rows, so that a batch of long ones fits into a worker's memory."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 64 << 20) -> None:
+    """Texts go to Python in batches of at most so many rows and bytes, or of one text that is longer. The session's settings are lowered, never raised, and stay so, as plans run later."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = spark.conf.get(key)
+        now = int(now.lower().removesuffix("b")) if now.lower().removesuffix("b").lstrip("-").isdigit() else 0
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))

@@ -9,6 +9,8 @@ from pyspark.sql.window import Window
 from .common import Scratch, bounded_broadcast, text_of, words
 
 RADIX = 256
+#: Rows alike in id and size that are numbered by one task at most.
+MANY = 20_000
 
 
 def ranked(sources: DataFrame, column: str) -> DataFrame:
@@ -90,11 +92,23 @@ def _rules(docs: DataFrame, scratch: Scratch, *, weights: tuple = (5, 2, 1), bud
     rules = scratch.save(rules, "rules")
     told = slim.join(bounded_broadcast(rules, found["n"]), F.col("source").eqNullSafe(F.col("s")))
     prefix, limit = F.shiftright("h", 47), F.col("d0") * RADIX + F.col("d1")
-    # Only about one in 65,536 rows of a source is at its border.
-    before = F.sum("size").over(Window.partitionBy("source").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
-    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("left_over") - F.col("before")))
+    # Only about one in 65,536 kinds of rows, alike in id and size, is at its source's border: they share what is left by kinds first, and then inside each.
+    kind = ["source", "h", "doc_id", "size"]
+    edge = told.filter(prefix == limit)
+    kinds = edge.groupBy(*kind).agg(F.count(F.lit(1)).alias("n"), F.first("left_over").alias("left"))
+    upto = F.sum(F.col("n") * F.col("size")).over(Window.partitionBy("source").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
+    all_ = F.greatest(F.lit(0), F.least(F.col("n") * F.col("size"), F.col("left") - (F.col("upto") - F.col("n") * F.col("size"))))
+    kinds = scratch.save(kinds.withColumn("upto", upto).select(*[F.col(c).alias(f"of_{c}") for c in kind], "n", all_.alias("all")), "kinds")
+    same = [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in kind]
+    edge = edge.join(bounded_broadcast(kinds, kinds.count()), same[0] & same[1] & same[2] & same[3])
+    number = F.row_number().over(Window.partitionBy(*kind).orderBy("whole")) - 1
+    one = F.greatest(F.lit(0), F.least(F.col("size"), F.col("all") - F.col("size") * number))
+    # Very many like rows are not numbered, which would be one task: each takes the same, and a word more is drawn by its place.
+    drawn = F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(seed)), F.col("n")) < F.col("all") % F.col("n")
     base = ["doc_id", "size", "source_size", "target"]
-    edge = told.filter(prefix == limit).withColumn("before", before).select(*base, (F.col("size") * F.col("whole") + part).alias("taken"))
+    taken = lambda part: (F.col("size") * F.col("whole") + part).cast("long").alias("taken")
+    few, many = edge.filter(F.col("n") <= MANY), edge.filter(F.col("n") > MANY)
+    edge = few.withColumn("one", one).select(*base, taken(F.col("one"))).unionByName(many.select(*base, taken(F.floor(F.col("all") / F.col("n")) + drawn.cast("long"))))
     if told_apart is not None:
         clear = told.filter(F.col("d1").isNull() | (prefix != limit))
         told_apart.append(clear.select(*base, (F.col("size") * (F.col("whole") + F.when(prefix < limit, 1).otherwise(0))).alias("taken")))
@@ -111,7 +125,7 @@ def mix(docs: DataFrame, *, scratch: Scratch | None = None, **options) -> DataFr
 
     Null and empty texts have size 0 and take 0. A null source is a source of its own, last in order. Repeated rows (also of one id) are
     separate documents; rows alike in id and size share their hash, and those at the border are told apart by an arbitrary but complete
-    order, which cannot change the rows that come out. Other columns are ignored. An empty table gives no rows.
+    order, which cannot change the rows that come out; more than MANY of them at a border share its fractional repetition evenly, to a word that is drawn. Other columns are ignored. An empty table gives no rows.
     Returns doc_id, size, source_size (long), target (double, its source's), taken (long).
     """
     clear: list[DataFrame] = []

@@ -85,20 +85,26 @@ def pack(docs: DataFrame, *, buckets: int = 16, token_budget: int = 32_768, bins
     """
     scratch = Scratch(docs.sparkSession, "pack")
     slim = docs.select(F.col(id_column).cast("long").alias("doc_id"), (word_count() if length is None else length).cast("long").alias("n_tokens"))
-    slim = scratch.save(slim, "lengths")
+    slim = scratch.save(slim.withColumn("row", F.monotonically_increasing_id()), "lengths")
     ends = boundaries(*histogram(slim, bins), buckets)
     if not ends:
         return slim.select("doc_id", "n_tokens", F.lit(0).alias("bucket"), F.lit(0).cast("long").alias("bucket_length"), F.lit("").alias("batch"), F.lit(0).alias("place"), F.lit(0).cast("long").alias("padding"))
     table = F.array(*[F.lit(e) for e in ends])
     bucket = F.size(F.filter(table, lambda e: e < F.col("n_tokens")))
     put = slim.withColumn("bucket", bucket).withColumn("h", F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "n_tokens", F.lit(seed)))
-    sizes = {r["bucket"]: r["n"] for r in put.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # Rows alike in id and length share their hash. Where they are many they are numbered behind the others, in parts dealt by their places in the table.
+    alike = put.groupBy("bucket", "h").agg(F.count(F.lit(1)).alias("n"))
+    many = scratch.save(alike.filter(F.col("n") > CHUNK).select(F.col("bucket").alias("hot_bucket"), F.col("h").alias("hot_h"), F.col("n").alias("hot_n")), "many")
+    sizes = {r["bucket"]: r["n"] for r in alike.groupBy("bucket").agg(F.sum("n").alias("n")).collect()}
     parts = F.array(*[F.lit(max(1, -(-sizes.get(k, 0) // CHUNK))) for k in range(len(ends))])
-    put = put.withColumn("part", F.pmod("h", F.get(parts, F.col("bucket")))).withColumn("bucket_length", F.get(table, F.col("bucket")).cast("long"))
+    put = put.join(bounded_broadcast(many, many.count()), (F.col("bucket") == F.col("hot_bucket")) & (F.col("h") == F.col("hot_h")), "left")
+    own = F.struct(F.lit(0).alias("late"), F.lit(0).cast("long").alias("key"), F.pmod("h", F.get(parts, F.col("bucket"))).cast("long").alias("part"))
+    late = F.struct(F.lit(1).alias("late"), F.col("h").alias("key"), F.pmod(F.xxhash64("row"), F.ceil(F.col("hot_n") / CHUNK)).cast("long").alias("part"))
+    put = put.withColumn("part", F.when(F.col("hot_n").isNull(), own).otherwise(late)).withColumn("bucket_length", F.get(table, F.col("bucket")).cast("long"))
     counts = put.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("n"))
     before = counts.select(F.col("bucket").alias("b"), F.col("part").alias("p"), (F.sum("n").over(Window.partitionBy("bucket").orderBy("part")) - F.col("n")).alias("before"))
     before = bounded_broadcast(before, sum(-(-n // CHUNK) for n in sizes.values()))
-    inside = F.row_number().over(Window.partitionBy("bucket", "part").orderBy("h", "doc_id", "n_tokens")) - 1
+    inside = F.row_number().over(Window.partitionBy("bucket", "part").orderBy("h", "doc_id", "n_tokens", "row")) - 1
     each = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(token_budget) / F.col("bucket_length")))
     out = put.withColumn("inside", inside).join(before, (F.col("bucket") == F.col("b")) & (F.col("part") == F.col("p"))).withColumn("at", F.col("before") + F.col("inside"))
     name = F.concat_ws("-", F.col("bucket").cast("string"), F.floor(F.col("at") / each).cast("string"))

@@ -163,7 +163,7 @@ def classify(docs: DataFrame, labels: DataFrame, *, train: Column | None = None,
 
     Statistics of all whole texts are taken once. The rules are fitted on at most `most_labelled` labelled rows for which `train`, over
     doc_id, holds, first by hash of the id; labels that are null are left out. Null, empty and blank texts have statistics 0 and
-    are scored like others. Without labelled rows every score is 0.5. Repeated rows get equal scores; an id's repeated labels all count.
+    are scored like others. Without labelled rows every score is 0.5. Repeated rows get equal scores, and one of an id's is learned from; an id's repeated labels all count.
     Other columns are ignored.
     """
     spark = docs.sparkSession
@@ -173,7 +173,9 @@ def classify(docs: DataFrame, labels: DataFrame, *, train: Column | None = None,
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("y")).filter("y is not null and doc_id is not null")
     known = known.filter(train) if train is not None else known
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(most_labelled)
-    rows = slim.join(F.broadcast(sample), "doc_id").select("doc_id", "y", *STATISTICS).collect()
+    # An id's repeated rows count once, so that no more rows are gathered than are labelled.
+    own = slim.join(F.broadcast(sample.select("doc_id").distinct()), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*STATISTICS)).alias("x")).select("doc_id", "x.*")
+    rows = own.join(F.broadcast(sample), "doc_id").select("doc_id", "y", *STATISTICS).collect()
     rows = sorted(tuple(r) for r in rows)
     data = np.array([r[1:] for r in rows], float).reshape(-1, len(STATISTICS) + 1)
     rules, intercept = fitted(data[:, 1:], data[:, 0], trees=trees, depth=depth, strength=strength, seed=seed)

@@ -165,12 +165,15 @@ def test_water_filling_and_taken(spark, sf_dir, documents, odd):
     assert out.columns == clash.columns and {tuple(r) for r in out.select("_size", "_h", "_s", "_taken", "row", "_copy").collect()} == {tuple(f"own {k}" for k in ("_size", "_h", "_s", "_taken", "row", "_copy"))}
 
 
-def test_like_rows_meet_the_target(spark):
+def test_like_rows_meet_the_target(spark, monkeypatch):
     """A third of the rows are alike in id and size: their fractional repetitions add up, too."""
     rows = [(None, "one two three four five six seven", "a")] * 300 + [(k, "w " * (k % 50 + 1), "ab"[k % 2]) for k in range(600)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     for r in mixing.mix(df).groupBy("source_size", "target").agg(F.sum("taken").alias("t")).collect():
         assert abs(r["t"] - r["target"]) <= 1
+    monkeypatch.setattr(mixing, "MANY", 100)
+    for r in mixing.mix(df).groupBy("source_size", "target").agg(F.sum("taken").alias("t"), F.count(F.lit(1)).alias("n"), F.max(F.col("taken") - 2 * F.col("size")).alias("over")).collect():
+        assert abs(r["t"] - r["target"]) <= 60 and r["over"] <= 0
     want = {r["target"]: r["t"] for r in mixing.mix(df).groupBy("target").agg(F.sum("taken").alias("t")).collect()}
     got = mixing.mixed_documents(df).groupBy("source").agg(F.sum(F.size(F.split(F.trim("text"), " +"))).alias("t")).collect()
     assert sorted(r["t"] for r in got) == pytest.approx(sorted(want.values()), abs=60)

@@ -135,3 +135,19 @@ def test_batches_hold_every_document_once(spark, sf_dir):
     got = packing.pack(odd, bins=64, buckets=2).collect()
     assert sorted(r["n_tokens"] for r in got) == [1, 1, 1, 90_001] and all(r["padding"] >= 0 for r in got)
     assert packing.pack(odd.limit(0)).count() == 0
+
+
+def test_many_like_rows_are_dealt(spark, monkeypatch):
+    """A third of all rows alike in id and length: their numbers are dealt over tasks, and nothing else moves."""
+    monkeypatch.setattr(packing, "CHUNK", 40)
+    rows = [(None, 7)] * 300 + [(k, 5 + k % 9) for k in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, n long").repartition(5)
+    pack = lambda d: packing.pack(d, buckets=2, token_budget=64, length=F.col("n")).collect()
+    out = pack(df)
+    assert Counter((r["doc_id"], r["n_tokens"]) for r in out) == Counter(rows)
+    full = Counter(r["batch"] for r in out)
+    for b in {r["bucket"] for r in out}:
+        each = {r["bucket_length"]: max(1, 64 // r["bucket_length"]) for r in out if r["bucket"] == b}
+        sizes = [n for name, n in full.items() if name.startswith(f"{b}-")]
+        assert sum(n < max(each.values()) for n in sizes) <= 1 and max(Counter((r["batch"], r["place"]) for r in out).values()) == 1
+    assert sorted(map(tuple, pack(df.repartition(3))), key=str) == sorted(map(tuple, out), key=str)
