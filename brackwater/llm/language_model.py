@@ -21,8 +21,8 @@ shipped(__name__)
 END, STOP = b"\n", 32
 #: Distinct tokens that a worker knows at most at a time; decisions worked on at once.
 KNOWN, BLOCK = 300_000, 60_000
-#: Tokens with a symbol of their own, whose counts every worker has; their bytes at most. All others are spelled.
-HOT, LONGEST = (1 << 18) - 2, 64
+#: Tokens whose counts every worker has, their bytes at most, and how many of them have a symbol of their own. All others are spelled.
+HOT, LONGEST, SYMBOLS = 1 << 18, 64, 1 << 16
 #: Frequent tokens, the last of which is a context; tokens that are contexts by themselves for the next one.
 FREQUENT, COMMON = 128, 4096
 #: Hashes of rare tokens in one chunk, whose counts are looked up together.
@@ -70,18 +70,20 @@ class Names(dict):
 
 
 class Vocabulary(Names):
-    """Names with what a model knows of a token: the symbol that stands for it, and what it is as a context: its rank, or its last two bytes."""
+    """Names with what a model knows of a token: its place among those whose counts all have, the symbol that stands for it, and what it is as a context: its rank, or its last two bytes."""
 
-    def __init__(self, symbols: dict[bytes, int], rank: np.ndarray):
-        self.symbols, self.other, self.rank = symbols, len(symbols), rank.tolist()
+    def __init__(self, index: dict[bytes, int], symbol: np.ndarray, rank: np.ndarray):
+        self.index, self.unknown, self.symbol, self.rank = index, len(index), symbol.tolist(), rank.tolist()
         super().__init__()
 
     def reset(self) -> None:
         super().reset()
-        self.ids, self.contexts = array("q"), array("q")
+        self.places, self.ids, self.contexts = array("q"), array("q"), array("q")
 
     def __missing__(self, token: bytes) -> int:
-        symbol = self.symbols.get(token, self.other)
+        place = self.index.get(token, self.unknown)
+        symbol = self.symbol[place]
+        self.places.append(place)
         self.ids.append(symbol)
         self.contexts.append(self.rank[symbol] or COMMON + 1 + int.from_bytes(token[-2:]))
         return super().__missing__(token)
@@ -537,7 +539,7 @@ def summed(group: pa.Table) -> pa.Table:
     return pa.table({"piece": group.column("piece")[:1], "counts": pa.array([out.tobytes()], pa.binary())})
 
 
-def counted(docs: DataFrame, totals: DataFrame, symbols, empty: Tables) -> DataFrame:
+def counted(docs: DataFrame, totals: DataFrame, known_tokens, empty: Tables) -> DataFrame:
     """What all decisions of docs(text) hold, piece by piece: counts, what followed, and the gated weights.
 
     Each task goes through its texts online: a block of decisions is predicted from what the task has counted so far, the weights follow what came true, and
@@ -549,7 +551,7 @@ def counted(docs: DataFrame, totals: DataFrame, symbols, empty: Tables) -> DataF
     def texts(batches):
         counts, follows, learner = np.zeros((size, 2), np.int32), np.zeros(1 << empty.shape.follows, np.uint32), Learner()
         flat, t, one = counts.ravel(), empty._replace(follows=follows), np.ones(2 * BLOCK, np.int32)
-        for s in streams(batches, Vocabulary(symbols.value, empty.rank)):
+        for s in streams(batches, Vocabulary(*known_tokens.value, empty.rank)):
             found, votes = follower(t, s)
             run = runs(found, s)
             for lo, hi in blocks(t.symbols.length[s.ids]):
@@ -563,10 +565,10 @@ def counted(docs: DataFrame, totals: DataFrame, symbols, empty: Tables) -> DataF
         yield from made(rows_of(counts, follows, learner))
 
     def words(batches):
-        counts, learner, own = np.zeros((size, 2), np.int32), Learner(), symbols.value
-        flat = counts.ravel()
+        counts, learner, (index, symbol) = np.zeros((size, 2), np.int32), Learner(), known_tokens.value
+        flat, other = counts.ravel(), symbol[-1]
         for batch in batches:
-            for word, bit, slots, times in spelled_of(batch, empty, lambda t, c: 1 if t in own else c):
+            for word, bit, slots, times in spelled_of(batch, empty, lambda t, c: c if symbol[index.get(t, -1)] == other else 1):
                 times = times.take(word)
                 learner.learn(*spelled_inputs(learned(counts, slots)), bit, times.astype(np.float32))
                 for part in slots:
@@ -614,14 +616,14 @@ def log10_of_tokens(s: Stream, t: Tables, m: Mixer) -> np.ndarray:
     return out
 
 
-def _scored(docs: DataFrame, symbols, counts, model) -> DataFrame:
+def _scored(docs: DataFrame, known_tokens, counts, model) -> DataFrame:
     """docs(doc_id, held_out, text) to what is known of each without rare tokens' counts, and the rare tokens' hashes."""
 
     def run(batches):
-        (t, m), base = unpacked(model.value), counts.value
+        (t, m), (base, ready) = unpacked(model.value), counts.value
         logs = np.log10(base + 0.5)
-        names, part, chunk, rare_now = Vocabulary(symbols.value, t.rank), TaskContext.get().partitionId(), 0, 0
-        other, spelled = names.other, np.zeros(0)
+        names, part, chunk, rare_now = Vocabulary(*known_tokens.value, t.rank), TaskContext.get().partitionId(), 0, 0
+        spelled = np.zeros(0)
         for batch in batches:
             raw = batch.column(2).to_pylist()
             texts = [tokens_of(x) for x in raw]
@@ -631,16 +633,16 @@ def _scored(docs: DataFrame, symbols, counts, model) -> DataFrame:
                 names.reset()
                 spelled = np.zeros(0)
             keys, starts = names.keys_of(texts)
-            ids = np.array(names.ids)
-            new = np.zeros(len(ids) - len(spelled))
-            late = np.flatnonzero(ids[len(spelled) :] == other)
+            places = np.array(names.places)
+            new = ready[places[len(spelled) :]]
+            late = np.flatnonzero(places[len(spelled) :] == names.unknown)
             new[late] = log10_of_words([names.tokens[len(spelled) + k] for k in late], t, m)
             spelled = np.concatenate([spelled, new])
+            places, ids = places[keys], np.array(names.ids)[keys]
             sizes = np.diff([*starts, len(keys)])
-            ids = ids[keys]
             s = stream(ids, np.array(names.hashes)[keys], np.array(names.contexts)[keys], starts)
             elsewhere, _ = follower(t, s, np.repeat(~batch.column(1).to_numpy(zero_copy_only=False).astype(bool), sizes))
-            is_hot, letters = base[ids] > 0, spelled[keys]
+            is_hot, letters = base[places] > 0, spelled[keys]
             whole = log10_of_tokens(s, t, m) + letters
             rare, less = np.array(names.hashes).view(np.int64)[keys[~is_hot]], -letters[~is_hot]
             hot_of = np.add.reduceat(is_hot.astype(np.int64), starts)
@@ -651,7 +653,7 @@ def _scored(docs: DataFrame, symbols, counts, model) -> DataFrame:
             summed = lambda x: pa.array(np.add.reduceat(x, starts))
             columns = [
                 pa.array(np.full(len(texts), (part << 24) + chunk, np.int64)), batch.column(0), batch.column(1), pa.array(sizes.astype(np.int64)), pa.array(hot_of),
-                summed(np.where(is_hot, logs[ids], 0.0)), summed(whole), summed((elsewhere == ids).astype(np.int64)),
+                summed(np.where(is_hot, logs[places], 0.0)), summed(whole), summed((elsewhere == ids).astype(np.int64)),
                 pa.array(np.array(list(map(len, raw)), np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(rare)), pa.ListArray.from_arrays(pa.array(ends), pa.array(less.astype(np.float32))),
             ]
             yield pa.RecordBatch.from_arrays(columns, names=["chunk", "doc_id", "held_out", "n_tokens", "n_hot", "hot_sum", "whole", "followed", "n_bytes", "rare", "less"])
@@ -695,7 +697,7 @@ def letter_counts(totals: DataFrame) -> np.ndarray:
 def score(docs: DataFrame, *, train: Column | None = None, most_bits: int = 22) -> DataFrame:
     """How likely each whole text is: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, event_score, bits_per_byte, followed.
 
-    Texts for which `train`, over doc_id, holds are learned from, all of them. Tokens seen twice or more, at most HOT of them, are symbols of a binary code
+    Texts for which `train`, over doc_id, holds are learned from, all of them. The most frequent tokens, at most SYMBOLS of those seen twice or more, are symbols of a binary code
     that keeps their alphabetical order; all other tokens are one more symbol, behind which the word is spelled in a binary code of bytes. Each decision
     is predicted from hashed contexts by counts over the whole training text: by the node alone, after the last frequent token, after the token before (of rarer ones its last bytes), and by
     what followed the two tokens before; in a spelled word after its last two, four and six bytes and its whole beginning. Log-odds are mixed with weights gated
@@ -724,20 +726,23 @@ def score(docs: DataFrame, *, train: Column | None = None, most_bits: int = 22)
     hot = {END: 0} | {bytes(r["token"]): r["c"] for r in totals.filter(can).orderBy(F.desc("c"), "token").limit(HOT).toLocalIterator()}
     ends = totals.filter(F.col("token") == F.lit(END)).first()
     hot[END] = ends["c"] if ends else 0
-    names = sorted(hot)
-    base = np.array([*(hot[t] for t in names), 0], float)
-    rank = np.zeros(len(names) + 1, np.int64)
-    often = sorted((t for t in names if t != END), key=lambda t: (-hot[t], t))[:COMMON]
-    index = {t: k for k, t in enumerate(names)}
-    rank[[index[t] for t in often]] = np.arange(1, len(often) + 1)
-    letters = letter_counts(totals) + 1
+    names, order = sorted(hot), sorted((t for t in hot if t != END), key=lambda t: (-hot[t], t))
+    index, own_symbol = {t: k for k, t in enumerate(names)}, sorted([END, *order[:SYMBOLS]])
+    base, number = np.array([*(hot[t] for t in names), 0], float), {t: k for k, t in enumerate(own_symbol)}
+    symbol, rank = np.array([*(number.get(t, len(number)) for t in names), len(number)]), np.zeros(len(number) + 1, np.int64)
+    rank[[number[t] for t in order[:COMMON]]] = np.arange(1, len(order[:COMMON]) + 1)
+    weight = np.bincount(symbol, base, len(number) + 1)
+    weight[-1] = max(n - weight[:-1].sum(), 1)
     none = np.zeros(0, np.uint16)
-    empty = Tables(balanced(np.append(base[:-1], max(n - base.sum(), 1)) + 0.5), rank, balanced(letters), sized(n, most_bits), none, none)
+    empty = Tables(balanced(weight + 0.5), rank, balanced(letter_counts(totals) + 1), sized(n, most_bits), none, none)
     context = spark.sparkContext
-    symbols = context.broadcast(index)
-    pieces = scratch.save(counted(training, totals, symbols, empty), "pieces")
-    model = context.broadcast(packed(*gathered(pieces, empty)))
-    scored = _scored(own.select("doc_id", "held_out", "text"), symbols, context.broadcast(base), model)
+    known_tokens = context.broadcast((index, symbol))
+    tables, mixed = gathered(scratch.save(counted(training, totals, known_tokens, empty), "pieces"), empty)
+    # Words that are spelled and known to all are spelled once.
+    ready, late = np.zeros(len(names) + 1), [k for k, t in enumerate(names) if symbol[k] == len(number)]
+    ready[late] = log10_of_words([names[k] for k in late], tables, mixed)
+    scored = _scored(own.select("doc_id", "held_out", "text"), known_tokens, context.broadcast((base, ready)), context.broadcast(packed(tables, mixed)))
+    del tables
     scored = scratch.save(scored, "scored")
     wanted = scored.select("chunk", F.explode("rare").alias("h")).distinct()
     looked = scratch.save(wanted.join(totals.select("h", "c"), "h").select("chunk", "h", "c"), "looked")

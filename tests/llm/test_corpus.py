@@ -265,7 +265,7 @@ def test_language_model_learns_from_all_decisions(spark, sf_dir):
     shape = language_model.sized(n_tokens, 22)
     none = np.zeros(0, np.uint16)
     empty = language_model.Tables(symbols, np.zeros(len(names) + 1, np.int64), language_model.balanced(want + 1), shape, none, none)
-    given = spark.sparkContext.broadcast(index)
+    given = spark.sparkContext.broadcast((index, np.arange(len(names) + 1)))
     tables, mixed = language_model.gathered(language_model.counted(docs, counted, given, empty), empty)
     pair = np.stack([tables.counts & 255, tables.counts >> 8], 1).astype(int)
     ids = np.array([index.get(t, len(names)) for ts in texts for t in ts])
