@@ -97,9 +97,13 @@ def walk(edges: DataFrame, start: str, strategies: list[Strategy], *, table: dic
     live = {(s.name, k): [start] for s in strategies for k in range(s.walks)}
     if len(live) > BOUND // max([1, *(s.steps for s in strategies)]):
         raise ValueError(f"{len(live)} walks are too many at once")
-    edges = saved(edges, "edges")
+    # Sorted by node, so that a step reads the row groups of the nodes where walks are.
+    edges = saved(edges.withColumn("base", F.col("n") * weight(F.col("rel_type"), table)).drop("n").repartitionByRange("node").sortWithinPartitions("node"), "edges")
     of, paths = {s.name: s for s in strategies}, dict(live)
-    factors = spark.createDataFrame([(s.name, t, f) for s in strategies for t, f in s.factors], "strategy string, rel_type string, factor double")
+    factor = F.lit(1.0)
+    for s in strategies:
+        for t, f in s.factors:
+            factor = F.when((F.col("strategy") == s.name) & (F.col("rel_type") == t), f).otherwise(factor)
     if guidance is not None:
         found = guidance.select(F.col("node").alias("neighbour"), F.col("score").cast("double")).limit(BOUND + 1).collect()
         if len(found) > BOUND:
@@ -112,8 +116,7 @@ def walk(edges: DataFrame, start: str, strategies: list[Strategy], *, table: dic
         rows = [(s, k, p[-1], of[s].forward, of[s].guidance if of[s].all_guided or k % 2 == 0 else 0.0) for (s, k), p in live.items()]
         here = spark.createDataFrame(rows, "strategy string, walk int, node string, forward boolean, guidance double")
         met = edges.filter(F.col("node").isin(sorted({r[2] for r in rows}))) if len(rows) <= 1000 else edges
-        met = met.join(F.broadcast(here), ["node", "forward"]).join(F.broadcast(factors), ["strategy", "rel_type"], "left")
-        met = met.withColumn("w", F.round(F.col("n") * weight(F.col("rel_type"), table) * F.coalesce("factor", F.lit(1.0))))
+        met = met.join(F.broadcast(here), ["node", "forward"]).withColumn("w", F.round(F.col("base") * factor))
         if guidance is not None:
             met = met.join(guidance, "neighbour", "left").withColumn("w", F.round(F.col("w") * (1 + 0.5 * F.coalesce("score", F.lit(0.0)) * F.col("guidance"))))
         u = draw(F.lit(str(seed)), "strategy", F.col("walk").cast("string"), F.lit(str(step)), "node", "neighbour", "rel_type")
