@@ -260,8 +260,9 @@ def keep_first(docs: DataFrame, **options) -> DataFrame:
     """The documents with the smallest id of their groups, with docs' columns. Of rows with one id and one text, one stays; rows of one id that have other texts stay or go with it. Rows with null ids stay."""
     scratch, own = Scratch(docs.sparkSession, "first"), unused(docs, "dropped")
     groups = scratch.save(near_duplicates(docs, **options), "groups")
-    dropped = groups.filter("not kept").select(F.col("doc_id").alias(own)).distinct()
-    out = docs.join(dropped, F.col("doc_id").cast("long") == F.col(own), "left_anti")
+    # While they are few the ids go to the texts; otherwise both meet by a shuffle.
+    dropped = scratch.save(groups.filter("not kept").select(F.col("doc_id").alias(own)).distinct(), "dropped")
+    out = docs.join(bounded_broadcast(dropped, dropped.count()), F.col("doc_id").cast("long") == F.col(own), "left_anti")
     again = groups.filter("kept and doc_id is not null").groupBy(F.col("doc_id").alias(own)).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(own)
     again = scratch.save(again, "again")
     n = again.count()
