@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dedup, language_model, mixing, packing, pii, quality_model, quality_rules, toxicity, warc, winnowing
+from . import dedup, fill_in_middle, language_model, mixing, packing, pii, quality_model, quality_rules, toxicity, warc, winnowing
 from .common import Scratch, table
 from .oracles import ORACLES
 
@@ -71,6 +71,20 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fim = F.col("fim")
+    digest = lambda text: F.sha2(text, 256)
+    return fill_in_middle.transform(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        fim["n"].alias("n"),
+        fim["form"].alias("form"),
+        fim["prefix_chars"].alias("prefix_chars"),
+        fim["middle_chars"].alias("middle_chars"),
+        digest(fim["output"]).alias("output_sha256"),
+        digest(fill_in_middle.restored(fim["output"], fim["form"])).alias("restored_sha256"),
+    )
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_quality": op2_quality,
@@ -82,6 +96,7 @@ QUERIES = {
     "op8_minhash": op8_minhash,
     "op9_quality_rules": op9_quality_rules,
     "op10_mixing": op10_mixing,
+    "op11_fill_in_middle": op11_fill_in_middle,
 }
 
 __all__ = ["ORACLES", "QUERIES"]
