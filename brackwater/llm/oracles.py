@@ -40,4 +40,37 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST
 FROM r
 """
 
-ORACLES = {"op4_warc": OP4, "op8_minhash": OP8, "op11_fill_in_middle": OP11}
+#: Site rules by host and path, the patterns written as regular expressions.
+OP12 = r"""
+WITH u AS (SELECT page_id, coalesce(url, '') AS url, contains(coalesce(url, ''), '://') AS there, strpos(coalesce(url, ''), '://') + 3 AS after FROM pages),
+r AS (SELECT page_id, CASE WHEN there THEN substr(url, after) ELSE '' END AS rest FROM u),
+h AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM r),
+p AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path, substr(rest, length(raw) + 1) AS tail FROM h),
+s AS (SELECT * FROM (VALUES ('net/', 'net', '/', 'block'), ('example.net/en/', 'example.net', '/en/', 'allow'), ('example.com/de/', 'example.com', '/de/', 'block'), ('org/fr/', 'org', '/fr/', 'allow')) AS t(rule, site, start, action)),
+f AS (SELECT page_id, max_by(rule, length(rule)) AS rule, max_by(action, length(rule)) AS action FROM p JOIN s ON (host = site OR ends_with(host, '.' || site)) AND starts_with(path, start) GROUP BY page_id),
+m AS (SELECT page_id, host, path, host || tail AS address FROM p)
+SELECT m.page_id, host, path, rule, CASE WHEN action IS NOT NULL THEN action
+  WHEN regexp_matches(address, '(?s)^([^/?#]*\.)?ads\..*/about([^A-Za-z0-9_.%-]|$)') THEN 'allow'
+  WHEN regexp_matches(address, '^([^/?#]*\.)?(ads\.|ads-track\.|tracker\.|adult-|casino-|cheap-pills\.|free-bets\.|spam-farm\.)') OR contains(address, '/wp-login.') OR regexp_matches(address, '(?s)/ads/.*/banner([^A-Za-z0-9_.%-]|$)')
+    OR contains(address, '?sessionid=') OR contains(address, '&sessionid=') OR ends_with(address, '.exe') OR regexp_matches(address, '^[0-9]+([.][0-9]+){3}(:[0-9]+)?[/?#]') THEN 'block'
+  ELSE 'allow' END AS verdict
+FROM m LEFT JOIN f USING (page_id)
+"""
+
+OP13 = """
+WITH d AS (SELECT row_number() OVER () AS i, coalesce(lang, 'und') AS lang, regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]') AS pieces FROM documents),
+p AS (SELECT lang, regexp_extract_all(unnest(pieces), '[^\\x20\\x09]+') AS w FROM d),
+s AS (SELECT lang, sum(len(w)) AS n FROM p GROUP BY lang),
+g AS (SELECT lang, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase, k FROM p, (SELECT unnest(range(1, 6)) AS k) WHERE len(w) >= k),
+f AS (SELECT lang, phrase, k, count(*) AS a FROM g GROUP BY lang, phrase, k HAVING count(*) >= 100),
+c AS (SELECT lang, phrase, k, a, string_split(phrase, ' ') AS w FROM f WHERE k >= 2),
+x AS (SELECT lang, phrase, k, a, w, unnest(range(1, k)) AS cut FROM c),
+j AS (SELECT x.lang, x.phrase, x.k, x.a, cut, l.a AS l, r.a AS r, n, CAST((1000::HUGEINT * x.a * n) // (l.a::HUGEINT * r.a) AS BIGINT) AS score FROM x
+  JOIN f l ON l.lang = x.lang AND l.phrase = array_to_string(w[1:cut], ' ') JOIN f r ON r.lang = x.lang AND r.phrase = array_to_string(w[cut + 1:x.k], ' ') JOIN s ON s.lang = x.lang),
+b AS (SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+o AS (SELECT b.* FROM b WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.lang = b.lang AND c.k > b.k AND c.a >= b.a AND contains(' ' || c.phrase || ' ', ' ' || b.phrase || ' '))),
+t AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM o)
+SELECT * FROM t WHERE rank <= 2000
+"""
+
+ORACLES = {"op4_warc": OP4, "op8_minhash": OP8, "op11_fill_in_middle": OP11, "op12_url_filter": OP12, "op13_collocations": OP13}

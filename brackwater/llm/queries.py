@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dedup, fill_in_middle, language_model, mixing, packing, pii, quality_model, quality_rules, toxicity, warc, winnowing
+from . import collocations, dedup, fill_in_middle, language_model, mixing, packing, pii, quality_model, quality_rules, toxicity, url_filter, warc, winnowing
 from .common import Scratch, table
 from .oracles import ORACLES
 
@@ -85,6 +85,14 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "filter.*")
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_quality": op2_quality,
@@ -97,6 +105,8 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_mixing": op10_mixing,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_url_filter": op12_url_filter,
+    "op13_collocations": op13_collocations,
 }
 
 __all__ = ["ORACLES", "QUERIES"]
