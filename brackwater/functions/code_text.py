@@ -128,10 +128,20 @@ def resource_concerns(c: Column) -> Column:
     return named([("file_operations", has(c, "File", "Files.", "InputStream", "OutputStream")), ("database_operations", has(c, "Repository", "EntityManager", "save(", "findBy")), ("network_operations", has(c, "HttpClient", "RestTemplate", "WebClient"))])
 
 
+def performance_patterns(c: Column) -> dict[str, Column]:
+    """Which of the four patterns a source has. Whoever heads a method is also named in it, so every method may recur."""
+    # Names of the patterns and what shows them.
+    return {
+        "Contains loops": has(c, "for(", "while("),
+        "Contains nested loops (O(n²) potential)": plain_count(c, "for(") + plain_count(c, "while(") > 1,
+        "Uses Stream API": has(c, "stream()", "forEach", "map(", "filter("),
+        "Potential recursion": c.rlike(r"(?U)\w+\s+\w+\s*\("),
+    }
+
+
 def performance_level(c: Column) -> Column:
     concerns = F.size(F.filter(F.split(resource_concerns(c), ","), lambda x: x != ""))
-    loops = has(c, "for(", "while(")
-    patterns = loops.cast("int") + (plain_count(c, "for(") + plain_count(c, "while(") > 1).cast("int") + has(c, "stream()", "forEach", "map(", "filter(").cast("int")
+    patterns = total([p.cast("int") for p in performance_patterns(c).values()])
     return F.when(concerns > 2, "High Impact").when((concerns > 0) | (patterns > 2), "Medium Impact").otherwise("Low Impact")
 
 
@@ -150,7 +160,8 @@ def generator_score(c: Column) -> Column:
 
 
 def is_async(c: Column) -> Column:
-    return has(c, "CompletableFuture", "@Async", "Thread", "ExecutorService")
+    # Words of code that runs aside.
+    return has(c, "CompletableFuture", "Future", "@Async", "async", "await", "thenApply", "thenAccept")
 
 
 def test_priorities(level_: Column, critical: Column, edges: Column, performance: Column) -> Column:
@@ -367,3 +378,27 @@ def quality_level(score: Column) -> Column:
 
 def suggestions(comp: Column, cov: Column, asserts: Column, mocks: Column, reads: Column) -> Column:
     return named([("compilation", comp < 20), ("coverage", cov < 20), ("assertions", asserts < 15), ("mocking", mocks < 10), ("readability", reads < 12)])
+
+
+# Patterns of tests that are not simple.
+DEEP_TESTS = (r"@Mock\w+", "@ParameterizedTest", "@TestFactory", "@Nested", r"Stream\.", "assertThrows", "@InjectMocks", r"verify\(", r"when\(", "@ExtendWith")
+
+
+def needs_deep_evaluation(test: Column, complexity_level: Column) -> Column:
+    """Whether a test is too hard for patterns alone: more than 200 lines, more than 10 tests, one of ten patterns, or code under test of level high or very_high, in these very words."""
+    return (lines(test) > 200) | (plain_count(test, "@Test") > 10) | test.rlike("|".join(DEEP_TESTS)) | F.coalesce(complexity_level, F.lit("low")).isin("high", "very_high")
+
+
+def json_over(answer: Column, defaults: Column) -> Column:
+    """map of names to JSON texts: the object from the first brace to the last of a free text, over defaults (an object's JSON); the defaults alone where that is no object.
+
+    The answer's members replace the defaults' whole, nested ones too. Members are told apart by name; of a name given twice parsing fails, as does any text that is not JSON.
+    """
+    # In brackets, so that nothing may follow the object; what parses as more than one is no object.
+    listed = lambda text: F.from_json(F.to_json(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))), "array<map<string,variant>>")
+    entries = lambda text: F.when(F.size(listed(text)) == 1, F.get(listed(text), F.lit(0)))
+    texts = lambda m: F.transform_values(m, lambda k, v: F.to_json(v))
+    empty = F.create_map().cast("map<string,string>")
+    own = F.coalesce(texts(entries(F.regexp_extract(answer, r"(?s)\{.*\}", 0))), empty)
+    rest = F.coalesce(texts(entries(defaults)), empty)
+    return F.map_concat(F.map_filter(rest, lambda k, v: ~F.map_contains_key(own, k)), own)

@@ -81,7 +81,15 @@ def parameters_of(text: str) -> list[dict]:
 
 
 def complexity(body: str) -> int:
-    return 1 + len(re.findall(r"\b(?:if|while|for|do|switch|catch)\b|\?(?!\s*[,>])|\|\||&&", body))
+    """1 and a point for each if, while, counted for, do, switch, catch, || and &&. A for over a collection and ? : give none; a do's while is the do's point."""
+    points = len(re.findall(r"\b(?:if|while|switch|catch)\b|\|\||&&", body))
+    for m in re.finditer(r"\bfor\s*\(", body):
+        depth, at = 1, m.end()
+        while at < len(body) and depth and not (depth == 1 and body[at] == ";"):
+            depth += (body[at] == "(") - (body[at] == ")")
+            at += 1
+        points += at < len(body) and depth > 0
+    return 1 + points
 
 
 def classes(source: str | None, first_only: bool = True) -> list[dict]:
@@ -145,13 +153,3 @@ def parsed(files: DataFrame, first_only: bool = True) -> DataFrame:
 
     strings = "array<string>"
     return files.mapInArrow(run, f"path string, name string, package string, imports {strings}, modifiers {strings}, annotations {strings}, extends string, implements {strings}, fields {FIELDS}, methods {METHODS}, text string")
-
-
-def placeholders(source: str) -> tuple[str, list[tuple[str, str, bool]]]:
-    """Template code with numbered placeholders, scripts first, and what they stand for; text that repeats keeps its first number."""
-    names = []
-    for pattern, prefix, script in ((r"(?s)<%(.*?)%>", "GROOVY_EXPRESSION_", True), (r"\$\{([^}]+)\}", "TEMPLATE_VAR_", False)):
-        for k, m in enumerate(list(re.finditer(pattern, source))):
-            names.append((m[1].strip(), f"{prefix}{k}", script))
-            source = source.replace(m[0], f"{prefix}{k}")
-    return source, names

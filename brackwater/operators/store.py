@@ -88,12 +88,6 @@ def stamped(points: DataFrame) -> DataFrame:
     return points.withColumns({"point_id": F.uuid(), "indexed_at": F.current_timestamp()})
 
 
-def cleared(**stores: DataFrame) -> DataFrame:
-    """(store, removed, left): every store emptied, with how many rows each had and has."""
-    each = [df.agg(F.lit(name).alias("store"), F.count(F.lit(1)).alias("removed"), F.count(F.when(F.lit(False), 1)).alias("left")) for name, df in stores.items()]
-    return reduce(DataFrame.unionByName, each)
-
-
 def upsert(table: DataFrame, changes: DataFrame, keys: tuple[str, ...] = ("id",), seq: str = "seq") -> DataFrame:
     """Last write wins by keys."""
     return first_of(table.unionByName(changes), list(keys), [F.col(seq).desc()])

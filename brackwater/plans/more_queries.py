@@ -12,7 +12,7 @@ from ..operators import store, vector
 from ..operators.vector import Collection
 from ..session import new_folder, table
 from ..sources import files, reports
-from .graph_model import GRAPH_SQL, entities, methods, relationships
+from .graph_model import GRAPH_SQL, entities, methods
 from .metric_queries import E, events
 from .registry import query
 from .texts import S, sources
@@ -25,14 +25,21 @@ def parameterised_sql(spark, sf):
     return store.sql(spark, "select id, name from {e} where type = :kind and name >= :least order by name limit :most", {"kind": "Method", "least": "Customer#000000010", "most": 15}, e=entities(spark, sf))
 
 
-@query("SELECT doc_id AS id, regexp_extract(path, '[^/]*$') AS name FROM (SELECT doc_id, ['src/A', '.git/A', 'a/node_modules/b/A', 'out/A', 'gen/keep/A', 'gen/A'][CAST(1 + doc_id % 6 AS INTEGER)] || doc_id || ['.java', '.class', '.java'][CAST(1 + doc_id % 3 AS INTEGER)] AS path FROM documents) WHERE NOT regexp_matches(path, '(^|/)(.git|node_modules)/|[.]class$') AND (NOT starts_with(path, 'gen/') OR starts_with(path, 'gen/keep/')) AND NOT starts_with(path, 'out/')")
+IGNORED_DIRECTORIES = ("src", ".git", "a/node_modules/b", "out", "gen/keep", "gen", ".svn", "build", "dist/target", "x/.env", "env", ".gradle", "venv/lib", ".hg/y")
+IGNORED_FILES = ("{}.java", "{}.class", "{}.pyc", ".DS_Store", "{}.java")
+
+
+@query(
+    """WITH p AS (SELECT doc_id AS id, ['src', '.git', 'a/node_modules/b', 'out', 'gen/keep', 'gen', '.svn', 'build', 'dist/target', 'x/.env', 'env', '.gradle', 'venv/lib', '.hg/y'][CAST(1 + doc_id % 14 AS INTEGER)] || '/' || replace(['A{}.java', 'A{}.class', 'A{}.pyc', '.DS_Store', 'A{}.java'][CAST(1 + doc_id % 5 AS INTEGER)], '{}', doc_id::VARCHAR) AS path FROM documents)
+SELECT id, path FROM p WHERE NOT list_has_any(string_split(path, '/'), ['.git', '.svn', '.hg', '__pycache__', '.pytest_cache', '.mypy_cache', 'node_modules', 'venv', 'env', '.env', '.idea', '.vscode', '.DS_Store', 'Thumbs.db'])
+  AND NOT regexp_matches(path, '[.](pyc|pyo|class)$') AND (NOT starts_with(path, 'gen/') OR starts_with(path, 'gen/keep/')) AND NOT starts_with(path, 'out/')"""
+)
 def ignored_paths(spark, sf):
     k = F.col("doc_id")
     pick = lambda xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (1 + k % len(xs)).cast("int"))
-    path = F.concat(pick(("src/A", ".git/A", "a/node_modules/b/A", "out/A", "gen/keep/A", "gen/A")), k.cast("string"), pick((".java", ".class", ".java")))
+    path = F.concat(pick(IGNORED_DIRECTORIES), F.lit("/"), F.replace(pick(IGNORED_FILES), F.lit("{}"), F.concat(F.lit("A"), k.cast("string"))))
     rows = table(spark, sf, "documents").select(k.alias("id"), path.alias("path"))
-    kept = rows.filter(~files.ignored(F.col("path")) & ~files.ignored_by(F.col("path"), ["# built", "/gen/**", "/out/", "!/gen/keep/**"]))
-    return kept.select("id", F.element_at(F.split("path", "/"), -1).alias("name"))
+    return rows.filter(~files.ignored(F.col("path")) & ~files.ignored_by(F.col("path"), ["# built", "/gen/**", "/out/", "!/gen/keep/**"]))
 
 
 @query("SELECT source AS directory, count(*) AS n FROM documents WHERE doc_id % 2 = 0 GROUP BY 1")
@@ -129,12 +136,6 @@ def stamped_points(spark, sf):
     return out.select("vec_id", F.length("point_id").alias("id_length"), (F.col("indexed_at") > F.lit("2020-01-01").cast("timestamp")).alias("timely"))
 
 
-@query(G + "SELECT 'graph' AS store, (SELECT count(*) FROM entities) + (SELECT count(*) FROM relationships) AS removed, CAST(0 AS BIGINT) AS left UNION ALL SELECT 'vectors', count(*), 0 FROM embeddings UNION ALL SELECT 'cache', count(DISTINCT user_id), 0 FROM events")
-def stores_cleared(spark, sf):
-    graph = entities(spark, sf).select("id").unionByName(relationships(spark, sf).select(F.col("source_id").alias("id")))
-    return store.cleared(graph=graph, vectors=table(spark, sf, "embeddings"), cache=table(spark, sf, "events").select("user_id").distinct())
-
-
 TEXT_SQL = "list_transform(range(1, 17), lambda i: ('0x' || substr(md5({} || '|' || i), 1, 8))::UBIGINT / 4294967296.0)"
 TEXTS_SQL = f"SELECT doc_id, list_cosine_similarity({TEXT_SQL.format('text')}, {TEXT_SQL.format(chr(39) + 'add an order' + chr(39))}) AS score FROM documents"
 

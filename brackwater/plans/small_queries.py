@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import code_text as C
 from ..operators import presentation as P
-from ..operators.vector import Collection, preset
+from ..operators.vector import PRESETS, for_collection, preset, search
 from ..session import table
 from .graph_model import GRAPH_SQL, entities, methods
 from .registry import query
@@ -104,10 +104,21 @@ def timestamps_iso(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", F.unix_seconds(ts).alias("seconds"), F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss").alias("iso"))
 
 
-@query("SELECT * FROM (VALUES ('default', 20, CAST(0.6 AS DOUBLE)), ('high_quality', 20, 0.7), ('no such', 20, 0.6), ('changed', 5, 0.2)) AS t(name, search_limit, threshold)")
+@query(
+    """WITH p AS (SELECT * FROM (VALUES ('default', 10, CAST(0.7 AS DOUBLE), 10000), ('high_quality', 20, 0.8, 5000), ('fast_indexing', 10, 0.6, 10000), ('memory_efficient', 10, NULL, 10000), ('large_scale', 50, NULL, 100000),
+('java_methods', 20, 0.6, 5000), ('java_classes', 10, 0.7, 10000), ('java_documentation', 15, 0.5, 10000), ('no such', 10, 0.7, 10000), ('changed', 5, 0.2, 10000)) AS t(name, search_limit, threshold, full_scan_threshold)),
+s AS (SELECT list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 3)) AS score FROM embeddings)
+SELECT name, search_limit, threshold, full_scan_threshold, least(count(*) FILTER (WHERE threshold IS NULL OR score >= threshold), search_limit) AS found FROM p, s GROUP BY name, search_limit, threshold, full_scan_threshold"""
+)
 def collection_presets(spark, sf):
-    rows = [("default", preset("default")), ("high_quality", preset("high_quality")), ("no such", preset("no such")), ("changed", Collection().having(limit=5, threshold=0.2))]
-    return spark.createDataFrame([(n, c.limit, c.threshold) for n, c in rows], "name string, search_limit int, threshold double")
+    """Each preset, and how many points a search with its limit and threshold finds."""
+    p = table(spark, sf, "embeddings")
+    wanted = [float(x) for x in p.filter("vec_id = 3").first()["embedding"]]
+    sets = [(n, for_collection(n) if n.startswith("java_") else preset(n)) for n in (*PRESETS, "no such")] + [("changed", preset("default").having(limit=5, threshold=0.2))]
+    rows = spark.createDataFrame([(n, c.limit, c.threshold, c.full_scan_threshold) for n, c in sets], "name string, search_limit int, threshold double, full_scan_threshold int")
+    scored = search(p, wanted, limit=max(c.limit for _, c in sets)).select("score")
+    met = rows.join(scored, F.col("threshold").isNull() | (F.col("score") >= F.col("threshold")), "left").groupBy(*rows.columns).agg(F.count("score").alias("n"))  # at most 50 scores
+    return met.select(*rows.columns, F.least("n", F.col("search_limit").cast("long")).alias("found"))
 
 
 @query(f"{S} SELECT id, CAST((length(source) - length(replace(source, '{{', ''))) - (length(source) - length(replace(source, '}}', ''))) AS INTEGER) AS open_braces, (length(source) - length(replace(source, '{{', ''))) = (length(source) - length(replace(source, '}}', ''))) AND length(source) >= 50 AND regexp_matches(rtrim(source, chr(10) || ' '), '\\}}$') AS complete FROM s")

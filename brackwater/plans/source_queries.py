@@ -51,6 +51,19 @@ def java_methods(spark, sf):
     return m.select("m.name", "m.complexity", "m.loc", F.array_join("m.calls", ",").alias("calls"), F.array_join("m.annotations", ",").alias("annotations"), signature(F.col("m")).alias("signature"))
 
 
+# Statements, and the points that the kinds of their syntax nodes give: a for over a collection and ? : have none.
+BODIES = (("if (a) { b(); } else if (c) { d(); }", 2), ("for (int x : xs) { f(x); }", 0), ("for (int i = 0; i < n; i++) { f(i); }", 1), ("for (Map.Entry<String, List<Integer>> e : m.get(k(1, 2)).entries()) { g(); }", 0), ("do { f(); } while (a > 0 && b);", 2), ("while (x) { y(); }", 1), ("int y = b ? 1 : 2;", 0), ("switch (k) { case 1: break; case 2: return; default: }", 1), ("try { f(); } catch (A | B e) { g(); } finally { h(); }", 1), ('String s = "if (x) && for (;;)"; // while || do', 0), ("for (;;) { if (a || b) break; }", 3), ("run(() -> { if (a) { return; } });", 1))
+
+
+@query(f"SELECT doc_id AS id, CAST(1 + {' + '.join(f'CASE WHEN (((doc_id + 1) * 2654435761) % 1048576 >> {k}) & 1 = 1 THEN {n} ELSE 0 END' for k, (_, n) in enumerate(BODIES))} AS INTEGER) AS complexity FROM documents")
+def syntax_complexity(spark, sf):
+    bits = ((F.col("doc_id") + 1) * 2_654_435_761) % 1_048_576
+    body = F.concat_ws("\n", *[F.when(F.shiftright(bits, k).bitwiseAND(F.lit(1)) == 1, F.lit(b)) for k, (b, _) in enumerate(BODIES)])
+    source = F.concat(F.lit("class A {\n  void m() {\n"), body, F.lit("\n  }\n}\n"))
+    m = java.parsed(table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("path"), source.alias("source")))
+    return m.select(F.col("path").cast("long").alias("id"), F.col("methods")[0]["complexity"].alias("complexity"))
+
+
 @query(FILES_SQL + ", f AS (SELECT 's_' AS x, s_suppkey, s_nationkey FROM supplier) SELECT 'f' || s_suppkey AS name, 'Store' AS type, 'private,final' AS modifiers, 'new Store(1)' AS initial_value FROM f JOIN files ON n_nationkey = s_nationkey AND block = s_suppkey // 1000")
 def java_fields(spark, sf):
     f = java.parsed(code_files(spark, sf)).select(F.explode("fields").alias("f"))

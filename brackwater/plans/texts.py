@@ -103,7 +103,11 @@ _simple("exception_scenarios", names(("explicit_exceptions", has("throw new", "t
 _simple("boundary_conditions", names(("max_min_values", has("MAX_VALUE", "MIN_VALUE", "Integer.MAX", "Long.MAX")), ("loop_boundaries", has("for(", "while(", "do {"))), C.boundary_conditions)
 _simple("resource_concerns", CONCERNS, C.resource_concerns)
 _simple("dependency_patterns", names(("injection", has("@Autowired", "@Inject")), ("factory", has("Factory", "Builder")), ("service", has("Service")), ("repository", has("Repository"))), C.dependency_patterns)
-_simple("performance_level", f"CASE WHEN {items(CONCERNS)} > 2 THEN 'High Impact' WHEN {items(CONCERNS)} > 0 OR CAST({has('for(', 'while(')} AS INTEGER) + CAST({k('for(')} + {k('while(')} > 1 AS INTEGER) + CAST({has('stream()', 'forEach', 'map(', 'filter(')} AS INTEGER) > 2 THEN 'Medium Impact' ELSE 'Low Impact' END", C.performance_level)
+# Written from the patterns' definition: nothing here is taken from the module that is checked.
+PERFORMANCE = (("Contains loops", "(contains(source, 'for(') OR contains(source, 'while('))"), ("Contains nested loops (O(n²) potential)", f"{k('for(')} + {k('while(')} > 1"), ("Uses Stream API", "(contains(source, 'stream()') OR contains(source, 'forEach') OR contains(source, 'map(') OR contains(source, 'filter('))"), ("Potential recursion", r"regexp_matches(source, '(public|private|protected)?\s*(static)?\s*\w+\s+(\w+)\s*\(')"))
+_simple("performance_level", f"CASE WHEN {items(CONCERNS)} > 2 THEN 'High Impact' WHEN {items(CONCERNS)} > 0 OR {' + '.join(f'CAST(({p}) AS INTEGER)' for _, p in PERFORMANCE)} > 2 THEN 'Medium Impact' ELSE 'Low Impact' END", C.performance_level)
+_simple("performance_patterns", names(*PERFORMANCE), lambda c: C.named(list(C.performance_patterns(c).items())))
+_simple("is_async", "regexp_matches(source, 'CompletableFuture|Future|@Async|async|await|thenApply|thenAccept')", C.is_async)
 _simple("recommended_tests", f"CAST(least(15, 3 + CASE WHEN cc > 10 THEN 3 WHEN cc > 5 THEN 2 ELSE 1 END + least({items(EDGES)}, 5)) AS INTEGER)", lambda c: C.recommended_tests(F.col("cc"), C.edge_cases(c)))
 _simple("mock_strategy", "CASE WHEN cc > 20 THEN 'comprehensive' WHEN cc > 10 THEN 'moderate' WHEN br > 5 THEN 'focused' ELSE 'minimal' END", lambda c: C.mock_strategy(F.col("cc"), F.col("br")))
 joined = lambda a: F.array_join(F.array_sort(a), ",")
@@ -222,6 +226,37 @@ def suggestions(spark, sf):
     return scores(spark, sf).select("id", C.suggestions(*[F.col(x) for x in ("comp", "cov", "asserts", "mocks", "reads")]).alias("suggestions"))
 
 
+@query(
+    f"""{T[:-1]}), t AS (SELECT id, source || repeat(chr(10), CASE WHEN id % 4 = 0 THEN id % 400 ELSE 0 END) || repeat('@Test ', CASE WHEN id % 6 = 1 THEN id % 23 ELSE 0 END) AS test, ['High', 'high', 'very_high', 'Very High', NULL][CAST(1 + id % 50 AS INTEGER)] AS level FROM s)
+SELECT id, len(string_split(test, chr(10))) > 200 OR (length(test) - length(replace(test, '@Test', ''))) // 5 > 10 OR coalesce(level, 'low') IN ('high', 'very_high')
+  OR regexp_matches(test, '@Mock[A-Za-z0-9_]+|@ParameterizedTest|@TestFactory|@Nested|Stream\\.|assertThrows|@InjectMocks|verify\\(|when\\(|@ExtendWith') AS deep FROM t"""
+)
+def deep_evaluation(spark, sf):
+    i = F.col("id")
+    test = F.concat("source", F.expr("repeat('\\n', cast(if(id % 4 = 0, id % 400, 0) as int))"), F.expr("repeat('@Test ', cast(if(id % 6 = 1, id % 23, 0) as int))"))
+    level = F.get(F.array(F.lit("High"), F.lit("high"), F.lit("very_high"), F.lit("Very High"), F.lit(None).cast("string")), (i % 50).cast("int"))
+    return tests(spark, sf).select("id", C.needs_deep_evaluation(test, level).alias("deep"))
+
+
+ANSWERS = ('Here it is: {"complexity_level": "high", "risks": {"io": [1, 2]}} Good luck.', "no JSON at all", '{"edge_cases": ["null"], "cc": 4.50, "note": null}', 'cut off: {"cc": 7, "risks": ', '{"cc": "many"} and {"cc": 2}', "[1, 2]", "{}")
+DEFAULTS = '{"cc": 1, "complexity_level": "low", "risks": {"net": true}}'
+
+
+@query(
+    "WITH a AS (SELECT doc_id AS id, CASE doc_id % 8 WHEN 0 THEN '{\"cc\": ' || doc_id || ', \"lang\": \"' || lang || '\"}' "
+    + " ".join(f"WHEN {j + 1} THEN '{a}'" for j, a in enumerate(ANSWERS))
+    + rf""" END AS answer FROM documents), j AS (SELECT id, regexp_extract(answer, '(?s)\{{.*\}}') AS found FROM a), v AS (SELECT id, CAST(CASE WHEN json_valid(found) THEN found ELSE '{{}}' END AS JSON) AS own, CAST('{DEFAULTS}' AS JSON) AS rest FROM j),
+m AS (SELECT id, unnest(json_keys(own)) AS name, own AS o FROM v UNION ALL SELECT id, unnest(list_filter(json_keys(rest), lambda x: NOT list_contains(json_keys(own), x))), rest FROM v)
+SELECT id, name, CASE WHEN name = 'cc' AND id % 8 = 3 THEN '4.5' ELSE CAST(json_extract(o, '$.' || name) AS VARCHAR) END AS value FROM m"""
+)
+def answers_over_defaults(spark, sf):
+    """Answers in free text, each over the same defaults, member by member; one of eight has the document's own."""
+    own = F.concat(F.lit('{"cc": '), F.col("doc_id").cast("string"), F.lit(', "lang": "'), "lang", F.lit('"}'))
+    answer = F.get(F.array(own, *[F.lit(a) for a in ANSWERS]), (F.col("doc_id") % 8).cast("int"))
+    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), C.json_over(answer, F.lit(DEFAULTS)).alias("m"))
+    return rows.select("id", F.explode("m").alias("name", "value"))
+
+
 @query("SELECT doc_id AS id, CAST(greatest(0, CASE WHEN doc_id % 101 >= 90 THEN 30 WHEN doc_id % 101 >= 80 THEN 25 WHEN doc_id % 101 >= 70 THEN 20 WHEN doc_id % 101 >= 50 THEN 15 ELSE 10 END - CASE WHEN (doc_id * 7) % 101 < 50 THEN 5 ELSE 0 END) AS INTEGER) AS score FROM documents")
 def score_measured_coverage(spark, sf):
     return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), C.measured_coverage(F.col("doc_id") % 101, (F.col("doc_id") * 7) % 101).alias("score"))

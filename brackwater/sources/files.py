@@ -7,10 +7,10 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import saved
+from ..session import new_folder, saved
 
 # Names that a scan leaves out, wherever they stand in a path, and endings.
-IGNORED_NAMES = (".git", ".idea", ".vscode", "node_modules", "venv", ".venv", "__pycache__", "target", "build", "dist", ".gradle", ".mypy_cache", ".pytest_cache")
+IGNORED_NAMES = (".git", ".svn", ".hg", "__pycache__", ".pytest_cache", ".mypy_cache", "node_modules", "venv", "env", ".env", ".idea", ".vscode", ".DS_Store", "Thumbs.db")
 IGNORED_ENDINGS = (".pyc", ".pyo", ".class")
 
 
@@ -92,3 +92,41 @@ def diff(old: DataFrame, new: DataFrame, full: bool = True) -> DataFrame:
     out = a.join(b, "path", "full_outer").filter(~F.col("a").eqNullSafe(F.col("b")))
     out = out.select("path", F.when(F.col("a").isNull(), "new").when(F.col("b").isNull(), "deleted").otherwise("modified").alias("change"))
     return out if full else out.filter("change <> 'deleted'")
+
+
+def stored_tree(found: DataFrame) -> DataFrame:
+    """files(path, hash) as their tree on disk: depth, parent, path, hash, is_file, a folder for each depth, so that a level is read by itself."""
+    nodes = tree_hashes(found).withColumn("depth", F.when(F.col("path") == "", 0).otherwise(F.size(F.split("path", "/"))))
+    nodes = nodes.withColumn("parent", F.regexp_replace("path", "/?[^/]*$", ""))
+    path = new_folder(found.sparkSession, "tree")
+    nodes.write.partitionBy("depth").parquet(path)
+    return found.sparkSession.read.schema("path string, hash string, is_file boolean, parent string, depth int").parquet(path)
+
+
+def changed_below(old: DataFrame, new: DataFrame, broadcast: int = 200_000) -> tuple[DataFrame, list[int]]:
+    """diff of two stored trees, level by level from the top: (path, change), and how many nodes of each level were looked at.
+
+    A level's nodes are met in both trees only if their directories' hashes differ; equal directories are left closed with all below them. A
+    directory that only one tree has is opened there, so its files are new or deleted; a path that is a file in one and a directory in the other is both.
+    Empty trees have no root and differ in everything.
+    """
+    spark = old.sparkSession
+    node = "path string, a string, b string, a_file boolean, b_file boolean"
+    out, looked, opened, depth = spark.createDataFrame([], "path string, change string"), [], None, 0
+    while True:
+        sides = []
+        for tree, hash_, file_ in ((old, "a", "a_file"), (new, "b", "b_file")):
+            level = tree.filter(F.col("depth") == depth)
+            if opened is not None:
+                level = level.join(F.broadcast(opened) if count <= broadcast else opened, F.col("parent") == F.col("open"), "left_semi")
+            sides.append(level.select("path", F.col("hash").alias(hash_), F.col("is_file").alias(file_)))
+        met = saved(sides[0].join(sides[1], "path", "full_outer").select(*[c.split()[0] for c in node.split(", ")]), "met")
+        looked.append(met.count())
+        differ = met.filter(~F.col("a").eqNullSafe(F.col("b")) | ~F.col("a_file").eqNullSafe(F.col("b_file")))
+        was, now = F.coalesce("a_file", F.lit(False)), F.coalesce("b_file", F.lit(False))
+        out = out.unionByName(differ.filter(was | now).select("path", F.when(was & now, "modified").when(was, "deleted").otherwise("new").alias("change")))
+        opened = differ.filter((F.col("a_file") == False) | (F.col("b_file") == False)).select(F.col("path").alias("open"))  # noqa: E712
+        count = opened.count()
+        if not count:
+            return out, looked
+        depth += 1
