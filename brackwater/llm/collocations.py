@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +25,8 @@ KIND[[ord(c) for c in ".,;:!?"]] = BREAK
 KIND[0x0A:0x0E] = BREAK
 #: Positions of a batch whose suffixes are made at once.
 SLICE = 1 << 20
-#: At most so many bits say which words can be in a frequent phrase: 128 MB on each worker.
-MOST_BITS = 30
+#: At most so many bits say which words, and which pairs, can be in a frequent phrase: 64 MB on each worker.
+MOST_BITS = 29
 
 
 def _dense(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -51,7 +51,7 @@ def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     packed = LOWER[data[kinds == WORD]]
     offsets = np.concatenate([[0], np.cumsum(end - begin)])
     words = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(packed)])
-    piece = np.cumsum(kinds == BREAK)[begin] if len(begin) else np.zeros(0, np.int64)
+    piece = np.cumsum(kinds == BREAK, dtype=np.int32)[begin]
     text = np.searchsorted(starts + np.arange(len(starts)), begin, side="right") - 1
     return words, text, piece
 
@@ -66,75 +66,111 @@ def _langs(column: pa.Array) -> tuple[np.ndarray, list[bytes]]:
     return ids, names.to_pylist()
 
 
-def _bit(lang: bytes, word: bytes) -> int:
-    return zlib.crc32(lang + END + word)
+def _key(lang: bytes, word: bytes) -> int:
+    """64 bits of a word in its language. Different words that share them only make a filter let more through."""
+    return int.from_bytes(hashlib.blake2b(lang + END + word, digest_size=8).digest(), "little", signed=True)
 
 
-def _pairs(lang: np.ndarray, word: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (language, word) of a batch, where each occurrence has its pair, and how often each occurs."""
-    keys, where, n = np.unique(lang * max(1, words) + word, return_inverse=True, return_counts=True)
-    return keys, where, n
+def _pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """64 bits of two words in their order."""
+    x = first.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + second.view(np.uint64)
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (x ^ (x >> np.uint64(29))).view(np.int64)
+
+
+def _has(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    place = keys & np.int64(len(bits) * 8 - 1)
+    return (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0
+
+
+class Read:
+    """A batch of (lang, text) as words in order: `ids` of names, `lang` and `piece` of each, and the keys of words in their languages."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        lang, self.langs = _langs(batch.column(0))
+        words, text, self.piece = _words(batch.column(1))
+        self.ids, self.names = _numbered(words)
+        self.lang = lang[text]
+        self.pairs, self.where, self.counts = np.unique(self.lang * max(1, len(self.names)) + self.ids, return_inverse=True, return_counts=True)
+
+    def spelled(self) -> tuple[pa.Array, pa.Array]:
+        """Language and word of each distinct pair."""
+        n = max(1, len(self.names))
+        return pa.array(self.langs, pa.binary()).take(pa.array(self.pairs // n)), self.names.cast(pa.binary()).take(pa.array(self.pairs % n))
+
+    def keys(self) -> np.ndarray:
+        """The key of each word in order."""
+        lang, word = self.spelled()
+        own = np.array([_key(x, y) for x, y in zip(lang.to_pylist(), word.to_pylist())], np.int64)
+        return own[self.where] if len(own) else np.zeros(0, np.int64)
+
+    def joined(self, often: np.ndarray, keys: np.ndarray, pairs: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Whether a word and the next stand in one piece and can both be frequent, and with pairs, as a pair, too; and the keys of those that do."""
+        both = often[:-1] & often[1:] & (self.piece[:-1] == self.piece[1:])
+        at = np.flatnonzero(both)
+        own = _pair_keys(keys[at], keys[at + 1])
+        if pairs is not None:
+            both[at[~_has(pairs, own)]] = False
+        return both, own
 
 
 def _count_words(batches):
-    """lang, word, n: each batch's words with their numbers."""
+    """lang, word, key, n: each batch's words with their numbers."""
     for batch in batches:
-        lang, langs = _langs(batch.column(0))
-        words, text, _ = _words(batch.column(1))
-        ids, names = _numbered(words)
-        keys, _, n = _pairs(lang[text], ids, len(names))
-        which = pa.array(langs, pa.binary()).take(pa.array(keys // max(1, len(names))))
-        yield pa.RecordBatch.from_arrays([which, names.cast(pa.binary()).take(pa.array(keys % max(1, len(names)))), pa.array(n, pa.int64())], ["lang", "word", "n"])
+        read = Read(batch)
+        lang, word = read.spelled()
+        keys = [_key(x, y) for x, y in zip(lang.to_pylist(), word.to_pylist())]
+        yield pa.RecordBatch.from_arrays([lang, word, pa.array(keys, pa.int64()), pa.array(read.counts, pa.int64())], ["lang", "word", "key", "n"])
 
 
-def _suffixes(bits: np.ndarray, max_n: int):
-    """lang, suffix, n: of each position whose word can be frequent, up to max_n words, ending with the piece or before a word that can't."""
-    mask = len(bits) * 8 - 1
+def _count_pairs(often: np.ndarray, batches):
+    """key, n: each batch's pairs of words that can be frequent."""
+    for batch in batches:
+        read = Read(batch)
+        keys = read.keys()
+        _, own = read.joined(_has(often, keys), keys, None)
+        own, n = np.unique(own, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(n, pa.int64())], ["key", "n"])
 
-    def run(batches):
-        for batch in batches:
-            lang, langs = _langs(batch.column(0))
-            words, text, piece = _words(batch.column(1))
-            ids, names = _numbered(words)
-            lang = lang[text]
-            keys, where, _ = _pairs(lang, ids, len(names))
-            spelled = names.to_pylist()
-            hashes = np.array([_bit(langs[k // max(1, len(names))], spelled[k % max(1, len(names))]) & mask for k in keys.tolist()], np.int64)
-            often = ((bits[hashes >> 3] >> (hashes & 7)) & 1 > 0)[where] if len(hashes) else np.zeros(0, bool)
-            # A rare word is a break of its own.
-            ids, piece = np.where(often, ids, -1), piece
-            ended = pc.binary_join_element_wise(names.cast(pa.binary()), pa.scalar(END, pa.binary()), pa.scalar(b"", pa.binary()))
-            ended = pa.concat_arrays([ended, pa.array([b""], pa.binary())])
-            for at in range(0, len(ids), SLICE):
-                here = np.arange(at, min(at + SLICE, len(ids)))
-                here = here[ids[here] >= 0]
-                columns, alive = [ids[here]], np.ones(len(here), bool)
-                for k in range(1, max_n):
-                    there = np.minimum(here + k, len(ids) - 1)
-                    alive = alive & (here + k < len(ids)) & (piece[there] == piece[here]) & (ids[there] >= 0)
-                    columns.append(np.where(alive, ids[there], len(names)))
-                table = pa.table({"lang": lang[here], **{f"w{k}": c for k, c in enumerate(columns)}, "n": np.ones(len(here), np.int64)})
-                # Words in pairs: fewer keys to hash.
-                for k in range(0, max_n - 1, 2):
-                    pair = pc.add(pc.multiply(table[f"w{k}"], len(names) + 1), table[f"w{k + 1}"])
-                    table = table.drop_columns([f"w{k}", f"w{k + 1}"]).append_column(f"p{k}", pair)
-                own = [c for c in table.column_names if c != "n"]
-                table = table.group_by(own).aggregate([("n", "sum")]).combine_chunks()
-                parts = []
-                for k in range(max_n):
-                    if f"p{k - k % 2}" in own:
-                        both = table[f"p{k - k % 2}"].to_numpy()
-                        parts.append(both % (len(names) + 1) if k % 2 else both // (len(names) + 1))
-                    else:
-                        parts.append(table[f"w{k}"].to_numpy())
-                step = 1 << 17
-                which = pa.array(langs, pa.binary())
-                for j in range(0, len(table), step):
-                    cut = slice(j, j + step)
-                    suffix = pc.binary_join_element_wise(*[ended.take(pa.array(p[cut])) for p in parts], pa.scalar(b"", pa.binary()))
-                    yield pa.RecordBatch.from_arrays([which.take(pa.array(table["lang"].to_numpy()[cut])), suffix, pa.array(table["n_sum"].to_numpy()[cut], pa.int64())], ["lang", "suffix", "n"])
 
-    return run
+def _suffixes(often: np.ndarray, pairs: np.ndarray, max_n: int, batches):
+    """lang, suffix, n: from each position the next words, up to max_n, as long as word after word makes a pair that can be frequent; two at least."""
+    for batch in batches:
+        read = Read(batch)
+        keys = read.keys()
+        on, _ = read.joined(_has(often, keys), keys, pairs)
+        on = np.append(on, False) if len(keys) else on
+        del keys
+        rare = len(read.names)
+        ended = pc.binary_join_element_wise(read.names.cast(pa.binary()), pa.scalar(END, pa.binary()), pa.scalar(b"", pa.binary()))
+        ended = pa.concat_arrays([ended, pa.array([b""], pa.binary())])
+        starts = np.flatnonzero(on)
+        for at in range(0, len(starts), SLICE):
+            here = starts[at : at + SLICE]
+            columns, alive = [read.ids[here]], np.ones(len(here), bool)
+            for k in range(1, max_n):
+                alive = alive & on[np.minimum(here + k - 1, len(on) - 1)]
+                columns.append(np.where(alive, read.ids[np.minimum(here + k, len(on) - 1)], rare))
+            # Two words make a number: fewer keys to hash.
+            keyed = {"lang": read.lang[here]} | {f"p{k}": columns[k] * (rare + 1) + (columns[k + 1] if k + 1 < max_n else rare) for k in range(0, max_n, 2)}
+            table = pa.table(keyed | {"n": np.ones(len(here), np.int64)}).group_by(list(keyed)).aggregate([("n", "sum")])
+            for j in range(0, len(table), 1 << 17):
+                some = table.slice(j, 1 << 17)
+                parts = [table_column // (rare + 1) if k % 2 == 0 else table_column % (rare + 1) for k in range(max_n) for table_column in [some[f"p{k - k % 2}"].to_numpy()]]
+                suffix = pc.binary_join_element_wise(*[ended.take(pa.array(p)) for p in parts], pa.scalar(b"", pa.binary()))
+                lang = pa.array(read.langs, pa.binary()).take(pa.array(some["lang"].to_numpy()))
+                yield pa.RecordBatch.from_arrays([lang, suffix, pa.array(some["n_sum"].to_numpy(), pa.int64())], ["lang", "suffix", "n"])
+
+
+def _bits(keys: DataFrame, count: int) -> np.ndarray:
+    """A bit for each key(key): as many as sixteen for each, at most 2^MOST_BITS. Put together by Spark; what comes to the driver is no larger than the bits."""
+    size = max(15, min(MOST_BITS, (16 * count).bit_length()))
+    place = F.col("key").bitwiseAND(F.lit((1 << size) - 1)) + 1
+    maps = keys.select(F.bitmap_bucket_number(place).alias("b"), F.bitmap_bit_position(place).alias("p")).groupBy("b").agg(F.bitmap_construct_agg("p").alias("map"))
+    bits = np.zeros(1 << (size - 3), np.uint8)
+    for r in maps.toLocalIterator():
+        bits[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(r["map"], np.uint8)
+    return bits
 
 
 def _stack(max_n: int, least: int):
@@ -219,37 +255,31 @@ def _stack(max_n: int, least: int):
 def frequent_phrases(docs: DataFrame, *, max_n: int = 5, least: int = 100, text_column: str = "text", lang_column: str = "lang", scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
     """lang, phrase, len, n of all phrases of 1 to max_n words that occur `least` times or more in their language; and lang, n: the words of each.
 
-    Words that occur less often can't be in such a phrase, so suffixes end before them: a bit for each hash of a frequent word, whose number
-    follows the words and has a bound, tells workers which they are; a rare word that shares one only makes a suffix longer. Suffixes are
+    Words and pairs of neighbours that occur less often can't be in such a phrase, so suffixes end before them: a bit for each hash of a frequent word or pair,
+    whose number follows them and has a bound, tells workers which they are; a rare one that shares a bit only makes a suffix longer. Suffixes are
     counted in a batch before they are shuffled by language, first word and the words after it, a frequent first word over many partitions.
     """
     shipped(__name__)
     spark = docs.sparkSession
-    small_batches(spark, rows=10_000, size=16 << 20)
+    small_batches(spark, rows=10_000, size=4 << 20)
     scratch = scratch or Scratch(spark, "phrases")
     own = docs.select(F.coalesce(F.col(lang_column).cast("string"), F.lit("und")).cast("binary").alias("lang"), text_of(text_column).cast("binary").alias("text"))
-    words = own.mapInArrow(_count_words, "lang binary, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    words = own.mapInArrow(_count_words, "lang binary, word binary, key long, n long").groupBy("lang", "word", "key").agg(F.sum("n").alias("n"))
     words = scratch.save(words, "words")
     sizes = words.groupBy("lang").agg(F.sum("n").alias("n"))
     often = words.filter(F.col("n") >= least)
-    size = max(15, min(MOST_BITS, (16 * often.count()).bit_length()))
-    place = F.crc32(F.concat("lang", F.lit(END), "word")).bitwiseAND(F.lit((1 << size) - 1)) + 1
-    maps = often.select(F.bitmap_bucket_number(place).alias("b"), F.bitmap_bit_position(place).alias("p")).groupBy("b").agg(F.bitmap_construct_agg("p").alias("map"))
-    bits = np.zeros(1 << (size - 3), np.uint8)
-    for r in maps.toLocalIterator():
-        bits[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(r["map"], np.uint8)
-    sent = spark.sparkContext.broadcast(bits)
-
-    def run(batches):
-        yield from _suffixes(sent.value, max_n)(batches)
-
+    often_bits = spark.sparkContext.broadcast(_bits(often, often.count()))
+    pairs = own.mapInArrow(lambda batches: _count_pairs(often_bits.value, batches), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    pairs = scratch.save(pairs.filter(F.col("n") >= least).select("key"), "pairs")
+    pair_bits = spark.sparkContext.broadcast(_bits(pairs, pairs.count()))
     # Written once: dealing by range reads the table twice.
-    suffixes = scratch.save(own.mapInArrow(run, "lang binary, suffix binary, n long"), "suffixes")
+    suffixes = scratch.save(own.mapInArrow(lambda batches: _suffixes(often_bits.value, pair_bits.value, max_n, batches), "lang binary, suffix binary, n long"), "suffixes")
     dealt = suffixes.repartitionByRange("lang", "suffix").sortWithinPartitions(F.desc("lang"), F.desc("suffix"))
     counted = dealt.mapInArrow(_stack(max_n, least), "lang binary, phrase binary, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
     text = F.expr("substring(replace(cast(phrase as string), '\\n', ' '), 1, length(cast(phrase as string)) - 1)")
     phrases = counted.select(F.col("lang").cast("string").alias("lang"), text.alias("phrase"), (F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1).alias("len"), "n")
-    return scratch.save(phrases, "phrases"), sizes.select(F.col("lang").cast("string").alias("lang"), "n")
+    single = often.select(F.col("lang").cast("string").alias("lang"), F.col("word").cast("string").alias("phrase"), F.lit(1).alias("len"), "n")
+    return scratch.save(phrases.filter("len >= 2").unionByName(single), "phrases"), sizes.select(F.col("lang").cast("string").alias("lang"), "n")
 
 
 def exact_score(a: Column, n: Column, left: Column, right: Column, scale: int = 1000) -> Column:
