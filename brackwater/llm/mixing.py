@@ -9,8 +9,10 @@ from pyspark.sql.window import Window
 from .common import Scratch, bounded_broadcast, text_of, words
 
 RADIX = 256
-#: Rows alike in id and size that are numbered by one task at most.
+#: Like rows that are numbered together, about.
 MANY = 20_000
+#: What like rows share: they differ in nothing that the mix looks at.
+KIND = ("source", "h", "doc_id", "size", "th")
 
 
 def ranked(sources: DataFrame, column: str) -> DataFrame:
@@ -60,10 +62,35 @@ def _hash(doc_id, size, seed: int):
     return F.shiftrightunsigned(F.xxhash64(F.coalesce(doc_id, F.lit(-1)), size, F.lit(seed)), 1)
 
 
-def _rules(docs: DataFrame, scratch: Scratch, *, weights: tuple = (5, 2, 1), budget: float = 1.5, most_epochs: float = 2.0, seed: int = 7, id_column: str = "doc_id", source_column: str = "source", text_column: str = "text", told_apart: list | None = None):
-    """For each source what its documents take; the rows at the borders with what they take; the number of sources."""
-    slim = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(source_column).cast("string").alias("source"), F.size(words(text_of(text_column))).cast("long").alias("size"))
-    slim = scratch.save(slim.withColumn("h", _hash(F.col("doc_id"), F.col("size"), seed)), "sizes")
+def _alike(rows: DataFrame, kinds: DataFrame, count: int) -> DataFrame:
+    """rows with what their kind, of_source, of_h, ..., says."""
+    same = [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in KIND]
+    return rows.join(bounded_broadcast(kinds, count), same[0] & same[1] & same[2] & same[3] & same[4])
+
+
+def _shared(rows: DataFrame, kinds: DataFrame, scratch: Scratch) -> DataFrame:
+    """rows (KIND, row) at the borders with `one`: of what is left for their kind, each row takes all of its words until nothing is.
+
+    Like rows are numbered exactly: dealt to parts by `row`, numbered in each, and shifted by the parts before, so that no task sees very many of them.
+    """
+    count = kinds.count()
+    rows = _alike(rows, kinds, count).withColumn("part", F.pmod(F.xxhash64("row"), F.ceil(F.col("n") / MANY)))
+    parts = rows.groupBy(*KIND, "part").agg(F.count(F.lit(1)).alias("m"))
+    before = F.sum("m").over(Window.partitionBy(*KIND).orderBy("part")) - F.col("m")
+    parts = scratch.save(parts.select(*[F.col(c).alias(f"in_{c}") for c in KIND], F.col("part").alias("in_part"), before.alias("before")).filter("before > 0"), "parts")
+    here = F.col("part") == F.col("in_part")
+    for c in KIND:
+        here &= F.col(c).eqNullSafe(F.col(f"in_{c}"))
+    inside = F.row_number().over(Window.partitionBy(*KIND, "part").orderBy("row")) - 1
+    rows = rows.withColumn("inside", inside).join(bounded_broadcast(parts, parts.count()), here, "left")
+    number = F.col("inside") + F.coalesce("before", F.lit(0))
+    return rows.withColumn("one", F.greatest(F.lit(0), F.least(F.col("size"), F.col("all") - F.col("size") * number)))
+
+
+def _rules(docs: DataFrame, scratch: Scratch, *, weights: tuple = (5, 2, 1), budget: float = 1.5, most_epochs: float = 2.0, seed: int = 7, id_column: str = "doc_id", source_column: str = "source", text_column: str = "text"):
+    """For each source what its documents take; the kinds of rows at the borders with what is left for each; all rows with their source's rule; the number of sources."""
+    slim = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(source_column).cast("string").alias("source"), F.size(words(text_of(text_column))).cast("long").alias("size"), F.xxhash64(text_of(text_column)).alias("th"))
+    slim = scratch.save(slim.withColumn("h", _hash(F.col("doc_id"), F.col("size"), seed)).withColumn("row", F.monotonically_increasing_id()), "sizes")
     sources = ranked(slim.groupBy("source").agg(F.sum("size").alias("source_size")), "source")
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("position") % len(weights) + 1).cast("int"))
     sources = scratch.save(sources.select("source", "source_size", weight.alias("weight"), (F.col("source_size") * F.lit(float(most_epochs))).alias("cap")), "sources")
@@ -92,27 +119,12 @@ def _rules(docs: DataFrame, scratch: Scratch, *, weights: tuple = (5, 2, 1), bud
     rules = scratch.save(rules, "rules")
     told = slim.join(bounded_broadcast(rules, found["n"]), F.col("source").eqNullSafe(F.col("s")))
     prefix, limit = F.shiftright("h", 47), F.col("d0") * RADIX + F.col("d1")
-    # Only about one in 65,536 kinds of rows, alike in id and size, is at its source's border: they share what is left by kinds first, and then inside each.
-    kind = ["source", "h", "doc_id", "size"]
-    edge = told.filter(prefix == limit)
-    kinds = edge.groupBy(*kind).agg(F.count(F.lit(1)).alias("n"), F.first("left_over").alias("left"))
-    upto = F.sum(F.col("n") * F.col("size")).over(Window.partitionBy("source").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
+    # Only about one in 65,536 kinds of rows is at its source's border: they share what is left by kinds first, and then inside each.
+    kinds = told.filter(prefix == limit).groupBy(*KIND).agg(F.count(F.lit(1)).alias("n"), F.first("left_over").alias("left"))
+    upto = F.sum(F.col("n") * F.col("size")).over(Window.partitionBy("source").orderBy("h", "doc_id", "size", "th").rowsBetween(Window.unboundedPreceding, 0))
     all_ = F.greatest(F.lit(0), F.least(F.col("n") * F.col("size"), F.col("left") - (F.col("upto") - F.col("n") * F.col("size"))))
-    kinds = scratch.save(kinds.withColumn("upto", upto).select(*[F.col(c).alias(f"of_{c}") for c in kind], "n", all_.alias("all")), "kinds")
-    same = [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in kind]
-    edge = edge.join(bounded_broadcast(kinds, kinds.count()), same[0] & same[1] & same[2] & same[3])
-    number = F.row_number().over(Window.partitionBy(*kind).orderBy("whole")) - 1
-    one = F.greatest(F.lit(0), F.least(F.col("size"), F.col("all") - F.col("size") * number))
-    # Very many like rows are not numbered, which would be one task: each takes the same, and a word more is drawn by its place.
-    drawn = F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(seed)), F.col("n")) < F.col("all") % F.col("n")
-    base = ["doc_id", "size", "source_size", "target"]
-    taken = lambda part: (F.col("size") * F.col("whole") + part).cast("long").alias("taken")
-    few, many = edge.filter(F.col("n") <= MANY), edge.filter(F.col("n") > MANY)
-    edge = few.withColumn("one", one).select(*base, taken(F.col("one"))).unionByName(many.select(*base, taken(F.floor(F.col("all") / F.col("n")) + drawn.cast("long"))))
-    if told_apart is not None:
-        clear = told.filter(F.col("d1").isNull() | (prefix != limit))
-        told_apart.append(clear.select(*base, (F.col("size") * (F.col("whole") + F.when(prefix < limit, 1).otherwise(0))).alias("taken")))
-    return rules, edge, found["n"]
+    kinds = scratch.save(kinds.withColumn("upto", upto).select(*[F.col(c).alias(f"of_{c}") for c in KIND], "n", all_.alias("all")), "kinds")
+    return rules, kinds, told, found["n"]
 
 
 def mix(docs: DataFrame, *, scratch: Scratch | None = None, **options) -> DataFrame:
@@ -124,44 +136,44 @@ def mix(docs: DataFrame, *, scratch: Scratch | None = None, **options) -> DataFr
     the border gives a fractional repetition, so a source's taken words are its target rounded.
 
     Null and empty texts have size 0 and take 0. A null source is a source of its own, last in order. Repeated rows (also of one id) are
-    separate documents; rows alike in id and size share their hash, and those at the border are told apart by an arbitrary but complete
-    order, which cannot change the rows that come out; more than MANY of them at a border share its fractional repetition evenly, to a word that is drawn. Other columns are ignored. An empty table gives no rows.
+    separate documents; rows alike in id and size share their hash, and those at the border are told apart by their texts' hash and then by an arbitrary but complete
+    order, which cannot change the rows that come out. Other columns are ignored. An empty table gives no rows.
     Returns doc_id, size, source_size (long), target (double, its source's), taken (long).
     """
-    clear: list[DataFrame] = []
-    _, edge, _ = _rules(docs, scratch or Scratch(docs.sparkSession, "mix"), told_apart=clear, **options)
-    return clear[0].unionByName(edge)
+    scratch = scratch or Scratch(docs.sparkSession, "mix")
+    _, kinds, told, _ = _rules(docs, scratch, **options)
+    prefix, limit = F.shiftright("h", 47), F.col("d0") * RADIX + F.col("d1")
+    base = ["doc_id", "size", "source_size", "target"]
+    taken = lambda part: (F.col("size") * F.col("whole") + part).cast("long").alias("taken")
+    clear = told.filter(F.col("d1").isNull() | (prefix != limit)).select(*base, taken(F.when(prefix < limit, F.col("size")).otherwise(0)))
+    return clear.unionByName(_shared(told.filter(prefix == limit), kinds, scratch).select(*base, taken(F.col("one"))))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mix, with docs' columns: a row for each whole repetition, and for a fractional one the first words of the text.
 
-    Rows are told apart by id and size; rows alike in both and at a source's border share the fractional repetition evenly, to a word that is drawn.
+    Rows are told apart by id, size and their text's hash; of rows alike in all three and at a source's border the first in an arbitrary order are taken.
     Rows with null text or no word are not in the mix: they hold no word to take. Texts stay where they are read: only the
-    rules, a row for each source, and the rows at the borders are sent to them.
+    rules, a row for each source, are sent to them; rows at the borders, of about one in 65,536 kinds, are written to be numbered.
     """
     scratch = Scratch(docs.sparkSession, "mixed")
-    rules, edge, n = _rules(docs, scratch, **options)
-    edge = edge.groupBy("doc_id", "size").agg(F.sum("taken").alias("_all"), F.count(F.lit(1)).alias("_like"))
-    edge = scratch.save(edge.select(F.col("doc_id").alias("_id"), F.col("size").alias("_n"), "_all", "_like"), "edge")
+    rules, kinds, _, n = _rules(docs, scratch, **options)
     size = F.size(words(text_of())).cast("long")
     # The whole row is one column, so that its names meet no others.
-    row = lambda c: F.col(f"row.{c}")
-    own = docs.select(F.struct(*docs.columns).alias("row"), size.alias("_size"))
-    own = own.withColumn("_h", _hash(row("doc_id").cast("long"), F.col("_size"), options.get("seed", 7)))
-    rules = rules.select(F.col("s").alias("_s"), F.col("whole").alias("_whole"), (F.col("d0") * RADIX + F.col("d1")).alias("_limit"))
-    own = own.join(bounded_broadcast(rules, n), row("source").cast("string").eqNullSafe(F.col("_s")))
-    own = own.join(bounded_broadcast(edge, edge.count()), row("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_size") == F.col("_n")), "left")
-    prefix = F.shiftright("_h", 47)
-    # Whole words for each of the like rows, and one more for as many of them as are left over, drawn by their places.
-    drawn = F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(options.get("seed", 7))), F.col("_like")) < F.col("_all") % F.col("_like")
-    share = F.floor(F.col("_all") / F.col("_like")) + drawn.cast("long")
-    taken = F.when(prefix < F.col("_limit"), F.col("_size") * (F.col("_whole") + 1)).when(prefix == F.col("_limit"), F.coalesce(share, F.lit(0))).otherwise(F.col("_size") * F.col("_whole"))
-    own = own.withColumn("_taken", taken).filter("_size > 0 and _taken > 0")
-    own = own.withColumn("_times", F.floor(F.col("_taken") / F.col("_size")).cast("int")).withColumn("_part", (F.col("_taken") % F.col("_size")).cast("int"))
-    own = own.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times") + (F.col("_part") > 0).cast("int"))))
-    partial = F.col("_copy") > F.col("_times")
-    text = F.when(partial, F.array_join(F.slice(words(row("text")), 1, F.greatest(F.col("_part"), F.lit(1))), " ")).otherwise(row("text"))
+    row = lambda c: F.col(f"own.{c}")
+    own = docs.select(F.struct(*docs.columns).alias("own"), size.alias("size"), F.xxhash64(text_of()).alias("th"))
+    own = own.withColumn("doc_id", row("doc_id").cast("long")).withColumn("source", row("source").cast("string")).withColumn("h", _hash(F.col("doc_id"), F.col("size"), options.get("seed", 7)))
+    rules = rules.select(F.col("s"), "whole", (F.col("d0") * RADIX + F.col("d1")).alias("limit"))
+    own = own.join(bounded_broadcast(rules, n), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    prefix = F.shiftright("h", 47)
+    clear = own.filter(F.col("limit").isNull() | (prefix != F.col("limit"))).withColumn("one", F.when(prefix < F.col("limit"), F.col("size")).otherwise(0))
+    border = scratch.save(own.filter(prefix == F.col("limit")).withColumn("row", F.monotonically_increasing_id()), "border")
+    here = ["own", "size", "whole", "one"]
+    own = clear.select(*here).unionByName(_shared(border, kinds, scratch).select(*here)).withColumn("taken", F.col("size") * F.col("whole") + F.col("one")).filter("size > 0 and taken > 0")
+    own = own.withColumn("times", F.floor(F.col("taken") / F.col("size")).cast("int")).withColumn("part", (F.col("taken") % F.col("size")).cast("int"))
+    own = own.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times") + (F.col("part") > 0).cast("int"))))
+    partial = F.col("copy") > F.col("times")
+    text = F.when(partial, F.array_join(F.slice(words(row("text")), 1, F.greatest(F.col("part"), F.lit(1))), " ")).otherwise(row("text"))
     put = {"text": text}
     if "n_chars" in docs.columns:
         put["n_chars"] = F.when(partial, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(row("n_chars"))

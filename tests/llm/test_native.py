@@ -166,17 +166,26 @@ def test_water_filling_and_taken(spark, sf_dir, documents, odd):
 
 
 def test_like_rows_meet_the_target(spark, monkeypatch):
-    """A third of the rows are alike in id and size: their fractional repetitions add up, too."""
-    rows = [(None, "one two three four five six seven", "a")] * 300 + [(k, "w " * (k % 50 + 1), "ab"[k % 2]) for k in range(600)]
+    """A third of the rows are alike in id and size: their fractional repetitions add up, too, however many there are and however they are dealt."""
+    rows = [(None, "one two three four five six seven", "a")] * 300 + [(None, "other words of the same number here", "a")] * 40 + [(k, "w " * (k % 50 + 1), "ab"[k % 2]) for k in range(600)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    for r in mixing.mix(df).groupBy("source_size", "target").agg(F.sum("taken").alias("t")).collect():
-        assert abs(r["t"] - r["target"]) <= 1
-    monkeypatch.setattr(mixing, "MANY", 100)
-    for r in mixing.mix(df).groupBy("source_size", "target").agg(F.sum("taken").alias("t"), F.count(F.lit(1)).alias("n"), F.max(F.col("taken") - 2 * F.col("size")).alias("over")).collect():
-        assert abs(r["t"] - r["target"]) <= 60 and r["over"] <= 0
-    want = {r["target"]: r["t"] for r in mixing.mix(df).groupBy("target").agg(F.sum("taken").alias("t")).collect()}
-    got = mixing.mixed_documents(df).groupBy("source").agg(F.sum(F.size(F.split(F.trim("text"), " +"))).alias("t")).collect()
-    assert sorted(r["t"] for r in got) == pytest.approx(sorted(want.values()), abs=60)
+    results = []
+    for many, parts in ((20_000, 4), (100, 4), (100, 7), (7, 3)):
+        monkeypatch.setattr(mixing, "MANY", many)
+        dealt = df.repartition(parts)
+        out = mixing.mix(dealt).collect()
+        taken = Counter()
+        for r in out:
+            assert r["taken"] <= 2 * r["size"]
+            taken[r["target"]] += r["taken"]
+        assert all(abs(t - target) <= 1 for target, t in taken.items())
+        mixed = Counter(map(tuple, mixing.mixed_documents(dealt).collect()))
+        words_of = Counter()
+        for (_, text, source), n in mixed.items():
+            words_of[source] += n * len(words(text))
+        assert sorted(words_of.values()) == sorted(taken.values())
+        results.append((Counter(map(tuple, out)), mixed))
+    assert all(r == results[0] for r in results)
 
 
 def choose(values):
