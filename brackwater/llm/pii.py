@@ -31,30 +31,60 @@ CONTEXT = 24
 CUE = r"(?i)(?:e-?mail|mail|contact|phone|tel|call|fax|mobile|card|visa|account|iban|bank|ssn|social|token|secret|passw|key|bearer|auth|\bip\b|host|address)"
 
 
-def running(lengths: Column, chunk: int = 256) -> Column:
-    """Sums up to and including each element. Inside chunks first and then over the chunks, so that long arrays are not copied for each element."""
+def running(values: Column, merge=lambda a, b: a + b, chunk: int = 256) -> Column:
+    """Sums (or maxima) up to and including each of an array's whole numbers, none below 0. Inside chunks first and then over the chunks, so that long arrays are not copied for each element."""
 
     def sums(xs: Column) -> Column:
         start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-        step = lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["out"], F.array(a["at"] + x)).alias("out"))
+        step = lambda a, x: let(merge(a["at"], x), lambda y: F.struct(y.alias("at"), F.concat(a["out"], F.array(y)).alias("out")))
         return F.aggregate(xs, start, step, lambda a: a["out"])
 
     def joined(parts: Column) -> Column:
         ends = sums(F.transform(parts, lambda p: F.element_at(p, -1)))
-        return let(ends, lambda e: F.flatten(F.transform(parts, lambda p, i: F.transform(p, lambda x: x + F.coalesce(F.get(e, i - 1), F.lit(0))))))
+        return let(ends, lambda e: F.flatten(F.transform(parts, lambda p, i: F.transform(p, lambda x: merge(x, F.coalesce(F.get(e, i - 1), F.lit(0)))))))
 
-    parts = F.transform(F.sequence(F.lit(1), F.size(lengths), F.lit(chunk)), lambda k: sums(F.slice(lengths, k, chunk)))
-    return F.when(F.size(lengths) == 0, F.array().cast("array<int>")).otherwise(let(parts, joined))
+    some = lambda v: let(chunks(v, chunk), lambda c: let(F.transform(c, sums), joined))
+    return let(values, lambda v: F.when(F.size(v) == 0, F.array().cast("array<int>")).otherwise(some(v)))
+
+
+def chunks(values: Column, chunk: int = 256) -> Column:
+    """An array as an array of arrays of at most `chunk` elements."""
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(values), F.lit(1)), F.lit(chunk)), lambda k: F.slice(values, k, chunk))
+
+
+def folded(values: Column, start: Column, kind: str, step, done) -> Column:
+    """An aggregate over an array whose step gives (state, element or null): done(state, elements). Elements are gathered chunk by chunk, so that they are not copied again for each."""
+
+    def inside(state: Column, part: Column) -> Column:
+        begin = F.struct(state.alias("state"), F.array().cast(f"array<{kind}>").alias("out"))
+
+        def one(a: Column, x: Column) -> Column:
+            state, element = step(a["state"], x)
+            return F.struct(state.alias("state"), F.when(element.isNull(), a["out"]).otherwise(F.concat(a["out"], F.array(element))).alias("out"))
+
+        return F.aggregate(part, begin, one)
+
+    begin = F.struct(start.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+    over = lambda a, part: let(inside(a["state"], part), lambda r: F.struct(r["state"].alias("state"), F.concat(a["out"], F.array(r["out"])).alias("out")))
+    return F.aggregate(chunks(values), begin, over, lambda a: done(a["state"], F.flatten(a["out"])))
 
 
 def matches(text: Column, kind: int, pattern: str, tried: Column | None) -> Column:
-    """array(struct(start, kind, end, found)) of the pattern's leftmost matches, in code points: each starts after all gaps and matches before it."""
+    """array(struct(start, kind, end, found, ahead)) of the pattern's leftmost matches, in code points: each starts after all gaps and matches before it. ahead: the CONTEXT code points before it, of kinds that have features."""
+
+    def before(found: Column, gaps: Column, i: Column) -> Column:
+        # Matches of these kinds have five characters at least, so five of them and the gaps between hold the context.
+        parts = [F.coalesce(x, F.lit("")) for k in range(5, 0, -1) for x in (F.get(found, i - k), F.get(gaps, i - k + 1))]
+        return F.right(F.concat(F.when(i.between(1, 5), F.get(gaps, F.lit(0))).otherwise(""), *parts), F.lit(CONTEXT))
 
     def placed(found: Column) -> Column:
-        ends = lambda g: let(running(F.transform(found, lambda f, i: F.length(F.get(g, i)) + F.length(f))), lambda e: F.transform(found, lambda f, i: F.struct((F.get(e, i) - F.length(f)).alias("start"), F.lit(kind).alias("kind"), F.get(e, i).alias("end"), f.alias("found"))))
+        def ends(g: Column) -> Column:
+            one = lambda e: F.transform(found, lambda f, i: F.struct((F.get(e, i) - F.length(f)).alias("start"), F.lit(kind).alias("kind"), F.get(e, i).alias("end"), f.alias("found"), (before(found, g, i) if kind >= len(BASE) else F.lit(None).cast("string")).alias("ahead")))
+            return let(running(F.transform(found, lambda f, i: F.length(F.get(g, i)) + F.length(f))), one)
+
         return let(F.split(text, pattern, -1), ends)
 
-    none = F.array().cast("array<struct<start:int,kind:int,end:int,found:string>>")
+    none = F.array().cast("array<struct<start:int,kind:int,end:int,found:string,ahead:string>>")
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     if tried is not None:
         found = F.when(tried, found).otherwise(F.array().cast("array<string>"))
@@ -99,12 +129,11 @@ def candidates(text: Column) -> Column:
 FEATURES = ("kind", "length", "digits", "variety", "mixed", "cases", "cue", "before", "valid", "breaks")
 
 
-def features(text: Column, c: Column) -> Column:
+def features(c: Column) -> Column:
     """Format and context of a candidate in small whole numbers."""
     n = c["end"] - c["start"]
     share = lambda pattern: (8 * F.length(F.regexp_replace(c["found"], pattern, "")) / n).cast("int")
-    ahead = F.substring(text, F.greatest(c["start"] - CONTEXT + 1, F.lit(1)), F.least(c["start"], F.lit(CONTEXT)))
-    last = F.when(c["start"] > 0, F.substring(text, c["start"], F.lit(1))).otherwise("")
+    ahead, last = c["ahead"], F.right(c["ahead"], F.lit(1))
     return F.struct(
         c["kind"].alias("kind"),
         F.least(F.floor(n / 4), F.lit(15)).cast("int").alias("length"),
@@ -224,13 +253,20 @@ def training(spark, each: int, seed: int) -> DataFrame:
     return df.select("truth", "name", "k", F.length("ahead").alias("start"), F.concat("ahead", span, F.lit(" and more of it.")).alias("text"))
 
 
+#: Of each session and its options, what was fitted: the examples are the same each time.
+FITTED: dict[tuple, tuple] = {}
+
+
 def fitted(spark, *, each: int = 40, rounds: int = 24, depth: int = 3, rate: float = 0.3, precision: float = 0.95, seed: int = 3) -> tuple[list, dict[int, float]]:
     """Boosted trees, and for each kind the threshold, midway between held-out scores, above which examples are right as often as `precision` asks.
 
     They learn from seeded examples of fixed templates, `each` of a template, half of them held out for the thresholds.
     """
+    key = (spark.sparkContext.applicationId, each, rounds, depth, rate, precision, seed)
+    if key in FITTED:
+        return FITTED[key]
     texts = training(spark, each, seed).withColumn("c", candidates(F.col("text")))
-    rows = texts.select("truth", "name", "start", "k", F.explode(F.transform("c", lambda c: F.struct(c["start"].alias("at"), features(F.col("text"), c).alias("f")))).alias("c"))
+    rows = texts.select("truth", "name", "start", "k", F.explode(F.transform("c", lambda c: F.struct(c["start"].alias("at"), features(c).alias("f")))).alias("c"))
     rows = rows.filter(F.col("c.f.kind") >= len(BASE))
     kind = F.element_at(F.create_map(*[F.lit(x) for k, n in enumerate(KINDS) for x in (n, k)]), F.col("name"))
     hit = (F.col("truth") == 1) & (F.abs(F.col("c.at") - F.col("start")) <= 1) & (kind == F.col("c.f.kind"))
@@ -247,6 +283,7 @@ def fitted(spark, *, each: int = 40, rounds: int = 24, depth: int = 3, rate: flo
             if right >= precision * total and (j + 1 == len(scored) or scored[j + 1][0] < x):
                 below = scored[j + 1][0] if j + 1 < len(scored) else min(x, 0.0) - 1.0
                 least[k] = (x + below) / 2
+    FITTED[key] = trees, least
     return trees, least
 
 
@@ -266,17 +303,31 @@ def find(docs: DataFrame, *, text_column: str = "text", column: str = "pii", **o
     more = F.filter(column, lambda c: c["kind"] >= len(BASE))
     floors = [least.get(k, math.inf) for k in range(len(KINDS))]
     floor = lambda k: F.element_at(F.array(*[F.lit(x) for x in floors]), k + 1)
-    chosen = F.filter(more, lambda c: let(features(text, c), lambda f: compiled(trees, f)) >= floor(c["kind"]))
+    chosen = F.filter(more, lambda c: let(features(c), lambda f: compiled(trees, f)) >= floor(c["kind"]))
     out = out.withColumn(column, F.struct(F.array_sort(F.transform(sure, short)).alias("base"), F.array_sort(F.transform(chosen, short)).alias("more")))
 
-    def apart(more_: Column) -> Column:
-        start = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<start:int,kind:int,end:int>>").alias("out"))
-        step = lambda a, c: F.when(c["start"] >= a["end"], F.struct(c["end"].alias("end"), F.concat(a["out"], F.array(c)).alias("out"))).otherwise(a)
-        return F.aggregate(more_, start, step, lambda a: a["out"])
+    # Bound once: a column that a lambda names would be worked out again for each element.
+    return out.withColumn(column, let(F.col(column), lambda v: F.struct(v["base"].alias("base"), F.array_sort(F.concat(v["base"], _apart(_free(v["more"], v["base"])))).alias("spans"))))
+
+
+def _free(more: Column, base: Column) -> Column:
+    """Those that overlap no base span: of the base spans that start before one's end, found by halving, none ends after its start."""
+
+    def covered(c: Column, highest: Column) -> Column:
+        half = lambda a: F.floor((a["low"] + a["high"]) / 2).cast("int")
+        start = F.struct(F.lit(0).alias("low"), F.size(base).alias("high"))
+        below = lambda a: F.get(base, half(a))["start"] < c["end"]
+        step = lambda a, _: F.when(a["low"] >= a["high"], a).when(below(a), F.struct((half(a) + 1).alias("low"), a["high"].alias("high"))).otherwise(F.struct(a["low"].alias("low"), half(a).alias("high")))
+        return F.aggregate(F.sequence(F.lit(0), F.ceil(F.log2(F.size(base) + 1)).cast("int")), start, step, lambda a: F.coalesce(F.get(highest, a["low"] - 1) > c["start"], F.lit(False)))
+
+    kept = let(running(F.transform(base, lambda b: b["end"]), F.greatest), lambda h: F.filter(more, lambda c: ~covered(c, h)))
+    return F.when((F.size(base) == 0) | (F.size(more) == 0), more).otherwise(kept)
+
 
-    base = F.col(f"{column}.base")
-    free = F.filter(F.col(f"{column}.more"), lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    return out.withColumn(column, F.struct(base.alias("base"), F.array_sort(F.concat(base, apart(free))).alias("spans")))
+def _apart(more: Column) -> Column:
+    """Of those that overlap each other, the first, and so on."""
+    kept = lambda end, c: (F.when(c["start"] >= end, c["end"]).otherwise(end), F.when(c["start"] >= end, c))
+    return let(more, lambda m: folded(m, F.lit(0), "struct<start:int,kind:int,end:int>", kept, lambda _, out: out))
 
 
 def listed(spans: Column) -> Column:
@@ -296,15 +347,25 @@ def redact(docs: DataFrame, **options) -> DataFrame:
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     text = text_of()
 
+    block = 1024
+
     def merged(spans: Column) -> Column:
-        """Spans with what lies between: each knows where the covered part before it ended."""
-        start = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<from:int,to:int,kind:int>>").alias("out"))
-        new = lambda a, c: F.struct(c["end"].alias("end"), F.concat(a["out"], F.array(F.struct(a["end"].alias("from"), c["start"].alias("to"), c["kind"].alias("kind")))).alias("out"))
-        step = lambda a, c: F.when((c["start"] >= a["end"]), new(a, c)).otherwise(F.struct(F.greatest(a["end"], c["end"]).alias("end"), a["out"].alias("out")))
-        done = lambda a: F.concat(F.array_join(F.transform(a["out"], lambda s: F.concat(F.substring(text, s["from"] + 1, s["to"] - s["from"]), F.element_at(names, s["kind"] + 1))), ""), F.substring(text, a["end"] + 1, F.lit(2**31 - 1)))
-        return F.aggregate(spans, start, step, done)
-
-    out = found.withColumn("text", F.when(F.size(spans) > 0, merged(spans)).otherwise(F.col("text")))
+        """The text with spans that overlap as one. Its parts are looked for in blocks, so that no part is counted from the text's start."""
+        kind = "struct<from:int,to:int,kind:int>"
+        kept = lambda end, c: (F.greatest(end, c["end"]), F.when(c["start"] >= end, F.struct(end.alias("from"), c["start"].alias("to"), c["kind"].alias("kind"))))
+
+        def joined(blocks: Column) -> Column:
+            def part(start: Column, end: Column) -> Column:
+                first = F.floor(start / block).cast("int")
+                some = F.slice(blocks, first + 1, F.floor((end - 1) / block).cast("int") - first + 1)
+                return F.when(end > start, F.substring(F.array_join(some, ""), start - first * block + 1, end - start)).otherwise("")
+
+            names_ = lambda out: F.array_join(F.transform(out, lambda s: F.concat(part(s["from"], s["to"]), F.element_at(names, s["kind"] + 1))), "")
+            return folded(spans, F.lit(0), kind, kept, lambda end, out: F.concat(names_(out), part(end, F.length(text))))
+
+        return let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{block}}}"), F.lit(0)), joined)
+
+    out = found.withColumn("text", F.when(F.size(spans) > 0, let(spans, merged)).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.size(spans) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)

@@ -151,3 +151,20 @@ def test_many_like_rows_are_dealt(spark, monkeypatch):
         sizes = [n for name, n in full.items() if name.startswith(f"{b}-")]
         assert sum(n < max(each.values()) for n in sizes) <= 1 and max(Counter((r["batch"], r["place"]) for r in out).values()) == 1
     assert sorted(map(tuple, pack(df.repartition(3))), key=str) == sorted(map(tuple, out), key=str)
+
+
+def test_very_many_spans_in_one_text(spark):
+    """100,000 spans in one text: base ones, further ones between and under them. All are found and redacted, in time that follows the text."""
+    import time
+
+    one = "mail a@b.co or write to john [at] example [dot] com now, from 10.0.0.1 é "
+    took = {}
+    for n in (4_000, 34_000):
+        df = spark.createDataFrame([(1, one * n)], "doc_id long, text string")
+        began = time.time()
+        r = pii.find(df).selectExpr("size(pii.base) b", "size(pii.spans) s", "pii.spans[3 * 100].start at").first()
+        assert (r["b"], r["s"]) == (2 * n, 3 * n) and r["at"] == 100 * len(one) + 5
+        redacted = pii.redact(df).first()["text"]
+        assert redacted == "mail [EMAIL] or write to [MASKED_EMAIL] now, from [IP] é " * n
+        took[n] = time.time() - began
+    assert took[34_000] < 25 * took[4_000]
