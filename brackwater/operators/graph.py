@@ -5,12 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import weights as W
-from ..session import saved
+from ..session import new_folder, saved
 from .store import top_of
 
 #: Rows of a frontier or a path set that may be broadcast.
@@ -81,15 +81,39 @@ def ways(rels: DataFrame) -> DataFrame:
     return both.select(F.lit(False).alias("forward"), "*", F.lit(1).cast("bigint").alias("n")).unionByName(bag.select(F.lit(True).alias("forward"), "*"))
 
 
+def stored(rels: DataFrame, buckets: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """ways and the edges as they come in, (node, neighbour, rel_type, n), as tables on disk in buckets by node, sorted by node.
+
+    There is a bucket for half a million edges unless a number is given. Written once, they are joined and grouped by node without a shuffle, and of a few nodes only their buckets are read. A node of very many edges is one
+    bucket's; a walk or a search only filters it there.
+    """
+    spark, out = rels.sparkSession, []
+    buckets = buckets or max(8, min(4096, rels.count() // 500_000))
+    into = rels.groupBy(F.col("target_id").alias("node"), F.col("source_id").alias("neighbour"), "rel_type").agg(F.count(F.lit(1)).alias("n"))
+    for name, rows in (("ways", ways(rels)), ("into", into)):
+        path = new_folder(spark, name)
+        table = "_".join(path.rpartition("/")[2].split("-"))
+        rows.repartition(buckets, "node").write.bucketBy(buckets, "node").sortBy("node").option("path", path).saveAsTable(table)
+        out.append(spark.table(table))
+    return out[0], out[1]
+
+
+def two_steps(out: DataFrame, into: DataFrame) -> DataFrame:
+    """(first, second, n): how many ways of two edges there are of each two types, from the stored edges: counted at the node between, not way by way."""
+    ends = lambda rows, name: rows.groupBy("node", F.col("rel_type").alias(name)).agg(F.sum("n").alias(f"n_{name}"))
+    met = ends(into, "first").join(ends(out.filter("forward"), "second"), "node")
+    return met.groupBy("first", "second").agg(F.sum(F.col("n_first") * F.col("n_second")).alias("n"))
+
+
 def draw(*key: Column) -> Column:
     """A uniform number between 0 and 1, both excluded, that depends on the key alone."""
     return (F.conv(F.substring(F.md5(F.concat_ws("|", *key)), 1, 8), 16, 10).cast("double") + 0.5) / F.lit(4294967296.0)
 
 
-def walk(edges: DataFrame, start: str, strategies: list[Strategy], *, table: dict[str, float] = W.BASE, guidance: DataFrame | None = None, seed: int = 42) -> DataFrame:
+def walk(edges: DataFrame, start: str, strategies: list[Strategy], *, table: dict[str, float] = W.BASE, guidance: DataFrame | None = None, seed: int = 42, on_disk: bool = False) -> DataFrame:
     """ways' edges to (strategy, walk, length, path): the walks of all strategies from start move on together, one join a step.
 
-    The edges are written once. At each step the walks, a checked number of rows, go to the edges of the nodes where they are. Every edge there draws from
+    The edges are written once, here or, on_disk, by `stored`. At each step the walks, a checked number of rows, go to the edges of the nodes where they are. Every edge there draws from
     the hash of its key an exponential time of rate w, and the earliest is taken, so that an edge is followed with probability w / sum of w: a minimum, which
     is found in part where the edges lie, so a node with very many edges is no task of its own. Walks are the same however rows are dealt. At a dead end one stops.
     """
@@ -98,7 +122,9 @@ def walk(edges: DataFrame, start: str, strategies: list[Strategy], *, table: dic
     if len(live) > BOUND // max([1, *(s.steps for s in strategies)]):
         raise ValueError(f"{len(live)} walks are too many at once")
     # Sorted by node, so that a step reads the row groups of the nodes where walks are.
-    edges = saved(edges.withColumn("base", F.col("n") * weight(F.col("rel_type"), table)).drop("n").repartitionByRange("node").sortWithinPartitions("node"), "edges")
+    if not on_disk:
+        edges = saved(edges.repartitionByRange("node").sortWithinPartitions("node"), "edges")
+    edges = edges.withColumn("base", F.col("n") * weight(F.col("rel_type"), table)).drop("n")
     of, paths = {s.name: s for s in strategies}, dict(live)
     factor = F.lit(1.0)
     for s in strategies:
@@ -193,7 +219,7 @@ def project_type(p: DataFrame) -> Column:
     return reduce(lambda c, r: c.when(*r), rules[1:], F.when(*rules[0])).otherwise("general")
 
 
-def adaptive_walk(rels: DataFrame, methods: DataFrame, entities: DataFrame, start: str, *, steps: int = 10, walks: int = 5, guidance: DataFrame | None = None) -> DataFrame:
+def adaptive_walk(rels: DataFrame, methods: DataFrame, entities: DataFrame, start: str, *, steps: int = 10, walks: int = 5, guidance: DataFrame | None = None, edges: DataFrame | None = None) -> DataFrame:
     """Top nodes of walks that suit the project: (node, score, strategies, project_type, connectivity, calls_weight, strategies_used).
 
     The profile of all methods gives the project's type, which adapts the weights and, without guidance, chooses the strategies: those of large projects or the standard ones. With guidance they are the hybrid ones.
@@ -205,11 +231,46 @@ def adaptive_walk(rels: DataFrame, methods: DataFrame, entities: DataFrame, star
     kind = found["type"] if found["methods"] else "unknown"
     table = W.adapted(kind, found["complexity"] or 0.0, found["methods"])
     plan = hybrid(steps, walks) if guidance is not None else enterprise(steps, walks) if kind == "large_enterprise" else standard(steps, walks)
-    top = most_visited(visits(walk(ways(rels), start, plan, table=table, guidance=guidance)), entities, start)
+    walked = walk(ways(rels) if edges is None else edges, start, plan, table=table, guidance=guidance, on_disk=edges is not None)
+    top = most_visited(visits(walked), entities, start)
     top = top if guidance is None else with_guidance(top, guidance, plan)
     return combined(top).select("*", F.lit(kind).alias("project_type"), F.lit(status).alias("connectivity"), F.lit(table["CALLS"]).alias("calls_weight"), F.lit(len(plan)).alias("strategies_used"))
 
 
+def enriched(seen: DataFrame) -> DataFrame:
+    """(strategy, nodes, mean_visits, most_visited, visits): how many nodes a strategy's walks met, how often on average, and the one met most; ties by where it was first met."""
+    most = F.max_by("node", F.struct("n", -F.col("first.walk"), -F.col("first.step"), "node"))
+    return seen.groupBy("strategy").agg(F.count(F.lit(1)).alias("nodes"), F.avg("n").alias("mean_visits"), most.alias("most_visited"), F.max("n").alias("visits"))
+
+
+def weight_changes(spark: SparkSession, project_type: str, complexity: float, methods: int) -> DataFrame:
+    """(rel_type, base, adapted, change) of a project's edge weights."""
+    table = W.adapted(project_type, complexity, methods)
+    return spark.createDataFrame([(k, W.BASE.get(k, W.UNKNOWN), v, round(v - W.BASE.get(k, W.UNKNOWN), 6)) for k, v in table.items()], "rel_type string, base double, adapted double, change double")
+
+
+def contributions(top: DataFrame) -> DataFrame:
+    """(node, score, contributions): what each strategy adds to a node's combined score: array of struct(strategy, score, visit_prob, guidance_score), by strategy."""
+    guide = F.coalesce("score", F.lit(0.0)) if "score" in top.columns else F.lit(0.0)
+    one = F.struct("strategy", (F.col("prob") + 0.3 * guide).alias("score"), F.col("prob").alias("visit_prob"), guide.alias("guidance_score"))
+    out = top.groupBy("node").agg(F.array_sort(F.collect_list(one)).alias("contributions"))  # a strategy has a node once
+    return out.select("node", F.aggregate("contributions", F.lit(0.0), lambda a, x: a + x["score"]).alias("score"), "contributions")
+
+
+def needs_fallback(seen: DataFrame, top: DataFrame) -> bool:
+    """Whether walks met too little: fewer than 3 nodes, or fewer than 2 known ones besides the start."""
+    return seen.select("node").distinct().limit(3).count() < 3 or top.limit(2).count() < 2
+
+
+def expanded(seen: DataFrame, top: DataFrame, methods: DataFrame, me, limits: dict[str, int] | None = None) -> DataFrame:
+    """(id, prob, strategy): the nodes that walks met most, and, if those are too few, what the fallbacks find besides."""
+    met = top.select(F.col("node").alias("id"), "prob", F.lit("walk").alias("strategy"))
+    if not needs_fallback(seen, top):
+        return met
+    have = met.select("id").unionByName(methods.sparkSession.createDataFrame([(me["id"],)], "id string"))
+    return met.unionByName(fallback(fallback_sources(methods, me), have, limits).select("id", "prob", "strategy"))
+
+
 def reach(rels: DataFrame, start: str, depth: int) -> DataFrame:
     """(node, level): breadth-first along edges, the start excluded. Each level is written once, and leaves out what has been seen."""
     edges = rels.select(F.col("source_id").alias("node"), F.col("target_id").alias("next")).distinct()

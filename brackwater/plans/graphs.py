@@ -58,8 +58,23 @@ def _plain(walks: int, steps: int) -> str:
     return f"('plain', {steps}, {walks}, false, 0.0, false)"
 
 
+#: Of each session and folder, its graph's edges in buckets on disk.
+STORED: dict[tuple[str, str], tuple] = {}
+
+
+def _stored(spark, sf):
+    key = (spark.sparkContext.applicationId, sf.rstrip("/"))
+    if key not in STORED:
+        STORED[key] = graph.stored(relationships(spark, sf))
+    return STORED[key]
+
+
+def _walk(spark, sf, strategies, **more):
+    return graph.walk(_stored(spark, sf)[0], some_method(spark, sf), strategies, on_disk=True, **more)
+
+
 def _walked(spark, sf, walks: int, steps: int):
-    return graph.walk(graph.ways(relationships(spark, sf)), some_method(spark, sf), [graph.Strategy("plain", steps, walks)])
+    return _walk(spark, sf, [graph.Strategy("plain", steps, walks)])
 
 
 def _near(spark, sf):
@@ -148,7 +163,7 @@ COMBINED_SQL = "SELECT node, round(sum(prob), 6) AS score, count(*) AS strategie
 
 def _combined(spark, sf, strategies, **more):
     start = some_method(spark, sf)
-    top = graph.most_visited(graph.visits(graph.walk(graph.ways(relationships(spark, sf)), start, strategies, **more)), entities(spark, sf), start)
+    top = graph.most_visited(graph.visits(_walk(spark, sf, strategies, **more)), entities(spark, sf), start)
     top = graph.with_guidance(top, more["guidance"], strategies) if "guidance" in more else top
     return graph.combined(top).select("node", F.round("score", 6).alias("score"), "strategies")
 
@@ -166,10 +181,29 @@ def enterprise_combined_top30(spark, sf):
 @query(G + _walk_sql(ENTERPRISE_SQL, factors=FACTORS_SQL, base=LARGE_SQL) + f""", d AS (SELECT count(*) AS degree FROM (SELECT 1 FROM relationships WHERE source_id = {SOME_METHOD} OR target_id = {SOME_METHOD}))
 SELECT node, round(sum(prob), 6) AS score, count(*) AS strategies, 'large_enterprise' AS project_type, (SELECT CASE WHEN degree = 0 THEN 'ISOLATED' WHEN degree < 2 THEN 'LOW' WHEN degree < 5 THEN 'MODERATE' ELSE 'HIGH' END FROM d) AS connectivity, 3.38::DOUBLE AS calls_weight, 5 AS strategies_used FROM top GROUP BY 1 ORDER BY round(sum(prob), 9) DESC, node LIMIT 30""")
 def adaptive_walk(spark, sf):
-    out = graph.adaptive_walk(relationships(spark, sf), _coded(spark, sf), entities(spark, sf), some_method(spark, sf), steps=8, walks=4)
+    out = graph.adaptive_walk(relationships(spark, sf), _coded(spark, sf), entities(spark, sf), some_method(spark, sf), steps=8, walks=4, edges=_stored(spark, sf)[0])
     return out.withColumn("score", F.round("score", 6))
 
 
+@query(G + _walk_sql(STANDARD_SQL) + "SELECT node, strategy, round(prob, 6) AS score FROM top")
+def strategy_contributions(spark, sf):
+    """What each strategy adds to each node's score."""
+    start = some_method(spark, sf)
+    top = graph.most_visited(graph.visits(_walk(spark, sf, graph.standard(8, 4))), entities(spark, sf), start)
+    return graph.contributions(top).select("node", F.explode("contributions").alias("c")).select("node", "c.strategy", F.round("c.score", 6).alias("score"))
+
+
+@query(G + _walk_sql(STANDARD_SQL) + "SELECT strategy, count(*) AS nodes, round(avg(n), 6) AS mean_visits, arg_min(node, -n * 1000000000 + first) AS most_visited, max(n) AS visits FROM seen GROUP BY 1")
+def walk_enrichment(spark, sf):
+    return graph.enriched(graph.visits(_walk(spark, sf, graph.standard(8, 4)))).withColumn("mean_visits", F.round("mean_visits", 6))
+
+
+@query(G + "SELECT a.rel_type AS first, b.rel_type AS second, CAST(count(*) AS BIGINT) AS n FROM relationships a JOIN relationships b ON a.target_id = b.source_id GROUP BY 1, 2")
+def two_step_ways(spark, sf):
+    """Counted at the node between, from edges in buckets on disk: nothing is shuffled but the counts by type."""
+    return graph.two_steps(*_stored(spark, sf))
+
+
 # Vector results that name methods guide the walks: their payload is joined to the graph by method and class name.
 GUIDE_SQL = """, hits AS (SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 7)), 2) AS score FROM embeddings WHERE vec_id IN (SELECT c_custkey FROM customer) ORDER BY round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 7)), 9) DESC, vec_id LIMIT 40)
 , guide AS (SELECT m.id AS node, max(greatest(score, 0.0)) AS score FROM hits JOIN methods p ON p.c_custkey = vec_id JOIN methods m ON m.name = p.name AND m.class_name = p.class_name GROUP BY 1)"""
@@ -193,7 +227,7 @@ def vector_guidance(spark, sf):
 
 @query(G + _walk_sql("('guided', 8, 4, false, 1.0, true)", guide=GUIDE_SQL) + "SELECT walk, CAST(length AS INTEGER) AS length, array_to_string(path, ' > ') AS path FROM paths")
 def guided_walk(spark, sf):
-    out = graph.walk(graph.ways(relationships(spark, sf)), some_method(spark, sf), [graph.Strategy("guided", 8, 4, guidance=1.0, all_guided=True)], guidance=_guide(spark, sf))
+    out = _walk(spark, sf, [graph.Strategy("guided", 8, 4, guidance=1.0, all_guided=True)], guidance=_guide(spark, sf))
     return out.select("walk", "length", F.concat_ws(" > ", "path").alias("path"))
 
 
@@ -201,7 +235,7 @@ def guided_walk(spark, sf):
 def hybrid_walk(spark, sf):
     start, guide = some_method(spark, sf), _guide(spark, sf)
     plan = [graph.Strategy("hybrid", 6, 6, guidance=1.0)]
-    top = graph.most_visited(graph.visits(graph.walk(graph.ways(relationships(spark, sf)), start, plan, guidance=guide)), entities(spark, sf), start)
+    top = graph.most_visited(graph.visits(_walk(spark, sf, plan, guidance=guide)), entities(spark, sf), start)
     return graph.with_guidance(top, guide, plan).select("node", "type", "n", F.round("prob", 6).alias("prob"), F.coalesce("score", F.lit(0.0)).alias("score"))
 
 

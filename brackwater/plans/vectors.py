@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import similarity
-from ..operators import store, vector
-from ..session import table
+from ..operators import store, vector, vector_index
+from ..session import new_folder, table
 from .registry import query
 
 V = "embedding::DOUBLE[]"
@@ -101,6 +101,35 @@ def ivf_search(spark, sf):
     return vector.ivf_search(vector.ivf_index(points(spark, sf), cells=16), wanted, probes=10, limit=5)
 
 
+#: Of each session and folder, the index of its vectors.
+INDEXES: dict[tuple[str, str], vector_index.VectorIndex] = {}
+
+
+def _index(spark, sf) -> vector_index.VectorIndex:
+    key = (spark.sparkContext.applicationId, sf.rstrip("/"))
+    if key not in INDEXES:
+        INDEXES[key] = vector_index.build(points(spark, sf), new_folder(spark, "index"), cells=40, parts=32, words=64)
+    return INDEXES[key]
+
+
+def _wanted(spark, sf):
+    return points(spark, sf).filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
+
+
+@query()
+def stored_index_search(spark, sf):
+    """Every row in an index on disk; queries look at 30 of 40 cells by codes, and at 100 vectors. A tenth of the cells holds two fifths of the true neighbours of these vectors, which lie about evenly."""
+    return vector_index.search(_index(spark, sf), _wanted(spark, sf), probes=30, limit=5, candidates=100).select("query", "vec_id", F.round("score", 6).alias("score"))
+
+
+@query("""WITH s AS (SELECT q.vec_id AS query, p.vec_id, list_cosine_similarity(p.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score FROM embeddings q JOIN embeddings p ON p.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query, vec_id, round(score, 6) AS score FROM s WHERE score >= 0.25 QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, vec_id) <= 20""")
+def search_as_preset(spark, sf):
+    """A preset's search of many queries: below its full_scan_threshold of points by all vectors."""
+    out = vector_index.search_as(_index(spark, sf), points(spark, sf), _wanted(spark, sf), vector.for_collection("java_methods"), threshold=0.25, full_scan_threshold=10**9)
+    return out.select("query", "vec_id", F.round("score", 6).alias("score"))
+
+
 @query()
 def pca2d(spark, sf):
     from pyspark.ml.feature import PCA

@@ -172,3 +172,110 @@ def test_streams_and_trees_and_positions(spark, sf_dir):
     assert places == {k: n + 1 for n, k in enumerate(sorted(r["k"] for r in rows.collect()))}
     with pytest.raises(ValueError):
         presentation.zipped(rows, rows.limit(3), "k")
+
+
+def test_stored_index(spark, tmp_path):
+    """Recall against brute force, folders that are read, the full-scan switch, and a cell that holds a third of all points."""
+    import random
+
+    from brackwater.operators import vector_index as vi
+    from brackwater.session import table
+
+    sf = "/root/testdata/sf0.1"
+    pairs = lambda df: {(r["query"], r["vec_id"]) for r in df.collect()}
+    p = table(spark, sf, "embeddings")
+    wanted = p.filter("vec_id % 50 = 0").selectExpr("vec_id as query", "embedding as vector")
+    exact = pairs(vector.search_many(p, wanted, limit=5))
+    assert len(exact & pairs(catalog.QUERIES["stored_index_search"](spark, sf))) >= 0.9 * len(exact)
+    index = vi.build(p, str(tmp_path / "index"), cells=20, parts=16)
+    few = vi.search(index, wanted.limit(1), probes=2, limit=5)
+    assert {r["query"] for r in few.collect()} == {wanted.limit(1).first()["query"]}
+    every = vi.search(vi.opened(spark, str(tmp_path / "index")), wanted, probes=20, limit=5, candidates=2000)
+    assert pairs(every) == exact
+    assert pairs(vi.search_as(index, p, wanted, vector.preset("large_scale"), limit=5)) == exact
+    codes = index.table("codes", "code binary").filter("cell in (3, 4)")
+    assert "PartitionFilters: [cell" in codes._jdf.queryExecution().toString() and index.count == p.count() == index.table("vectors", "v array<double>").count()
+    rng = random.Random(2)
+    hot = [1.0] + [0.0] * 15
+    rows = [(k, hot) for k in range(100)] + [(k, [rng.gauss(0, 1) for _ in range(16)]) for k in range(100, 300)] + [(300, None), (301, []), (302, [0.0] * 16)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    small = vi.build(df, str(tmp_path / "small"), cells=8, parts=4)
+    got = vi.search(small, spark.createDataFrame([(0, hot), (7, None)], "query long, vector array<double>"), probes=8, limit=3, candidates=300)
+    assert [(r["query"], r["vec_id"]) for r in got.orderBy("rank").collect()] == [(0, 1), (0, 2), (0, 3)]
+    empty = vi.build(df.limit(0), str(tmp_path / "empty"), parts=4)
+    assert vi.search(empty, spark.createDataFrame([(0, [0.0] * 4)], "query long, vector array<double>")).collect() == []
+
+
+def test_edges_in_buckets(spark, small):
+    """Grouped and joined by node without a shuffle; walks on them are those of fresh edges; a node with most edges changes nothing."""
+    from pyspark.sql import functions as F
+
+    rels = small.unionByName(spark.range(500).select(F.lit("hub").alias("source_id"), F.concat(F.lit("m"), (F.col("id") % 5).cast("string")).alias("target_id"), F.lit("CALLS").alias("rel_type")))
+    out, into = graph.stored(rels, buckets=4)
+    ends = lambda df, name: df.groupBy("node").agg(F.sum("n").alias(name))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = ends(into, "a").join(ends(out.filter("forward"), "b"), "node")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "Exchange" not in plan and "SortMergeJoin" in plan
+    spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")
+    try:
+        assert "SelectedBucketsCount: 1 out of 4" in out.filter("node = 'hub'")._jdf.queryExecution().toString()
+    finally:
+        spark.conf.unset("spark.sql.sources.bucketing.autoBucketedScan.enabled")
+    plan = [graph.Strategy("s", 6, 4), graph.Strategy("f", 3, 3, forward=True)]
+    walks = lambda **more: sorted((r["strategy"], r["walk"], r["path"]) for r in graph.walk(start="hub", strategies=plan, **more).collect())
+    assert walks(edges=out, on_disk=True) == walks(edges=graph.ways(rels))
+    r = [tuple(x) for x in rels.collect()]
+    want = {}
+    for a, b, t in r:
+        for c, _, u in r:
+            if b == c:
+                want[t, u] = want.get((t, u), 0) + 1
+    assert {(x["first"], x["second"]): x["n"] for x in graph.two_steps(out, into).collect()} == want
+
+
+def _method(k, **more):
+    base = {"id": f"m{k}", "name": f"name{k}", "class_id": "c", "package": "p", "source_code": "return x;", "annotations": [], "modifiers": [], "parameter_types": [], "complexity": 2, "return_type": "void", "class_name": "C"}
+    return base | more
+
+
+METHOD = "id string, name string, class_id string, package string, source_code string, annotations array<string>, modifiers array<string>, parameter_types array<string>, complexity int, return_type string, class_name string"
+
+
+def test_all_branches_of_adaptive_walks(spark, small):
+    entities = spark.createDataFrame([(f"m{k}", "Method", f"name{k}") for k in range(5)] + [("c", "Class", "C")], "id string, type string, name string")
+    gui = spark.createDataFrame([_method(k, source_code="JFrame f = new JFrame();") for k in range(5)], METHOD)
+    large = spark.createDataFrame([_method(k) for k in range(40)], METHOD)
+    guide = spark.createDataFrame([("m3", 0.8)], "node string, score double")
+    run = lambda m, **more: graph.adaptive_walk(small, m, entities, "m0", steps=4, walks=3, **more).collect()
+    standard, enterprise, hybrid, none = run(gui), run(large), run(gui, guidance=guide), run(gui.limit(0))
+    assert {(r["project_type"], r["strategies_used"]) for r in standard} == {("gui_application", 4)}
+    assert {(r["project_type"], r["strategies_used"]) for r in enterprise} == {("large_enterprise", 5)}
+    assert {(r["project_type"], r["strategies_used"]) for r in hybrid} == {("gui_application", 3)}
+    assert {(r["project_type"], r["strategies_used"]) for r in none} == {("unknown", 4)}
+    plan = graph.hybrid(4, 3)
+    top = graph.with_guidance(graph.most_visited(graph.visits(graph.walk(graph.ways(small), "m0", plan, guidance=guide)), entities, "m0"), guide, plan)
+    for r in graph.contributions(top).collect():
+        shares = {"vector_guided": 0.7, "markov_heavy": 0.3, "balanced_hybrid": 0.5}
+        assert all(abs(c["score"] - c["visit_prob"] - 0.3 * c["guidance_score"]) < 1e-12 and c["guidance_score"] == (0.8 * shares[c["strategy"]] if r["node"] == "m3" else 0.0) for c in r["contributions"])
+        assert abs(r["score"] - sum(c["score"] for c in r["contributions"])) < 1e-9
+    changes = {r["rel_type"]: tuple(r)[1:] for r in graph.weight_changes(spark, "gui_application", 2.5, 0).collect()}
+    assert changes["CALLS"] == (1.0, 1.56, 0.56) and changes["USES"] == (0.8, 1.43, 0.63)
+
+
+def test_fallbacks_when_walks_meet_too_little(spark, small):
+    entities = spark.createDataFrame([(f"m{k}", "Method", f"name{k}") for k in range(5)] + [("x", "Method", "x")], "id string, type string, name string")
+    methods = spark.createDataFrame([_method(k) for k in range(8)], METHOD)
+    me = methods.first()
+    edges = graph.ways(small.unionByName(spark.createDataFrame([("x", "m0", "CALLS")], small.schema)).filter("source_id = 'x' or source_id = 'm0'"))
+    few = graph.visits(graph.walk(edges, "lonely", [graph.Strategy("s", 5, 3)]))
+    top = graph.most_visited(few, entities, "lonely")
+    assert graph.needs_fallback(few, top)
+    out = graph.expanded(few, top, methods, me).collect()
+    assert {r["strategy"] for r in out} <= set(graph.FALLBACKS) and "m0" not in {r["id"] for r in out} and len(out) > 0
+    many = graph.visits(graph.walk(edges, "m0", [graph.Strategy("s", 5, 30)]))
+    top = graph.most_visited(many, entities, "m0")
+    assert not graph.needs_fallback(many, top) and {r["strategy"] for r in graph.expanded(many, top, methods, me).collect()} == {"walk"}
