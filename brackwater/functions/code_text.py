@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .patterns import matching
+
 # What counts as a decision, and as a branch, in any case.
 DECISIONS = (r"\bif\s*\(", r"\bwhile\s*\(", r"\bfor\s*\(", r"\bswitch\s*\(", r"\bcatch\s*\(", r"\bcase\s+", r"\belse\s+if\s*\(", r"\?\s*.*\s*:")
 BRANCHES = (r"\bif\s*\(", r"\belse\s+if\s*\(", r"\bwhile\s*\(", r"\bfor\s*\(", r"\bswitch\s*\(", r"\bcatch\s*\(")
@@ -254,13 +256,9 @@ def patterns_table(spark: SparkSession, rows=PATTERNS) -> DataFrame:
     return spark.createDataFrame(out, "category string, criticality string, pattern string, any_case boolean")
 
 
-def external_dependencies(methods: DataFrame, patterns: DataFrame | None = None, source: str = "source", key: str = "id", most: int = 2000) -> DataFrame:
-    """(key, category, criticality, pattern, matches): the dimension of patterns, at most `most` rows, meets every method once; a larger one is refused."""
-    found = (patterns if patterns is not None else patterns_table(methods.sparkSession)).limit(most + 1).collect()
-    if len(found) > most:
-        raise ValueError(f"more than {most} patterns")
-    each = [F.struct(F.lit(r["category"]).alias("category"), F.lit(r["criticality"]).alias("criticality"), F.lit(r["pattern"]).alias("pattern"), count(F.col(source), r["pattern"], r["any_case"]).alias("matches")) for r in found]
-    return methods.select(key, F.explode(F.filter(F.array(*each), lambda x: x["matches"] > 0)).alias("d")).select(key, "d.*")
+def external_dependencies(methods: DataFrame, patterns: DataFrame | None = None, source: str = "source", key: str = "id") -> DataFrame:
+    """(key, category, criticality, pattern, matches): a table of any number of patterns(category, criticality, pattern, any_case) meets every method; the built-in one if none is given."""
+    return matching(methods, patterns if patterns is not None else patterns_table(methods.sparkSession), source=source, key=key)
 
 
 def critical_dependencies(methods: DataFrame, found: DataFrame, key: str = "id", name: str = "name") -> DataFrame:

@@ -40,11 +40,6 @@ def manhattan(a: Column, b: Column) -> Column:
 METRICS = {"Cosine": (cosine, True), "Dot": (dot, True), "Euclid": (euclid, False), "Manhattan": (manhattan, False)}
 
 
-def normalised(a: Column) -> Column:
-    n = norm(a)
-    return F.when(n == 0, doubles(a)).otherwise(F.transform(a, lambda x: x.cast("double") / n))
-
-
 def hash_embedding(text: Column, size: int) -> Column:
     """A deterministic stand-in for a model: numbers below 1 drawn from the text's MD5 with each place."""
     draw = lambda i: F.conv(F.substring(F.md5(F.concat_ws("|", text, i.cast("string"))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)

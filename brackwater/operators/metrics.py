@@ -34,14 +34,6 @@ def rate(part, whole):
     return F.coalesce(F.try_divide(part, whole), F.lit(0.0))
 
 
-def synthetic_series(spark, hours: int = 24) -> DataFrame:
-    """The deterministic hourly demo series of four agents; its totals are known."""
-    # Agent, calls, tokens, step of tokens, modulus, base and step of latency.
-    agents = [("IndexerAgent", 24, 5000), ("ResearcherAgent", 12, 3000), ("GeneratorAgent", 36, 8000), ("CriticAgent", 12, 4000)]
-    rows = spark.createDataFrame(agents, "agent string, calls long, tokens long")
-    return rows.withColumn("hour", F.explode(F.sequence(F.lit(0), F.lit(hours - 1)))).withColumn("tokens", F.col("tokens") + F.col("hour") * 66)
-
-
 def elapsed(micros) -> tuple:
     """Microseconds as milliseconds and as seconds, to two places; halves go up."""
     to = lambda n: F.floor((micros + n // 2) / n).cast("long") / 100.0

@@ -19,7 +19,8 @@ class VersionedTable:
     to ranges by their hash. Null keys are a key; repeated rows are one.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: StructType, *, keys: tuple[str, ...] = ("id",), seq: str = "seq", ranges: int = 32):
+    def __init__(self, spark: SparkSession, path: str, schema: StructType | str, *, keys: tuple[str, ...] = ("id",), seq: str = "seq", ranges: int = 32):
+        schema = spark.createDataFrame([], schema).schema if isinstance(schema, str) else schema
         self.spark, self.path, self.schema, self.keys, self.seq, self.ranges = spark, path.rstrip("/"), schema, keys, seq, ranges
 
     def _numbers(self, folder: str, name: str) -> list[int]:

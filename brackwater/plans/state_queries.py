@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.versioned import VersionedTable, cleared
+from ..schema import ENTITY
 from ..session import new_folder, table
 from ..sources import files
 from ..streaming import state
@@ -125,7 +126,8 @@ def stores_cleared(spark, sf):
 
 @query(G + "SELECT 'entities' AS store, 'success' AS status, count(*) FILTER (WHERE project_id = 'BUILDING') AS removed, count(*) FILTER (WHERE project_id IS DISTINCT FROM 'BUILDING') AS left FROM entities")
 def project_cleared(spark, sf):
-    held = _stored(spark, "entities", entities(spark, sf).select("id", "type", "name", "project_id", "seq"), ("id",))
+    held = VersionedTable(spark, new_folder(spark, "entities"), ENTITY)
+    held.put(entities(spark, sf), 0)
     return cleared(spark, {"entities": held}, project_id="BUILDING")
 
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import similarity
 from ..operators import store, vector, vector_index
 from ..session import new_folder, table
+from ..sources.paging import PagedTable
 from .registry import query
 
 V = "embedding::DOUBLE[]"
@@ -77,6 +81,17 @@ def scroll_no_vectors(spark, sf):
     return points(spark, sf).select("vec_id", "label")
 
 
+@query("""WITH b AS (SELECT vec_id, label, (row_number() OVER (ORDER BY vec_id) - 1) // (SELECT CAST(greatest(1, ceil(count(*) / 5.0)) AS BIGINT) FROM embeddings) AS page FROM embeddings)
+SELECT CAST(page AS INTEGER) AS page, count(*) AS n, min(vec_id) AS first, max(vec_id) AS last, sum(label) AS labels FROM b GROUP BY page""")
+def scrolled_pages(spark, sf):
+    """All points in five pages by cursor, vectors left where they are."""
+    p = points(spark, sf)
+    held = PagedTable.write(p, new_folder(spark, "pages"), "vec_id", rows_per_file=1000)
+    size = -(-p.count() // 5)
+    pages = [page.select(F.lit(k).alias("page"), "vec_id", "label") for k, page in enumerate(held.scroll(size, without=("embedding",)))]
+    return reduce(DataFrame.unionByName, pages).groupBy("page").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("first"), F.max("vec_id").alias("last"), F.sum("label").alias("labels"))
+
+
 @query(f"SELECT vec_id, round(sqrt(list_inner_product({V}, {V})), 6) AS norm FROM embeddings")
 def vector_norms(spark, sf):
     return points(spark, sf).select("vec_id", F.round(similarity.norm(F.col("embedding")), 6).alias("norm"))

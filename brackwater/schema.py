@@ -1,17 +1,3 @@
-"""Schemas of the property graph, vectors and metrics, in DDL, which readers and createDataFrame take."""
+"""Schema of the graph's nodes as they are stored, in DDL, which readers, createDataFrame and VersionedTable take."""
 
-
-def _struct(**fields: str) -> str:
-    return ", ".join(f"{k} {v}" for k, v in fields.items())
-
-
-ENTITY = _struct(id="string", type="string", name="string", package="string", project_id="string", properties="string", seq="bigint")
-RELATIONSHIP = _struct(source_id="string", target_id="string", rel_type="string", properties="string", project_id="string")
-METHOD = _struct(
-    id="string", name="string", class_name="string", package="string", project_id="string", source_code="string", return_type="string", complexity="int", loc="int",
-    annotations="array<string>", modifiers="array<string>", parameters="array<struct<name:string,type:string>>", calls="array<string>", used_fields="array<string>",
-)
-POINT = _struct(id="string", vector="array<float>", payload="map<string,string>", indexed_at="timestamp")
-AGENT_METRIC = _struct(ts="timestamp", agent="string", calls="bigint", tokens="bigint", cost="double", latency="double")
-MANIFEST = _struct(path="string", parent="string", name="string", depth="int", is_file="boolean", size="bigint", hash="string")
-CACHE = _struct(key="string", value="binary", expires_at="timestamp")
+ENTITY = "id string, type string, name string, package string, project_id string, properties string, seq bigint"

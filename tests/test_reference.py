@@ -279,3 +279,38 @@ def test_fallbacks_when_walks_meet_too_little(spark, small):
     many = graph.visits(graph.walk(edges, "m0", [graph.Strategy("s", 5, 30)]))
     top = graph.most_visited(many, entities, "m0")
     assert not graph.needs_fallback(many, top) and {r["strategy"] for r in graph.expanded(many, top, methods, me).collect()} == {"walk"}
+
+
+def test_pages_by_cursor(spark, tmp_path):
+    """The pages together are the table; each reads its own files and columns; a key of a third of all rows is one page's."""
+    from brackwater.sources.paging import PagedTable
+
+    rows = [(k, f"v{k}") for k in range(300)] + [(77, f"again{k}") for k in range(150)] + [(None, "lost")]
+    df = spark.createDataFrame(rows, "id long, vector string")
+    held = PagedTable.write(df.repartition(5), str(tmp_path / "paged"), "id", rows_per_file=40)
+    pages = [[tuple(r) for r in p.collect()] for p in held.scroll(50)]
+    assert sorted(r for p in pages for r in p) == sorted(r for r in rows if r[0] is not None)
+    assert all(len(p) == (50 if not any(r[0] == 77 for r in p[-1:]) else len(p)) for p in pages[:-1])
+    assert all(a[-1][0] < b[0][0] for a, b in zip(pages, pages[1:]))
+    assert len(held.files(200, 20)) <= 3 and held.page(299)[1] is None and held.page(299)[0].count() == 0
+    page, cursor = held.page(10, 5, without=("vector",))
+    assert page.columns == ["id"] and [r["id"] for r in page.collect()] == [11, 12, 13, 14, 15] and cursor == 15
+    empty = PagedTable.write(df.limit(0), str(tmp_path / "none"), "id")
+    assert [p.count() for p in empty.scroll(10)] == [0]
+
+
+def test_any_number_of_patterns(spark):
+    """5,000 patterns in one and in many blocks against running each on each text; patterns without a literal, and literals inside groups and repeats."""
+    import re
+
+    from brackwater.functions import patterns as P
+
+    assert [P.literal_of(x) for x in (r"\.save\(", r"new\s+[A-Z]\w*\(", r"(?:abc)+de", r"a|bcd", r"x(yz)?w", r"[0-9]+", r"^Foo$", r"(ab(cd))ef")] == [".save(", "new", "abc", "", "x", "", "foo", "abcdef"]
+    table = [("c", "high", rf"word{k}\(", k % 2 == 0) for k in range(5000)] + [("d", "medium", r"\d{3,}", False), ("d", "medium", r"(?:get|set)[A-Z]\w+", False), ("e", "high", r"Repo\w*\.(?:save)+\(", True)]
+    texts = [(k, f"Word{k * 7}(x); word{k * 3}( word{k * 3}( getName() repository.save(1234)") for k in range(60)] + [(60, None), (61, ""), (62, "nothing here")]
+    want = sorted((i, p, len(re.findall(p, t, re.I if any_case else 0))) for i, t in texts if t for _, _, p, any_case in table if re.search(p, t, re.I if any_case else 0))
+    df = spark.createDataFrame(texts, "id long, source string")
+    dimension = spark.createDataFrame(table, "category string, criticality string, pattern string, any_case boolean")
+    for block in (1500, 50_000):
+        assert sorted((r["id"], r["pattern"], r["matches"]) for r in P.matching(df, dimension, block=block).collect()) == want
+    assert P.matching(df, dimension.limit(0)).collect() == []
