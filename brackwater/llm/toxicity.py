@@ -247,7 +247,9 @@ def classify(docs: DataFrame, labels: DataFrame, *, train: Column | None = None,
     weights, dense, intercept, shift = np.zeros(len(index)), np.full(len(FIXED), 3.0), -3.0, 0.0
     if model is not None:
         weights, dense, intercept = linear(patterns, of, n_voters, model, len(index))
-        got = sorted((r["doc_id"], r["y"], r["hits"], r["votes"]) for r in seen.join(F.broadcast(known), "doc_id").dropDuplicates(["doc_id"]).collect())
+        # Of an id with several texts the one whose votes come first, whichever task has it.
+        own = seen.join(F.broadcast(known), "doc_id").groupBy("doc_id", "y").agg(F.min(F.struct("hits", "votes")).alias("m"))
+        got = sorted((r["doc_id"], r["y"], r["hits"], r["votes"]) for r in own.select("doc_id", "y", "m.hits", "m.votes").collect())
         z, y = np.array([scored(r[2], r[3], weights, dense, intercept) for r in got]), np.array([r[1] for r in got], float)
         shift = -_border(z, y) if len(y) and y.min() != y.max() else 0.0
     return _scored(seen, weights.tolist(), [float(u) for u in dense], intercept + shift)

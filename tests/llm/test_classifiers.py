@@ -123,3 +123,12 @@ def test_statistics_of_a_text():
             "line_words": n / max(len(lines), 1), "dup_lines": 1 - len(set(lines)) / max(len(lines), 1), "other_bytes": sum(c > 127 for c in raw) / len(raw), "loud_words": sum(w[0] in b"!#*$%&|" or w[-1] in b"!#*$%&|" for w in ws) / n,
         }
         assert all(abs(got[k] - want[k]) < 1e-12 for k in want) and got.keys() == want.keys()
+
+
+def test_texts_of_one_id_give_one_threshold(spark):
+    """An id with two texts, dealt in two ways: scores and thresholds are the same."""
+    rows = [(k, ("you vile scum " if k % 3 == 0 else "a kind note ") + f"w{k % 7} x{k % 5}", int(k % 3 == 0)) for k in range(120)] + [(3, "a kind note w1", 1), (4, "you vile scum", 0)] * 2
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows[:120]], "doc_id long, toxic int")
+    out = [sorted(map(tuple, toxicity.classify(d, labels, least_texts=3).collect())) for d in (docs.repartition(1), docs.repartition(5), docs.orderBy("text"))]
+    assert out[0] == out[1] == out[2]
