@@ -119,12 +119,14 @@ def test_ivf_recall(spark):
 def test_files(spark, tmp_path):
     from brackwater.sources import files
 
-    (tmp_path / "src" / "target").mkdir(parents=True)
+    (tmp_path / "src" / ".svn").mkdir(parents=True)
+    (tmp_path / "src" / "build").mkdir()
     (tmp_path / "src" / "A.java").write_text("class A {}")
     (tmp_path / "src" / "B.java").write_bytes(b"\xff\xfe")
-    (tmp_path / "src" / "target" / "C.java").write_text("class C {}")
+    (tmp_path / "src" / ".svn" / "C.java").write_text("class C {}")
+    (tmp_path / "src" / "build" / "D.java").write_text("class D {}")
     got = {r["path"]: r["source"] for r in files.scan(spark, str(tmp_path)).collect()}
-    assert got == {"src/A.java": "class A {}", "src/B.java": None}
+    assert got == {"src/A.java": "class A {}", "src/B.java": None, "src/build/D.java": "class D {}"}
     assert files.scan(spark, str(tmp_path), patterns=["*.java", "!A.java"]).count() == 1
     a = spark.createDataFrame([("x", "1"), ("y", "2"), ("z", "3")], "path string, hash string")
     b = spark.createDataFrame([("x", "1"), ("y", "9"), ("w", "3")], "path string, hash string")
