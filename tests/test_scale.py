@@ -1,7 +1,10 @@
 """Queries that were too slow, too large or sampled at size, against plain loops."""
 
+import math
+
 from pyspark.sql import functions as F
 
+from brackwater.llm import quality_rules
 from brackwater.operators import store
 
 
@@ -18,3 +21,26 @@ def test_first_others_are_those_of_all_pairs(spark):
     many = spark.range(40_000).select(F.col("id").cast("string").alias("id"), F.col("id").cast("string").alias("name"), F.lit("k").alias("key"))
     wanted = many.select(F.col("id").alias("q"), F.lit("k").alias("t"), "key")
     assert store.first_others(wanted, many, 3).count() == 120_000
+
+
+def test_every_labelled_row_counts_for_the_rules(spark):
+    """45,000 good rows, more than the 20,000 of a half that counted before: weights and threshold against a plain loop over all of them."""
+    docs = spark.range(50_000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("a"), F.concat(F.lit("w"), F.col("id") % 7), F.concat(F.lit("v"), F.pmod(F.xxhash64("id"), F.lit(11)))).alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 10 != 0).cast("int").alias("quality"))
+    half = {r["doc_id"]: r["half"] for r in docs.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(2)).alias("half")).collect()}
+    ids = [{r[0] for r in quality_rules.labelled_ids(labels, k).collect()} for k in (0, 1)]
+    assert ids == [{i for i, h in half.items() if h == k and i % 10} for k in (0, 1)] and min(map(len, ids)) > 20_000
+    buckets = 64
+    rows = docs.select("doc_id", quality_rules.grams(F.split("text", " "), buckets).alias("g")).collect()
+    raw, good = [0] * buckets, [0] * buckets
+    for r in rows:
+        for b in r["g"]:
+            raw[b] += 1
+            good[b] += r["doc_id"] in ids[0]
+    share = lambda n, of: math.log((n + 0.5) / (of + 0.5 * buckets))
+    want = [round(1000 * (share(g, sum(good)) - share(n, sum(raw)))) for n, g in zip(raw, good)]
+    assert quality_rules.ratio_weights(docs, labels, buckets=buckets, smoothing=0.5) == want
+    reached = sorted((sum(want[b] for b in r["g"]) / 1000 + 0.5 * math.sqrt(len(r["g"]))) / len(r["g"]) for r in rows if r["doc_id"] in ids[1])
+    table = F.array(*[F.lit(w) for w in want])
+    for keep in (0.99, 0.5, 0.013):
+        assert quality_rules.threshold(docs, labels, table, buckets=buckets, doubt=0.5, keep=keep) == math.floor(1000 * reached[int((1 - keep) * len(reached))]) / 1000
