@@ -5,14 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import saved
+
 
 def class_ids(parsed: DataFrame) -> DataFrame:
     return parsed.withColumn("class_id", F.concat(F.lit("class:"), "package", F.lit("."), "name"))
 
 
+def _named(parsed: DataFrame) -> DataFrame:
+    """What nodes and edges are made of, without source code, written once: files aren't parsed again for each kind of node or edge."""
+    names = lambda k, *more: F.transform(k, lambda x: F.struct(x["name"].alias("name"), *[x[m].alias(m) for m in more])).alias(k)
+    return saved(class_ids(parsed).select("class_id", "name", "package", "imports", "extends", "implements", names("fields"), names("methods", "calls")), "parsed")
+
+
 def entities(parsed: DataFrame) -> DataFrame:
     """Package, class, method and field nodes; overloads share an id, and the last one counts once."""
-    c = class_ids(parsed)
+    c = _named(parsed)
     row = lambda df, i, t, n: df.select(i.alias("id"), F.lit(t).alias("type"), n.alias("name"), "package")
     m, f = (c.select("class_id", "package", F.explode(k).alias("x")) for k in ("methods", "fields"))
     out = row(c, F.concat(F.lit("package:"), "package"), "Package", F.col("package")).unionByName(row(c, F.col("class_id"), "Class", F.col("name")))
@@ -22,7 +30,7 @@ def entities(parsed: DataFrame) -> DataFrame:
 
 def relationships(parsed: DataFrame) -> DataFrame:
     """CONTAINS from structure; EXTENDS, IMPLEMENTS, IMPORTS and CALLS resolved by name over the whole batch, classes that aren't known as virtual nodes."""
-    c = class_ids(parsed)
+    c = _named(parsed)
     edge = lambda df, s, t, k: df.select(s.alias("source_id"), t.alias("target_id"), F.lit(k).alias("rel_type"))
     method = F.concat(F.lit("method:"), "class_id", F.lit(":"), "x.name")
     m, f = (c.select("class_id", F.explode(k).alias("x")) for k in ("methods", "fields"))

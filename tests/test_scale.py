@@ -3,10 +3,12 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from brackwater.functions import java
 from brackwater.llm import quality_rules
-from brackwater.operators import store, vector
+from brackwater.operators import indexing, store, vector
 
 
 def test_first_others_are_those_of_all_pairs(spark):
@@ -78,3 +80,16 @@ def test_index_search_meets_no_pair_as_a_row(spark):
     assert "Join" not in plan
     exact = vector.search_many(points, wanted, limit=5)
     assert sorted(map(tuple, found.select("query", "vec_id").collect())) == sorted(map(tuple, exact.select("query", "vec_id").collect()))
+
+
+def test_files_are_parsed_in_bounded_pieces(spark):
+    """Many small files and a few large ones: each once, in order, no piece above the bounds but for a file that is; and nodes and edges parse no file again."""
+    sources = ["x" * n for n in [10] * 250 + [java.PIECE_CHARS + 5, 7, java.PIECE_CHARS // 2, java.PIECE_CHARS // 2, 3]] + [None]
+    pieces = list(java._pieces(pa.RecordBatch.from_arrays([pa.array([str(k) for k in range(len(sources))]), pa.array(sources)], names=["path", "source"])))
+    assert [s for _, part in pieces for s in part] == sources and [p for part, _ in pieces for p in part] == [str(k) for k in range(len(sources))]
+    assert all(len(part) <= java.PIECE_FILES and (len(part) == 1 or sum(len(s or "") for s in part) <= java.PIECE_CHARS) for _, part in pieces)
+    files = spark.range(300).select(F.col("id").cast("string").alias("path"), F.concat(F.lit("package p; class C"), F.col("id"), F.lit(" { int f; void m() { m(); } }")).alias("source"))
+    edges = indexing.relationships(java.parsed(files))
+    assert "MapInArrow" not in edges._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["rel_type"]: r["count"] for r in edges.groupBy("rel_type").count().collect()} == {"CONTAINS": 900, "CALLS": 300}
+    assert indexing.entities(java.parsed(files)).count() == 901
