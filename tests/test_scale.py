@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from brackwater.functions import java
 from brackwater.llm import quality_rules
-from brackwater.operators import indexing, store, vector
+from brackwater.operators import graph, indexing, store, vector
 
 
 def test_first_others_are_those_of_all_pairs(spark):
@@ -93,3 +93,18 @@ def test_files_are_parsed_in_bounded_pieces(spark):
     assert "MapInArrow" not in edges._jdf.queryExecution().optimizedPlan().toString()
     assert {r["rel_type"]: r["count"] for r in edges.groupBy("rel_type").count().collect()} == {"CONTAINS": 900, "CALLS": 300}
     assert indexing.entities(java.parsed(files)).count() == 901
+
+
+def test_graph_queries_group_only_edges_at_their_nodes(spark):
+    """Walks, ways of two edges and neighbours from plain relationships equal those from the whole graph's edges; edges repeat, some go both ways, some are loops."""
+    rows = [(f"n{k * 7 % 23}", f"n{k * k % 29}", "CALLS" if k % 3 else "USES") for k in range(200)] * 2 + [("n1", "n1", "CALLS"), ("n1", "n7", "USES")]
+    rels = spark.createDataFrame(rows, "source_id string, target_id string, rel_type string")
+    plan = [*graph.standard(6, 4), graph.Strategy("many", 2, 1100)]
+    walked = lambda edges: sorted(map(str, graph.walk(edges, "n1", plan).collect()))
+    assert walked(rels) == walked(graph.ways(rels))
+    out, into = graph.ways(rels), rels.groupBy(F.col("target_id").alias("node"), F.col("source_id").alias("neighbour"), "rel_type").agg(F.count("*").alias("n"))
+    assert sorted(map(tuple, graph.two_step_counts(rels).collect())) == sorted(map(tuple, graph.two_steps(out, into).collect()))
+    some = spark.createDataFrame([("n1",), ("n7",)], "node string")
+    for both in (True, False):
+        whole = graph.neighbours(rels, include_reverse=both)
+        assert sorted(map(tuple, graph.neighbours(rels, include_reverse=both, nodes=some, parts=3).collect())) == sorted(map(tuple, whole.filter("node in ('n1', 'n7')").collect()))
