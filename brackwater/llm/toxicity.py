@@ -109,8 +109,11 @@ def posterior(votes: np.ndarray, model: tuple | None) -> np.ndarray:
     """The probability of being toxic, by the label model; before there is one, by how many voters say so."""
     if model is None:
         return np.where(votes.sum(1) > 0, 1 - 0.5 ** np.minimum(votes.sum(1) + 1, 6), 0.001)
-    prior, hit, false, weight = model
-    odds = math.log(prior / (1 - prior)) + votes @ (weight * np.log(hit / false)) + (1 - votes) @ (weight * np.log((1 - hit) / (1 - false)))
+    prior, hit, false, weight, *reach = model
+    silent = 1 - votes
+    if reach:  # silence counts of voters that are heard beside one that speaks here, and of all where none does
+        silent = silent * ((votes @ reach[0] > 0) | (votes.sum(1) == 0)[:, None])
+    odds = math.log(prior / (1 - prior)) + votes @ (weight * np.log(hit / false)) + silent @ (weight * np.log((1 - hit) / (1 - false)))
     return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
 
 
@@ -120,24 +123,49 @@ def told(votes: np.ndarray, times: np.ndarray, model: tuple | None) -> list[np.n
     return [np.array([times.sum(), toxic.sum()]), toxic @ votes, (times - toxic) @ votes, (votes * toxic[:, None]).T @ votes, (votes * (times - toxic)[:, None]).T @ votes]
 
 
-def next_model(sums: list[np.ndarray]) -> tuple:
+def labelled(rows: list[tuple], y: np.ndarray, of: np.ndarray, n_voters: int, step: int = 1000) -> list[np.ndarray]:
+    """The sums of `told` over labelled rows of hits and votes, with labels for posteriors."""
+    total = []
+    for k in range(0, len(rows), step):
+        t, v = y[k : k + step], np.zeros((len(rows[k : k + step]), n_voters))
+        for own, (hits, fixed) in zip(v, rows[k : k + step]):
+            own[: len(fixed)] = fixed
+            own[of[hits]] = 1
+        part = [np.array([len(t), t.sum()]), t @ v, (1 - t) @ v, (v * t[:, None]).T @ v, (v * (1 - t)[:, None]).T @ v]
+        total = [a + b for a, b in zip(total, part)] if total else part
+    return total
+
+
+def next_model(sums: list[np.ndarray], known: list[np.ndarray] | None = None) -> tuple:
     """The prior, how often each voter fires on toxic and on clean texts, and its weight.
 
     Voters whose votes go together beyond what the posterior explains share their weight: the correlation is that of what is left of two votes inside the classes.
+    With known, such sums over labelled texts of both classes, a class counts half by what the posteriors say and half by its labels, whichever has more texts; and the voters
+    that are heard beside each come last: those that fire at least half as often beside it as among all toxic labelled texts. Voters of one language aren't heard beside another's.
     """
     (n, toxic), one, zero, ones, zeros = sums
+    reach = []
+    if known is not None:
+        (m, y), *told_by_labels = known
+        beside, often = told_by_labels[2] / np.maximum(told_by_labels[0], 1)[:, None], told_by_labels[0] / y
+        reach = [(beside >= 0.5 * often).astype(float)]
+        size = (toxic + n * y / m) / 2
+        half = lambda a, b, by_votes, by_labels, texts: (a / max(by_votes, 1e-9) + b / by_labels) / 2 * texts
+        one, ones = (half(a, b, toxic, y, size) for a, b in zip((one, ones), told_by_labels[::2]))
+        zero, zeros = (half(a, b, n - toxic, m - y, n - size) for a, b in zip((zero, zeros), told_by_labels[1::2]))
+        toxic = size
     prior = min(max((toxic + 1) / (n + 2), 1e-4), 0.5)
     hit, false = np.clip((one + 0.5) / (toxic + 1), 1e-3, 0.999), np.clip((zero + 0.05) / (n - toxic + 1), 1e-6, 0.5)
     left = ones - toxic * np.outer(hit, hit) + zeros - (n - toxic) * np.outer(false, false)
     spread = np.sqrt(np.maximum(toxic * hit * (1 - hit) + (n - toxic) * false * (1 - false), 1e-9))
     tied = np.clip(left / np.outer(spread, spread), 0, 1)
     np.fill_diagonal(tied, 0)
-    return prior, hit, np.minimum(false, hit * 0.9), 1 / (1 + np.where(tied > 0.3, tied, 0).sum(0))
+    return prior, hit, np.minimum(false, hit * 0.9), 1 / (1 + np.where(tied > 0.3, tied, 0).sum(0)), *reach
 
 
-def label_model(patterns: DataFrame, of: np.ndarray, n_voters: int, rounds: int = 8) -> tuple | None:
-    """Expectation maximisation over patterns(hits, votes, n) of all training texts, labelled or not; no label is looked at. Each round is one sum over the patterns."""
-    model = None
+def label_model(patterns: DataFrame, of: np.ndarray, n_voters: int, rounds: int = 8, known: list[np.ndarray] | None = None) -> tuple | None:
+    """Expectation maximisation over patterns(hits, votes, n) of all training texts, labelled or not. Each round is one sum over the patterns. No label is looked at but those of known, which is where it starts from and what it is held to."""
+    model = None if known is None else next_model(known, known)
     for _ in range(rounds):
         def run(batches, model=model):
             total = None
@@ -154,7 +182,7 @@ def label_model(patterns: DataFrame, of: np.ndarray, n_voters: int, rounds: int
             return None
         flat, shapes = sum(got), [(2,), (n_voters,), (n_voters,), (n_voters, n_voters), (n_voters, n_voters)]
         cuts = np.cumsum([0, *(math.prod(x) for x in shapes)])
-        model = next_model([flat[a:b].reshape(x) for a, b, x in zip(cuts, cuts[1:], shapes)])
+        model = next_model([flat[a:b].reshape(x) for a, b, x in zip(cuts, cuts[1:], shapes)], known)
     return model
 
 
@@ -217,9 +245,9 @@ def classify(docs: DataFrame, labels: DataFrame, *, train: Column | None = None,
 
     From at most `most_labelled` labelled rows for which `train`, over doc_id, holds, first by hash of the id, features (words and
     their beginnings) are chosen that toxic texts have and clean ones lack, the `most_features` most surprising; those that begin alike are one lexicon voter. General
-    insults and patterns are further voters. Each whole text's votes are taken once. From the patterns of votes of all training texts, labelled or not, and without a look at the
-    labels, the label model estimates how often each voter fires on toxic and on clean texts and which voters go together, and a linear classifier is trained on its posteriors of
-    all these texts. The labels then set the point of 0.5 only.
+    insults and patterns are further voters. Each whole text's votes are taken once. From the patterns of votes of all training texts, labelled or not, the label model estimates
+    how often each voter fires on toxic and on clean texts and which voters go together, held half to what the same labelled rows say, so that a language of few toxic texts isn't
+    taken for clean; and a linear classifier is trained on its posteriors of all these texts. The labels then set the point of 0.5.
 
     Null, empty and blank texts have no feature and get the intercept's score. Without labelled rows only the fixed voters speak. Labels that
     are null are left out, and an id's repeated labels count as toxic if one does; repeated rows get equal scores. Other columns are ignored.
@@ -243,15 +271,16 @@ def classify(docs: DataFrame, labels: DataFrame, *, train: Column | None = None,
     seen = scratch.save(_observed(slim, index, "doc_id long"), "observed")
     learned = seen if train is None else seen.filter(train)
     patterns = scratch.save(learned.groupBy("hits", "votes").agg(F.count(F.lit(1)).alias("n")), "patterns")
-    model = label_model(patterns, of, n_voters)
+    # Of an id with several texts the one whose votes come first, whichever task has it.
+    own = seen.join(F.broadcast(known), "doc_id").groupBy("doc_id", "y").agg(F.min(F.struct("hits", "votes")).alias("m"))
+    got = sorted((r["doc_id"], r["y"], r["hits"], r["votes"]) for r in own.select("doc_id", "y", "m.hits", "m.votes").collect())
+    y = np.array([r[1] for r in got], float)
+    both = len(y) > 0 and y.min() != y.max()
+    model = label_model(patterns, of, n_voters, known=labelled([(r[2], r[3]) for r in got], y, of, n_voters) if both else None)
     weights, dense, intercept, shift = np.zeros(len(index)), np.full(len(FIXED), 3.0), -3.0, 0.0
     if model is not None:
         weights, dense, intercept = linear(patterns, of, n_voters, model, len(index))
-        # Of an id with several texts the one whose votes come first, whichever task has it.
-        own = seen.join(F.broadcast(known), "doc_id").groupBy("doc_id", "y").agg(F.min(F.struct("hits", "votes")).alias("m"))
-        got = sorted((r["doc_id"], r["y"], r["hits"], r["votes"]) for r in own.select("doc_id", "y", "m.hits", "m.votes").collect())
-        z, y = np.array([scored(r[2], r[3], weights, dense, intercept) for r in got]), np.array([r[1] for r in got], float)
-        shift = -_border(z, y) if len(y) and y.min() != y.max() else 0.0
+        shift = -_border(np.array([scored(r[2], r[3], weights, dense, intercept) for r in got]), y) if both else 0.0
     return _scored(seen, weights.tolist(), [float(u) for u in dense], intercept + shift)
 
 

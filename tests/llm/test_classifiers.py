@@ -132,3 +132,20 @@ def test_texts_of_one_id_give_one_threshold(spark):
     labels = spark.createDataFrame([(r[0], r[2]) for r in rows[:120]], "doc_id long, toxic int")
     out = [sorted(map(tuple, toxicity.classify(d, labels, least_texts=3).collect())) for d in (docs.repartition(1), docs.repartition(5), docs.orderBy("text"))]
     assert out[0] == out[1] == out[2]
+
+
+def test_toxic_texts_of_a_rare_language(spark):
+    """Ten lexicons of one language speak together, and two of a rarer one: silence of the first is no sign that a text of the second is clean."""
+    rng = np.random.default_rng(9)
+    common, rare = [f"{a}ax" for a in "bcdfghjklm"], ["veqo", "zujo"]
+    rows = []
+    for k in range(2400):
+        lang, toxic = int(k % 4 == 0), int(k % 10 == 1 or k % 40 == 0)
+        says = [w for w in (rare if lang else common) if toxic and rng.random() < (0.7 if lang else 0.45)] or [(rare if lang else common)[0]] * toxic
+        rows.append((k, " ".join([*says, *(f"{'pq'[lang]}{rng.integers(30)}" for _ in range(8))]), toxic if k % 2 == 0 or k % 20 == 1 else None, lang))
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows if r[2] is not None], "doc_id long, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.classify(docs, labels).collect()}
+    true = {k: int(k % 10 == 1 or k % 40 == 0) for k in got}
+    for lang in (0, 1):
+        toxic, clean = ([got[k]["score"] for k, _, _, own in rows if own == lang and true[k] == y] for y in (1, 0))
+        assert min(toxic) > 0.5 > max(clean) and len(toxic) >= 50, lang
