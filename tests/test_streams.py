@@ -39,6 +39,23 @@ def test_changes_of_scans_and_restart(spark):
     assert sorted((r["path"], r["change"]) for r in again.collect()) == got
 
 
+def test_paths_share_the_states_of_parts(spark, monkeypatch):
+    """Four hundred paths in three parts: three states, and the changes of a loop over two scans and a third that holds one path only."""
+    monkeypatch.setattr(state, "PARTS", 3)
+    scans = [{f"p{n}": None if n % 11 == 0 else "a" for n in range(400) if n % 4}, {f"p{n}": "b" if n % 7 == 0 else None if n % 11 == 0 else "a" for n in range(400) if n % 5}, {"p1": "c"}]
+    root, want, known = new_folder(spark, "parts"), [], {}
+    for k, files in enumerate(scans):
+        stream = coming(spark, f"{root}/in", [(p, h, START + dt.timedelta(hours=k)) for p, h in files.items()], "path string, hash string, scanned_at timestamp")
+        out = state.continued(state.file_changes(stream), f"{root}/out")
+        at = int((START + dt.timedelta(hours=k) - dt.datetime(1970, 1, 1)).total_seconds()) * 1_000_000
+        want += [(p, "new" if p not in known else "modified", at) for p, h in files.items() if p not in known or known[p] != h] + [(p, "deleted", at - 3_600_000_000) for p in known if p not in files]
+        known = files
+        if k == 1:
+            states = spark.read.format("statestore").option("stateVarName", "last").load(f"{root}/out/checkpoint").count()
+    assert sorted(map(tuple, out.collect())) == sorted(want)
+    assert states == 3
+
+
 def test_cache_equals_a_loop(spark):
     """Lookups over a day in two batches; a third of them ask for one key."""
     rng = random.Random(2)
