@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from array import array
-from itertools import chain
+from collections import defaultdict
+from itertools import count, islice, repeat
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -41,52 +42,76 @@ def tokens_of(text: bytes) -> list[bytes]:
     return out
 
 
-def texts_of(column) -> list[list[bytes]]:
-    return [tokens_of(t) for t in column.to_pylist()]
+class Coded(NamedTuple):
+    """The tokens of several texts: the distinct ones, each one's number among them, how many each text has, and where each text starts."""
 
+    distinct: list[bytes]
+    keys: np.ndarray
+    sizes: np.ndarray
+    starts: np.ndarray
 
-class Names(dict):
+
+def listed(words: pa.Array) -> list[bytes]:
+    """The strings of an array without nulls, in bytes."""
+    _, offsets, data = words.buffers()
+    kind = np.int64 if pa.types.is_large_string(words.type) else np.int32
+    at = np.frombuffer(offsets, kind)[words.offset : words.offset + len(words) + 1].tolist() if len(words) else []
+    data = data.to_pybytes() if data is not None else b""
+    return [data[a:b] for a, b in zip(at, at[1:])]
+
+
+def coded(column: pa.Array) -> Coded:
+    """The tokens_of each text of a column in bytes; Arrow lowers, splits and numbers them."""
+    words = pc.ascii_split_whitespace(pc.ascii_lower(column.view(pa.large_string() if pa.types.is_large_binary(column.type) else pa.string())))
+    flat, ends = words.flatten(), np.cumsum(words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+    full = pc.binary_length(flat).to_numpy() > 0  # before and after white space at an end there is an empty word
+    upto = np.concatenate([[0], np.cumsum(full)])[np.concatenate([[0], ends])]
+    each = (flat if full.all() else flat.filter(pa.array(full))).dictionary_encode()
+    distinct, sizes = listed(each.dictionary), np.diff(upto) + 1
+    keys = np.full(int(sizes.sum()), len(distinct), np.int64)
+    keys[np.arange(len(each)) + np.repeat(np.arange(len(sizes)), sizes - 1)] = each.indices.to_numpy()
+    return Coded([*distinct, END], keys, sizes, np.cumsum(sizes) - sizes)
+
+
+class Names:
     """Small numbers for tokens, given as they come, and their hashes."""
 
     def __init__(self):
-        super().__init__()
         self.reset()
 
     def reset(self) -> None:
-        self.clear()
-        self.tokens: list[bytes] = []
-        self.hashes = array("Q")
+        self.number, self.tokens, self.hashes = defaultdict(count().__next__), [], np.zeros(0, np.uint64)
 
-    def __missing__(self, token: bytes) -> int:
-        value = self[token] = len(self.tokens)
-        self.tokens.append(token)
-        self.hashes.append(xxhash.xxh3_64_intdigest(token))
-        return value
+    def add(self, new: list[bytes]) -> None:
+        self.tokens += new
+        self.hashes = np.concatenate([self.hashes, np.fromiter(map(xxhash.xxh3_64_intdigest, new), np.uint64, len(new))])
 
-    def keys_of(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        """The numbers of all tokens of all texts, and where each text starts."""
-        sizes = [len(t) for t in texts]
-        return np.fromiter(map(self.__getitem__, chain.from_iterable(texts)), np.int64, sum(sizes)), np.cumsum([0, *sizes[:-1]])
+    def keys_of(self, texts: Coded) -> np.ndarray:
+        """The numbers of all tokens of all texts."""
+        own = np.fromiter(map(self.number.__getitem__, texts.distinct), np.int64, len(texts.distinct))
+        self.add(list(islice(self.number, len(self.tokens), None)))
+        return own[texts.keys]
 
 
 class Vocabulary(Names):
     """Names with what a model knows of a token: its place among those whose counts all have, the symbol that stands for it, and what it is as a context: its rank, or its last two bytes."""
 
     def __init__(self, index: dict[bytes, int], symbol: np.ndarray, rank: np.ndarray):
-        self.index, self.unknown, self.symbol, self.rank = index, len(index), symbol.tolist(), rank.tolist()
+        self.index, self.unknown, self.symbol, self.rank = index, len(index), symbol, rank
         super().__init__()
 
     def reset(self) -> None:
         super().reset()
-        self.places, self.ids, self.contexts = array("q"), array("q"), array("q")
+        self.places, self.ids, self.contexts = (np.zeros(0, np.int64) for _ in range(3))
 
-    def __missing__(self, token: bytes) -> int:
-        place = self.index.get(token, self.unknown)
-        symbol = self.symbol[place]
-        self.places.append(place)
-        self.ids.append(symbol)
-        self.contexts.append(self.rank[symbol] or COMMON + 1 + int.from_bytes(token[-2:]))
-        return super().__missing__(token)
+    def add(self, new: list[bytes]) -> None:
+        super().add(new)
+        places = np.fromiter(map(self.index.get, new, repeat(self.unknown)), np.int64, len(new))
+        ids, size = self.symbol[places], np.fromiter(map(len, new), np.int64, len(new))
+        ends, data = np.cumsum(size) + 1, np.frombuffer(b"\0\0" + b"".join(new), np.uint8).astype(np.int64)
+        last = data[ends] + 256 * np.where(size > 1, data[ends - 1], 0)
+        contexts = np.where(self.rank[ids] > 0, self.rank[ids], COMMON + 1 + last)
+        self.places, self.ids, self.contexts = (np.concatenate(x) for x in ((self.places, places), (self.ids, ids), (self.contexts, contexts)))
 
 
 def token_counts(docs: DataFrame) -> DataFrame:
@@ -97,13 +122,12 @@ def token_counts(docs: DataFrame) -> DataFrame:
         total = np.zeros(0, np.int64)
 
         def out():
-            return pa.RecordBatch.from_arrays([pa.array(names.tokens, pa.binary()), pa.array(np.array(names.hashes, np.uint64).view(np.int64)), pa.array(total)], names=["token", "h", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(names.tokens, pa.binary()), pa.array(names.hashes.view(np.int64)), pa.array(total)], names=["token", "h", "n"])
 
         for batch in batches:
-            texts = texts_of(batch.column(0))
-            if not texts:
+            if not batch.num_rows:
                 continue
-            keys, _ = names.keys_of(texts)
+            keys = names.keys_of(coded(batch.column(0)))
             new = np.bincount(keys, minlength=len(names.tokens))
             new[: len(total)] += total
             total = new
@@ -221,7 +245,7 @@ class Stream(NamedTuple):
 def stream(ids: np.ndarray, hashes: np.ndarray, contexts: np.ndarray, starts: np.ndarray) -> Stream:
     """Contexts of all tokens: the last frequent token, the token before (contexts of COMMON ranks, or of last bytes), and the key of the two before; nothing is known before a text."""
     n = len(ids)
-    begin = np.repeat(starts, np.diff([*starts, n]))
+    begin = np.repeat(starts, np.diff(np.append(starts, n)))
     place = np.arange(n) - begin
     last = moved(hashes)
     last[starts] = 0
@@ -488,18 +512,19 @@ def few(docs: DataFrame) -> DataFrame:
 def streams(batches, names: Vocabulary, size: int = 100_000):
     """Texts as streams of about so many tokens, so that each is predicted from those before it."""
     for batch in batches:
-        texts, n = [], 0
-        rows = texts_of(batch.column(0))
-        for k, text in enumerate(rows):
-            texts.append(text)
-            n += len(text)
-            if n < size and k + 1 < len(rows):
-                continue
-            if len(names.tokens) >= KNOWN:
-                names.reset()
-            keys, starts = names.keys_of(texts)
-            yield stream(*(np.array(x)[keys] for x in (names.ids, names.hashes, names.contexts)), starts)
-            texts, n = [], 0
+        if not batch.num_rows:
+            continue
+        if len(names.tokens) >= KNOWN:
+            names.reset()
+        texts = coded(batch.column(0))
+        keys = names.keys_of(texts)
+        ends = texts.starts + texts.sizes
+        a = 0
+        while a < len(ends):
+            b = min(int(np.searchsorted(ends, texts.starts[a] + size)) + 1, len(ends))
+            own = keys[texts.starts[a] : ends[b - 1]]
+            yield stream(names.ids[own], names.hashes[own], names.contexts[own], texts.starts[a:b] - texts.starts[a])
+            a = b
 
 
 #: The piece that holds what a task has learned of weights.
@@ -625,26 +650,24 @@ def _scored(docs: DataFrame, known_tokens, counts, model) -> DataFrame:
         names, part, chunk, rare_now = Vocabulary(*known_tokens.value, t.rank), TaskContext.get().partitionId(), 0, 0
         spelled = np.zeros(0)
         for batch in batches:
-            raw = batch.column(2).to_pylist()
-            texts = [tokens_of(x) for x in raw]
-            if not texts:
+            if not batch.num_rows:
                 continue
             if len(names.tokens) >= KNOWN:
                 names.reset()
                 spelled = np.zeros(0)
-            keys, starts = names.keys_of(texts)
-            places = np.array(names.places)
+            texts = coded(batch.column(2))
+            keys, sizes, starts = names.keys_of(texts), texts.sizes, texts.starts
+            places = names.places
             new = ready[places[len(spelled) :]]
             late = np.flatnonzero(places[len(spelled) :] == names.unknown)
             new[late] = log10_of_words([names.tokens[len(spelled) + k] for k in late], t, m)
             spelled = np.concatenate([spelled, new])
-            places, ids = places[keys], np.array(names.ids)[keys]
-            sizes = np.diff([*starts, len(keys)])
-            s = stream(ids, np.array(names.hashes)[keys], np.array(names.contexts)[keys], starts)
+            places, ids = places[keys], names.ids[keys]
+            s = stream(ids, names.hashes[keys], names.contexts[keys], starts)
             elsewhere, _ = follower(t, s, np.repeat(~batch.column(1).to_numpy(zero_copy_only=False).astype(bool), sizes))
             is_hot, letters = base[places] > 0, spelled[keys]
             whole = log10_of_tokens(s, t, m) + letters
-            rare, less = np.array(names.hashes).view(np.int64)[keys[~is_hot]], -letters[~is_hot]
+            rare, less = names.hashes.view(np.int64)[keys[~is_hot]], -letters[~is_hot]
             hot_of = np.add.reduceat(is_hot.astype(np.int64), starts)
             ends = np.concatenate([[0], np.cumsum(sizes - hot_of)]).astype(np.int32)
             if rare_now + len(rare) > CHUNK and rare_now:
@@ -652,9 +675,9 @@ def _scored(docs: DataFrame, known_tokens, counts, model) -> DataFrame:
             rare_now += len(rare)
             summed = lambda x: pa.array(np.add.reduceat(x, starts))
             columns = [
-                pa.array(np.full(len(texts), (part << 24) + chunk, np.int64)), batch.column(0), batch.column(1), pa.array(sizes.astype(np.int64)), pa.array(hot_of),
+                pa.array(np.full(len(sizes), (part << 24) + chunk, np.int64)), batch.column(0), batch.column(1), pa.array(sizes.astype(np.int64)), pa.array(hot_of),
                 summed(np.where(is_hot, logs[places], 0.0)), summed(whole), summed((elsewhere == ids).astype(np.int64)),
-                pa.array(np.array(list(map(len, raw)), np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(rare)), pa.ListArray.from_arrays(pa.array(ends), pa.array(less.astype(np.float32))),
+                pa.array(pc.binary_length(batch.column(2)).to_numpy().astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(rare)), pa.ListArray.from_arrays(pa.array(ends), pa.array(less.astype(np.float32))),
             ]
             yield pa.RecordBatch.from_arrays(columns, names=["chunk", "doc_id", "held_out", "n_tokens", "n_hot", "hot_sum", "whole", "followed", "n_bytes", "rare", "less"])
 

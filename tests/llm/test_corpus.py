@@ -305,3 +305,20 @@ def test_token_probabilities_add_up():
     assert abs(total - 1) < 1e-3 and language_model.follower(t, s)[0][2] == 9
     at_start = lambda b: 10 ** float(next(m.log10(*language_model.spelled_inputs(language_model.known(t.counts, slots)), bit).astype(float)[: t.letters.length[b]].sum() for _, bit, slots in language_model.spelled_slots(t, [bytes([b]) * 2])))
     assert abs(sum(at_start(b) for b in range(256)) - 1) < 1e-3
+
+
+def test_tokens_numbered_by_arrow_are_those_of_python():
+    """Odd white space, letters beyond ASCII, bytes that are no UTF-8, empty texts, and none at all; names are the same whether they come at once or in turn."""
+    texts = [b"", b" ", b"A b\x0ba\x0c\rB  a ", "É é ß\u00a0x\u0085y \u2003z".encode(), b"\xff\xfe \xc3\x28 \x1c\x1fq", b"\n\n", b"a" * 70 + b" a", b"Z", b"\x00 \x00a"]
+    for kind in (pa.binary(), pa.large_binary()):
+        for some in (texts, texts[:2], [], texts * 3):
+            column = pa.concat_arrays([pa.array([b"left out"], kind), pa.array(some, kind)]).slice(1)
+            got = language_model.coded(column)
+            assert [[got.distinct[k] for k in got.keys[a : a + n]] for a, n in zip(got.starts, got.sizes)] == [language_model.tokens_of(t) for t in some]
+            assert len(set(got.distinct)) == len(got.distinct) and got.sizes.sum() == len(got.keys)
+    names = language_model.Vocabulary({b"a": 0, b"b": 1}, np.array([0, 1, 2]), np.array([0, 7, 0]))
+    for part in (texts[:3], texts[3:], texts):
+        keys = names.keys_of(language_model.coded(pa.array(part, pa.binary())))
+        assert [names.tokens[k] for k in keys] == [w for t in part for w in language_model.tokens_of(t)]
+    rest = language_model.COMMON + 1
+    assert [(p, i, c) for p, i, c in zip(names.places, names.ids, names.contexts)] == [(q := {b"a": 0, b"b": 1}.get(t, 2), q, 7 if q == 1 else rest + int.from_bytes(t[-2:])) for t in names.tokens]
