@@ -20,8 +20,8 @@ shipped(__name__)
 
 #: What ends a text, as a token; no word holds it. A spelled word's bytes are followed by STOP, which no word holds either.
 END, STOP = b"\n", 32
-#: Distinct tokens that a worker knows at most at a time; decisions worked on at once.
-KNOWN, BLOCK = 300_000, 60_000
+#: Distinct tokens that a worker counts at most at a time, and those that one with a model knows; bytes of text cut into tokens at once; tokens and decisions worked on at once.
+KNOWN, NAMED, SLICE, RUN, BLOCK = 300_000, 130_000, 1 << 21, 100_000, 60_000
 #: Tokens whose counts every worker has, their bytes at most, and how many of them have a symbol of their own. All others are spelled.
 HOT, LONGEST, SYMBOLS = 1 << 18, 64, 1 << 16
 #: Frequent tokens, the last of which is a context; tokens that are contexts by themselves for the next one.
@@ -73,6 +73,13 @@ def coded(column: pa.Array) -> Coded:
     return Coded([*distinct, END], keys, sizes, np.cumsum(sizes) - sizes)
 
 
+def slices(batches, column: int):
+    """Batches in slices of about SLICE bytes of text, or of one text that is longer: what a worker makes of tokens takes many times their room."""
+    for batch in batches:
+        for lo, hi in blocks(pc.binary_length(batch.column(column)).to_numpy(), SLICE):
+            yield batch.slice(lo, hi - lo)
+
+
 class Names:
     """Small numbers for tokens, given as they come, and their hashes."""
 
@@ -124,9 +131,7 @@ def token_counts(docs: DataFrame) -> DataFrame:
         def out():
             return pa.RecordBatch.from_arrays([pa.array(names.tokens, pa.binary()), pa.array(names.hashes.view(np.int64)), pa.array(total)], names=["token", "h", "n"])
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in slices(batches, 0):
             keys = names.keys_of(coded(batch.column(0)))
             new = np.bincount(keys, minlength=len(names.tokens))
             new[: len(total)] += total
@@ -279,8 +284,12 @@ def packed(t: Tables, m: Mixer) -> list:
 
 
 def unpacked(x: list) -> tuple[Tables, Mixer]:
+    """What packed made. Arrays take the place of their bytes in x, one by one: a worker holds no array twice, and its next task finds them unpacked."""
+    for k, part in enumerate(x):
+        if k and isinstance(part, tuple):
+            kind, size, n, b = part
+            x[k] = np.frombuffer(pa.decompress(b, n, "zstd", asbytes=True), kind).reshape(size)
     shape, *flat = x
-    flat = [np.frombuffer(pa.decompress(b, n, "zstd", asbytes=True), kind).reshape(size) for kind, size, n, b in flat]
     return Tables(Code(*flat[:3]), flat[3], Code(*flat[4:7]), Shape(*shape), *flat[7:9]), Mixer(*flat[9:])
 
 
@@ -289,12 +298,12 @@ def regions(n_symbols: int, shape: Shape) -> np.ndarray:
     return np.cumsum([0, n_symbols, 1 << shape.frequent, 1 << shape.before, *(1 << b for b in SPELLED_BITS)])
 
 
-def blocks(size: np.ndarray):
-    """Ranges of about BLOCK decisions."""
+def blocks(size: np.ndarray, most: int = BLOCK):
+    """Ranges of about so many decisions, tokens or bytes."""
     upto = np.cumsum(size)
     lo = 0
     while lo < len(size):
-        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + BLOCK, side="right")))
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + most, side="right")))
         yield lo, hi
         lo = hi
 
@@ -509,22 +518,24 @@ def few(docs: DataFrame) -> DataFrame:
     return docs.coalesce(max(docs.sparkSession.sparkContext.defaultParallelism, -(-docs.rdd.getNumPartitions() // 4)))
 
 
-def streams(batches, names: Vocabulary, size: int = 100_000):
+def streams(batches, names: Vocabulary, size: int = RUN):
     """Texts as streams of about so many tokens, so that each is predicted from those before it."""
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        if len(names.tokens) >= KNOWN:
-            names.reset()
-        texts = coded(batch.column(0))
-        keys = names.keys_of(texts)
-        ends = texts.starts + texts.sizes
-        a = 0
-        while a < len(ends):
-            b = min(int(np.searchsorted(ends, texts.starts[a] + size)) + 1, len(ends))
-            own = keys[texts.starts[a] : ends[b - 1]]
-            yield stream(names.ids[own], names.hashes[own], names.contexts[own], texts.starts[a:b] - texts.starts[a])
-            a = b
+        held, sizes = [np.zeros(0, kind) for kind in (np.int64, np.uint64, np.int64)], np.zeros(0, np.int64)
+        for part in slices([batch], 0):
+            if len(names.tokens) >= NAMED:
+                names.reset()
+            texts = coded(part.column(0))
+            keys = names.keys_of(texts)
+            held = [np.concatenate([x, new[keys]]) for x, new in zip(held, (names.ids, names.hashes, names.contexts))]
+            sizes = np.concatenate([sizes, texts.sizes])
+            while len(held[0]) >= size:
+                ends = np.cumsum(sizes)
+                n = int(np.searchsorted(ends, size)) + 1
+                yield stream(*(x[: ends[n - 1]] for x in held), ends[:n] - sizes[:n])
+                held, sizes = [x[ends[n - 1] :] for x in held], sizes[n:]
+        if len(sizes):
+            yield stream(*held, np.cumsum(sizes) - sizes)
 
 
 #: The piece that holds what a task has learned of weights.
@@ -649,37 +660,37 @@ def _scored(docs: DataFrame, known_tokens, counts, model) -> DataFrame:
         logs = np.log10(base + 0.5)
         names, part, chunk, rare_now = Vocabulary(*known_tokens.value, t.rank), TaskContext.get().partitionId(), 0, 0
         spelled = np.zeros(0)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            if len(names.tokens) >= KNOWN:
+        for batch in slices(batches, 2):
+            if len(names.tokens) >= NAMED:
                 names.reset()
                 spelled = np.zeros(0)
             texts = coded(batch.column(2))
-            keys, sizes, starts = names.keys_of(texts), texts.sizes, texts.starts
-            places = names.places
-            new = ready[places[len(spelled) :]]
-            late = np.flatnonzero(places[len(spelled) :] == names.unknown)
+            every = names.keys_of(texts)
+            new = ready[names.places[len(spelled) :]]
+            late = np.flatnonzero(names.places[len(spelled) :] == names.unknown)
             new[late] = log10_of_words([names.tokens[len(spelled) + k] for k in late], t, m)
             spelled = np.concatenate([spelled, new])
-            places, ids = places[keys], names.ids[keys]
-            s = stream(ids, names.hashes[keys], names.contexts[keys], starts)
-            elsewhere, _ = follower(t, s, np.repeat(~batch.column(1).to_numpy(zero_copy_only=False).astype(bool), sizes))
-            is_hot, letters = base[places] > 0, spelled[keys]
-            whole = log10_of_tokens(s, t, m) + letters
-            rare, less = names.hashes.view(np.int64)[keys[~is_hot]], -letters[~is_hot]
-            hot_of = np.add.reduceat(is_hot.astype(np.int64), starts)
-            ends = np.concatenate([[0], np.cumsum(sizes - hot_of)]).astype(np.int32)
-            if rare_now + len(rare) > CHUNK and rare_now:
-                chunk, rare_now = chunk + 1, 0
-            rare_now += len(rare)
-            summed = lambda x: pa.array(np.add.reduceat(x, starts))
-            columns = [
-                pa.array(np.full(len(sizes), (part << 24) + chunk, np.int64)), batch.column(0), batch.column(1), pa.array(sizes.astype(np.int64)), pa.array(hot_of),
-                summed(np.where(is_hot, logs[places], 0.0)), summed(whole), summed((elsewhere == ids).astype(np.int64)),
-                pa.array(pc.binary_length(batch.column(2)).to_numpy().astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(rare)), pa.ListArray.from_arrays(pa.array(ends), pa.array(less.astype(np.float32))),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names=["chunk", "doc_id", "held_out", "n_tokens", "n_hot", "hot_sum", "whole", "followed", "n_bytes", "rare", "less"])
+            for lo, hi in blocks(texts.sizes, RUN):
+                rows, sizes = batch.slice(lo, hi - lo), texts.sizes[lo:hi]
+                keys, starts = every[texts.starts[lo] :][: sizes.sum()], texts.starts[lo:hi] - texts.starts[lo]
+                places, ids, letters = names.places[keys], names.ids[keys], spelled[keys]
+                s = stream(ids, names.hashes[keys], names.contexts[keys], starts)
+                elsewhere, _ = follower(t, s, np.repeat(~rows.column(1).to_numpy(zero_copy_only=False).astype(bool), sizes))
+                is_hot = base[places] > 0
+                whole = log10_of_tokens(s, t, m) + letters
+                rare, less = names.hashes.view(np.int64)[keys[~is_hot]], -letters[~is_hot]
+                hot_of = np.add.reduceat(is_hot.astype(np.int64), starts)
+                ends = np.concatenate([[0], np.cumsum(sizes - hot_of)]).astype(np.int32)
+                if rare_now + len(rare) > CHUNK and rare_now:
+                    chunk, rare_now = chunk + 1, 0
+                rare_now += len(rare)
+                summed = lambda x: pa.array(np.add.reduceat(x, starts))
+                columns = [
+                    pa.array(np.full(len(sizes), (part << 24) + chunk, np.int64)), rows.column(0), rows.column(1), pa.array(sizes.astype(np.int64)), pa.array(hot_of),
+                    summed(np.where(is_hot, logs[places], 0.0)), summed(whole), summed((elsewhere == ids).astype(np.int64)),
+                    pa.array(pc.binary_length(rows.column(2)).to_numpy().astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(rare)), pa.ListArray.from_arrays(pa.array(ends), pa.array(less.astype(np.float32))),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["chunk", "doc_id", "held_out", "n_tokens", "n_hot", "hot_sum", "whole", "followed", "n_bytes", "rare", "less"])
 
     return docs.mapInArrow(run, "chunk long, doc_id long, held_out boolean, n_tokens long, n_hot long, hot_sum double, whole double, followed long, n_bytes long, rare array<long>, less array<float>")
 

@@ -5,6 +5,8 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
+import types
 import zlib
 from collections import Counter
 
@@ -289,6 +291,42 @@ def test_language_model_learns_from_all_decisions(spark, sf_dir):
     assert np.array_equal(back.counts, tables.counts) and np.array_equal(back.symbols.node, tables.symbols.node) and back.shape == shape and np.array_equal(same.log10s, mixed.log10s)
 
 
+def test_workers_hold_little(monkeypatch):
+    """A batch of 7 MB of text takes a worker little room in counting and in scoring, however many words it knows, and the results are those of one text after the other; a model is held once."""
+    rng = np.random.default_rng(4)
+    words = [f"w{k}".encode() for k in range(200)]
+    names, t = small_tables(words, words[:3])
+    t = t._replace(counts=rng.integers(0, 2**16, len(t.counts)).astype(np.uint16))
+    m = language_model.refined(rng.normal(0.3, 0.1, (language_model.GATES, language_model.INPUTS)), rng.integers(0, 50, (language_model.GATES, language_model.STEPS, 2)).astype(float))
+    texts = [b"", b" ".join(words), *(b" ".join(words[k] for k in rng.integers(0, 200, n)) for n in rng.integers(5_000, 9_000, 200)), b"Unknown \t w3", b""]
+    batch = pa.record_batch({"doc_id": np.arange(len(texts)), "held_out": np.arange(len(texts)) % 3 == 0, "text": pa.array(texts, pa.binary())})
+    index, value = {w: k for k, w in enumerate(names)}, types.SimpleNamespace
+    known = value(value=(index, np.arange(len(names) + 1)))
+    model = value(value=language_model.packed(t, m))
+    counts = value(value=(np.array([*[3.0] * len(names), 0.0]), np.zeros(len(names) + 1)))
+    monkeypatch.setattr(language_model, "TaskContext", value(get=lambda: value(partitionId=lambda: 0)))
+    run = language_model._scored(value(mapInArrow=lambda f, kind: f), known, counts, model)
+
+    def whole(batches):
+        return pa.Table.from_batches(run(batches)).drop_columns("chunk").to_pylist()
+
+    want = [r for k in range(len(texts)) for r in whole(iter([batch.slice(k, 1)]))]
+    tables, _ = language_model.unpacked(model.value)
+    assert tables.counts is language_model.unpacked(model.value)[0].counts and not any(isinstance(x, tuple) for x in model.value[1:])
+    streams = lambda: language_model.streams(iter([x.select(["text"]) for x in (batch.slice(0, 0), batch)]), language_model.Vocabulary(*known.value, t.rank))
+    peaks = []
+    for work in (streams, lambda: run(iter([batch]))):
+        tracemalloc.start()
+        total = sum(1 for _ in work())
+        peaks.append(tracemalloc.get_traced_memory()[1] / 1e6)
+        tracemalloc.stop()
+        assert total
+    assert max(peaks) < 50, peaks
+    assert [{**r, "rare": len(r["rare"])} for r in whole(iter([batch]))] == [{**r, "rare": len(r["rare"])} for r in want]
+    sizes = [len(s.ids) for s in streams()]
+    assert sum(sizes) == sum(len(language_model.tokens_of(x)) for x in texts) and all(100_000 <= n < 110_000 for n in sizes[:-1]) and len(sizes) > 10
+
+
 def test_token_probabilities_add_up():
     """The probabilities of all symbols at one place sum to 1, and so do those of all bytes."""
     rng = np.random.default_rng(0)
