@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
-from itertools import count, islice, repeat
+from itertools import repeat
 from typing import NamedTuple
 
 import numpy as np
@@ -45,11 +44,15 @@ def tokens_of(text: bytes) -> list[bytes]:
 class Coded(NamedTuple):
     """The tokens of several texts: the distinct ones, each one's number among them, how many each text has, and where each text starts."""
 
-    distinct: list[bytes]
+    words: pa.Array
     keys: np.ndarray
     sizes: np.ndarray
     starts: np.ndarray
 
+    @property
+    def distinct(self) -> list[bytes]:
+        return listed(self.words)
+
 
 def listed(words: pa.Array) -> list[bytes]:
     """The strings of an array without nulls, in bytes."""
@@ -67,10 +70,10 @@ def coded(column: pa.Array) -> Coded:
     full = pc.binary_length(flat).to_numpy() > 0  # before and after white space at an end there is an empty word
     upto = np.concatenate([[0], np.cumsum(full)])[np.concatenate([[0], ends])]
     each = (flat if full.all() else flat.filter(pa.array(full))).dictionary_encode()
-    distinct, sizes = listed(each.dictionary), np.diff(upto) + 1
+    distinct, sizes = each.dictionary.cast(pa.binary()), np.diff(upto) + 1
     keys = np.full(int(sizes.sum()), len(distinct), np.int64)
     keys[np.arange(len(each)) + np.repeat(np.arange(len(sizes)), sizes - 1)] = each.indices.to_numpy()
-    return Coded([*distinct, END], keys, sizes, np.cumsum(sizes) - sizes)
+    return Coded(pa.concat_arrays([distinct, pa.array([END], pa.binary())]), keys, sizes, np.cumsum(sizes) - sizes)
 
 
 def slices(batches, column: int):
@@ -81,22 +84,29 @@ def slices(batches, column: int):
 
 
 class Names:
-    """Small numbers for tokens, given as they come, and their hashes."""
+    """Small numbers for tokens, given as they come, and their hashes. Arrow looks up those that have one."""
 
     def __init__(self):
         self.reset()
 
     def reset(self) -> None:
-        self.number, self.tokens, self.hashes = defaultdict(count().__next__), [], np.zeros(0, np.uint64)
+        self.known, self.hashes = pa.array([], pa.binary()), np.zeros(0, np.uint64)
+
+    @property
+    def tokens(self) -> list[bytes]:
+        return listed(self.known)
 
     def add(self, new: list[bytes]) -> None:
-        self.tokens += new
         self.hashes = np.concatenate([self.hashes, np.fromiter(map(xxhash.xxh3_64_intdigest, new), np.uint64, len(new))])
 
     def keys_of(self, texts: Coded) -> np.ndarray:
         """The numbers of all tokens of all texts."""
-        own = np.fromiter(map(self.number.__getitem__, texts.distinct), np.int64, len(texts.distinct))
-        self.add(list(islice(self.number, len(self.tokens), None)))
+        own = pc.fill_null(pc.index_in(texts.words, value_set=self.known), -1).to_numpy().astype(np.int64)
+        late = own < 0
+        own[late] = np.arange(len(self.known), len(self.known) + late.sum())
+        new = texts.words.filter(pa.array(late))
+        self.known = pa.concat_arrays([self.known, new])
+        self.add(listed(new))
         return own[texts.keys]
 
 
@@ -129,14 +139,14 @@ def token_counts(docs: DataFrame) -> DataFrame:
         total = np.zeros(0, np.int64)
 
         def out():
-            return pa.RecordBatch.from_arrays([pa.array(names.tokens, pa.binary()), pa.array(names.hashes.view(np.int64)), pa.array(total)], names=["token", "h", "n"])
+            return pa.RecordBatch.from_arrays([names.known, pa.array(names.hashes.view(np.int64)), pa.array(total)], names=["token", "h", "n"])
 
         for batch in slices(batches, 0):
             keys = names.keys_of(coded(batch.column(0)))
-            new = np.bincount(keys, minlength=len(names.tokens))
+            new = np.bincount(keys, minlength=len(names.known))
             new[: len(total)] += total
             total = new
-            if len(names.tokens) >= KNOWN:
+            if len(names.known) >= KNOWN:
                 yield out()
                 names.reset()
                 total = np.zeros(0, np.int64)
@@ -523,7 +533,7 @@ def streams(batches, names: Vocabulary, size: int = RUN):
     for batch in batches:
         held, sizes = [np.zeros(0, kind) for kind in (np.int64, np.uint64, np.int64)], np.zeros(0, np.int64)
         for part in slices([batch], 0):
-            if len(names.tokens) >= NAMED:
+            if len(names.known) >= NAMED:
                 names.reset()
             texts = coded(part.column(0))
             keys = names.keys_of(texts)
@@ -661,14 +671,14 @@ def _scored(docs: DataFrame, known_tokens, counts, model) -> DataFrame:
         names, part, chunk, rare_now = Vocabulary(*known_tokens.value, t.rank), TaskContext.get().partitionId(), 0, 0
         spelled = np.zeros(0)
         for batch in slices(batches, 2):
-            if len(names.tokens) >= NAMED:
+            if len(names.known) >= NAMED:
                 names.reset()
                 spelled = np.zeros(0)
             texts = coded(batch.column(2))
             every = names.keys_of(texts)
             new = ready[names.places[len(spelled) :]]
             late = np.flatnonzero(names.places[len(spelled) :] == names.unknown)
-            new[late] = log10_of_words([names.tokens[len(spelled) + k] for k in late], t, m)
+            new[late] = log10_of_words(listed(names.known.take(pa.array(len(spelled) + late))), t, m)
             spelled = np.concatenate([spelled, new])
             for lo, hi in blocks(texts.sizes, RUN):
                 rows, sizes = batch.slice(lo, hi - lo), texts.sizes[lo:hi]
